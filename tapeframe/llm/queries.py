@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import bpe, chat, licenses, mixing, quality_rules
+from tapeframe.llm import bpe, chat, licenses, mixing, quality_rules, toxicity, weak_labels
 from tapeframe.llm.common import table
 
 
@@ -21,11 +21,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weak-label classifier's verdict on every document."""
+    return weak_labels.classify(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned without the held-out fold."""
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -40,7 +50,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_bpe, op6_mixing, op8_quality_rules, op9_chat)}
+    return {f.__name__: f for f in (op1_licenses, op2_bpe, op4_quality_classifier, op6_mixing, op7_toxicity, op8_quality_rules, op9_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
