@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import bpe, chat, licenses, mixing, quality_rules, toxicity, weak_labels
+from tapeframe.llm import bpe, chat, fingerprints, language_id, licenses, mixing, near_dedup, quality_rules, toxicity, weak_labels
 from tapeframe.llm.common import table
 
 
@@ -21,11 +21,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page."""
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weak-label classifier's verdict on every document."""
     return weak_labels.classify(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text, and likenesses."""
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
@@ -49,8 +59,13 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(added)))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_bpe, op4_quality_classifier, op6_mixing, op7_toxicity, op8_quality_rules, op9_chat)}
+    return {f.__name__: f for f in (op1_licenses, op2_bpe, op3_language_id, op4_quality_classifier, op5_fingerprints, op6_mixing, op7_toxicity, op8_quality_rules, op9_chat, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
