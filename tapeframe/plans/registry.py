@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS: tuple = ()
+from tapeframe.plans import bars, state, windows
+
+AREAS = (bars, windows, state)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
