@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.plans import bars, state, windows
+from tapeframe.plans import bars, microstructure, state, windows
 
-AREAS = (bars, windows, state)
+AREAS = (bars, windows, state, microstructure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
