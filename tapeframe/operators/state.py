@@ -125,12 +125,14 @@ def adapter_status(enabled: Column, value: Column, wired: Column, held: Column,
     return F.when(~enabled, 0).when(~F.coalesce(wired, F.lit(False)), 1).when(value.isNull(), 0).when(held > stale_after, 2).when(held > 0, 3).otherwise(4)
 
 
-# Words of feed states.
-FEED_WORDS = {0: "OFF", 1: "UNWIRED", 2: "STALE", 3: "HELD", 4: "LIVE"}
+# Words of the states of feeds, daily feeds and adapters.
+FEED_WORDS = {4: "FRESH", 3: "1 BAR OLD", 2: "STALE", 1: "MISCONFIGURED", 0: "UNAVAILABLE"}
+DAILY_WORDS = FEED_WORDS | {3: "1D OLD"}
+ADAPTER_WORDS = {4: "ACTIVE", 3: "UNCHANGED 1 BAR", 2: "LIKELY STALE", 1: "MISCONFIGURED", 0: "UNAVAILABLE"}
 
 
-def feed_word(status: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for p in FEED_WORDS.items() for x in p]), status)
+def feed_word(status: Column, words: dict[int, str] = FEED_WORDS) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for p in words.items() for x in p]), status)
 
 
 def spaced_drawdowns(df: DataFrame, keys: list[str], depth: str, threshold: float, spacing: int) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.plans import bars, microstructure, state, windows
+from tapeframe.plans import bars, context, microstructure, planner, state, windows
 
-AREAS = (bars, windows, state, microstructure)
+AREAS = (bars, windows, state, context, planner, microstructure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

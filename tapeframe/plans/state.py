@@ -107,7 +107,7 @@ def adapters_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.max(F.abs(F.col("src") - F.col("close"))).over(windows.frame(SYMBOL, 50))
     rows = ops.unchanged(rows.withColumn("wired", F.coalesce(gap > 0, F.lit(False))), ["symbol"], "src", "held")
     status = ops.adapter_status(F.lit(True), F.col("src"), F.col("wired"), F.col("held"), 6)
-    return rows.select("symbol", "t", "wired", "held", status.alias("status"))
+    return rows.select("symbol", "t", "wired", "held", status.alias("status")).withColumn("word", ops.feed_word(F.col("status"), ops.ADAPTER_WORDS))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,12 +229,13 @@ select symbol, t, level, dir, case when level > 0 and level_before = 0 then 1 wh
     "feed_status": q.with_(q.TAPE, q.B4H)
     + """, f as (select symbol, t as seen from b4h where trades >= 11), j as (select b.symbol, b.t, f.seen as matched_t from b4h b asof left join f on b.symbol = f.symbol and b.t >= f.seen),
 s as (select *, case when matched_t is null then 0 when (t - matched_t) // 14400000 <= 0 then 4 when (t - matched_t) // 14400000 <= 1 then 3 else 2 end as status from j), p as (select *, lag(status) over (partition by symbol order by t) as b from s)
-select symbol, t, matched_t, status, case status when 0 then 'OFF' when 2 then 'STALE' when 3 then 'HELD' when 4 then 'LIVE' end as word, status >= 3 as usable, case when status = 2 and b <> 2 then 'down' when status >= 3 and b < 3 then 'up' end as moved from p""",
+select symbol, t, matched_t, status, case status when 0 then 'UNAVAILABLE' when 2 then 'STALE' when 3 then '1 BAR OLD' when 4 then 'FRESH' end as word, status >= 3 as usable, case when status = 2 and b <> 2 then 'down' when status >= 3 and b < 3 then 'up' end as moved from p""",
     "adapters_status": q.with_(q.TAPE, q.B4H, recursive=True)
     + """, a as (select symbol, t, close, row_number() over (partition by symbol order by t) as i, case when symbol = 'view' then close when trades % 5 <> 0 then floor(close / 60) * 60 end as src from b4h),
 f as (select symbol, t, i, src, 999::bigint as held from a where i = 1 union all select a.symbol, a.t, a.i, a.src, case when a.src is null or f.src is null then f.held when a.src <> f.src then 0 else f.held + 1 end from f join a on a.symbol = f.symbol and a.i = f.i + 1),
-g as (select f.*, coalesce(max(abs(a.src - a.close)) over (partition by a.symbol order by a.t rows between 49 preceding and current row) > 0, false) as wired from f join a using (symbol, i))
-select symbol, t, wired, held, case when not wired then 1 when src is null then 0 when held > 6 then 2 when held > 0 then 3 else 4 end as status from g""",
+g as (select f.*, coalesce(max(abs(a.src - a.close)) over (partition by a.symbol order by a.t rows between 49 preceding and current row) > 0, false) as wired from f join a using (symbol, i)),
+s as (select symbol, t, wired, held, case when not wired then 1 when src is null then 0 when held > 6 then 2 when held > 0 then 3 else 4 end as status from g)
+select *, case status when 4 then 'ACTIVE' when 3 then 'UNCHANGED 1 BAR' when 2 then 'LIKELY STALE' when 1 then 'MISCONFIGURED' else 'UNAVAILABLE' end as word from s""",
     "events_log": _EVSQL + "select *, sum(accepted::int) over w as n_accepted, sum((not accepted)::int) over w as n_suppressed from acc window w as (partition by symbol order by t, site rows between unbounded preceding and current row)",
     "events_tail": _EVSQL + "select symbol, nth, t, site, text from (select *, row_number() over (partition by symbol order by t desc, site desc) as nth from acc where accepted) where nth <= 5",
     "events_grouped": _EVSQL + "select symbol, text, count(*) as n, min(t) as oldest, max(t) as newest, min(site) as priority, min(site) * 10000000000000 - max(t) as rank_key from acc where accepted group by symbol, text",
