@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeframe.llm.common import cut_lineage, gram_hashes, mixed, prefix_hash, quoted, runs, slices, small, span_hash, strings, text_or_empty
+from tapeframe.llm.common import cut_lineage, gram_hashes, mixed, plain_plans, prefix_hash, quoted, runs, slices, small, span_hash, strings, text_or_empty
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, ORDER = 24, 3
@@ -152,14 +152,20 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label (smallest node of its component) of all nodes of links (a, b)."""
+    """node, label (smallest node of its component) of all nodes of links (a, b).
+
+    Labels spread over links and then jump to their label's label, until none changes.
+    The joins are sort-merge joins by hint: tables of links grow with the corpus, and the
+    many small broadcasts of an iteration would pile up on the driver.
+    """
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
-        heard = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
-        new = labels.join(heard, F.col("node") == F.col("a")).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
+        heard = edges.join(labels.hint("merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
+        new = labels.join(heard.hint("merge"), F.col("node") == F.col("a")).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
+        new = cut_lineage(new)
         jump = new.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        new = cut_lineage(new.join(jump, F.col("label") == F.col("via")).select("node", F.least("label", "further").alias("label"), "old"))
+        new = cut_lineage(new.join(jump.hint("merge"), F.col("label") == F.col("via")).select("node", F.least("label", "further").alias("label"), "old"))
         changed = not new.filter("label <> old").isEmpty()
         labels = new.select("node", "label")
         if not changed:
@@ -167,53 +173,67 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links a, b, similarity among members (bucket, id) of the same bucket.
+    """Links a, b, similarity among members (bucket, id, degree) of the same bucket.
 
-    Every link between members of a bucket is in the result or follows from others
-    in it: they lie in one component.
+    A bucket's hub is its member of the highest degree (it shares the most buckets with
+    others, as the common ancestor of edited copies does). Every link between members of a
+    bucket is in the result or follows from others in it: they lie in one component.
     """
-    links: DataFrame | None = None
-    hubs_of, labels = 1, None
+    members = members.withColumn("open", F.lit(True))
+    found: DataFrame | None = None
+    hubs_of = 1
     while True:
-        hubs = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(hubs_of)).alias("part")).agg(F.min(F.when(F.col("open"), F.col("id"))).alias("hub")).filter("hub is not null")
-        joined = cut_lineage(members.join(hubs.select("bucket", "hub"), "bucket").filter("id <> hub"))
-        found = cut_lineage(similarities(joined.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), texts))
-        new = found.filter((F.col("aligned") >= SIMILARITY) | (F.col("jaccard") >= SIMILARITY)).select("a", "b", F.greatest("aligned", "jaccard").alias("similarity"))
-        links = new if links is None else cut_lineage(links.unionByName(new))
-        labels = components(links)
+        best = F.max(F.when(F.col("open"), F.struct("degree", (-F.col("id")).alias("i"))))
+        hubs = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(hubs_of)).alias("part")).agg((-best["i"]).alias("hub")).filter("hub is not null").select("bucket", "hub")
+        joined = cut_lineage(members.join(hubs.hint("merge"), "bucket").filter("id <> hub").select("bucket", "id", "degree", "hub", F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")))
+        pairs = joined.select("a", "b").distinct()
+        if found is not None:
+            pairs = pairs.join(found.hint("merge"), ["a", "b"], "left_anti")
+        new = similarities(pairs, texts)
+        found = cut_lineage(new if found is None else found.unionByName(new))
+        links = found.filter(_near()).select("a", "b", F.greatest("aligned", "jaccard").alias("similarity"))
         # what the triangle inequality leaves open in each bucket
-        far = joined.join(found.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - F.col("jaccard")).alias("dj"), (1 - F.col("aligned")).alias("da")), ["id", "hub"])
-        far = far.withColumn("near", F.least("dj", "da") <= 1 - SIMILARITY + 1e-9)
-        reach = far.filter("near").groupBy("bucket", "hub").agg((F.max("dj") + 0.2).alias("rj"), (F.max("da") + 0.2).alias("ra"))
-        far = far.join(reach, ["bucket", "hub"], "left")
-        doubt = ~F.col("near") & F.coalesce((F.col("dj") <= F.col("rj")) | (F.col("da") <= F.col("ra")), F.lit(False))
-        own = far.groupBy("bucket", "id").agg(F.max("near").alias("near"), F.max(doubt).alias("doubt"))
-        # hubs are done; members near a hub go on only where some other is in doubt
-        hub_ids = hubs.select("bucket", F.col("hub").alias("id"))
-        own = own.join(hub_ids, ["bucket", "id"], "left_anti")
-        own = own.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
-        left = own.groupBy("bucket").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("apart"), F.max("doubt").alias("any_doubt"), F.min("label").alias("low"), F.max("label").alias("high"))
-        left = left.filter((F.col("apart") > 0) & (F.col("low") < F.col("high")) & ((F.col("apart") > 1) | F.col("any_doubt")))
-        members = own.join(left, "bucket").filter(~F.col("near") | F.col("any_doubt")).select("bucket", "id", (~F.col("near")).alias("open"))
-        members = cut_lineage(members)
+        far = joined.join(found.select("a", "b", (1 - F.col("jaccard")).alias("dj"), (1 - F.col("aligned")).alias("da"), _near().alias("near")).hint("merge"), ["a", "b"])
+        per_hub = Window.partitionBy("bucket", "hub")
+        rj, ra = F.max(F.when(F.col("near"), F.col("dj"))).over(per_hub) + 0.2, F.max(F.when(F.col("near"), F.col("da"))).over(per_hub) + 0.2
+        far = far.withColumn("doubt", ~F.col("near") & F.coalesce((F.col("dj") <= rj) | (F.col("da") <= ra), F.lit(False)))
+        own = far.groupBy("bucket", "id").agg(F.max("near").alias("near"), F.max("doubt").alias("doubt"), F.max("degree").alias("degree"))
+        own = own.join(hubs.withColumnRenamed("hub", "id").hint("merge"), ["bucket", "id"], "left_anti")  # hubs are done
+        rest = own.groupBy("bucket").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("apart"), F.max("doubt").alias("any_doubt")).filter("apart > 1 or (apart > 0 and any_doubt)")
+        own = cut_lineage(own.join(rest.hint("merge"), "bucket").filter(~F.col("near") | F.col("any_doubt")))
+        if own.isEmpty():
+            return links
+        own = own.join(components(links).hint("merge"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+        split = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+        members = cut_lineage(own.join(split.hint("merge"), "bucket").select("bucket", "id", "degree", (~F.col("near")).alias("open")))
         if members.isEmpty():
             return links
         hubs_of *= HUB_GROWTH
 
 
+def _near() -> Column:
+    return (F.col("aligned") >= SIMILARITY) | (F.col("jaccard") >= SIMILARITY)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc_id, class_id, n_copies, n_links, kept (the class's first) of each document with a doc_id.
 
     n_copies: documents of equal words; n_links: verified links found of that text.
     """
+    with plain_plans(df.sparkSession):
+        return _near_duplicates(df, key)
+
+
+def _near_duplicates(df: DataFrame, key: str) -> DataFrame:
     sketch = cut_lineage(sketches(df, key))
     texts_of = sketch.groupBy("copy").agg(F.min(F.struct("doc_id", "sketch")).alias("first"), F.count("*").alias("n_copies"))
     texts_of = cut_lineage(texts_of.select("copy", F.col("first.doc_id").alias("id"), "n_copies", F.col("first.sketch").alias("sketch")))
     members = texts_of.select("id", F.explode("sketch").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = cut_lineage(members.join(shared, "bucket").select("bucket", "id", F.lit(True).alias("open")))
-    ids = members.select("id").distinct()
-    ids = cut_lineage(ids)
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut_lineage(members.join(shared.hint("merge"), "bucket"))
+    ids = cut_lineage(members.groupBy("id").agg(F.sum("n").alias("degree")))
+    members = cut_lineage(members.join(ids.hint("merge"), "id").select("bucket", "id", "degree"))
+    ids = ids.select("id")
     chosen = df.select(quoted(key).cast("long").alias("id"), text_or_empty().alias("text")).join(small(ids, ids.count()), "id")
     links = linked(members, cut_lineage(chosen.groupBy("id").agg(F.min("text").alias("text")) if _repeats(sketch) else chosen))
     labels = components(links)
