@@ -8,6 +8,7 @@ input that clash with the operator's own are replaced.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -42,13 +43,28 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(quoted(name), F.lit(""))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below spark.checkpoint.dir, deleted when it ends; a temporary one only where that is unset."""
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = tempfile.mkdtemp(prefix="tapeframe-")
+        context.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/tapeframe-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the folder of spark.checkpoint.dir, which survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tapeframe-"))
-    return df.checkpoint(eager=True)
+    """df written to the shared folder as a table and read again.
+
+    It survives lost executors, and its size is known: a checkpointed DataFrame keeps the size
+    that was estimated for its plan, and those of a loop's joins multiply without end.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

@@ -33,8 +33,8 @@ from tapeframe.llm.common import cut_lineage, gram_hashes, mixed, plain_plans, p
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, ORDER = 24, 3
-#: Hubs of a bucket in each round: 1, 4, 16, ..
-HUB_GROWTH = 4
+#: Hubs of a bucket in each round: 1, 8, 64, ..
+HUB_GROWTH = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -162,10 +162,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         heard = edges.join(labels.hint("merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
-        new = labels.join(heard.hint("merge"), F.col("node") == F.col("a")).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
-        new = cut_lineage(new)
-        jump = new.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        new = cut_lineage(new.join(jump.hint("merge"), F.col("label") == F.col("via")).select("node", F.least("label", "further").alias("label"), "old"))
+        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        new = labels.join(heard.hint("merge"), F.col("node") == F.col("a")).join(jump.hint("merge"), F.col("label") == F.col("via"))
+        new = cut_lineage(new.select("node", F.least("label", "heard", "further").alias("label"), F.col("label").alias("old")))
         changed = not new.filter("label <> old").isEmpty()
         labels = new.select("node", "label")
         if not changed:
