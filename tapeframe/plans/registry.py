@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.plans import bars, context, microstructure, planner, research, state, windows
+from tapeframe.plans import bars, context, ingest, microstructure, planner, research, state, windows
 
-AREAS = (bars, windows, state, context, planner, microstructure, research)
+AREAS = (bars, windows, state, context, planner, microstructure, research, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,7 +14,7 @@ SETTINGS = {
 
 
 def session(name: str = "tapeframe", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with SETTINGS; settings use _ for . in their names."""
+    """A session with SETTINGS; in the names of settings, _ stands for a dot."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
