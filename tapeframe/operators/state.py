@@ -146,3 +146,14 @@ def spaced_drawdowns(df: DataFrame, keys: list[str], depth: str, threshold: floa
     taken = F.aggregate(F.col("all"), F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (i - F.element_at(acc, -1) >= spacing), F.array_append(acc, i)).otherwise(acc))
     accepted = walked.select(*keys, F.explode(taken).alias("i"))
     return rows.join(accepted, [*keys, "i"])
+
+
+def non_overlapping(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Rows taken in order, each only if the last one taken has ended: one position at a time."""
+    w = W.partitionBy(*keys).orderBy(start, end)
+    rows = df.withColumn("__i", F.row_number().over(w))
+    walked = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col("__i").alias("i")))).alias("all"))
+    empty = F.struct(F.lit(None).cast("long").alias("free"), F.array().cast("array<int>").alias("taken"))
+    step = lambda acc, x: F.when(acc["free"].isNull() | (x["s"] >= acc["free"]), F.struct(x["e"].cast("long").alias("free"), F.array_append(acc["taken"], x["i"]).alias("taken"))).otherwise(acc)
+    accepted = walked.select(*keys, F.explode(F.aggregate("all", empty, step)["taken"]).alias("__i"))
+    return rows.join(accepted, [*keys, "__i"]).drop("__i")
