@@ -22,7 +22,10 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2 << 20
 
 #: Rows that may be broadcast or collected where a docstring says "small".
-SMALL_ROWS = 20_000
+SMALL_ROWS = 50_000
+
+#: Rows of a few numbers that one task writes at least, where the number of rows is known.
+TASK_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +59,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, rows: int | None = None, each: int = TASK_ROWS) -> DataFrame:
     """df written to the shared folder as a table and read again.
 
+    rows: a bound on df's rows, where one is known; then as many tasks write it as have
+    `each` rows, so that small tables are not dealt over a large cluster's partitions.
+
     It survives lost executors, and its size is known: a checkpointed DataFrame keeps the size
     that was estimated for its plan, and those of a loop's joins multiply without end.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // each)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

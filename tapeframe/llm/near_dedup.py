@@ -7,9 +7,9 @@ shingles are taken and kept in text order; equal samples bring two texts into on
 bucket. Two texts of similarity 0.8 miss all 24 buckets with a chance below 1e-6.
 
 Copies (equal words) are collapsed first. In each bucket the members are compared with
-a hub, not with each other, and the comparisons that the triangle inequality leaves
-open go on in further rounds with more hubs, until each bucket's members are connected
-or proved apart. A comparison aligns the two sequences of labelled shingles within a
+a hub, not with each other. Members that shingles of their own keep from being similar
+are left out, and the comparisons that the triangle inequality leaves open go on in
+further rounds with more hubs, until each bucket's members are connected or proved apart. A comparison aligns the two sequences of labelled shingles within a
 band and takes |common| / |union| of the aligned ones; where the order alone keeps
 this below the threshold, the sets of shingles decide. Links at 0.8 or more are
 joined to classes by label propagation; a class is named by its smallest doc_id.
@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, ORDER = 24, 3
 #: Hubs of a bucket in each round: 1, 8, 64, ..
 HUB_GROWTH = 8
+#: Comparisons that one task makes at least.
+TASK_PAIRS = 4000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -130,81 +132,115 @@ def sketches(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(run, _SKETCH)
 
 
-def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, aligned, jaccard for pairs (a, b) of ids; texts: id, text of all of them."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+def similarities(pairs: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
+    """a, b, aligned, jaccard for distinct pairs (a, b) of ids, `rows` of them; texts: id, text of all of them.
+
+    Both texts come to a pair by joins on the pair itself, so a hub of many pairs is no hot key.
+    """
+    few = small(pairs, rows)
+    left = texts.join(few, F.col("id") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
+    right = texts.join(few, F.col("id") == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in slices(batches, "text_a"):
-            _, _, grams, at = shingled(*strings(batch.column("text_a")))
-            hubs, others = batch.column("b").to_pylist(), batch.column("text_b")
-            out = []
-            for k, hub in enumerate(hubs):
-                if hub != known[0]:
-                    known = (hub, shingled(*strings(others.slice(k, 1)))[2])
-                out.append(compared(grams[at[k] : at[k + 1]], known[1]))
+            _, _, first, a = shingled(*strings(batch.column("text_a")))
+            _, _, second, b = shingled(*strings(batch.column("text_b")))
+            out = [compared(first[a[k] : a[k + 1]], second[b[k] : b[k + 1]]) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], pa.float64())], names=["a", "b", "aligned", "jaccard"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = left.join(right.hint("merge"), ["a", "b"]).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long, aligned double, jaccard double")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) of all nodes of links (a, b).
 
-    Labels spread over links and then jump to their label's label, until none changes.
-    The joins are sort-merge joins by hint: tables of links grow with the corpus, and the
-    many small broadcasts of an iteration would pile up on the driver.
+    Labels spread over links and jump to their label's label, until none changes.
     """
-    edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = cut_lineage(edges, 2 * links.count())
+    labels = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), edges.count())
+    nodes = labels.count()
     while True:
-        heard = edges.join(labels.hint("merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
+        heard = edges.join(small(labels, nodes), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        new = labels.join(heard.hint("merge"), F.col("node") == F.col("a")).join(jump.hint("merge"), F.col("label") == F.col("via"))
-        new = cut_lineage(new.select("node", F.least("label", "heard", "further").alias("label"), F.col("label").alias("old")))
+        new = heard.join(small(labels, nodes), F.col("node") == F.col("a")).join(small(jump, nodes), F.col("label") == F.col("via"))
+        new = cut_lineage(new.select("node", F.least("label", "heard", "further").alias("label"), F.col("label").alias("old")), nodes)
         changed = not new.filter("label <> old").isEmpty()
         labels = new.select("node", "label")
         if not changed:
             return labels
 
 
-def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links a, b, similarity among members (bucket, id, degree) of the same bucket.
+def rarities(texts: DataFrame, rows: int) -> DataFrame:
+    """id, size, own for each of the texts (id, text): its shingles, and how many of them no other text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            _, _, grams, at = shingled(*strings(batch.column("text")))
+            sets = [np.unique(grams[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            many = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), many)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
 
-    A bucket's hub is its member of the highest degree (it shares the most buckets with
-    others, as the common ancestor of edited copies does). Every link between members of a
-    bucket is in the result or follows from others in it: they lie in one component.
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(shingled(*strings(batch.column("text")))[3]))], names=["id", "size"])
+
+    single = texts.mapInArrow(run, "id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    own = cut_lineage(single.groupBy("id").agg(F.count("*").alias("own")), rows)
+    return cut_lineage(texts.mapInArrow(sizes, "id long, size long").join(small(own, rows), "id", "left").na.fill(0, ["own"]), rows)
+
+
+def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links a, b, similarity among members (bucket, id, size, own) of the same bucket.
+
+    A text of `size` shingles, `own` of them in no other text, is at most
+    (size - own) / (size + other's own) similar to another. So a bucket's hub is its member
+    with the fewest shingles of its own, as the common ancestor of edited copies is, and a
+    member that this bound keeps from a hub is kept from all later hubs. What hubs leave
+    open by the triangle inequality goes on in further rounds with more hubs; pairs that
+    are in one component already are not compared. Every link between members of a bucket
+    is in the result or follows from others in it: they lie in one component.
     """
-    members = members.withColumn("open", F.lit(True))
+    members = members.withColumn("label", F.col("id"))
     found: DataFrame | None = None
-    hubs_of = 1
+    hubs_of, n_found = 1, 0
     while True:
-        best = F.max(F.when(F.col("open"), F.struct("degree", (-F.col("id")).alias("i"))))
-        hubs = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(hubs_of)).alias("part")).agg((-best["i"]).alias("hub")).filter("hub is not null").select("bucket", "hub")
-        joined = cut_lineage(members.join(hubs.hint("merge"), "bucket").filter("id <> hub").select("bucket", "id", "degree", "hub", F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")))
-        pairs = joined.select("a", "b").distinct()
+        n = members.count()
+        best = F.min(F.struct("own", F.col("id"), "label"))
+        hubs = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(hubs_of)).alias("part")).agg(best.alias("h")).select("bucket", F.col("h.id").alias("hub"), F.col("h.own").alias("hub_own"), F.col("h.label").alias("hub_label"))
+        hubs = cut_lineage(hubs, n)
+        n_hubs = hubs.count()
+        possible = F.col("size") - F.col("own") >= SIMILARITY * (F.col("size") + F.col("hub_own")) - 1e-9
+        joined = members.join(small(hubs, n_hubs), "bucket").filter((F.col("id") != F.col("hub")) & possible)
+        joined = cut_lineage(joined.select("bucket", "id", "size", "own", "hub", (F.col("label") == F.col("hub_label")).alias("same"), F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")), n * hubs_of)
+        pairs = joined.filter("not same").select("a", "b").distinct()
         if found is not None:
-            pairs = pairs.join(found.hint("merge"), ["a", "b"], "left_anti")
-        new = similarities(pairs, texts)
-        found = cut_lineage(new if found is None else found.unionByName(new))
+            pairs = pairs.join(small(found.select("a", "b"), n_found), ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs, joined.count())
+        n_pairs = pairs.count()
+        new = cut_lineage(similarities(pairs, texts, n_pairs), n_pairs, each=TASK_PAIRS)
+        found, n_found = new if found is None else found.unionByName(new), n_found + n_pairs
         links = found.filter(_near()).select("a", "b", F.greatest("aligned", "jaccard").alias("similarity"))
-        # what the triangle inequality leaves open in each bucket
-        far = joined.join(found.select("a", "b", (1 - F.col("jaccard")).alias("dj"), (1 - F.col("aligned")).alias("da"), _near().alias("near")).hint("merge"), ["a", "b"])
-        per_hub = Window.partitionBy("bucket", "hub")
-        rj, ra = F.max(F.when(F.col("near"), F.col("dj"))).over(per_hub) + 0.2, F.max(F.when(F.col("near"), F.col("da"))).over(per_hub) + 0.2
-        far = far.withColumn("doubt", ~F.col("near") & F.coalesce((F.col("dj") <= rj) | (F.col("da") <= ra), F.lit(False)))
-        own = far.groupBy("bucket", "id").agg(F.max("near").alias("near"), F.max("doubt").alias("doubt"), F.max("degree").alias("degree"))
-        own = own.join(hubs.withColumnRenamed("hub", "id").hint("merge"), ["bucket", "id"], "left_anti")  # hubs are done
-        rest = own.groupBy("bucket").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("apart"), F.max("doubt").alias("any_doubt")).filter("apart > 1 or (apart > 0 and any_doubt)")
-        own = cut_lineage(own.join(rest.hint("merge"), "bucket").filter(~F.col("near") | F.col("any_doubt")))
-        if own.isEmpty():
+        # what the triangle inequality leaves open in each bucket; of one component without a comparison: near, at any distance up to the limit
+        said = found.select("a", "b", (1 - F.col("jaccard")).alias("dj"), (1 - F.col("aligned")).alias("da"), _near().alias("near"))
+        far = joined.join(small(said, n_found), ["a", "b"], "left").withColumn("near", F.coalesce("near", F.lit(False)) | F.col("same"))
+        limit = F.lit(1 - SIMILARITY)
+        far = far.withColumn("dj", F.coalesce("dj", limit)).withColumn("da", F.coalesce("da", limit))
+        reach = far.filter("near").groupBy("bucket", "hub").agg((F.max("dj") + limit).alias("rj"), (F.max("da") + limit).alias("ra"))
+        far = far.join(small(reach, n_hubs), ["bucket", "hub"], "left")
+        far = far.withColumn("doubt", ~F.col("near") & F.coalesce((F.col("dj") <= F.col("rj")) | (F.col("da") <= F.col("ra")), F.lit(False)))
+        own = far.groupBy("bucket", "id").agg(F.max("near").alias("near"), F.max("doubt").alias("doubt"), F.max("size").alias("size"), F.max("own").alias("own"))
+        own = cut_lineage(own.join(small(hubs.select("bucket", F.col("hub").alias("id")), n_hubs), ["bucket", "id"], "left_anti"), n)  # hubs are done
+        rest = own.groupBy("bucket").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("apart"), F.max("doubt").alias("any_doubt"), F.count("*").alias("n")).filter("apart > 1 or (apart > 0 and any_doubt and n > 1)")
+        own = cut_lineage(own.join(small(rest.select("bucket", "any_doubt"), n_hubs), "bucket").filter(~F.col("near") | F.col("any_doubt")), n)
+        left = own.count()
+        if not left:
             return links
-        own = own.join(components(links).hint("merge"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+        labels = components(links)
+        own = own.join(small(labels, labels.count()), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
         split = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        members = cut_lineage(own.join(split.hint("merge"), "bucket").select("bucket", "id", "degree", (~F.col("near")).alias("open")))
+        members = cut_lineage(own.join(small(split, left), "bucket").select("bucket", "id", "size", "own", "label"), left)
         if members.isEmpty():
             return links
         hubs_of *= HUB_GROWTH
@@ -225,19 +261,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def _near_duplicates(df: DataFrame, key: str) -> DataFrame:
     sketch = cut_lineage(sketches(df, key))
+    n = sketch.count()
     texts_of = sketch.groupBy("copy").agg(F.min(F.struct("doc_id", "sketch")).alias("first"), F.count("*").alias("n_copies"))
-    texts_of = cut_lineage(texts_of.select("copy", F.col("first.doc_id").alias("id"), "n_copies", F.col("first.sketch").alias("sketch")))
+    texts_of = cut_lineage(texts_of.select("copy", F.col("first.doc_id").alias("id"), "n_copies", F.col("first.sketch").alias("sketch")), n)
     members = texts_of.select("id", F.explode("sketch").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut_lineage(members.join(shared.hint("merge"), "bucket"))
-    ids = cut_lineage(members.groupBy("id").agg(F.sum("n").alias("degree")))
-    members = cut_lineage(members.join(ids.hint("merge"), "id").select("bucket", "id", "degree"))
-    ids = ids.select("id")
-    chosen = df.select(quoted(key).cast("long").alias("id"), text_or_empty().alias("text")).join(small(ids, ids.count()), "id")
-    links = linked(members, cut_lineage(chosen.groupBy("id").agg(F.min("text").alias("text")) if _repeats(sketch) else chosen))
+    shared = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), n)
+    members = cut_lineage(members.join(small(shared, shared.count()), "bucket"), SAMPLES * n)
+    ids = cut_lineage(members.select("id").distinct(), n)
+    n_ids = ids.count()
+    chosen = df.select(quoted(key).cast("long").alias("id"), text_or_empty().alias("text")).join(small(ids, n_ids), "id")
+    if _repeats(sketch):
+        chosen = chosen.groupBy("id").agg(F.min("text").alias("text"))
+    chosen = cut_lineage(chosen)
+    rare = rarities(chosen, n_ids)
+    links = linked(cut_lineage(members.join(small(rare, n_ids), "id").select("bucket", "id", "size", "own"), members.count()), chosen)
     labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = texts_of.select("copy", "id", "n_copies").join(labels.withColumnRenamed("node", "id"), "id", "left").join(degree.withColumnRenamed("node", "id"), "id", "left")
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    degree = labels.select(F.col("node").alias("id"), "label").join(degree, "id", "left")
+    degree = cut_lineage(degree, labels.count())
+    classes = texts_of.select("copy", "id", "n_copies").join(small(degree, degree.count()), "id", "left")
     classes = classes.select("copy", F.coalesce("label", "id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     rows = sketch.select("doc_id", "copy").join(classes, "copy")
     return rows.select("doc_id", "class_id", "n_copies", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
