@@ -335,6 +335,9 @@ select symbol, low, high, {_r('high / low')} as spread, {_r('high / low')} >= 2
     + f", g as (select symbol, (volume > e1)::int + (volume > e2)::int as tercile, count(*) as n, avg(y) as mean from ok join ed using (symbol) group by 1, 2) select symbol, tercile, n, case when sum(n) over (partition by symbol) >= 100 then {_r('mean')} end as mean, case when sum(n) over (partition by symbol) < 100 then 'insufficient' else 'ok' end as status from g",
     "ols_fe": _RS
     + f", d as (select symbol, {_DM} from rt where x1 is not null and x2 is not null and y is not null), m as (select symbol, count(*) as n, sum(dx1 * dx1) as a, sum(dx1 * dx2) as b, sum(dx2 * dx2) as c, sum(dx1 * dy) as p, sum(dx2 * dy) as r from d group by symbol) select symbol, n, {_r('(c * p - b * r) / (a * c - b * b)')} as beta1, {_r('(a * r - b * p) / (a * c - b * b)')} as beta2 from m",
+    "correlation_matrix": _RS
+    + """, l as (select t // 86400000 as d, unnest(['x1_' || symbol, 'x2_' || symbol]) as config, unnest([x1 * y, x2 * y]) as v from rt), s as (select d, config, sum(v) as v from l group by 1, 2), f as (select d, config, coalesce(v, 0) as v from (select distinct d from s) cross join (select distinct config from s) left join s using (d, config))
+select a.config as a, b.config as b, round(corr(a.v, b.v), 5) as rho from f a join f b using (d) group by 1, 2""",
     "economic_gate": q.with_(q.TAPE, q.B4H, _RET, _DEC, _ECO) + 'select symbol, gross_bp, gross_bp > 10 as "beats_A", gross_bp > 14 as "beats_B", gross_bp > 20 as "beats_C", gross_bp > 14 as passes from eg',
     "gates": q.with_(q.TAPE, q.SECONDS, _COV, q.B4H, _RET, _DEC, _ECO, _hac("rt", "symbol", "t", "y", 12, "hz"))
     + f"select symbol, {_MET} as met, {_r(str(normal.bonferroni_threshold(131)), 4)} as threshold, case when not ({_MET}) then 'INSUFFICIENT SAMPLE' when abs({_r('t', 4)}) < {normal.bonferroni_threshold(131)} then 'NOT SIGNIFICANT' when gross_bp <= 14 then 'NOT ECONOMIC' else 'CANDIDATE' end as verdict from cv join eg using (symbol) join (select symbol, t from hz) using (symbol)",
