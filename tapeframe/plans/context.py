@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from tapeframe.operators import context as ops, state, windows
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
-SERIES = W.partitionBy("k").orderBy("t")
+SERIES = partial(windows.by, "k")
 MEASURES = ["oi1", "oi6", "premium", "participation", "spot_rvol", "perp_rvol", "funding", "etf", "liquidations"]
 
 
@@ -24,15 +26,15 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     currency = F.when(F.col("t") / 86_400_000 % 11 == 0, "USDT").otherwise("BTC")
     c = F.col
     rows = rows.withColumn("oi", ops.usable_interest(c("oi_volume"), currency))
-    rows = rows.withColumn("spot_rvol", windows.slot_relative_volume(c("spot_volume"), SERIES, step=1, slots=10)).withColumn("perp_rvol", windows.slot_relative_volume(c("perp_volume"), SERIES, step=1, slots=10))
+    rows = rows.withColumn("spot_rvol", windows.slot_relative_volume(c("spot_volume"), SERIES(), step=1, slots=10)).withColumn("perp_rvol", windows.slot_relative_volume(c("perp_volume"), SERIES(), step=1, slots=10))
     unit = F.when(c("t") / 86_400_000 % 3 == 0, "fraction").when(c("t") / 86_400_000 % 3 == 1, "percent").otherwise("bp")
     scaled = (c("perp_close") / c("spot_close") - 1) / F.element_at(F.create_map(*[F.lit(x) for p in ops.FUNDING_UNITS.items() for x in p]), unit)
     return rows.select(
         "k", "t", "perp_close", "spot_close", "oi", "spot_rvol", "perp_rvol",
-        rounded(ops.change(c("oi"), 1, SERIES)).alias("oi1"), rounded(ops.change(c("oi"), 6, SERIES)).alias("oi6"), rounded(ops.change(c("perp_close"), 6, SERIES)).alias("px6"),
+        rounded(ops.change(c("oi"), 1, SERIES())).alias("oi1"), rounded(ops.change(c("oi"), 6, SERIES())).alias("oi6"), rounded(ops.change(c("perp_close"), 6, SERIES())).alias("px6"),
         rounded(ops.premium(c("perp_close"), c("spot_close"))).alias("premium"), rounded(ops.participation(c("spot_rvol"), c("perp_rvol"))).alias("participation"),
         rounded(ops.canonical_funding(scaled, unit)).alias("funding"),
-        rounded(windows.sum_last_valid(F.when(c("oi_volume") % 2 == 0, c("perp_volume") - c("spot_volume")), 5, 90, SERIES)).alias("etf"),
+        rounded(windows.sum_last_valid(F.when(c("oi_volume") % 2 == 0, c("perp_volume") - c("spot_volume")), 5, 90, SERIES())).alias("etf"),
         rounded(ops.liquidation_balance(c("perp_high") - c("perp_close"), c("perp_close") - c("perp_low"), F.lit(True))).alias("liquidations"),
     )
 
@@ -81,7 +83,7 @@ def watch_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _levelled(spark, sf_dir).filter("level > 0 and z is not null").groupBy("t").agg(F.min(F.struct("key", "measure", "phrase")).alias("best"))
     score = ops.direction(F.col("px6")) + ops.direction(F.col("premium"))
     days = _measured(spark, sf_dir).withColumn("score", score)
-    changed = F.coalesce(F.col("score") != F.lag("score").over(SERIES), F.lit(False))
+    changed = F.coalesce(F.col("score") != F.lag("score").over(SERIES()), F.lit(False))
     days = days.withColumn("changed", changed).join(rows, "t", "left")
     known = F.col("px6").isNotNull() & F.col("premium").isNotNull()
     word = ops.trend_word(F.col("score"), known)
@@ -97,8 +99,8 @@ def mechanics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def volatility_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The volatility word of the percentile of 10-day deviation, and the average true range in percent."""
-    rows = _measured(spark, sf_dir).withColumn("sd", rounded(windows.deviation(windows.log_return(F.col("perp_close"), SERIES), 10, SERIES)))
-    pct = windows.percent_rank(F.col("sd"), 60, SERIES)
+    rows = _measured(spark, sf_dir).withColumn("sd", rounded(windows.deviation(windows.log_return(F.col("perp_close"), SERIES()), 10, SERIES())))
+    pct = windows.percent_rank(F.col("sd"), 60, SERIES())
     return rows.withColumn("pct", rounded(pct, 4)).select("t", "sd", "pct", ops.volatility_word(F.col("pct")).alias("word"))
 
 
@@ -121,8 +123,8 @@ def state_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gated_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open interest as an observation only on days it changed, and its deviation from the mean of the last 7 of them."""
-    rows = _measured(spark, sf_dir).withColumn("seen", F.when(~F.col("oi").eqNullSafe(F.lag("oi").over(SERIES)), F.col("oi")))
-    mean = windows.sum_last_valid(F.col("seen"), 7, 30, SERIES) / 7
+    rows = _measured(spark, sf_dir).withColumn("seen", F.when(~F.col("oi").eqNullSafe(F.lag("oi").over(SERIES())), F.col("oi")))
+    mean = windows.sum_last_valid(F.col("seen"), 7, 30, SERIES()) / 7
     return rows.select("t", "seen", rounded(F.when(mean > 0, F.col("seen") / mean - 1)).alias("deviation"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tapeframe.operators import context, health as ops, state, windows
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
-SYMBOL = windows.by("symbol")
+SYMBOL = partial(windows.by, "symbol")
 
 
 def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,22 +39,22 @@ def instrument_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def staleness_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars after which the tape was silent for more than an hour."""
-    rows = tables.bars(spark, sf_dir, "30m").select("symbol", "t", F.lead("t").over(SYMBOL).alias("following"))
+    rows = tables.bars(spark, sf_dir, "30m").select("symbol", "t", F.lead("t").over(SYMBOL()).alias("following"))
     return rows.select("symbol", "t", ops.is_stale(F.col("t"), F.col("following"), HOUR).alias("stale"))
 
 
 def position_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions opened on falls of a tenth, held six bars, never two at a time."""
     rows = tables.bars(spark, sf_dir, "4h").filter("close > 0")
-    ahead, exit_t = F.lead("close", 6).over(SYMBOL), F.lead("t", 6).over(SYMBOL)
-    rows = rows.withColumn("signal", F.coalesce(F.col("close") < F.lag("close").over(SYMBOL) * 0.9, F.lit(False))).withColumn("out", ahead).withColumn("ends", exit_t)
+    ahead, exit_t = F.lead("close", 6).over(SYMBOL()), F.lead("t", 6).over(SYMBOL())
+    rows = rows.withColumn("signal", F.coalesce(F.col("close") < F.lag("close").over(SYMBOL()) * 0.9, F.lit(False))).withColumn("out", ahead).withColumn("ends", exit_t)
     taken = state.non_overlapping(rows.filter("signal and ends is not null").select("symbol", "t", "ends", "close", "out"), ["symbol"], "t", "ends")
     return taken.select("symbol", "t", "ends", rounded(F.col("out") / F.col("close") - 1).alias("ret"))
 
 
 def session_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plotted series at the last three bars: the mean of 100 bars and the levels."""
-    rows = tables.bars(spark, sf_dir, "4h").withColumn("mean", windows.sma(F.col("close"), 100, SYMBOL))
+    rows = tables.bars(spark, sf_dir, "4h").withColumn("mean", windows.sma(F.col("close"), 100, SYMBOL()))
     last = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("t")))
     return rows.withColumn("n", last).filter("n <= 3").select("symbol", "n", "t", rounded("mean").alias("sma"), "high", "low")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,15 +14,15 @@ from tapeframe.operators import alignment, state, stats, windows
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
-SYMBOL = windows.by("symbol")
+SYMBOL = partial(windows.by, "symbol")
 R6 = lambda c: rounded(c, 6).alias(c if isinstance(c, str) else "")
 
 
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4h bars with features and the next bar's return."""
     rows = tables.bars(spark, sf_dir, "4h").filter("close > 0")
-    before, after = F.lag("close").over(SYMBOL), F.lead("close").over(SYMBOL)
-    rows = rows.withColumn("i", F.row_number().over(SYMBOL)).withColumn("x1", rounded(F.log(F.col("close") / before), 9)).withColumn("x2", rounded(F.log(F.col("volume") / F.lag("volume").over(SYMBOL)), 9))
+    before, after = F.lag("close").over(SYMBOL()), F.lead("close").over(SYMBOL())
+    rows = rows.withColumn("i", F.row_number().over(SYMBOL())).withColumn("x1", rounded(F.log(F.col("close") / before), 9)).withColumn("x2", rounded(F.log(F.col("volume") / F.lag("volume").over(SYMBOL())), 9))
     return rows.withColumn("y", rounded(F.log(after / F.col("close")), 9)).withColumn("hour", (F.col("t") % DAY / HOUR).cast("long"))
 
 
@@ -190,7 +192,7 @@ def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seeded_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicate means of blocks of six rows, drawn by a seeded hash of replicate and position; 20 replicates."""
-    rows = _returns(spark, sf_dir).filter("y is not null").withColumn("n", F.row_number().over(SYMBOL) - 1)
+    rows = _returns(spark, sf_dir).filter("y is not null").withColumn("n", F.row_number().over(SYMBOL()) - 1)
     blocks = rows.groupBy("symbol", F.floor(F.col("n") / 6).alias("block")).agg(F.sum("y").alias("sum"), F.count("*").alias("m"))
     size = blocks.groupBy("symbol").agg(F.count("*").alias("n_blocks"))
     drawn = size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
@@ -210,15 +212,15 @@ def shuffled_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_seasonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median volume and realised volatility of each New York hour."""
-    rows = tables.bars(spark, sf_dir, "1h").withColumn("hour", F.hour(F.from_utc_timestamp(F.timestamp_millis("t"), "America/New_York"))).withColumn("r", windows.log_return(F.col("close"), SYMBOL))
+    rows = tables.bars(spark, sf_dir, "1h").withColumn("hour", F.hour(F.from_utc_timestamp(F.timestamp_millis("t"), "America/New_York"))).withColumn("r", windows.log_return(F.col("close"), SYMBOL()))
     return rows.groupBy("symbol", "hour").agg(F.count("*").alias("n"), F.percentile("volume", F.lit(0.5)).alias("median_volume"), rounded(F.stddev_pop("r"), 5).alias("vol"))
 
 
 def smoothing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a sign: how many, how long, and flips that reverse within two bars."""
     rows = _returns(spark, sf_dir).filter("x1 is not null").withColumn("sign", F.signum("x1").cast("int"))
-    new = F.coalesce((F.col("sign") != F.lag("sign").over(SYMBOL)).cast("long"), F.lit(1))
-    rows = rows.withColumn("run", F.sum(new).over(SYMBOL.rowsBetween(W.unboundedPreceding, 0)))
+    new = F.coalesce((F.col("sign") != F.lag("sign").over(SYMBOL())).cast("long"), F.lit(1))
+    rows = rows.withColumn("run", F.sum(new).over(SYMBOL().rowsBetween(W.unboundedPreceding, 0)))
     runs = rows.groupBy("symbol", "run").agg(F.count("*").alias("len"))
     return runs.groupBy("symbol").agg(F.count("*").alias("n_runs"), rounded(F.avg("len"), 5).alias("mean_length"), F.max("len").alias("longest"), F.sum((F.col("len") <= 2).cast("long")).alias("false_flips"))
 
@@ -234,7 +236,7 @@ def tier_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exposure_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule's mean return against the same exposure held always, and scaled by past volatility."""
-    rows = _returns(spark, sf_dir).withColumn("vol", rounded(windows.deviation(F.col("x1"), 10, SYMBOL))).filter("vol > 0 and y is not null")
+    rows = _returns(spark, sf_dir).withColumn("vol", rounded(windows.deviation(F.col("x1"), 10, SYMBOL()))).filter("vol > 0 and y is not null")
     on = F.when(F.col("x1") > 0, 1.0).otherwise(0.0)
     return rows.groupBy("symbol").agg(rounded(F.avg(on), 5).alias("exposure"), rounded(F.avg(on * F.col("y")), 5).alias("rule"), rounded(F.avg(on) * F.avg("y"), 5).alias("matched"), rounded(F.avg(F.least(0.5 / F.col("vol"), F.lit(2.0)) * F.col("y")), 5).alias("scaled"))
 
@@ -242,7 +244,7 @@ def exposure_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 def risk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which the median-clamped risk multiplier would cut, keep or raise the budget."""
     rows = tables.bars(spark, sf_dir, "4h").withColumn("range", F.col("high") - F.col("low")).filter("range > 0")
-    rows = rows.withColumn("m", rounded(windows.rolling_median_clamped(F.col("range"), 30, SYMBOL, 0.5, 1.5)))
+    rows = rows.withColumn("m", rounded(windows.rolling_median_clamped(F.col("range"), 30, SYMBOL(), 0.5, 1.5)))
     word = F.when(F.col("m").isNull(), "unknown").when(F.col("m") < 0.8, "cut").when(F.col("m") > 1.2, "raise").otherwise("keep")
     return rows.groupBy("symbol", word.alias("action")).agg(F.count("*").alias("n"))
 
@@ -267,8 +269,8 @@ def trial_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One position at a time: a signal enters at the next open and leaves after six bars, or at a stop of 20%."""
     rows = tables.bars(spark, sf_dir, "4h").filter("close > 0 and open > 0")
-    rows = rows.withColumn("i", F.row_number().over(SYMBOL)).withColumn("signal", F.coalesce(F.col("close") < F.lag("close").over(SYMBOL) * 0.8, F.lit(False)))
-    ahead = SYMBOL.rowsBetween(1, 7)
+    rows = rows.withColumn("i", F.row_number().over(SYMBOL())).withColumn("signal", F.coalesce(F.col("close") < F.lag("close").over(SYMBOL()) * 0.8, F.lit(False)))
+    ahead = SYMBOL().rowsBetween(1, 7)
     path = rows.withColumn("path", F.collect_list(F.struct("open", "low", "close")).over(ahead)).filter((F.col("signal")) & (F.size("path") == 7))
     picks = state.spaced_drawdowns(path.withColumn("d", F.lit(-1.0)).drop("i"), ["symbol"], "d", 0.5, 1).drop("i").join(rows.select("symbol", "t", F.col("i").alias("at")), ["symbol", "t"])
     entry = F.col("path")[0]["open"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tapeframe.operators import alignment, scans, sessions, state as ops, window
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
-SYMBOL = windows.by("symbol")
+SYMBOL = partial(windows.by, "symbol")
 NY = sessions.SESSIONS[2]
 
 
@@ -79,13 +81,13 @@ def schmitt_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def impulses_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memoryless impulse levels and where they fire."""
     rows = _z(spark, sf_dir).withColumn("level", ops.impulse(F.col("z"), 1.0, 2.0))
-    fired = (F.col("level") != 0) & (F.coalesce(F.lag("level").over(SYMBOL), F.lit(0)) == 0)
+    fired = (F.col("level") != 0) & (F.coalesce(F.lag("level").over(SYMBOL()), F.lit(0)) == 0)
     return rows.select("symbol", "t", "level", fired.alias("fired"))
 
 
 def change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ops.ladder(_z(spark, sf_dir), ["symbol"], "z", 1.0, 0.6, 2.0, 1.25).withColumn("dir", F.coalesce(F.signum("z"), F.lit(0.0)).cast("int"))
-    before = F.coalesce(F.lag("dir").over(SYMBOL), F.lit(0))
+    before = F.coalesce(F.lag("dir").over(SYMBOL()), F.lit(0))
     return rows.select("symbol", "t", "level", "dir", ops.change_kind(F.col("level"), F.col("dir"), F.col("level_before"), before).alias("kind"))
 
 
@@ -104,7 +106,7 @@ def adapters_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.bars(spark, sf_dir, "4h")
     source = F.when(F.col("symbol") == "view", F.col("close")).otherwise(F.when(F.col("trades") % 5 != 0, F.floor(F.col("close") / 60) * 60))
     rows = rows.withColumn("src", source)
-    gap = F.max(F.abs(F.col("src") - F.col("close"))).over(windows.frame(SYMBOL, 50))
+    gap = F.max(F.abs(F.col("src") - F.col("close"))).over(windows.frame(SYMBOL(), 50))
     rows = ops.unchanged(rows.withColumn("wired", F.coalesce(gap > 0, F.lit(False))), ["symbol"], "src", "held")
     status = ops.adapter_status(F.lit(True), F.col("src"), F.col("wired"), F.col("held"), 6)
     return rows.select("symbol", "t", "wired", "held", status.alias("status")).withColumn("word", ops.feed_word(F.col("status"), ops.ADAPTER_WORDS))
@@ -156,7 +158,7 @@ def plan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drawdown_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawdowns of half and more from the 30-bar high, at least 30 bars apart."""
     rows = tables.bars(spark, sf_dir, "4h")
-    top = F.max("high").over(windows.frame(SYMBOL, 30))
+    top = F.max("high").over(windows.frame(SYMBOL(), 30))
     rows = rows.withColumn("dd", F.when(top > 0, F.col("close") / top - 1))
     return ops.spaced_drawdowns(rows, ["symbol"], "dd", 0.5, 30).select("symbol", "i", "t", rounded("dd").alias("dd"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tapeframe.operators import alignment, scans, windows as ops
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
-SYMBOL = ops.by("symbol")
+SYMBOL = partial(ops.by, "symbol")
 
 
 def _four(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,23 +21,23 @@ def _four(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def true_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _four(spark, sf_dir).select("symbol", "t", rounded(ops.true_range(SYMBOL)).alias("tr"))
+    return _four(spark, sf_dir).select("symbol", "t", rounded(ops.true_range(SYMBOL())).alias("tr"))
 
 
 def rolling_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """30-bar deviation of log returns and its annualised form."""
-    rows = _four(spark, sf_dir).withColumn("ret", ops.log_return(F.col("close"), SYMBOL))
-    sd = ops.deviation(F.col("ret"), 30, SYMBOL)
+    rows = _four(spark, sf_dir).withColumn("ret", ops.log_return(F.col("close"), SYMBOL()))
+    sd = ops.deviation(F.col("ret"), 30, SYMBOL())
     return rows.select("symbol", "t", rounded("ret").alias("ret"), rounded(sd).alias("sd30"), rounded(sd * (365 * 6) ** 0.5).alias("vol"))
 
 
 def sma_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("close", 6).over(SYMBOL)
-    return _four(spark, sf_dir).select("symbol", "t", rounded(ops.sma(F.col("close"), 20, SYMBOL)).alias("sma20"), rounded(F.when(before > 0, F.col("close") / before - 1)).alias("mom6"))
+    before = F.lag("close", 6).over(SYMBOL())
+    return _four(spark, sf_dir).select("symbol", "t", rounded(ops.sma(F.col("close"), 20, SYMBOL())).alias("sma20"), rounded(F.when(before > 0, F.col("close") / before - 1)).alias("mom6"))
 
 
 def percent_rank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _four(spark, sf_dir).select("symbol", "t", rounded(ops.percent_rank(F.col("close"), 60, SYMBOL)).alias("pr"))
+    return _four(spark, sf_dir).select("symbol", "t", rounded(ops.percent_rank(F.col("close"), 60, SYMBOL())).alias("pr"))
 
 
 def donchian_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def donchian_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slot_rvol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _four(spark, sf_dir).select("symbol", "t", rounded(ops.slot_relative_volume(F.col("volume"), SYMBOL)).alias("rvol"))
+    return _four(spark, sf_dir).select("symbol", "t", rounded(ops.slot_relative_volume(F.col("volume"), SYMBOL())).alias("rvol"))
 
 
 def slot_z(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def session_rvol_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_running_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running high and low of each UTC day with the bar that reached them first."""
-    rows = tables.bars(spark, sf_dir, "30m").withColumn("day", bucket("t", DAY)).withColumn("i", (F.row_number().over(SYMBOL) - 1).cast("long"))
+    rows = tables.bars(spark, sf_dir, "30m").withColumn("day", bucket("t", DAY)).withColumn("i", (F.row_number().over(SYMBOL()) - 1).cast("long"))
     return ops.running_extremes(rows, ["symbol", "day"]).select("symbol", "t", "run_high", "run_high_i", "run_low", "run_low_i")
 
 
@@ -78,14 +80,14 @@ def pivots_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def autocovariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _four(spark, sf_dir).withColumn("ret", ops.log_return(F.col("close"), SYMBOL)).filter("ret is not null")
+    rows = _four(spark, sf_dir).withColumn("ret", ops.log_return(F.col("close"), SYMBOL())).filter("ret is not null")
     found = ops.autocovariances(rows, ["symbol"], "ret", 5)
     return found.select("symbol", "n", *[rounded(f"acov_{k}").alias(f"acov_{k}") for k in range(6)])
 
 
 def rolling_median_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _four(spark, sf_dir).withColumn("range", F.col("high") - F.col("low")).filter("range > 0")
-    return rows.select("symbol", "t", rounded(ops.rolling_median_clamped(F.col("range"), 30, SYMBOL, 0.5, 1.5)).alias("multiplier"))
+    return rows.select("symbol", "t", rounded(ops.rolling_median_clamped(F.col("range"), 30, SYMBOL(), 0.5, 1.5)).alias("multiplier"))
 
 
 def daily_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +115,9 @@ def flow_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "symbol",
         "t",
-        rounded(ops.sum_last_valid(x, 5, 20, SYMBOL)).alias("last5"),
-        rounded(F.sum(F.coalesce(x, F.lit(0.0))).over(ops.frame(SYMBOL, 30))).alias("sum30"),
-        rounded(ops.strided_sum(x, 6, 5, SYMBOL)).alias("strided"),
+        rounded(ops.sum_last_valid(x, 5, 20, SYMBOL())).alias("last5"),
+        rounded(F.sum(F.coalesce(x, F.lit(0.0))).over(ops.frame(SYMBOL(), 30))).alias("sum30"),
+        rounded(ops.strided_sum(x, 6, 5, SYMBOL())).alias("strided"),
     )
 
 
@@ -125,7 +127,7 @@ def demeaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wilder_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _four(spark, sf_dir).withColumn("tr", ops.true_range(SYMBOL)).select("symbol", "t", "tr")
+    rows = _four(spark, sf_dir).withColumn("tr", ops.true_range(SYMBOL())).select("symbol", "t", "tr")
     return scans.smoothed(rows, ["symbol"], "t", "tr", 14, 1 / 14, "atr", block=10 * DAY).select("symbol", "t", rounded("atr").alias("atr"))
 
 
@@ -155,9 +157,9 @@ def daily_prev_sma_mom(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crossings of a 20-bar mean, and the opening range of each day with later breaks of it."""
     rows = _four(spark, sf_dir)
-    mean = ops.sma(F.col("close"), 20, SYMBOL)
+    mean = ops.sma(F.col("close"), 20, SYMBOL())
     rows = rows.withColumn("sma", mean).withColumn("above", F.col("close") > F.col("sma"))
-    crossed = F.coalesce(F.col("above") & ~F.lag("above").over(SYMBOL), F.lit(False))
+    crossed = F.coalesce(F.col("above") & ~F.lag("above").over(SYMBOL()), F.lit(False))
     day = W.partitionBy("symbol", "day").orderBy("t").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumn("reclaim", crossed).withColumn("day", bucket("t", DAY)).withColumn("open_high", F.first("high").over(day))
     later = F.col("t") > F.first("t").over(day)

@@ -24,3 +24,11 @@ def test_query(spark, con, sf, name):
 
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(registry.queries())
+
+
+def test_contract_is_importable_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/", 2)[0], capture_output=True).returncode == 0
