@@ -197,24 +197,32 @@ def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
     A text of `size` shingles, `own` of them in no other text, is at most
     (size - own) / (size + other's own) similar to another. So a bucket's hub is its member
     with the fewest shingles of its own, as the common ancestor of edited copies is, and a
-    member that this bound keeps from a hub is kept from all later hubs. What hubs leave
-    open by the triangle inequality goes on in further rounds with more hubs; pairs that
-    are in one component already are not compared. Every link between members of a bucket
-    is in the result or follows from others in it: they lie in one component.
+    member that this bound keeps from the hub of the fewest is kept from the whole bucket.
+    Members of a hub's component are not compared with it. A member leaves the bucket if
+    one of its hubs was measured to be near, and all members of other components that are
+    not near that hub are too far from it for a link with the member. The others go on in
+    rounds with more hubs, while they are of several components; there the distances from
+    the first hub keep pairs apart too. Every link between members of a bucket is in the
+    result or follows from others in it: they lie in one component.
     """
-    members = members.withColumn("label", F.col("id"))
+    members = members.withColumn("label", F.col("id")).withColumn("pj", F.lit(None).cast("double")).withColumn("pa", F.lit(None).cast("double"))
     found: DataFrame | None = None
     hubs_of, n_found = 1, 0
+    limit = F.lit(1 - SIMILARITY + 1e-9)
     while True:
         n = members.count()
-        best = F.min(F.struct("own", F.col("id"), "label"))
-        hubs = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(hubs_of)).alias("part")).agg(best.alias("h")).select("bucket", F.col("h.id").alias("hub"), F.col("h.own").alias("hub_own"), F.col("h.label").alias("hub_label"))
+        best = F.min(F.struct("own", F.col("id"), "label", "pj", "pa"))
+        hubs = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(hubs_of)).alias("part")).agg(best.alias("h")).select("bucket", F.col("h.id").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("own", "label", "pj", "pa")])
         hubs = cut_lineage(hubs, n)
         n_hubs = hubs.count()
-        possible = F.col("size") - F.col("own") >= SIMILARITY * (F.col("size") + F.col("hub_own")) - 1e-9
-        joined = members.join(small(hubs, n_hubs), "bucket").filter((F.col("id") != F.col("hub")) & possible)
-        joined = cut_lineage(joined.select("bucket", "id", "size", "own", "hub", (F.col("label") == F.col("hub_label")).alias("same"), F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")), n * hubs_of)
-        pairs = joined.filter("not same").select("a", "b").distinct()
+        fewest = hubs.groupBy("bucket").agg(F.min("hub_own").alias("fewest"))
+        members = members.join(small(fewest, n_hubs), "bucket").filter(F.col("size") - F.col("own") >= SIMILARITY * (F.col("size") + F.col("fewest")) - 1e-9).drop("fewest")
+        # a row without a comparison has the least distances that the bound and the first hub allow
+        bound = 1 - (F.col("size") - F.col("own")) / (F.col("size") + F.col("hub_own"))
+        least = [F.greatest(bound, F.abs(F.col(f"p{c}") - F.col(f"hub_p{c}"))).alias(f"least_{c}") for c in "ja"]
+        joined = members.join(small(hubs, n_hubs), "bucket").filter("label <> hub_label")
+        joined = cut_lineage(joined.select("bucket", "id", "hub", F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"), *least), n * hubs_of)
+        pairs = joined.filter((F.col("least_j") <= limit) | (F.col("least_a") <= limit)).select("a", "b").distinct()
         if found is not None:
             pairs = pairs.join(small(found.select("a", "b"), n_found), ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, joined.count())
@@ -222,25 +230,27 @@ def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
         new = cut_lineage(similarities(pairs, texts, n_pairs), n_pairs, each=TASK_PAIRS)
         found, n_found = new if found is None else found.unionByName(new), n_found + n_pairs
         links = found.filter(_near()).select("a", "b", F.greatest("aligned", "jaccard").alias("similarity"))
-        # what the triangle inequality leaves open in each bucket; of one component without a comparison: near, at any distance up to the limit
-        said = found.select("a", "b", (1 - F.col("jaccard")).alias("dj"), (1 - F.col("aligned")).alias("da"), _near().alias("near"))
-        far = joined.join(small(said, n_found), ["a", "b"], "left").withColumn("near", F.coalesce("near", F.lit(False)) | F.col("same"))
-        limit = F.lit(1 - SIMILARITY)
-        far = far.withColumn("dj", F.coalesce("dj", limit)).withColumn("da", F.coalesce("da", limit))
-        reach = far.filter("near").groupBy("bucket", "hub").agg((F.max("dj") + limit).alias("rj"), (F.max("da") + limit).alias("ra"))
-        far = far.join(small(reach, n_hubs), ["bucket", "hub"], "left")
-        far = far.withColumn("doubt", ~F.col("near") & F.coalesce((F.col("dj") <= F.col("rj")) | (F.col("da") <= F.col("ra")), F.lit(False)))
-        own = far.groupBy("bucket", "id").agg(F.max("near").alias("near"), F.max("doubt").alias("doubt"), F.max("size").alias("size"), F.max("own").alias("own"))
-        own = cut_lineage(own.join(small(hubs.select("bucket", F.col("hub").alias("id")), n_hubs), ["bucket", "id"], "left_anti"), n)  # hubs are done
-        rest = own.groupBy("bucket").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("apart"), F.max("doubt").alias("any_doubt"), F.count("*").alias("n")).filter("apart > 1 or (apart > 0 and any_doubt and n > 1)")
-        own = cut_lineage(own.join(small(rest.select("bucket", "any_doubt"), n_hubs), "bucket").filter(~F.col("near") | F.col("any_doubt")), n)
+        # beyond twice the limit the band may hide some of the alignment: such a distance only counts as that far
+        said = found.select("a", "b", (1 - F.col("jaccard")).alias("dj"), F.least(1 - F.col("aligned"), F.lit(2 * (1 - SIMILARITY))).alias("da"), _near().alias("near"))
+        far = joined.join(small(said, n_found), ["a", "b"], "left").select("bucket", "id", "hub", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("dj", "least_j").alias("dj"), F.coalesce("da", "least_a").alias("da"))
+        far = cut_lineage(far, n * hubs_of)
+        closest = far.filter("not near").groupBy("bucket", "hub").agg(F.min("dj").alias("cj"), F.min("da").alias("ca"))
+        settled = F.col("cj").isNull() | ((F.col("cj") > F.col("dj") + limit) & (F.col("ca") > F.col("da") + limit))
+        done = far.filter("near").join(small(closest, n_hubs), ["bucket", "hub"], "left").filter(settled).select("bucket", "id")
+        done = done.unionByName(hubs.select("bucket", F.col("hub").alias("id"))).distinct()
+        own = cut_lineage(members.join(done, ["bucket", "id"], "left_anti"), n)
+        rest = own.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+        own = cut_lineage(own.join(small(rest, n_hubs), "bucket"), n)
         left = own.count()
         if not left:
             return links
+        if hubs_of == 1:
+            own = own.drop("pj", "pa").join(far.select("bucket", "id", F.col("dj").alias("pj"), F.col("da").alias("pa")), ["bucket", "id"])
         labels = components(links)
-        own = own.join(small(labels, labels.count()), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+        own = own.drop("label").join(small(labels, labels.count()), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+        own = cut_lineage(own, left)
         split = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        members = cut_lineage(own.join(small(split, left), "bucket").select("bucket", "id", "size", "own", "label"), left)
+        members = cut_lineage(own.join(small(split, left), "bucket").select("bucket", "id", "size", "own", "label", "pj", "pa"), left)
         if members.isEmpty():
             return links
         hubs_of *= HUB_GROWTH

@@ -242,6 +242,45 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {k for k in keys if root(k) == k}
 
 
+def test_links_of_drifting_chains_in_one_bucket(spark):
+    """Chains in which only neighbours are similar, and families of edited copies, all members of one bucket."""
+    r, said = random.Random(5), []
+    for g in range(3):
+        words = prose(7000 + g, 1600).split()
+        said += [" ".join(words[at : at + 104]) for at in range(0, 1400, 10) if g == 0 or r.random() < 0.93]
+        for _ in range(25):
+            at = r.randrange(1200)
+            edited = words[at : at + 104]
+            for _ in range(r.randint(0, 4)):
+                edited[r.randrange(104)] = f"edit{r.randrange(10**6)}"
+            said.append(" ".join(edited))
+    r.shuffle(said)
+    df = spark.createDataFrame(list(enumerate(said)), "id long, text string")
+    members = near_dedup.rarities(df, len(said)).select(F.lit(1).cast("long").alias("bucket"), "id", "size", "own")
+    sets, label = [shingles(t) for t in said], list(range(len(said)))
+    for a in range(len(said)):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    with near_dedup.plain_plans(spark):
+        got = {x.node: x.label for x in near_dedup.components(near_dedup.linked(members, df)).collect()}
+    assert [got.get(k, k) for k in range(len(said))] == label and 3 < len(set(label)) < len(said) / 4
+
+
+def test_members_of_a_hubs_component_stay_until_compared(spark):
+    """The chain h-x-n is linked in bucket 1; in bucket 2 n is in h's component but not near h, and m is similar to n only."""
+    part = F.pmod(F.xxhash64("id"), F.lit(near_dedup.HUB_GROWTH))
+    h, n, m = sorted(x.id for x in spark.range(10, 200).filter(part == 0).limit(3).collect())
+    words = prose(8000, 300).split()
+    said = {0: prose(8001, 104), 1: " ".join(words[10:114]), h: " ".join(words[:104]), n: " ".join(words[20:124]), m: " ".join(words[30:134])}
+    df = spark.createDataFrame(list(said.items()), "id long, text string")
+    members = spark.createDataFrame([(b, k, 100, 0) for b, ids in ((1, (1, h, n)), (2, (0, h, n, m))) for k in ids], "bucket long, id long, size long, own long")
+    with near_dedup.plain_plans(spark):
+        got = {x.node: x.label for x in near_dedup.components(near_dedup.linked(members, df)).collect()}
+    assert got == {1: 1, h: 1, n: 1, m: 1}
+
+
 def test_aligned_comparison():
     h = lambda t: near_dedup.shingled(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[2]
     a = prose(5, 200)
