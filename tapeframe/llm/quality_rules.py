@@ -31,9 +31,9 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 MIN_WORDS, MAX_REPEATED = 20, 30
 
 #: Adaptive rules. A document fails where its rate (per 10,000 words, or lines) is above
-#: upper quartile + SPREAD * (upper quartile - median), and above the floor given here,
-#: below which a rate never counts against a document.
-RULES = {"symbol_rate": 1500, "pipe_rate": 1500, "dup_line_rate": 5000, "repeat_rate": 3000, "long_words": 150_000}
+#: upper quartile + SPREAD * (upper quartile - median) + the margin given here, which alone
+#: is left where most texts of the group have none (a text of three lines may repeat one).
+RULES = {"symbol_rate": 200, "pipe_rate": 200, "dup_line_rate": 3500, "repeat_rate": 3000, "long_words": 2000}
 SPREAD = 8
 QUANTILES = (0.5, 0.75)
 
@@ -156,8 +156,8 @@ def quantiles(sketch: DataFrame, keys: list[str], at: tuple[float, ...]) -> Data
 def thresholds(measures: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
     """One row per group: keys and most_<rate>, the largest rate that passes."""
     found = quantiles(sketches(measures, keys, rates(prefix)), keys, QUANTILES)
-    floor = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])[F.col("measure")]
-    limit = F.greatest(floor.cast("long"), F.col("q1") + SPREAD * (F.col("q1") - F.col("q0")))
+    margin = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])[F.col("measure")]
+    limit = F.col("q1") + SPREAD * (F.col("q1") - F.col("q0")) + margin.cast("long")
     return found.groupBy(*map(quoted, keys)).agg(*[F.max(F.when(F.col("measure") == r, limit)).alias(f"most_{r}") for r in RULES])
 
 

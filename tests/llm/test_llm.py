@@ -167,6 +167,16 @@ def test_sketch_quantiles_and_merging(spark):
         assert true <= got <= true * 33 / 32 + 1
 
 
+def test_rules_follow_the_group(spark):
+    """A text of long words fails where words are short, and passes where they are long; so with symbols."""
+    r = random.Random(4)
+    said = lambda n, more="": " ".join("".join(r.choice("abcdefgh") for _ in range(r.choice([n - 1, n, n + 1]))) for _ in range(200)) + more
+    rows = [(k, said(5), "en", "short") for k in range(40)] + [(100 + k, said(10, " #" * 30), "en", "long") for k in range(40)]
+    rows += [(500, said(10), "en", "short"), (501, said(5, " #" * 30), "en", "short"), (502, said(5), "en", "short"), (503, said(10, " #" * 30), "en", "long")]
+    found = {x.doc_id: x for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {k: x.rules_failed for k, x in found.items() if not x.kept} == {500: "long_words", 501: "symbol_rate"}
+
+
 def test_mixing_clamps_and_hits_targets(spark):
     rows = [(k, "w " * (k % 9 + 1), "tiny" if k < 4 else "big" if k % 3 else None) for k in range(400)] + [(k, "same words here", "tie") for k in [500] * 20]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
