@@ -121,15 +121,16 @@ def rules() -> list[tuple[str, str, int, float, str, str]]:
 
 #: Words that can begin a signature.
 FIRST = (
-    "2 3 4 agpl all apache artistic available boost bsd business cc cc0 common copyright covered creative dedicated distributed do eclipse end european gnu governed gpl gplv1 gplv2 gplv3 isc lgpl "
-    "lgplv2 lgplv3 agplv3 licence licenced license licensed microsoft mit modified mozilla mpl new open openssl permission php placed postgresql proprietary provided public published python "
+    "2 3 4 agpl agpl3 all apache artistic available boost bsd business cc cc0 common copyright covered creative dedicated distributed do eclipse end european gnu governed gpl gpl1 gpl2 gpl3 gplv1 gplv2 gplv3 isc lgpl "
+    "lgpl2 lgpl3 lgplv2 lgplv3 agplv3 licence licenced license licensed microsoft mit modified mozilla mpl new open openssl permission php placed postgresql proprietary provided public published python "
     "redistribute redistributed redistribution released revised rights sil simplified spdx subject under university unlicense wtfpl x11 zlib"
 ).split()
 
-_NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_NOT_WORD = rf"{_SEPARATOR}+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Texts without a match have no base phrase and no signature. Every rule needs one of these.
-PREFILTER = rf"(?i)licen[cs]|gpl|mpl|wtfpl|cc0|reserved|copyright|domain|commons|clause|proprietary|permission|redistribution|\bcc{_NOT_WORD}(?:by|0|zero)"
+PREFILTER = rf"(?i)licen[cs]|gpl|mpl|wtfpl|cc0|reserved|copyright|domain|commons|clause|proprietary|permission|redistribution|(?:^|{_SEPARATOR})cc{_NOT_WORD}(?:by|0|zero)"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

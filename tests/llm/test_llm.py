@@ -107,6 +107,17 @@ def test_licenses_match_brute_force(spark, docs, sf01):
     assert by[10_001].labels == "cc-by,cc-by-nc" and "gpl" in by[10_004].labels and len(licenses.rules()) > 300
 
 
+def test_licenses_behind_underscores_and_with_joined_versions(spark):
+    said = ["_CC BY 4.0_", "icon_cc_by", "__cc__by__", "_cc_0", "écc by", "GPL3", "under gpl1", "(GPL2)", "LGPL3", "lgpl2", "AGPL3", "x_GPL3_x"]
+    want = ["cc-by"] * 3 + ["cc0", "", "gpl", "gpl", "gpl", "lgpl", "lgpl", "agpl", "gpl"]
+    found = {r.doc_id: r for r in licenses.report(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()}
+    assert [found[k].labels for k in range(len(said))] == want
+    for k, text in enumerate(said):
+        words = WORD.findall(text.translate(LOWER))
+        at = [i for i in range(len(words)) if words[i : i + 2] == ["cc", "by"]]
+        assert (found[k].n_words, found[k].n_base, found[k].first_word, found[k].last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
+
+
 def test_license_suppression(spark):
     df = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0 or later")], "doc_id long, text string")
     (found,) = licenses.scan(df).first().detections
