@@ -121,12 +121,15 @@ def ols_fe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ols_hac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Univariate and bivariate regressions of the next return with Newey-West errors, for one symbol."""
-    rows = _returns(spark, sf_dir).filter("symbol = 'click'")
-    out = [{"model": name} | r for name, xs in (("one", ["x1"]), ("two", ["x1", "x2"])) for r in stats.regression(rows, "y", xs, "t", 6)]
-    schema = "model string, term string, n long, beta double, se double, t double, r2 double"
-    found = spark.createDataFrame([tuple(r[k] for k in ("model", "term", "n", "beta", "se", "t", "r2")) for r in out], schema)
-    return found.select("model", "term", "n", *[rounded(c, 5).alias(c) for c in ("beta", "se", "t", "r2")])
+    """Univariate and bivariate regressions of the next return with Newey-West errors, for each symbol."""
+    rows = _returns(spark, sf_dir).select("symbol", "t", "y", "x1", "x2").persist()
+    symbols = sorted(r.symbol for r in rows.select("symbol").filter("symbol is not null").distinct().collect())
+    models = [(s, name, xs) for s in symbols for name, xs in (("one", ["x1"]), ("two", ["x1", "x2"]))]
+    out = [{"symbol": s, "model": name} | r for s, name, xs in models for r in stats.regression(rows.filter(F.col("symbol") == s), "y", xs, "t", 6)]
+    rows.unpersist()
+    schema = "symbol string, model string, term string, n long, beta double, se double, t double, r2 double"
+    found = spark.createDataFrame([tuple(r[k] for k in ("symbol", "model", "term", "n", "beta", "se", "t", "r2")) for r in out], schema)
+    return found.select("symbol", "model", "term", "n", *[rounded(c, 5).alias(c) for c in ("beta", "se", "t", "r2")])
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:

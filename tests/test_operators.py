@@ -214,6 +214,22 @@ def test_regression_recovers_planted_effect(spark):
     assert stats.regression(df, "y", ["c"], "t", 4) == []
 
 
+def test_ols_hac_has_every_symbol(spark):
+    import numpy as np
+
+    from tapeframe.plans import research
+
+    sf = "/root/testdata/sf0.01"
+    found = {(r.symbol, r.model, r.term): r for r in research.ols_hac(spark, sf).collect()}
+    rows = research._returns(spark, sf).filter("x1 is not null and x2 is not null and y is not null").select("symbol", "x1", "x2", "y").collect()
+    symbols = {r.symbol for r in rows}
+    assert len(symbols) > 1 and set(found) == {(s, m, x) for s in symbols for m, xs in (("one", ["intercept", "x1"]), ("two", ["intercept", "x1", "x2"])) for x in xs}
+    for s in symbols:
+        x = np.array([[1.0, r.x1, r.x2] for r in rows if r.symbol == s])
+        beta = np.linalg.lstsq(x, np.array([r.y for r in rows if r.symbol == s]), rcond=None)[0]
+        assert all(abs(found[s, "two", t].beta - b) < 1e-4 and found[s, "two", t].n == len(x) for t, b in zip(["intercept", "x1", "x2"], beta, strict=True))
+
+
 def test_texts(spark):
     row = spark.createDataFrame([(1234567.0, None)], "x double, n double").select(text.compact(F.col("x")).alias("a"), text.number(F.col("n")).alias("b"), text.grouped(F.col("x")).alias("c"), text.signed(F.col("x") * 0).alias("d")).first()
     assert tuple(row) == ("1.23M", "n/a", "1,234,567", "+0")
