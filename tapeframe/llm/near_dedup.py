@@ -4,7 +4,8 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lowered; shingle
 five words in a row (all words of a shorter text). Repeated shingles are labelled with
 their occurrence. For each of SAMPLES hash functions a text's ORDER smallest labelled
 shingles are taken and kept in text order; equal samples bring two texts into one
-bucket. Two texts of similarity 0.8 miss all 24 buckets with a chance below 1e-6.
+bucket. Two texts of labelled similarity 0.8 miss all 24 buckets with a chance below 1e-6;
+where passages are repeated a different number of times it is higher (README).
 
 Copies (equal words) are collapsed first. In each bucket the members are compared with
 a hub, not with each other. Members that shingles of their own keep from being similar
