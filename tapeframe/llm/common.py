@@ -7,6 +7,7 @@ input that clash with the operator's own are replaced.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once by the numpy kernels; one longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Rows that may be broadcast or collected where a docstring says "small".
 SMALL_ROWS = 50_000
@@ -46,29 +47,51 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(quoted(name), F.lit(""))
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir, deleted when it ends; a temporary one only where that is unset."""
+    """A folder of this application below spark.checkpoint.dir, deleted when it ends.
+
+    Where that is unset, a local session gets a temporary folder and a cluster an error:
+    no executor could read what another wrote to its own disk.
+    """
     context = spark.sparkContext
-    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
-        base = tempfile.mkdtemp(prefix="tapeframe-")
-        context.setCheckpointDir(base)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tapeframe-")
+        base = _local_folders[context.applicationId]
     folder = f"{base.rstrip('/')}/tapeframe-{context.applicationId}"
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
 
 
-def cut_lineage(df: DataFrame, rows: int | None = None, each: int = TASK_ROWS) -> DataFrame:
-    """df written to the shared folder as a table and read again.
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for cut_lineage that is deleted at the end: for tables that no result reads any more."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None, each: int = TASK_ROWS, folder: str | None = None) -> DataFrame:
+    """df written to the shared folder (or one below it) as a table and read again.
 
-    rows: a bound on df's rows, where one is known; then as many tasks write it as have
-    `each` rows, so that small tables are not dealt over a large cluster's partitions.
+    rows: a bound on df's rows, where one is known and a row is a few numbers; then as many
+    tasks write it as have `each` rows, so that small tables are not dealt over a large
+    cluster's partitions. It also shrinks the stage that makes df: not for texts.
 
     It survives lost executors, and its size is known: a checkpointed DataFrame keeps the size
     that was estimated for its plan, and those of a loop's joins multiply without end.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // each)))
     df.write.parquet(path)
@@ -76,16 +99,19 @@ def cut_lineage(df: DataFrame, rows: int | None = None, each: int = TASK_ROWS) -
 
 
 @contextmanager
-def plain_plans(spark: SparkSession) -> Iterator[None]:
-    """Plans without inferred constraints, for loops: those of checkpointed tables pile up over
-    the iterations until planning takes longer than the work."""
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def settings(spark: SparkSession, **values: object) -> Iterator[None]:
+    """Session settings (__ for a dot) while the block runs; what it computes must be written in it."""
+    before = {k.replace("__", "."): spark.conf.get(k.replace("__", "."), None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k.replace("__", "."), str(v).lower() if isinstance(v, bool) else str(v))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

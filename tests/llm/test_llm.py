@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small fixtures with edge cases."""
 
+import bisect
 import collections
 import hashlib
 import random
@@ -231,91 +232,150 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    r, rows = random.Random(11), []
-    for g in range(25):
+def occurrences(text):
+    """The shingles of a text in order, each with the number of its occurrence."""
+    w, seen, out = WORD.findall(text.translate(LOWER)), collections.Counter(), []
+    for i in range(max(1, len(w) - 4) if w else 0):
+        shingle = tuple(w[i : i + 5])
+        out.append((shingle, seen[shingle]))
+        seen[shingle] += 1
+    return out
+
+
+def similarity(x, y):
+    """|longest common subsequence| / |union| of two lists without repeats."""
+    at, tails = {s: k for k, s in enumerate(y)}, []
+    for s in x:
+        if s in at:
+            k = bisect.bisect_left(tails, at[s])
+            tails[k : k + 1] = [at[s]]
+    return len(tails) / (len(x) + len(y) - len(tails))
+
+
+def classes_of(texts):
+    """The index of the first text of each text's class, by comparing all pairs."""
+    said, label = [occurrences(t) for t in texts], list(range(len(texts)))
+    words = [WORD.findall(t.translate(LOWER)) or t for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and (words[a] == words[b] or (said[a] and said[b] and similarity(said[a], said[b]) >= 0.8)):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def assert_classes(spark, said):
+    """near_duplicates against all pairs; doc_ids are the texts' places."""
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(4)
+    label = classes_of([t or "" for t in said])
+    rows = near_dedup.near_duplicates(df).collect()
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(label)) and len(rows) == len(said)
+    assert {r.doc_id for r in rows if r.kept} == set(label)
+    assert len({r.class_key for r in rows}) == len(set(label))
+    return label
+
+
+def edited(r, words, most):
+    words = list(words)
+    for _ in range(r.randint(0, most)):
+        at = r.randrange(len(words))
+        words[at : at + 1] = r.choice([[f"edit{r.randrange(10**6)}"], [], [words[at], f"more{r.randrange(99)}"]])
+    return " ".join(words)
+
+
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    """Small groups, a large group of edited copies, swapped halves, repeated passages, texts that share one passage."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    r, said = random.Random(11), []
+    for g in range(12):
         base = prose(1000 + g, 150).split()
-        for k in range(12):
-            words = list(base)
-            for _ in range(r.choice([0, 0, 1, 2, 3, 4, 6, 9])):
-                words[r.randrange(len(words))] = f"edit{r.randrange(10**6)}"
-            rows.append((len(rows), " ".join(words)))
-    rows += [(1000, ""), (1001, None), (1002, "!!"), (1003, "!!"), (1004, "One two"), (1005, "one, TWO")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    sets = {k: shingles(t or "") for k, t in rows}
-    parent = {k: k for k in sets}
-
-    def root(k):
-        while parent[k] != k:
-            k = parent[k]
-        return k
-
-    keys = sorted(sets)
-    for a in keys:
-        for b in keys:
-            same = (rows and sets[a] == sets[b]) if sets[a] or sets[b] else dict(rows)[a] == dict(rows)[b] or not (dict(rows)[a] or dict(rows)[b])
-            if a < b and (same or (sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
-    assert got == {k: root(k) for k in keys}
-    kept = {r.doc_id for r in near_dedup.keep(df).collect()}
-    assert kept == {k for k in keys if root(k) == k}
-
-
-def test_links_of_drifting_chains_in_one_bucket(spark):
-    """Chains in which only neighbours are similar, and families of edited copies, all members of one bucket."""
+        said += [edited(r, base, 9) for _ in range(10)]
+    hot = prose(2000, 200).split()
+    said += [edited(r, hot, 12) for _ in range(120)]
+    said += [" ".join(hot[100:] + hot[:100]), " ".join(hot * 2), " ".join(hot * 3), " ".join(hot[:170]), " ".join(hot[:150])]
+    passage = prose(2001, 80)
+    said += [f"{prose(3000 + k, k)} {passage} {prose(4000 + k, 7)}" for k in range(2, 40)]
+    said += ["", None, "!!", "!!", "One two", "one, TWO", "one two three four five six seven", "one two three four five six seven eight"]
+    label = assert_classes(spark, said)
+    assert label[240] == 240 and label[241] == 241, "neither swapped halves nor a text twice is a near copy"
+
+
+def test_links_of_drifting_chains_and_families(spark, monkeypatch):
+    """Chains in which only neighbours are similar, and families of edited copies with passages in common."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
     r, said = random.Random(5), []
     for g in range(3):
         words = prose(7000 + g, 1600).split()
         said += [" ".join(words[at : at + 104]) for at in range(0, 1400, 10) if g == 0 or r.random() < 0.93]
         for _ in range(25):
             at = r.randrange(1200)
-            edited = words[at : at + 104]
-            for _ in range(r.randint(0, 4)):
-                edited[r.randrange(104)] = f"edit{r.randrange(10**6)}"
-            said.append(" ".join(edited))
+            said.append(edited(r, words[at : at + 104], 4))
     r.shuffle(said)
-    df = spark.createDataFrame(list(enumerate(said)), "id long, text string")
-    members = near_dedup.rarities(df, len(said)).select(F.lit(1).cast("long").alias("bucket"), "id", "size", "own")
-    sets, label = [shingles(t) for t in said], list(range(len(said)))
-    for a in range(len(said)):
-        for b in range(a):
-            if label[a] != label[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
-                low, high = sorted((label[a], label[b]))
-                label = [low if x == high else x for x in label]
-    with near_dedup.plain_plans(spark):
-        got = {x.node: x.label for x in near_dedup.components(near_dedup.linked(members, df)).collect()}
-    assert [got.get(k, k) for k in range(len(said))] == label and 3 < len(set(label)) < len(said) / 4
-
-
-def test_members_of_a_hubs_component_stay_until_compared(spark):
-    """The chain h-x-n is linked in bucket 1; in bucket 2 n is in h's component but not near h, and m is similar to n only."""
-    part = F.pmod(F.xxhash64("id"), F.lit(near_dedup.HUB_GROWTH))
-    h, n, m = sorted(x.id for x in spark.range(10, 200).filter(part == 0).limit(3).collect())
-    words = prose(8000, 300).split()
-    said = {0: prose(8001, 104), 1: " ".join(words[10:114]), h: " ".join(words[:104]), n: " ".join(words[20:124]), m: " ".join(words[30:134])}
-    df = spark.createDataFrame(list(said.items()), "id long, text string")
-    members = spark.createDataFrame([(b, k, 100, 0) for b, ids in ((1, (1, h, n)), (2, (0, h, n, m))) for k in ids], "bucket long, id long, size long, own long")
-    with near_dedup.plain_plans(spark):
-        got = {x.node: x.label for x in near_dedup.components(near_dedup.linked(members, df)).collect()}
-    assert got == {1: 1, h: 1, n: 1, m: 1}
+    label = assert_classes(spark, said)
+    assert 3 < len(set(label)) < len(said) / 3
+
+
+def test_possible_links_of_one_bucket_lose_none(spark, monkeypatch):
+    """All members in one bucket, many blocks: what the bitmaps leave has every link, once."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    r, said = random.Random(6), []
+    for g in range(4):
+        base = prose(7500 + g, r.choice([30, 120, 700])).split()
+        said += [edited(r, base, len(base) // 12) for _ in range(20)]
+    marked = near_dedup.sketches(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"))
+    marks = marked.select(F.col("doc_id").alias("node"), "n", "bits", F.array(F.lit(7).cast("long")).alias("sketch")).cache()
+    members = marks.select(F.lit(7).cast("long").alias("bucket"), "node", F.col("node").alias("label"))
+    got = [(x.a, x.b) for x in near_dedup.possible_links(members, marks, True, near_dedup.cut_lineage).collect()]
+    sets = [set(occurrences(t)) for t in said]
+    links = {(a, b) for a in range(80) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) and links <= set(got) and len(got) < 2 * len(links) + 40
+    some = [(x.a, x.b) for x in near_dedup.possible_links(members, marks, False, near_dedup.cut_lineage).collect()]
+    assert len(some) <= 2 * 80 * 10 and set(some) <= set(got)
+    one = near_dedup.possible_links(members.withColumn("label", F.lit(1).cast("long")), marks, True, near_dedup.cut_lineage)
+    assert one.isEmpty(), "members of one component are not compared"
+
+
+def test_rows_of_one_id_and_of_none_are_documents(spark):
+    """Unlike texts under one id stay, equal rows leave one, rows without an id have classes."""
+    a, b, c = prose(1, 100), prose(2, 100), prose(3, 100)
+    rows = [(3, a, "x"), (3, b, "y"), (3, b, "a"), (3, b, "a"), (None, c, None), (None, c + " end", "z"), (4, a + " end", "x"), (None, "", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
+    found = near_dedup.near_duplicates(df).collect()
+    assert len(found) == len(rows) and len({r.class_key for r in found}) == 4
+    kept = sorted((r.doc_id, r.text or "", r.kept) for r in near_dedup.keep(df).collect() if r.doc_id)
+    assert kept == [(3, a, "x"), (3, b, "a")] or kept == sorted([(3, a, "x"), (3, b, "a")], key=lambda k: k[1])
+    assert sorted((r.text or "")[:5] for r in near_dedup.keep(df).collect() if not r.doc_id) == ["", c[:5]]
 
 
 def test_aligned_comparison():
-    h = lambda t: near_dedup.shingled(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[2]
-    a = prose(5, 200)
-    assert near_dedup.compared(h(a), h(a)) == (1.0, 1.0)
-    half = len(a.split()) // 2
-    moved = " ".join(a.split()[half:] + a.split()[:half])
-    aligned, jaccard = near_dedup.compared(h(a), h(moved))
-    assert aligned < 0.6 < 0.9 < jaccard
+    def marks(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return near_dedup.labelled(near_dedup.shingled(*near_dedup.worded(data, np.array([0, len(data)])))[0])
+
+    r = random.Random(9)
+    for k in range(200):
+        base = prose(k, r.randint(1, 60)).split()
+        x, y = edited(r, base, 6), edited(r, base, 6)
+        if k % 3 == 0:
+            cut = len(base) // 2
+            y = " ".join(base[cut:] + base[:cut])
+        if not (x.split() and y.split()):
+            continue
+        want, got = similarity(occurrences(x), occurrences(y)), near_dedup.aligned(marks(x), marks(y))
+        assert got <= want + 1e-12 and (want < 0.8 or got == want)
+        a, b = (np.frombuffer(near_dedup.parities(marks(t)), np.uint64) for t in (x, y))
+        if len(a) == len(b):
+            assert np.bitwise_count(a ^ b).sum() <= len(set(occurrences(x)) ^ set(occurrences(y)))
 
 
 def test_components(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(100, 90), (90, 95)], "a long, b long")
-    got = {r.node: r.label for r in near_dedup.components(links).collect()}
+    found = near_dedup.components(links, near_dedup.cut_lineage)
+    got = {r.node: r.label for r in found.collect()}
     assert got == {k: 0 for k in range(41)} | {100: 90, 90: 90, 95: 90}
+    more = spark.createDataFrame([(95, 20), (200, 201), (201, 202)], "a long, b long")
+    got = {r.node: r.label for r in near_dedup.merged(found, more, near_dedup.cut_lineage).collect()}
+    assert got == {k: 0 for k in [*range(41), 90, 95, 100]} | {200: 200, 201: 200, 202: 200}
 
 
 def test_fingerprints(spark, sf01):
