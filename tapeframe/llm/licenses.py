@@ -3,7 +3,8 @@
 A text's words are runs of letters, digits and non-ASCII characters, A-Z lowered.
 A keyword prefilter drops the texts that no rule can match. In the others every
 place whose word can begin a signature is a spot; a spot's context is the next
-CONTEXT words. Rules whose first word and keyword occur there are tried as
+CONTEXT words, as many as the longest signature has. The prefilter, the first words
+and CONTEXT are read from the rules' regexes. Rules whose first word and keyword occur there are tried as
 anchored regexes. A detection goes if one of higher priority (then longer, then
 earlier in the rule order) contains its interval. Since a match is no longer than
 a context, only spots at most CONTEXT places back can contain one, so the work is
@@ -14,12 +15,13 @@ Null texts have no words. Repeated rows are scanned each for itself.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeframe.llm.common import quoted, text_or_empty, without
-
-CONTEXT = 24
+from tapeframe.llm.license_rules import longest, openings, required, rules
 
 # The base phrases and their labels.
 BASE = {
@@ -29,108 +31,28 @@ BASE = {
     "mit license": "mit",
 }
 
-# Label, keyword that must occur, regex of the licence's name over words.
-NAMES = [
-    ("gpl", "gnu", r"gnu (?:general public licen[cs]e|gpl)"),
-    ("gpl", "gpl", r"gpl(?: ?v?[123](?: 0)?)?"),
-    ("lgpl", "gnu", r"gnu (?:lesser|library) general public licen[cs]e"),
-    ("lgpl", "lgpl", r"lgpl(?: ?v?[23](?: [01])?)?"),
-    ("agpl", "gnu", r"gnu affero general public licen[cs]e"),
-    ("agpl", "agpl", r"agpl(?: ?v?3(?: 0)?)?"),
-    ("gfdl", "gnu", r"gnu free documentation licen[cs]e"),
-    ("apache", "apache", r"apache(?: software)? licen[cs]e"),
-    ("mit", "mit", r"mit(?: x11)? licen[cs]e"),
-    ("mit", "x11", r"x11 licen[cs]e"),
-    ("isc", "isc", r"isc licen[cs]e"),
-    ("bsd", "bsd", r"(?:new |modified |simplified |revised )?bsd(?: [0234] clause)?(?: style)? licen[cs]e"),
-    ("bsd", "clause", r"[234] clause bsd(?: licen[cs]e)?"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e"),
-    ("mpl", "mpl", r"mpl(?: 2(?: 0)?)?"),
-    ("epl", "eclipse", r"eclipse public licen[cs]e"),
-    ("cddl", "common", r"common development and distribution licen[cs]e"),
-    ("cpl", "common", r"common public licen[cs]e"),
-    ("artistic", "artistic", r"artistic licen[cs]e"),
-    ("boost", "boost", r"boost software licen[cs]e"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("unlicense", "unlicense", r"unlicense"),
-    ("ofl", "font", r"(?:sil )?open font licen[cs]e"),
-    ("eupl", "european", r"european union public licen[cs]e"),
-    ("odbl", "database", r"open database licen[cs]e"),
-    ("psf", "python", r"python software foundation licen[cs]e"),
-    ("php", "php", r"php licen[cs]e"),
-    ("ncsa", "ncsa", r"university of illinois ncsa open source licen[cs]e"),
-    ("ms-pl", "microsoft", r"microsoft public licen[cs]e"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e"),
-    ("openssl", "openssl", r"openssl licen[cs]e"),
-    ("bsl", "business", r"business source licen[cs]e"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc0", "cc", r"cc (?:0|zero)"),
-    ("cc-by", "cc", r"cc by"),
-    ("cc-by-sa", "cc", r"cc by sa"),
-    ("cc-by-nd", "cc", r"cc by nd"),
-    ("cc-by-nc", "cc", r"cc by nc"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa"),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd"),
-    ("cc-by", "commons", r"creative commons attribution"),
-    ("cc-by-sa", "commons", r"creative commons attribution share ?alike"),
-    ("cc-by-nc", "commons", r"creative commons attribution non ?commercial"),
-    ("cc", "commons", r"creative commons"),
-]
-
-# Priority, confidence, regex around a name ({} stands for it).
-FORMS = [
-    (70, 0.99, r"spdx licen[cs]e identifier {}(?: [0-9]+(?: [0-9]+)*)?(?: only| or later)?"),
-    (60, 0.97, r"(?:licensed|licenced|released|distributed|available|published|provided|redistributed) under (?:the |a |an )?(?:terms of (?:the |a )?)?{}(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)*| [0-9]+(?: [0-9]+)+)?(?: or later| or any later version)?(?: licen[cs]e)?"),
-    (50, 0.95, r"(?:subject to|under|governed by|covered by) (?:the |a |an )?(?:terms (?:and conditions )?of (?:the |a )?)?{}(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)*| [0-9]+(?: [0-9]+)+)?(?: licen[cs]e)?"),
-    (45, 0.92, r"licen[cs]e (?:is |are )?(?:the )?{}"),
-    (40, 0.90, r"{} v(?:ersion)? ?[0-9]+(?: [0-9]+)*(?: or later| or any later version)?"),
-    (35, 0.88, r"{} [0-9]+ [0-9]+(?: international| unported| generic)?(?: licen[cs]e)?"),
-    (30, 0.80, r"{}"),
-]
-
-# Label, keyword, priority, confidence, regex, for notices that name no licence.
-NOTICES = [
-    ("all-rights-reserved", "reserved", 55, 0.90, r"(?:copyright (?:c )?(?:[0-9]{4} )?(?:[^ ]+ ){0,4})?all rights reserved"),
-    ("all-rights-reserved", "reserved", 25, 0.60, r"rights reserved"),
-    ("copyright", "copyright", 20, 0.50, r"copyright (?:c )?[0-9]{4}"),
-    ("copyright", "copyright", 15, 0.40, r"copyright c"),
-    ("public-domain", "domain", 55, 0.85, r"(?:released|dedicated|placed|published) (?:in|into|to) the public domain"),
-    ("public-domain", "domain", 25, 0.60, r"public domain"),
-    ("proprietary", "proprietary", 50, 0.80, r"proprietary and confidential"),
-    ("proprietary", "licence", 30, 0.60, r"end user licence agreement"),
-    ("proprietary", "license", 30, 0.60, r"end user license agreement"),
-    ("gpl", "gnu", 60, 0.97, r"(?:redistribute it and or modify it )?under the terms of the gnu general public licen[cs]e(?: as published by the free software foundation)?"),
-    ("mit", "permission", 65, 0.95, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", "redistribution", 65, 0.95, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", "permission", 65, 0.95, r"permission to use copy modify and or distribute this software for any purpose"),
-    ("wtfpl", "fuck", 60, 0.95, r"do what the fuck you want to public licen[cs]e"),
-]
-
-
-def rules() -> list[tuple[str, str, int, float, str, str]]:
-    """All rules in order: label, keyword, priority, confidence, regex, name."""
-    out = []
-    for label, keyword, name in NAMES:
-        for k, (priority, confidence, form) in enumerate(FORMS):
-            out.append((label, keyword, priority, confidence, form.replace("{}", f"(?:{name})"), f"{label}/{keyword}/{k}"))
-    for k, (label, keyword, priority, confidence, regex) in enumerate(NOTICES):
-        out.append((label, keyword, priority, confidence, regex, f"{label}/notice/{k}"))
-    return out
-
-
-#: Words that can begin a signature.
-FIRST = (
-    "2 3 4 agpl agpl3 all apache artistic available boost bsd business cc cc0 common copyright covered creative dedicated distributed do eclipse end european gnu governed gpl gpl1 gpl2 gpl3 gplv1 gplv2 gplv3 isc lgpl "
-    "lgpl2 lgpl3 lgplv2 lgplv3 agplv3 licence licenced license licensed microsoft mit modified mozilla mpl new open openssl permission php placed postgresql proprietary provided public published python "
-    "redistribute redistributed redistribution released revised rights sil simplified spdx subject under university unlicense wtfpl x11 zlib"
-).split()
+#: Words of the longest signature, and the words that can begin one.
+CONTEXT = max(longest(regex) for *_, regex in rules())
+FIRST = sorted(frozenset().union(*[openings(regex) for *_, regex in rules()]))
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _NOT_WORD = rf"{_SEPARATOR}+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Texts without a match have no base phrase and no signature. Every rule needs one of these.
-PREFILTER = rf"(?i)licen[cs]|gpl|mpl|wtfpl|cc0|reserved|copyright|domain|commons|clause|proprietary|permission|redistribution|(?:^|{_SEPARATOR})cc{_NOT_WORD}(?:by|0|zero)"
+
+
+def gates() -> list[str]:
+    """Every base phrase and every signature has one of these, from the beginning of a word."""
+    literal = [(keyword, required(regex)) for _, keyword, _, _, regex in rules()] + [(phrase, (phrase,)) for phrase in BASE]
+    return sorted({"licen" if any(" licen" in run for run in runs) else keyword for keyword, runs in literal})
+
+
+def _prefilter() -> str:
+    """The gates as a regex on the text itself."""
+    found = [_NOT_WORD.join(re.escape(w) for w in gate.split()) for gate in gates()]
+    return rf"(?i)(?:^|{_SEPARATOR})(?:{'|'.join(found)})"
+
+
+PREFILTER = _prefilter()
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -143,7 +65,8 @@ def _phrase_at(phrase: str) -> str:
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, n_base, first_word, last_word, base_labels, labels, score and detections.
 
-    detections: array of (start, n, priority, confidence, label, rule), start and n in words.
+    detections: array of (start, n, priority, confidence, label, rule), start and n in words,
+    rule the rule's place in the order.
     """
     own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "__words", "__rules", "__base", "__spots"]
     df = without(df, own)
@@ -152,8 +75,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     words = F.when(source.rlike(PREFILTER), F.filter(F.split(spaced, " "), lambda w: w != ""))
     table = F.array(
         *[
-            F.struct(F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(f"^(?:{regex})(?= |$)").alias("regex"), F.lit(rule).alias("rule"), F.lit(k).alias("place"))
-            for k, (label, keyword, priority, confidence, regex, rule) in enumerate(rules())
+            F.struct(F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(f"^(?:{regex})(?= |$)").alias("regex"), F.lit(k).alias("rule"))
+            for k, (label, keyword, priority, confidence, regex) in enumerate(rules())
         ]
     )
     firsts = ", ".join(f"'{w}'" for w in FIRST)
@@ -163,9 +86,9 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     spots = f"filter(transform(__words, (w, i) -> case when w in ({firsts}) then named_struct('at', i, 'said', array_join(slice(__words, i + 1, {CONTEXT}), ' ')) end), s -> s is not null)"
     tried = """transform(filter(__rules, r -> contains(s.said, r.keyword)), r -> named_struct('start', s.at, 'found', regexp_extract(s.said, r.regex, 0), 'rule', r))"""
     found = """transform(filter({tried}, d -> d.found != ''), d -> named_struct('start', d.start, 'n', size(split(d.found, ' ')), 'priority', d.rule.priority,
-        'confidence', d.rule.confidence, 'label', d.rule.label, 'rule', d.rule.rule, 'place', d.rule.place))""".format(tried=tried)
+        'confidence', d.rule.confidence, 'label', d.rule.label, 'rule', d.rule.rule))""".format(tried=tried)
     out = out.withColumn("__spots", F.expr(f"transform({spots}, s -> {found})"))
-    stronger = "(e.priority > d.priority or (e.priority = d.priority and (e.n > d.n or (e.n = d.n and e.start = d.start and e.place < d.place))))"
+    stronger = "(e.priority > d.priority or (e.priority = d.priority and (e.n > d.n or (e.n = d.n and e.start = d.start and e.rule < d.rule))))"
     contains = "e.start <= d.start and e.start + e.n >= d.start + d.n"
     near = f"flatten(slice(__spots, greatest(k - {CONTEXT}, 0) + 1, {CONTEXT} + 1))"
     out = out.withColumn("detections", F.expr(f"coalesce(flatten(transform(__spots, (ds, k) -> filter(ds, d -> not exists({near}, e -> {contains} and {stronger})))), array())"))
