@@ -5,11 +5,18 @@ numbers, go into mergeable quantile sketches, one per language, source and
 measure: counts of log-linear bins (exact below 64, then 32 bins for each power
 of two, so a quantile is off by at most 1/32 of its value). Sketches merge by
 adding counts, so partial aggregation merges them before the shuffle and the
-hot source costs no more than the others. The thresholds read from the sketches
-replace fixed cutoffs; a join of measures and thresholds gives the verdicts.
+hot source costs no more than the others; those of small groups are merged with
+their language's, or with all.
+
+No cutoff is fixed. A rate's limit in a group is its upper quartile and REACH times
+the quartiles' distance, and what chance alone may add in a text of the group's
+median length: a few occurrences for counts (RULES), three standard errors for the
+mean word length. A join of measures and limits gives the verdicts.
 
 Words are runs of anything but ASCII white space, lines are split by \\n. Null
-texts are empty; null languages and sources are values of their own.
+texts are empty; null languages and sources are values of their own. Repeated rows
+are judged each for itself, and each counts in the sketches. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -30,12 +37,19 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 #: Base rules: fewest words, most repeated words in percent.
 MIN_WORDS, MAX_REPEATED = 20, 30
 
-#: Adaptive rules. A document fails where its rate (per 10,000 words, or lines) is above
-#: upper quartile + SPREAD * (upper quartile - median) + the margin given here, which alone
-#: is left where most texts of the group have none (a text of three lines may repeat one).
-RULES = {"symbol_rate": 200, "pipe_rate": 200, "dup_line_rate": 3500, "repeat_rate": 3000, "long_words": 2000}
-SPREAD = 8
-QUANTILES = (0.5, 0.75)
+#: Adaptive rules: rate (per 10,000), what it counts, of what, and the occurrences that are no pattern yet.
+#: A repeated window of eight words is 16 repeated words.
+RULES = {
+    "symbol_rate": ("n_symbols", "n_words", 3),
+    "pipe_rate": ("n_pipes", "n_words", 3),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 2),
+    "repeat_rate": ("n_repeat_words", "n_words", 48),
+    "word_length": ("word_chars", "n_words", None),
+}
+#: Quartiles' distances above the upper quartile, and the quantiles read.
+REACH, QUANTILES = 3, (0.25, 0.5, 0.75)
+#: Groups of fewer documents take their language's limits, and those of all where that has fewer too.
+LEAST_GROUP = 30
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -114,15 +128,8 @@ def with_measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFr
 
 def rates(prefix: str = "") -> dict[str, Column]:
     """The scaled measures that have adaptive thresholds, as whole numbers."""
-    c = lambda name: quoted(prefix + name)
-    per = lambda name, of: F.floor(c(name) * 10_000 / F.greatest(c(of), F.lit(1)))
-    return {
-        "symbol_rate": per("n_symbols", "n_words"),
-        "pipe_rate": per("n_pipes", "n_words"),
-        "dup_line_rate": per("n_dup_lines", "n_lines"),
-        "repeat_rate": per("n_repeat_words", "n_words"),
-        "long_words": per("word_chars", "n_words"),
-    }
+    per = lambda name, of: F.floor(quoted(prefix + name) * 10_000 / F.greatest(quoted(prefix + of), F.lit(1)))
+    return {rate: per(name, of) for rate, (name, of, _) in RULES.items()}
 
 
 def bin_of(value: Column) -> Column:
@@ -153,25 +160,60 @@ def quantiles(sketch: DataFrame, keys: list[str], at: tuple[float, ...]) -> Data
     return grouped.select(*map(quoted, keys), "measure", *[bin_top(F.col(f"__q{i}")).alias(f"q{i}") for i in range(len(at))])
 
 
+def _limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_docs and most_<rate> of each group of a sketch."""
+    found = quantiles(sketch, keys, QUANTILES)
+    counted_in = sketch.filter("measure = 'n_words'").groupBy(*map(quoted, keys)).agg(F.sum("n").alias("n_docs"))
+    q = lambda measure, k: F.max(F.when(F.col("measure") == measure, F.col(f"q{k}")))
+    limits = []
+    for rate, (_, of, few) in RULES.items():
+        length = F.greatest(q(of, 1), F.lit(1))
+        # half its mean is a usual deviation of a word's length
+        chance = F.floor(few * 10_000 / length) if few else F.floor(1.5 * q(rate, 1) / F.sqrt(length))
+        limits.append((q(rate, 2) + REACH * (q(rate, 2) - q(rate, 0)) + chance).cast("long").alias(f"most_{rate}"))
+    wide = found.groupBy(*map(quoted, keys)).agg(*limits)
+    return _null_safe(wide, counted_in, keys)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left and right joined on keys that may be null; the keys are left's."""
+    renamed = right.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[quoted(c) for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & quoted(k).eqNullSafe(F.col(f"__k{i}"))
+    return left.join(renamed, on, how).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def thresholds(measures: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
-    """One row per group: keys and most_<rate>, the largest rate that passes."""
-    found = quantiles(sketches(measures, keys, rates(prefix)), keys, QUANTILES)
-    margin = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])[F.col("measure")]
-    limit = F.col("q1") + SPREAD * (F.col("q1") - F.col("q0")) + margin.cast("long")
-    return found.groupBy(*map(quoted, keys)).agg(*[F.max(F.when(F.col("measure") == r, limit)).alias(f"most_{r}") for r in RULES])
+    """One row per group: keys and most_<rate>, the largest rate that passes.
+
+    keys: from the most general to the most special; a group of fewer than LEAST_GROUP
+    documents has the limits of the group above.
+    """
+    values = rates(prefix) | {c: quoted(prefix + c) for c in ("n_words", "n_lines")}
+    sketch = cut_lineage(sketches(measures, keys, values))
+    names = [f"most_{r}" for r in RULES]
+    out = sketch.select(*map(quoted, keys)).distinct()
+    for depth in range(len(keys) + 1):
+        upper = sketch.groupBy(*map(quoted, keys[:depth]), "measure", "bin").agg(F.sum("n").alias("n"))
+        limits = _limits(upper, keys[:depth])
+        if depth:
+            limits = limits.filter(F.col("n_docs") >= LEAST_GROUP)
+        out = _null_safe(out, limits.select(*map(quoted, keys[:depth]), *[F.col(c).alias(f"{c}_{depth}") for c in names]), keys[:depth], "left")
+    return out.select(*map(quoted, keys), *[F.coalesce(*[F.col(f"{c}_{d}") for d in range(len(keys), -1, -1)]).alias(c) for c in names])
 
 
 def verdicts(measures: DataFrame, limits: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
     """measures with base_failed, rules_failed (names, comma-joined) and kept."""
-    renamed = limits.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[f"most_{r}" for r in RULES])
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & quoted(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = measures.join(renamed, on, "left")
-    broken = F.concat_ws(",", *[F.when(rate > F.col(f"most_{r}"), F.lit(r)) for r, rate in rates(prefix).items()])
+    joined = _null_safe(measures, limits, keys, "left")
+    broken = []
+    for r, rate in rates(prefix).items():
+        name, _, few = RULES[r]
+        above = rate > F.col(f"most_{r}")
+        broken.append(F.when(above & (quoted(prefix + name) > few) if few else above, F.lit(r)))
     base = (quoted(prefix + "n_words") < MIN_WORDS) | (100 * quoted(prefix + "n_repeat_words") > MAX_REPEATED * quoted(prefix + "n_words"))
-    out = joined.withColumn(prefix + "rules_failed", broken).withColumn(prefix + "base_failed", base)
-    return out.withColumn(prefix + "kept", ~quoted(prefix + "base_failed") & (quoted(prefix + "rules_failed") == "")).drop(*[f"__k{i}" for i in range(len(keys))], *[f"most_{r}" for r in RULES])
+    out = joined.withColumn(prefix + "rules_failed", F.concat_ws(",", *broken)).withColumn(prefix + "base_failed", base)
+    return out.withColumn(prefix + "kept", ~quoted(prefix + "base_failed") & (quoted(prefix + "rules_failed") == "")).drop(*[f"most_{r}" for r in RULES])
 
 
 def judge(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -186,7 +228,7 @@ def judge(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The rows of df that judge() keeps, with df's columns."""
+    """The rows of df that judge() keeps, with df's columns. Texts are measured twice, so as not to be written."""
     keys, own = ["lang", "source"], "__quality_"
     measured_rows = with_measures(df, prefix=own)
     limits = cut_lineage(thresholds(with_measures(df.select(*keys, "text"), prefix=own).drop("text"), keys, own))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import bpe, chat, fingerprints, language_id, licenses, mixing, near_dedup, quality_rules, toxicity, weak_labels
+from tapeframe.llm import bpe, chat, fingerprints, language_id, licenses, mixing, near_dedup, oracles, quality_rules, toxicity, weak_labels
 from tapeframe.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_licenses that SQL can express."""
+    return op1_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and raw bytes of every document, as digests."""
     import public_tokenizers
@@ -65,8 +70,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_bpe, op3_language_id, op4_quality_classifier, op5_fingerprints, op6_mixing, op7_toxicity, op8_quality_rules, op9_chat, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_licenses, op2_bpe, op3_language_id, op4_quality_classifier, op5_fingerprints, op6_mixing, op7_toxicity, op8_quality_rules, op9_chat, op10_near_dedup, licenses_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL.format(documents="documents")}
+    return {"op6_mixing": mixing.SQL.format(documents="documents"), "op8_quality_rules": oracles.QUALITY_RULES, "op9_chat": oracles.CHAT, "licenses_base": oracles.LICENSES_BASE}
