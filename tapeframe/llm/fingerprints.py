@@ -7,7 +7,8 @@ to the fingerprint of the whole, and two of them estimate resemblance, containme
 and the number of distinct shingles; they are exact where a text has at most K.
 
 Likeness of two texts without words is 1, of one with and one without 0. Null texts
-are empty texts.
+are empty texts. Rows of one doc_id follow each other by text, equal ones in any order.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeframe.llm.common import SLICE_BYTES, appended, fields, quoted, slices, strings, text_or_empty, without
-from tapeframe.llm.near_dedup import shingled
+from tapeframe.llm.near_dedup import shingled, worded
 
 K = 128
+#: Text of a part that neighbours are looked for in, and most parts.
+PART_BYTES, MOST_PARTS = 32 << 20, 1 << 16
 
 
 def bottom(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -75,7 +78,7 @@ def unpacked(sketch: bytes) -> np.ndarray:
 
 
 def _sketches(column: pa.Array, k: int) -> list[np.ndarray]:
-    _, _, grams, at = shingled(*strings(column))
+    grams, at = shingled(*worded(*strings(column)))
     return [bottom(grams[a:b], k) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
@@ -101,25 +104,44 @@ def merge(df: DataFrame, keys: list[str], sketch: str = "fingerprint", k: int =
 # ---------------------------------------------------------------- neighbours in the order of ids
 
 
-def with_next(df: DataFrame, parts: int) -> DataFrame:
+def _constant(values: list[int]) -> Column:
+    """An array of longs as one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are not above key, by two looks at about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    rows = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    upto = lambda row: F.size(F.filter(row, lambda b: b <= key))
+    table = F.split(F.lit(";".join(",".join(map(str, r)) for r in rows)), ";")
+    row = F.greatest(upto(_constant([r[0] for r in rows])) - 1, F.lit(0))
+    return row * step + upto(F.split(F.get(table, row), ",").cast("array<bigint>"))
+
+
+def with_next(df: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Rows (part, halo, doc_id, text), dealt so that each partition holds runs of the descending order.
 
-    A part is a range of ids; each part also gets, marked halo, the rows of the id that
-    follows its last one (after the lowest id: the highest), so no row looks beyond its part.
+    A part is a range of ids of about part_bytes of text, MOST_PARTS at most; each part also
+    gets, marked halo, the rows of the id that follows its last one (after the lowest id: the
+    highest), so no row looks beyond its part.
     """
     rows = df.select(quoted("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     lowest = -(2**63)
-    ids = rows.select(F.coalesce("doc_id", F.lit(lowest)).alias("k"))
-    bounds = sorted(set(map(int, ids.approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)))) if parts > 1 else []
     key = F.coalesce("doc_id", F.lit(lowest))
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
+    parts = min(max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)), MOST_PARTS)
+    bounds = sorted(set(map(int, rows.select(key.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)))) if parts > 1 else []
+    part = _place(key, bounds)
     heads = {r.part: r.head for r in rows.groupBy(part.alias("part")).agg(F.max(key).alias("head")).collect()}  # a row a part
     used = sorted(heads)
-    follows = {heads[used[k - 1]]: used[k] for k in range(len(used))}  # the part below; the lowest part gets the highest id
-    halo = F.element_at(F.create_map(*[F.lit(x) for pair in follows.items() for x in pair]), key) if follows else F.lit(None).cast("int")
+    above = {used[k - 1]: used[k] for k in range(len(used))}  # a part's head follows the part above it; the highest id follows the lowest part
+    every = range(len(bounds) + 1)
+    halo = F.when(key == F.get(_constant([heads.get(p, lowest) for p in every]), part), F.get(_constant([above.get(p, 0) for p in every]), part).cast("int"))
     places = F.explode(F.array_compact(F.array(F.struct(part.alias("part"), F.lit(0).alias("halo")), F.when(halo.isNotNull(), F.struct(halo.alias("part"), F.lit(1).alias("halo"))))))
     dealt = rows.select(places.alias("at"), "doc_id", "text").select("at.part", "at.halo", "doc_id", "text")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
+    return dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
 
 
 NEIGHBOURS = T.StructType(
@@ -147,7 +169,6 @@ def neighbours(df: DataFrame, k: int = K) -> DataFrame:
     The next document is the next row in the order of descending doc_id (null last), then
     text; after the last comes the first. A single row is its own next.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row before: part, halo, id, text, sketch
@@ -181,7 +202,7 @@ def neighbours(df: DataFrame, k: int = K) -> DataFrame:
         if out:
             yield flush()
 
-    return with_next(df, parts).mapInArrow(run, NEIGHBOURS)
+    return with_next(df).mapInArrow(run, NEIGHBOURS)
 
 
 def report(df: DataFrame) -> DataFrame:
