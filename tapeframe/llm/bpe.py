@@ -52,7 +52,7 @@ class Coder:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self._encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})._core_bpe.encode_ordinary
+        self._encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         size = max(table.values(), default=-1) + 1
         tokens = [b""] * size
         for token, rank in table.items():

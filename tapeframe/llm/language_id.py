@@ -12,12 +12,14 @@ taken out of its host's prior. Sums are aggregated before they are shuffled, so
 with a third of all pages is one row like any other.
 
 A null text or address, and a declaration of no known language, is no evidence. With
-no evidence at all a page gets its host's most likely language. Without labelled
-documents the result has no rows, as there are no languages.
+no evidence at all a page gets its host's most likely language. Repeated pages are
+identified alike, and each counts in its host's prior. Without labelled documents the
+result has no rows, as there are no languages.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeframe.llm.common import appended, cut_lineage, fields, quoted, slices, small, strings, text_or_empty
+from tapeframe.llm.common import appended, cut_lineage, fields, quoted, slices, strings, text_or_empty
 
-#: Documents of a language that its model is learned from, about; languages; table size.
-SAMPLE, LANGUAGES, BITS = 1000, 64, 15
+#: Documents of a language that its model is learned from, about; table size for each language.
+SAMPLE, BITS = 1000, 15
+#: Hosts of at least this share of the pages get their prior by broadcast: there are at most 10,000.
+HOT_SHARE = 1e-4
 #: Trigrams beyond which more text is no more evidence, and what one counts (they overlap).
 ENOUGH, WORTH = 400, 1 / 3
 #: Weight of the level above in each level's prior, in pages.
@@ -55,7 +59,7 @@ def trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities [language, trigram] from rows (text, lang)."""
     known = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit("language"), "text").alias("h"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     names = sorted(r.lang for r in sizes)
     if not names:
         return [], np.zeros((0, 1 << BITS), np.float32)
@@ -74,7 +78,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(totals[lang, gram])], names=["l", "g", "n"])
 
     counts = np.full((len(names), 1 << BITS), 0.1)
-    for r in chosen.mapInArrow(counted, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toLocalIterator():  # at most LANGUAGES * 2 ** BITS rows
+    for r in chosen.mapInArrow(counted, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2 ** BITS rows a language
         counts[r.l, r.g] += r.n
     return names, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
@@ -101,7 +105,7 @@ def evidence(pages: DataFrame, names: list[str], table: np.ndarray, key: str = "
     shared = pages.sparkSession.sparkContext.broadcast(table)
     h = host(quoted("url"))
     labels = F.split(h, r"\.")
-    path = F.lower(F.regexp_extract(F.coalesce(quoted("url"), F.lit("")), rf"(?i)^[a-z][a-z0-9+.\-]*://[^/?#]*/(?:[^?#]*/)?({'|'.join(names)})(?:[/?#]|$)", 1))
+    path = F.lower(F.regexp_extract(F.coalesce(quoted("url"), F.lit("")), rf"(?i)^[a-z][a-z0-9+.\-]*://[^/?#]*/(?:[^?#]*/)?({'|'.join(re.escape(n) for n in names)})(?:[/?#]|$)", 1))
     country = F.create_map(*[F.lit(x) for p in SUFFIXES.items() for x in p])[F.element_at(labels, -1)]
     rows = pages.select(
         quoted(key),
@@ -167,6 +171,14 @@ def host_priors(found: DataFrame, size: int) -> DataFrame:
     return cut_lineage(hosts.join(domains, ["domain", "suffix"]).select("host", "n", "own", "p_domain"))
 
 
+def _with_priors(found: DataFrame, priors: DataFrame) -> DataFrame:
+    """found joined to its hosts' priors: hot hosts by broadcast, so that none is one task of a shuffle."""
+    least = (priors.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
+    hot = F.broadcast(priors.filter(F.col("n") >= least))
+    rest = found.join(hot.select("host"), "host", "left_anti").join(priors.filter(F.col("n") < least), "host")
+    return found.join(hot, "host").unionByName(rest)
+
+
 def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id") -> DataFrame:
     """key, host, declared, named, text_lang, lang, confidence of every page (key, url, html).
 
@@ -180,7 +192,7 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id") -> DataFra
     said, named = reliability(found, "said", names), reliability(found, "named", names)
     looked = lambda column, table: F.coalesce(F.create_map(*[x for v, row in table.items() for x in (F.lit(v), F.array(*map(F.lit, row)))])[F.col(column)], F.array(*[F.lit(0.0)] * size))
     priors = host_priors(found, size)
-    joined = found.join(small(priors, priors.count()), "host")
+    joined = _with_priors(found, priors)
     prior = F.expr(f"transform(sequence(0, {size - 1}), k -> (greatest(own[k] - p[k], 0D) + {SMOOTHING}D * p_domain[k]) / (n - 1 + {SMOOTHING}D))")
     joined = joined.withColumn("prior", prior).withColumn("l_said", looked("said", said)).withColumn("l_named", looked("named", named))
     joined = joined.withColumn("posterior", _normal(F.expr(f"transform(sequence(0, {size - 1}), k -> text_log[k] + l_said[k] + l_named[k] + ln(prior[k]))")))

@@ -3,13 +3,14 @@
 Texts are folded first: lower case, homoglyphs to Latin letters, digits and signs
 that stand for letters to those letters, everything else that is no letter to
 spaces. Lexicon entries are word beginnings (" idio") or whole words (" idiot ").
-Matches inside an exception phrase do not count. The weights of the matches are
+Matches inside an exception phrase do not count. The weights of all matches are
 summed, normalised by the length of the text, and squashed to a score in 0..1.
 
 The lexicon is learned from a bounded sample of labelled rows (SAMPLE of each
-class at most): entries by the log-odds of their counts, weights by a regularised
-logistic regression. Scores see the text alone. Null and empty texts have the
-score of a text without matches.
+class at most): the ENTRIES of clearest log-odds of their counts, in which a text counts
+CLIP times at most, and weights by a regularised logistic regression. Scores see the
+text alone. Null and empty texts have the score of a text without matches. Repeated
+rows are scored each for itself. A document whose labels conflict is toxic in learning.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from tapeframe.llm.common import appended, cut_lineage, fields, quoted, slices,
 #: Most labelled rows of a class that the lexicon is learned from, and most entries.
 SAMPLE = 5000
 ENTRIES = 400
+#: What one text adds at most to the counts from which entries are chosen, so that none makes an entry by itself.
+CLIP = 3
 #: Fewest positive rows with an entry; lengths of word beginnings.
 MIN_ROWS, PREFIXES = 4, range(3, 11)
 
@@ -116,13 +119,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, steps: int = 60
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words by class, each row's count clipped at 3; and rows with the word."""
+    """Partial counts of words by class, each row's count clipped at CLIP; and rows with the word."""
     counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             for word, n in Counter(folded(text or "").split()).items():
-                row = counts.setdefault(word[:40], [0, 0, 0])
-                row[label] += min(n, 3)
+                row = counts.setdefault(word, [0, 0, 0])
+                row[label] += min(n, CLIP)
                 row[2] += label
     names = list(counts)
     for a in range(0, len(names), 20_000):
@@ -161,7 +164,7 @@ def learn(labelled: DataFrame) -> Model:
                 found = Counter(hits(tree, said))
                 out["length"].append(len(said))
                 out["entries"].append(list(found))
-                out["counts"].append([min(n, 50) for n in found.values()])
+                out["counts"].append(list(found.values()))
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["label"], pa.int32()), pa.array(out["length"], pa.int64()), pa.array(out["entries"], pa.list_(pa.int32())), pa.array(out["counts"], pa.list_(pa.int32()))], names=list(out))
 
     seen = rows.mapInArrow(matched, "doc_id long, label int, length long, entries array<int>, counts array<int>").orderBy("doc_id").collect()
@@ -180,9 +183,12 @@ def learn(labelled: DataFrame) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: str | None = None, most: int = SAMPLE) -> DataFrame:
     """Rows (doc_id, text, label) for learning: of each class about `most` by a seeded hash.
 
+    Of conflicting labels of a document the largest counts.
+
     keep: an SQL condition on doc_id that labelled rows must meet.
     """
-    known = labels.filter(f"{label} in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.filter(f"{label} in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.filter("doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.filter(keep) if keep else known
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[F.lit(x) for c in (0, 1) for x in (c, min(1.0, most / max(sizes.get(c, 0), 1)))])
@@ -206,7 +212,7 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
             for said in batch.column(text).to_pylist():
                 said = folded(said or "")
                 found = hits(tree, said)
-                sums.append(sum(weights[k] * min(n, 50) for k, n in Counter(found).items()) if found else 0.0)
+                sums.append(float(weights[found].sum()) if found else 0.0)
                 lengths.append(len(said))
             logit = _features(np.array(sums, float), np.array(lengths, float)) @ scale
             yield appended(batch, **{to: pa.array(np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 9))})

@@ -9,7 +9,8 @@ hashed features, shapes of byte 4-grams and bins of the measures behind the vote
 which scores every whole text.
 
 Null texts are empty. Where the votes leave one class empty, the scorer gives the
-mean of the soft labels.
+mean of the soft labels. Repeated rows are judged alike; they count in the estimation
+and are sampled once. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +30,6 @@ from tapeframe.llm.quality_rules import MEASURES, measured
 #: Documents, about, that train the scorer; its table has 2 ** BITS weights for grams and BINS for each labeller's measure.
 SAMPLE, BITS, BINS, SCALE = 6000, 16, 16, 60.0
 
-#: What is known of labellers beforehand: they rarely call a good document bad, and often enough a bad one.
-MOST_FALSE, LEAST_TRUE = 0.05, 0.1
-
 EXTRA = ("n_upper", "n_letters", "n_short", "n_ended")
 #: Each labeller's votes: (name, measure per measure, bad if at least, good if at most) or reversed.
 LABELLERS = (
@@ -105,11 +103,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     for _ in range(rounds):
         share = (good * counts).sum() / max(counts.sum(), 1)
         weight = np.stack([(1 - good) * counts, good * counts])
-        table = np.einsum("cp,plv->clv", weight, said) + 0.5
+        table = np.einsum("cp,plv->clv", weight, said) + 0.5  # half a vote each: a labeller that never votes says nothing
         table /= table.sum(2, keepdims=True)
-        table[1, :, 0] = np.minimum(table[1, :, 0], MOST_FALSE)
-        table[0, :, 0] = np.clip(table[0, :, 0], LEAST_TRUE, 0.95)
-        table[:, :, 1] = 1 - table[:, :, 0]
         log = np.einsum("plv,clv->pc", said, np.log(table)) + np.log(np.clip([1 - share, share], 1e-9, 1))
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         done = np.abs(new - good).max(initial=0) < 1e-9
@@ -257,6 +252,6 @@ def classify(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The rows of df with a quality of at least 0.5, with df's columns."""
+    """The rows of df with a quality of at least 0.5, with df's columns. Texts are measured again, so as not to be written."""
     own = "__quality_score"
     return score(df, fit(df).scorer, to=own).filter(quoted(own) >= 0.5).select(*map(quoted, df.columns))
