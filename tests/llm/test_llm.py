@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bpe, chat, fingerprints, language_id, licenses, mixing, near_dedup, quality_rules, toxicity, weak_labels
+from tapeframe.llm import bpe, chat, common, fingerprints, language_id, license_rules, licenses, mixing, near_dedup, quality_rules, toxicity, weak_labels
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -67,7 +67,8 @@ OPERATORS = {
     "rules_keep": quality_rules.keep,
     "near": near_dedup.near_duplicates,
     "near_keep": near_dedup.keep,
-    "languages": lambda d: language_id.identify(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html")), d),
+    "languages": lambda d: language_id.identify(d.withColumns({"page_id": F.col("doc_id"), "url": F.col("source"), "html": F.col("text"), "host": F.lit(1), "p": F.lit(2)}), d),
+    "chat": lambda d: chat.digests(chat.format_chats(d.withColumns({"conv_id": F.col("doc_id"), "turn": F.col("label"), "role": F.col("lang"), "n_turns": F.lit("x"), "formatted": F.lit(1)}))),
 }
 
 
@@ -105,12 +106,12 @@ def test_licenses_match_brute_force(spark, docs, sf01):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
         assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score > 0) >= bool(at)
     by = {r.doc_id: r for r in licenses.report(rows).collect()}
-    assert by[10_001].labels == "cc-by,cc-by-nc" and "gpl" in by[10_004].labels and len(licenses.rules()) > 300
+    assert by[10_001].labels == "cc-by,cc-by-nc" and "gpl" in by[10_004].labels
 
 
 def test_licenses_behind_underscores_and_with_joined_versions(spark):
-    said = ["_CC BY 4.0_", "icon_cc_by", "__cc__by__", "_cc_0", "écc by", "GPL3", "under gpl1", "(GPL2)", "LGPL3", "lgpl2", "AGPL3", "x_GPL3_x"]
-    want = ["cc-by"] * 3 + ["cc0", "", "gpl", "gpl", "gpl", "lgpl", "lgpl", "agpl", "gpl"]
+    said = ["_CC BY 4.0_", "icon_cc_by", "__cc__by__", "_cc_0", "écc by", "GPL3", "under gpl1", "(GPL2)", "LGPL3", "lgpl2", "AGPL3", "x_GPL3_x", "mpl2"]
+    want = ["cc-by"] * 3 + ["cc0", "", "gpl", "gpl", "gpl", "lgpl", "lgpl", "agpl", "gpl", "mpl"]
     found = {r.doc_id: r for r in licenses.report(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()}
     assert [found[k].labels for k in range(len(said))] == want
     for k, text in enumerate(said):
@@ -119,10 +120,48 @@ def test_licenses_behind_underscores_and_with_joined_versions(spark):
         assert (found[k].n_words, found[k].n_base, found[k].first_word, found[k].last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
 
 
+def an_instance(r, alternatives):
+    """A random match of a parsed rule regex."""
+    out = ""
+    for item, least, most in r.choice(alternatives):
+        for _ in range(r.randint(least, min(most, least + 2))):
+            out += an_instance(r, item) if isinstance(item, list) else r.choice("xyz") if item is None else r.choice(sorted(item))
+    return out
+
+
+def naive_scan(words):
+    """All matches of all rules, less those that a stronger one contains."""
+    found = []
+    for start in range(len(words)):
+        rest = " ".join(words[start:])
+        for k, (label, _, priority, _, regex) in enumerate(license_rules.rules()):
+            if m := re.match(rf"(?:{regex})(?= |$)", rest):
+                if m[0]:
+                    found.append((start, len(m[0].split(" ")), priority, label, k))
+    stronger = lambda e, d: e[2] > d[2] or (e[2] == d[2] and (e[1] > d[1] or (e[1] == d[1] and e[0] == d[0] and e[4] < d[4])))
+    return sorted(d for d in found if not any(e[0] <= d[0] and e[0] + e[1] >= d[0] + d[1] and stronger(e, d) for e in found))
+
+
+def test_license_rules_one_by_one(spark):
+    """A random match of every rule, between separators and other words, is scanned as by brute force."""
+    assert len({x[4] for x in license_rules.rules()}) == len(license_rules.rules()) > 200
+    r, rows = random.Random(8), []
+    for k, rule in enumerate(license_rules.rules() * 2):
+        words = an_instance(r, license_rules._parsed(rule[4])).split()
+        assert re.fullmatch(rule[4], " ".join(words)) and len(words) <= licenses.CONTEXT and words[0] in licenses.FIRST
+        said = "".join(w + r.choice([" ", "_", ", ", "\n", "-", " / "]) for w in [*prose(k, 3).split(), *words, "other", *words[:2]])
+        rows.append((k, "".join(c.upper() if r.random() < 0.3 else c for c in said)))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for row in found:
+        got = sorted((d.start, d.n, d.priority, d.label, d.rule) for d in row.detections)
+        assert got == naive_scan(WORD.findall(row.text.translate(LOWER))), row.text
+        assert license_rules.rules()[row.doc_id % len(license_rules.rules())][0] in row.labels or got
+
+
 def test_license_suppression(spark):
     df = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0 or later")], "doc_id long, text string")
     (found,) = licenses.scan(df).first().detections
-    assert (found.start, found.n, found.label, found.priority) == (0, 10, "apache", 60)
+    assert (found.start, found.n, found.label, found.priority) == (0, 8, "apache", 65)
 
 
 @pytest.mark.parametrize("size", [1, 7, 50, 1 << 16])
@@ -141,10 +180,17 @@ def test_parts_encode_like_wholes(size):
 
 
 def test_bpe_digests(docs):
-    coder = bpe.Coder(bpe.rank_table(_tokenizer()[0]), _tokenizer()[1])
+    """Against the library on whole texts, without parts."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(_tokenizer()[0], "rb"))}
+    library = tiktoken.Encoding("whole", pat_str=_tokenizer()[1], mergeable_ranks=ranks, special_tokens={})
     said = texts(docs)
+    assert max(map(len, said.values())) > 2 * bpe.PART_CHARS
     for r in bpe.digests(bpe.round_trip(docs, *_tokenizer())).collect():
-        ids = coder.encode(said[r.doc_id])
+        ids = library.encode_ordinary(said[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(said[r.doc_id].encode()).hexdigest())
     both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), *_tokenizer()), _tokenizer()[0])
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in both.collect())
@@ -179,6 +225,52 @@ def test_sketch_quantiles_and_merging(spark):
         assert true <= got <= true * 33 / 32 + 1
 
 
+def naive_limits(rows):
+    """most_<rate> of a group, from its documents' (rates, words, lines) with the sketch's rounding."""
+
+    def quantile(values, q):
+        v = sorted(values)[int(np.ceil(q * len(values))) - 1]
+        shift = max(v.bit_length() - 6, 0)
+        return (((v >> shift) + 1) << shift) - 1
+
+    out = {}
+    for rate, (_, of, few) in quality_rules.RULES.items():
+        values = [r[rate] for r in rows]
+        length = max(quantile([r[of] for r in rows], 0.5), 1)
+        chance = few * 10_000 // length if few else int(1.5 * quantile(values, 0.5) / np.sqrt(length))
+        out[rate] = quantile(values, 0.75) + 3 * (quantile(values, 0.75) - quantile(values, 0.25)) + chance
+    return out
+
+
+def test_verdicts_match_brute_force(spark):
+    """Thresholds, base_failed and kept by loops; small groups fall back to their language's, then to all."""
+    r, rows = random.Random(4), []
+    for k in range(400):
+        lang, source = r.choice([("en", "big"), ("en", "big"), ("en", "other"), ("de", "big"), ("en", "few"), (None, None), ("xx", "few")][: 7 if k % 10 == 0 else 4])
+        n = r.choice([5, 30, 200])
+        words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7 if source == "big" else 12))) for _ in range(n)]
+        words += ["#"] * r.choice([0, 0, 0, 0, 1, 4, 60]) + ["|"] * r.choice([0] * 9 + [9]) + ["x" * 40] * r.choice([0] * 9 + [30]) + words[:9] * r.choice([0] * 12 + [5])
+        lines = [" ".join(words[i : i + 12]) for i in range(0, len(words), 12)]
+        rows.append((k, "\n".join(lines + lines[:1] * r.choice([0] * 9 + [6])), lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    measured = {x.doc_id: x.asDict() for x in quality_rules.with_measures(df).collect()}
+    for m in measured.values():
+        for rate, (count, of, _) in quality_rules.RULES.items():
+            m[rate] = m[count] * 10_000 // max(m[of], 1)
+    found = {x.doc_id: x for x in quality_rules.judge(df).collect()}
+    seen = set()
+    for k, m in measured.items():
+        groups = [[o for o in measured.values() if (o["lang"], o["source"])[:depth] == (m["lang"], m["source"])[:depth]] for depth in (2, 1, 0)]
+        depth = next(i for i, g in enumerate(groups) if len(g) >= quality_rules.LEAST_GROUP or i == 2)
+        limits = naive_limits(groups[depth])
+        failed = [rate for rate, (count, _, few) in quality_rules.RULES.items() if m[rate] > limits[rate] and (few is None or m[count] > few)]
+        base = m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"]
+        assert (found[k].base_failed, found[k].rules_failed, found[k].kept) == (base, ",".join(failed), not base and not failed)
+        seen |= {depth, *failed}
+    assert seen >= {0, 1, 2, "symbol_rate", "pipe_rate", "word_length"}
+    assert {x.doc_id for x in quality_rules.keep(df).collect()} == {k for k, x in found.items() if x.kept}
+
+
 def test_rules_follow_the_group(spark):
     """A text of long words fails where words are short, and passes where they are long; so with symbols."""
     r = random.Random(4)
@@ -186,7 +278,7 @@ def test_rules_follow_the_group(spark):
     rows = [(k, said(5), "en", "short") for k in range(40)] + [(100 + k, said(10, " #" * 30), "en", "long") for k in range(40)]
     rows += [(500, said(10), "en", "short"), (501, said(5, " #" * 30), "en", "short"), (502, said(5), "en", "short"), (503, said(10, " #" * 30), "en", "long")]
     found = {x.doc_id: x for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert {k: x.rules_failed for k, x in found.items() if not x.kept} == {500: "long_words", 501: "symbol_rate"}
+    assert {k: x.rules_failed for k, x in found.items() if not x.kept} == {500: "word_length", 501: "symbol_rate"}
 
 
 def test_mixing_clamps_and_hits_targets(spark):
@@ -232,6 +324,23 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_chat_query_digests(spark, tmp_path):
+    """op9 on odd rows and the fixed conversation, against digests of the rows themselves."""
+    from tapeframe.llm import queries
+
+    rows = [(1, 1, "assistant", "b\\<|"), (1, 0, "user", None), (2, 0, "assistant", "a<|end|>\n"), (2, 1, "assistant", "é"), (-7, 5, "user", "also -7"), (3, None, None, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    fixed = r"\### Assistant: </turn> ok"
+    want = {1: [("user", ""), ("assistant", "b\\<|")], 2: [("assistant", "a<|end|>\n"), ("assistant", "é")], -7: [("user", fixed), ("assistant", fixed), ("user", "also -7")], 3: [("", "x")]}
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    found = {r.conv_id: r for r in queries.op9_chat(spark, str(tmp_path)).collect()}
+    assert set(found) == set(want)
+    for k, turns in want.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        said = digest("".join(f"{role}\n{text}\n" for role, text in turns))
+        assert (found[k].n_turns, found[k].turns_sha256, found[k].loss_chars, found[k].loss_sha256) == (len(turns), said, len(loss), digest(loss))
+
+
 def occurrences(text):
     """The shingles of a text in order, each with the number of its occurrence."""
     w, seen, out = WORD.findall(text.translate(LOWER)), collections.Counter(), []
@@ -388,15 +497,62 @@ def test_fingerprints(spark, sf01):
         text = said[r.doc_id]
         edited = fingerprints.edited_text(text, said[after[r.doc_id]])
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        a, b = shingles(text), shingles(edited)
+        a, b, c = shingles(text), shingles(edited), shingles(said[after[r.doc_id]])
+        for got, x, y in ((r.near_edited, a, b), (r.near_next, a, c)):
+            if max(len(x), len(y), 1) <= fingerprints.K:  # both sketches hold all shingles
+                near = len(x & y) / len(x | y) if x | y else 1.0
+                assert got == near or len(x | y) > fingerprints.K and abs(got - near) < 0.2
         errors.append(abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1.0)))
-    assert np.mean(errors) < 0.05 and len({r.fingerprint for r in rows}) <= len(set(said.values()))
+    assert np.mean(errors) < 0.05
+    of = {}
+    for r in rows:
+        assert of.setdefault(said[r.doc_id], r.fingerprint) == r.fingerprint and of.setdefault(fingerprints.edited_text(said[r.doc_id], said[after[r.doc_id]]), r.edited_fingerprint) == r.edited_fingerprint
     parts = spark.createDataFrame([(1, prose(1, 300)), (1, prose(2, 300)), (2, prose(1, 300))], "g int, text string")
     merged = {r.g: fingerprints.unpacked(r.fingerprint) for r in fingerprints.merge(fingerprints.fingerprint(parts), ["g"]).collect()}
     assert 0.3 < fingerprints.resemblance(merged[1], merged[2]) < 0.7 and fingerprints.containment(merged[2], merged[1]) > 0.8
     assert abs(fingerprints.distinct_count(merged[1]) / 592 - 1) < 0.35
 
 
+def test_neighbours_over_many_parts(spark, docs):
+    """The next document is the same however the table is cut into parts."""
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()] + [(100 + k, prose(k, 40)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    for part_bytes in (1 << 30, 20_000, 300):
+        got = []
+        for part in fingerprints.with_next(df, part_bytes).rdd.glom().collect():
+            got += [(str(a.doc_id), a.text, b.text) for a, b in zip(part, part[1:], strict=False) if a.part == b.part and not a.halo]
+        assert sorted(got) == want
+
+
+def naive_toxicity(model, text):
+    """The score by looking for every entry everywhere."""
+    said = toxicity.folded(text)
+    spans = [(i, i + len(p) + 2) for p in model.exceptions for i in range(len(said)) if said.startswith(f" {p} ", i)]
+    total = 0.0
+    for entry, weight in model.weights.items():
+        total += weight * sum(said.startswith(entry, i) and not any(a <= i and i + 1 < b for a, b in spans) for i in range(len(said)))
+    size = len(said) / 6 + 20
+    terms = [1.0, total / size**0.5, total / size * 10, np.log1p(abs(total)) * np.sign(total), np.log(size) / 5]
+    return 1 / (1 + np.exp(-np.clip(np.dot(terms, model.scale), -30, 30)))
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    r = random.Random(12)
+    model = toxicity.Model({" idiot ": 2.0, " idi": 0.5, " trash": 1.5, " scum ": -0.7, " clown ": 1.0}, (-2.0, 1.1, 0.4, 0.9, -0.3))
+    said = [" ".join(r.choice(["1d10t", "IDIOT", "idiots", "trash can", "trash", "pond scum", "scum", "fine", "сlown", "clown fish", "w\u200bord", "x" * 60]) for _ in range(n)) for n in [0, 1, 3, 10, 40, 3000] * 4] + [None, "idiot " * 400]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    for row in toxicity.score(df, model).collect():
+        assert abs(row.score - naive_toxicity(model, row.text or "")) < 1e-6
+
+
+def test_conflicting_labels_are_toxic_in_learning(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 0), (2, 0), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    assert sorted((r.doc_id, r.text, r.label) for r in toxicity.sample(docs, labels).collect()) == [(1, "a", 1), (2, "b", 0), (2, "c", 0)]
+
+
 def test_toxicity_learns_and_excepts(spark):
     r = random.Random(2)
     rows = []
@@ -430,6 +586,64 @@ def test_expectation_maximisation_recovers_accuracies():
     good, share, table = weak_labels.expectation_maximisation(patterns, counts)
     of = dict(zip(patterns, good, strict=True))
     assert np.mean([(of[p] > 0.5) == t for p, t in zip(weak_labels.packed(votes), truth, strict=True)]) > 0.97 and abs(share - 0.8) < 0.03
+    assert np.abs(table[1, :, 0] - 0.02).max() < 0.02 and np.abs(table[0, :, 0] - 0.7).max() < 0.08, "accuracies are estimated"
+
+
+def naive_estimation(votes, rounds=200):
+    """Expectation-maximisation document by document, with loops."""
+    n, many = len(votes), len(votes[0])
+    good = [(sum(v == 1 for v in row) + 1) / (sum(v != 2 for v in row) + 2) for row in votes]
+    good = [0.1 if g < 0.85 else 0.9 for g in good]
+    for _ in range(rounds):
+        share = sum(good) / n
+        bad_rate = []
+        for weight in ([1 - g for g in good], good):
+            said = [[sum(w for w, row in zip(weight, votes, strict=True) if row[k] == vote) + 0.5 for vote in (0, 1)] for k in range(many)]
+            bad_rate.append([a / (a + b) for a, b in said])
+        new = []
+        for row in votes:
+            odds = np.log(share / (1 - share))
+            for k, v in enumerate(row):
+                if v != 2:
+                    a, b = bad_rate[1][k], bad_rate[0][k]
+                    odds += np.log((a if v == 0 else 1 - a) / (b if v == 0 else 1 - b))
+            new.append(1 / (1 + np.exp(-odds)))
+        good = new
+    return good
+
+
+def test_quality_classifier_matches_brute_force(spark):
+    """Votes by plain text handling, posteriors by the naive estimation, scores gram by gram."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = weak_labels.fit(docs)
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    votes = []
+    for r in rows:
+        text, words = r.text or "", SPACED.findall(r.text or "")
+        lines = [x for x in text.split("\n") if SPACED.search(x)]
+        windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        again = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+        ascii_letters = [c for c in text if c in string.ascii_letters]
+        short = sum(len(w.encode()) <= 4 for w in words)
+        ended = sum(x[-1] in ".!?;:\"')" for x in text.split("\n") if x)
+        per = lambda a, b: a / max(b, 1)
+        value = {
+            "symbols": per(len(re.findall(r"[#*$%&|<>]", text)), len(words)), "pipes": per(words.count("|"), len(words)), "repeats": per(len(again), len(words)),
+            "duplicate_lines": per(len(lines) - len(set(lines)), len(lines)), "capitals": per(sum(c.isupper() for c in ascii_letters), len(ascii_letters)),
+            "few_short_words": -per(short, len(words)), "unended_lines": -per(ended, len(lines)), "few_words": -len(words), "word_length": per(sum(map(len, words)), len(words)),
+        }
+        votes.append([0 if value[name] >= bad else 1 if value[name] <= best else 2 for name, _, _, bad, best in weak_labels.LABELLERS])
+    got = {r.doc_id: r for r in weak_labels.classify(docs).collect()}
+    want = naive_estimation(votes)
+    for r, row, good in zip(rows, votes, want, strict=True):
+        assert got[r.doc_id].bad_votes == ",".join(name for (name, *_), v in zip(weak_labels.LABELLERS, row, strict=True) if v == 0)
+        assert abs(got[r.doc_id].soft_label - good) < 1e-3
+    for r in rows[:12]:
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        index = weak_labels.grams(data)[: max(len(data) - 3, 0)]
+        place = weak_labels.bins(weak_labels.measures(data, np.array([0, len(data)])))[0]
+        logit = model.scorer.bias + 60 * sum(float(model.scorer.weights[k]) for k in index) / max(len(index), 1) + sum(float(model.scorer.weights[k]) for k in place)
+        assert abs(got[r.doc_id].quality - 1 / (1 + np.exp(-logit))) < 1e-4 and got[r.doc_id].kept == (got[r.doc_id].quality >= 0.5)
 
 
 def test_quality_classifier_on_labels(spark):
@@ -451,6 +665,72 @@ def test_language_fusion(spark):
     assert len(got) == 5 and got[1].lang == "en" and got[2].text_lang == "de" and got[3].lang == "de" and got[5].lang == "de" and got[3].named == "de" and got[4].lang in ("en", "de")
 
 
+def naive_languages(pages, docs):
+    """lang and confidence of each page, with loops."""
+    names = sorted({r.lang for r in docs if r.lang and r.text is not None})
+    grams = lambda text: [(int(i), ok) for i, ok in zip(*(x[: max(len(text.encode()) - 2, 0)] for x in language_id.trigrams(np.frombuffer(text.encode(), np.uint8))), strict=True)]
+    count = {n: collections.Counter() for n in names}
+    for r in docs:
+        if r.lang and r.text is not None:
+            count[r.lang].update(i for i, ok in grams(r.text) if ok)
+    total = {n: sum(count[n].values()) + 0.1 * 2**language_id.BITS for n in names}
+    normal = lambda logs: (lambda e: e / e.sum())(np.exp(np.array(logs) - max(logs)))
+    found = []
+    for p in pages:
+        html = p.html or ""
+        text = re.sub(r"&[a-zA-Z#0-9]{1,10};", " ", re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ", html)))
+        solid = [i for i, ok in grams(text) if ok]
+        weight = language_id.WORTH * min(len(solid), language_id.ENOUGH) / max(len(solid), 1)
+        logs = [weight * sum(np.log((count[n][i] + 0.1) / total[n]) for i in solid) for n in names]
+        host = (re.match(r"[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", p.url or "") or [None, ""])[1].lower()
+        labels = host.split(".")
+        tag = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", html) or re.search(r"(?is)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?([a-zA-Z]{2,3})\b", html)
+        said = tag[1].lower() if tag and tag[1].lower() in names else None
+        path = re.match(rf"(?i)[a-z][a-z0-9+.\-]*://[^/?#]*/(?:[^?#]*/)?({'|'.join(map(re.escape, names))})(?:[/?#]|$)", p.url or "")
+        named = language_id.SUFFIXES.get(labels[-1])
+        named = named if named in names else path[1].lower() if path else None
+        found.append({"id": p.page_id, "host": host, "domain": ".".join(labels[-2:]), "suffix": labels[-1], "said": said, "named": named, "log": np.array(logs) - max(logs), "p": normal(logs)})
+    size = len(names)
+
+    def reliability(column):
+        sums = {n: sum([f["p"] for f in found if f[column] == n], np.zeros(size)) for n in names}
+        table = np.array([[sums[v][k] + (2.0 if v == names[k] else 0.5) for k in range(size)] for v in names])
+        return dict(zip(names, np.log(table / table.sum(0)), strict=True))
+
+    said, named = reliability("said"), reliability("named")
+    add = lambda by, value: (sum(1 for f in found if f[by] == value), sum([f["p"] for f in found if f[by] == value], np.zeros(size)))
+    whole = (sum(f["p"] for f in found) + 1.0) / (len(found) + size)
+    out = {}
+    for f in found:
+        prior, s = whole, language_id.SMOOTHING
+        for by in ("suffix", "domain"):
+            n, sums = add(by, f[by])
+            prior = (sums + s * prior) / (n + s)
+        n, sums = add("host", f["host"])
+        prior = (np.maximum(sums - f["p"], 0) + s * prior) / (n - 1 + s)
+        zero = np.zeros(size)
+        posterior = normal(f["log"] + (said[f["said"]] if f["said"] else zero) + (named[f["named"]] if f["named"] else zero) + np.log(prior))
+        out[f["id"]] = (names[int(posterior.argmax())], posterior.max(), names[int(f["p"].argmax())], f["said"], f["named"], f["host"])
+    return out
+
+
+@pytest.mark.parametrize("hot_share", [1e-4, 0.1])
+def test_languages_match_brute_force(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(language_id, "HOT_SHARE", hot_share)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang")
+    odd = spark.createDataFrame([("some words (c of odd names", "c("), ("more such words", "c(")], "text string, lang string")
+    docs = docs.unionByName(odd)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    pages = pages.unionByName(spark.createDataFrame([(-1, None, None), (-2, "http://x.example.fr/de/a?b", ""), (-3, "no address", "<html lang=EN>")], "page_id long, url string, html string"))
+    want = naive_languages(pages.collect(), docs.collect())
+    rows = language_id.identify(pages, docs).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        lang, confidence, text_lang, said, named, host = want[r.page_id]
+        assert (r.lang, r.text_lang, r.declared, r.named, r.host) == (lang, text_lang, said, named, host) and abs(r.confidence - confidence) < 1e-4
+
+
 def test_mixing_query_matches_its_sql(spark):
     import harness
 
@@ -462,12 +742,49 @@ def test_mixing_query_matches_its_sql(spark):
 
 
 def test_pipeline_stages(spark, docs):
+    """The stages on real rows, on rows with nulls, ties and repeats, and on no rows."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.select(corpus_pipeline.COLUMNS)
+    odd = odd.unionByName(odd.selectExpr("doc_id", "concat(text, ' more of it')", "lang", "source", "n_chars").toDF(*corpus_pipeline.COLUMNS))
+    for at, some in ((real, True), (odd, True), (real.limit(0), False)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = common.cut_lineage(stage(spark, at, sf))
+            assert at.columns == corpus_pipeline.COLUMNS and (not at.isEmpty()) == some, name
+        coded = corpus_pipeline.STAGES[-1][1](spark, at, sf)
+        assert coded.filter("not intact").isEmpty() and coded.count() == at.count()
+
+
+def test_pipeline_decides_as_its_operators(spark):
+    """What run() gives against the operators' own verdicts, stage by stage, on plain collections."""
     import corpus_pipeline
 
-    at, sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "/root/testdata/sf0.001"
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, sf)
-        assert at.columns == corpus_pipeline.COLUMNS, name
-    last = corpus_pipeline.run(spark, sf)
-    assert last.filter("not intact").count() == 0 and last.count() > 0
-    assert corpus_pipeline.STAGES[0][1](spark, docs.select(corpus_pipeline.COLUMNS), sf).columns == corpus_pipeline.COLUMNS
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    judged = {r.doc_id for r in quality_rules.judge(docs).filter("kept").collect()}
+    left = docs.filter(F.col("doc_id").isin(sorted(judged)))
+    good = {r.doc_id for r in weak_labels.classify(left).filter("kept").collect()}
+    rows = sorted((r.doc_id, r.text or "") for r in left.collect() if r.doc_id in good)
+    label = classes_of([t for _, t in rows])
+    kept = {rows[k][0] for k in set(label)}
+    taken = {r.doc_id: (r.taken, r.size) for r in mixing.mixed_documents(docs.filter(F.col("doc_id").isin(sorted(kept)))).collect()}
+    found = collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, sf).collect())
+    times = {k: t // n + (2 * (t % n) >= n and t % n > 0) for k, (t, n) in taken.items()}
+    assert found == {k: n for k, n in times.items() if n}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session())
