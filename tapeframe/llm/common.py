@@ -29,10 +29,20 @@ SMALL_ROWS = 50_000
 TASK_ROWS = 20_000
 
 
+#: Bytes of an Arrow batch between the JVM and Python, at most: four of them are in flight in a task.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES: with thousands of whole texts they would take hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without columns that clash (case-insensitively) with names."""
     taken = {n.lower() for n in names}
