@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeframe.functions.columns import ratio
-
 #: Frozen constants: bands in bp, top levels, flow windows in ms.
 BANDS, TOPS, FLOW_MS = (1, 2, 5, 10), (1, 5, 10), (1000, 5000, 30000)
 #: Buffered events of a book that waits for its snapshot; the oldest go first.
@@ -21,21 +21,118 @@ BUFFER = 20_000
 # ---------------------------------------------------------------- books at a time
 
 
-def book_at(updates: DataFrame, keys: list[str], samples: DataFrame, width_ms: int) -> DataFrame:
-    """keys, at, side, price, qty: the levels in force at each sample time.
+def carried(updates: DataFrame, keys: list[str], blocks: DataFrame, block_ms: int) -> DataFrame:
+    """keys, block, side, price, qty: the levels in force when each of the blocks (keys, block) begins.
 
-    A level holds from its update to the next one of the same price. Intervals are cut
-    into periods of `width_ms` that samples fall in, so the join is an equi-join on the period
-    and its size follows the levels in force, not samples times updates.
+    A level is carried from the block of its last update to the next block that updates it, so
+    the rows follow the levels in force, and no key's history is one task.
     """
-    w = W.partitionBy(*keys, "side", "price").orderBy("seq")
-    levels = updates.withColumn("until", F.lead("t").over(w)).filter("qty > 0")
-    span = samples.agg(F.max("at").alias("__max"))
-    levels = levels.join(F.broadcast(span)).withColumn("until", F.coalesce("until", F.col("__max") + 1))  # span is one row
-    levels = levels.filter("until > t and t <= __max").withColumn("p", F.explode(F.sequence(F.floor(F.col("t") / width_ms), F.floor((F.least("until", F.col("__max") + 1) - 1) / width_ms))))
-    asked = samples.withColumn("p", F.floor(F.col("at") / width_ms))
-    joined = levels.join(asked, [*keys, "p"]).filter("t <= at and at < until")
-    return joined.select(*keys, "at", "side", "price", "qty")
+    last = updates.groupBy(*keys, "side", "price", F.floor(F.col("t") / block_ms).alias("b")).agg(F.max_by("qty", "seq").alias("qty"))
+    w = W.partitionBy(*keys, "side", "price").orderBy("b")
+    ends = blocks.groupBy(*keys).agg(F.max("block").alias("__end"))
+    spans = last.withColumn("until", F.lead("b").over(w)).filter("qty > 0").join(ends, keys)
+    spans = spans.withColumn("until", F.least(F.coalesce("until", "__end"), "__end")).filter("until > b")
+    return spans.select(*keys, F.explode(F.sequence(F.col("b") + 1, F.col("until"))).alias("block"), "side", "price", "qty").join(blocks, [*keys, "block"])
+
+
+def sampled(updates: DataFrame, keys: list[str], samples: DataFrame, measure: Callable, schema: str, block_ms: int = 3_600_000) -> DataFrame:
+    """keys, at and `schema`: what measure(bids, asks) says of the book at each sample time (keys, at).
+
+    updates: keys, t, seq, side, price, qty (0 removes); those at the sample time are in force.
+    Time is cut into blocks, each with the levels carried into it; a block's books are rebuilt
+    in one task from its own updates, so its memory is bounded by levels and updates of a block.
+    measure gets two lists of (price, qty), best first, and returns a list of tuples.
+    """
+    from pyspark.sql import types as T
+
+    asked = samples.select(*keys, F.floor(F.col("at") / block_ms).alias("block"), F.col("at").alias("t"))
+    blocks = asked.select(*keys, "block").distinct()
+    blank = {"seq": F.lit(None).cast("long"), "side": F.lit(None).cast("string"), "price": F.lit(None).cast("double"), "qty": F.lit(None).cast("double")}
+    rows = updates.select(*keys, F.floor(F.col("t") / block_ms).alias("block"), "t", "seq", "side", "price", "qty", F.lit(1).alias("kind")).join(blocks, [*keys, "block"], "left_semi")
+    rows = rows.unionByName(carried(updates, keys, blocks, block_ms).withColumns({"t": F.col("block") * block_ms, "seq": F.lit(None).cast("long"), "kind": F.lit(0)}))
+    rows = rows.unionByName(asked.withColumns(blank | {"kind": F.lit(2)}))
+    key_fields = [f for f in updates.select(*keys).schema.fields]
+    out_schema = T.StructType([*key_fields, T.StructField("at", T.LongType()), *T._parse_datatype_string(schema).fields])
+    names = out_schema.names
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["kind", "t", "seq"])
+        first, events, times = (pdf[pdf["kind"] == k] for k in range(3))
+        ladders = Ladder("bid"), Ladder("ask")
+        for row in first.itertuples():
+            ladders[row.side == "ask"].set(row.price, row.qty)
+        out, changes = [], events.sort_values(["t", "seq"])[["t", "side", "price", "qty"]].itertuples(index=False)
+        change = next(changes, None)
+        for at in times["t"].sort_values():
+            while change is not None and change.t <= at:
+                ladders[change.side == "ask"].set(change.price, change.qty)
+                change = next(changes, None)
+            out += [(*key[:-1], int(at), *found) for found in measure(ladders[0].levels(), ladders[1].levels())]
+        return pd.DataFrame(out, columns=names)
+
+    return rows.groupBy(*keys, "block").applyInPandas(run, out_schema)
+
+
+class Ladder:
+    """One side of a book: quantities by price, with the prices in order from the best."""
+
+    def __init__(self, side: str) -> None:
+        self.sign = -1 if side == "bid" else 1
+        self.qty: dict[float, float] = {}
+        self.order: list[float] = []  # signed prices, ascending
+
+    def set(self, price: float, qty: float) -> bool:
+        """Whether the level was there or is now."""
+        known = price in self.qty
+        if qty > 0:
+            if not known:
+                insort(self.order, self.sign * price)
+            self.qty[price] = qty
+            return True
+        if known:
+            del self.qty[price]
+            del self.order[bisect_left(self.order, self.sign * price)]
+        return known
+
+    def best(self) -> float | None:
+        return self.sign * self.order[0] if self.order else None
+
+    def levels(self) -> list[tuple[float, float]]:
+        return [(self.sign * p, self.qty[self.sign * p]) for p in self.order]
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+
+#: What features() returns for a book with both sides.
+FEATURES = ", ".join(
+    f"{c} double"
+    for c in (
+        *("bid", "ask", "mid", "bid_qty", "ask_qty", "spread", "spread_bp", "microprice", "displacement_bp"),
+        *(f"{side}_{part}" for side in ("bid", "ask") for part in (*(f"top{k}" for k in TOPS), *(f"within{k}bp" for k in BANDS), "weighted", "slope")),
+        *(f"imbalance_{k}" for k in (*(f"top{k}" for k in TOPS), "weighted")),
+    )
+)
+
+
+def features(bids: list[tuple[float, float]], asks: list[tuple[float, float]]) -> list[tuple]:
+    """FEATURES of one book; nothing for a book with an empty side."""
+    if not bids or not asks:
+        return []
+    (bid, bid_qty), (ask, ask_qty) = bids[0], asks[0]
+    mid = (bid + ask) / 2
+    micro = (bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty)
+    out: dict[str, float] = {"bid": bid, "ask": ask, "mid": mid, "bid_qty": bid_qty, "ask_qty": ask_qty, "spread": ask - bid, "spread_bp": (ask - bid) / mid * 1e4, "microprice": micro, "displacement_bp": (micro - mid) / mid * 1e4}
+    for side, levels in (("bid", bids), ("ask", asks)):
+        price, qty = np.array(levels, float).T
+        value, away = price * qty, np.abs(price - mid) / mid * 1e4
+        out |= {f"{side}_top{k}": value[:k].sum() for k in TOPS} | {f"{side}_within{k}bp": value[away <= k].sum() for k in BANDS}
+        out[f"{side}_weighted"] = (value / (1 + away))[away <= 50].sum()
+        out[f"{side}_slope"] = out[f"{side}_within{BANDS[-1]}bp"] / BANDS[-1]
+    for k in (*(f"top{k}" for k in TOPS), "weighted"):
+        both = out[f"bid_{k}"] + out[f"ask_{k}"]
+        out[f"imbalance_{k}"] = (out[f"bid_{k}"] - out[f"ask_{k}"]) / both if both > 0 else 0.0
+    return [tuple(float(out[c.split()[0]]) for c in FEATURES.split(", "))]
 
 
 def depth_features(levels: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,21 +166,25 @@ def imbalance(bid: Column, ask: Column) -> Column:
     return F.when(bid + ask > 0, (bid - ask) / (bid + ask)).otherwise(F.lit(0.0))
 
 
-def interactions(features: DataFrame, signed: str, afi: str) -> DataFrame:
-    """The four flow-depth interactions; near depth falls back from 2 bp to the top five levels."""
+def interactions(features: DataFrame, buy: str, sell: str, afi: str) -> DataFrame:
+    """The four flow-depth interactions of buy and sell notional and their imbalance.
+
+    Near depth is that within 2 bp, or of the top five levels where there is none.
+    """
     near = lambda side: F.when(F.col(f"{side}_within2bp") > 0, F.col(f"{side}_within2bp")).otherwise(F.col(f"{side}_top5"))
-    one = F.lit(1.0)
-    opposite = F.when(F.col(signed) >= 0, near("ask")).otherwise(near("bid"))
+    at_least = lambda side: F.greatest(near(side), F.lit(1.0))
+    signed = F.col(buy) - F.col(sell)
+    some = (near("ask") > 0) | (near("bid") > 0)
     return (
-        features.withColumn("pressure_to_capacity", F.abs(F.col(signed)) / F.greatest(near("bid") + near("ask"), one))
-        .withColumn("flow_over_opposite", F.col(signed) / F.greatest(opposite, one))
+        features.withColumn("pressure_to_capacity", F.when(some, F.col(buy) / at_least("ask") - F.col(sell) / at_least("bid")).otherwise(0.0))
+        .withColumn("flow_over_opposite", F.when(signed >= 0, signed / at_least("ask")).otherwise(signed / at_least("bid")))
         .withColumn("flow_imbalance", F.col(afi) * F.col("imbalance_top5"))
-        .withColumn("flow_fragility", F.col(afi) * F.col("spread_bp") / F.greatest(near("bid") + near("ask"), one) * 1e6)
+        .withColumn("flow_fragility", F.col(afi) * (F.col("spread_bp") / F.greatest((near("bid") + near("ask")) / 1e6, F.lit(1e-9))))
     )
 
 
 def liquidity(spread_bp: Column, near: Column) -> Column:
-    """Later rules override earlier ones."""
+    """The state of a book by its spread and the notional within 5 bp of its mid; later rules override earlier ones."""
     return (
         F.when((spread_bp <= 1) & (near > 2_000_000), "DEEP")
         .when((spread_bp > 8) | (near < 75_000), "VERY THIN")
@@ -93,36 +194,43 @@ def liquidity(spread_bp: Column, near: Column) -> Column:
 
 
 def pressure(value: Column) -> Column:
-    return F.when(value >= 0.15, "BUY").when(value <= -0.15, "SELL").otherwise("BALANCED")
+    """What rests in the book by the imbalance of the top five levels: context, not a direction."""
+    return F.when(value > 0.15, "MORE RESTING BIDS").when(value < -0.15, "MORE RESTING ASKS").otherwise("BALANCED")
 
 
 def walk(levels: DataFrame, keys: list[str], orders: DataFrame) -> DataFrame:
-    """keys, order side, notional and what a market order of that notional costs against the levels.
+    """A row per order (keys, order_side, notional): what it costs as a market order against the levels.
 
-    A BUY takes asks upwards, a SELL bids downwards. Orders that the side cannot fill, and
-    those of no notional, are incomplete and have no costs.
+    A BUY takes asks upwards, a SELL bids downwards. ok is false, with a reason and no figures,
+    where the book has an empty side or the notional is not positive. An order that the side
+    can't fill is incomplete: it has the average and the worst price so far, but no costs.
+    consumed_pct is the percentage of the side's notional that is taken.
     """
-    taken_side = F.when(F.col("order_side") == "BUY", "ask").otherwise("bid")
+    side_of = F.when(F.col("order_side") == "BUY", "ask").otherwise("bid")
+    value = F.col("price") * F.col("qty")
     best = levels.groupBy(*keys).agg(F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("bid"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("ask"))
-    rows = orders.withColumn("side", taken_side).join(levels, [*[k for k in keys if k in orders.columns], "side"])
+    best_price = F.when(F.col("order_side") == "BUY", F.col("ask")).otherwise(F.col("bid"))
     w = W.partitionBy(*keys, "order_side", "notional").orderBy(F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))).rowsBetween(W.unboundedPreceding, -1)
-    value = F.col("price") * F.col("qty")
-    before = F.coalesce(F.sum(value).over(w), F.lit(0.0))
-    rows = rows.withColumn("take", F.greatest(F.lit(0.0), F.least(value, F.col("notional") - before)))
-    rows = rows.withColumn("take", F.when(F.col("take") > 1e-9, F.col("take")).otherwise(0.0))
+    rows = orders.filter("notional > 0").withColumn("side", side_of).join(levels, [*keys, "side"])
+    left = F.col("notional") - F.coalesce(F.sum(value).over(w), F.lit(0.0))
+    rows = rows.withColumn("take", F.when(left > 1e-9, F.least(value, left)).otherwise(0.0))
     used = F.col("take") > 0
-    grouped = rows.groupBy(*keys, "order_side", "notional").agg(
-        F.sum("take").alias("filled"), F.sum(F.col("take") / F.col("price")).alias("base"), F.sum(F.when(used, 1).otherwise(0)).cast("long").alias("levels_used"), F.sum(value).alias("side_notional"),
+    taken = rows.groupBy(*keys, "order_side", "notional").agg(
+        F.sum("take").alias("filled"), F.sum(F.col("take") / F.col("price")).alias("base"), F.count(F.when(used, 1)).alias("levels_used"), F.sum(value).alias("side_notional"),
         F.max(F.when(used & (F.col("side") == "ask"), F.col("price"))).alias("worst_ask"), F.min(F.when(used & (F.col("side") == "bid"), F.col("price"))).alias("worst_bid"),
-    ).join(best, keys)
-    mid = (F.col("bid") + F.col("ask")) / 2
-    out = grouped.withColumn("mid", mid).withColumn("complete", (F.col("notional") > 0) & (F.col("filled") >= F.col("notional") - 1e-6))
-    sign = F.when(F.col("order_side") == "BUY", 1.0).otherwise(-1.0)
+    )
+    out = orders.join(best, keys, "left").join(taken, [*keys, "order_side", "notional"], "left")
+    empty = F.col("bid").isNull() | F.col("ask").isNull()
+    reason = F.when(empty, "book empty").when(~F.coalesce(F.col("notional") > 0, F.lit(False)), "notional must be positive")
+    out = out.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
+    ok = lambda c: F.when(F.col("ok"), c)
+    out = out.withColumn("mid", ok((F.col("bid") + F.col("ask")) / 2)).withColumn("best", ok(best_price)).withColumn("unfilled", ok(F.col("notional") - F.col("filled")))
+    out = out.withColumn("complete", F.coalesce(F.col("unfilled") <= 1e-6, F.lit(False))).withColumn("vwap", ok(F.col("filled") / F.col("base")))
     done = lambda c: F.when(F.col("complete"), c)
-    out = out.withColumn("vwap", done(F.col("filled") / F.col("base"))).withColumn("worst", done(F.coalesce("worst_ask", "worst_bid")))
-    touch = F.when(F.col("order_side") == "BUY", F.col("ask")).otherwise(F.col("bid"))
-    out = out.withColumn("slippage_bp", sign * (F.col("vwap") - F.col("mid")) / F.col("mid") * 1e4).withColumn("half_spread_bp", done((F.col("ask") - F.col("bid")) / 2 / F.col("mid") * 1e4))
-    out = out.withColumn("impact_bp", sign * (F.col("vwap") - touch) / F.col("mid") * 1e4).withColumn("consumed", ratio("filled", "side_notional"))
+    sign = F.when(F.col("order_side") == "BUY", 1.0).otherwise(-1.0)
+    out = out.withColumn("worst", ok(F.coalesce("worst_ask", "worst_bid", "best"))).withColumn("half_spread_bp", ok((F.col("ask") - F.col("bid")) / 2 / F.col("mid") * 1e4))
+    out = out.withColumn("slippage_bp", done(sign * (F.col("vwap") - F.col("mid")) / F.col("mid") * 1e4)).withColumn("impact_bp", F.col("slippage_bp") - F.col("half_spread_bp"))
+    out = out.withColumn("consumed_pct", ok(F.when(F.col("side_notional") > 0, F.col("filled") / F.col("side_notional") * 100).otherwise(0.0)))
     return out.drop("worst_ask", "worst_bid", "base")
 
 
@@ -131,10 +239,10 @@ PROFILES = {"A": 10.0, "B": 14.0, "C": 20.0, "M": 4.0}
 
 
 def with_fees(walked: DataFrame, taker_bp: float = 5.0) -> DataFrame:
-    """all_in_bp of one order, round_trip_bp of opening and closing it, and each profile's cost."""
-    out = walked.withColumn("all_in_bp", F.col("slippage_bp") + taker_bp).withColumn("round_trip_bp", 2 * F.col("all_in_bp"))
+    """all_in_bp and all_in_usd of one order, round_trip_bp of opening and closing it, and each profile's cost, where complete."""
+    out = walked.withColumn("all_in_bp", F.col("slippage_bp") + taker_bp).withColumn("all_in_usd", F.col("all_in_bp") / 1e4 * F.col("notional")).withColumn("round_trip_bp", 2 * F.col("all_in_bp"))
     for name, fee in PROFILES.items():
-        out = out.withColumn(f"cost_{name}", F.lit(fee) + (2 * F.col("slippage_bp") if name == "A" else F.lit(0.0)))
+        out = out.withColumn(f"cost_{name}", F.when(F.col("complete"), F.lit(fee) + (2 * F.col("slippage_bp") if name == "A" else F.lit(0.0))))
     return out
 
 
@@ -142,23 +250,33 @@ def cost_band(bp: Column) -> Column:
     return F.when(bp.isNull(), "UNKNOWN").when(bp <= 6, "LOW").when(bp <= 12, "NORMAL").otherwise("HIGH")
 
 
-def verdict(valid: Column, complete: Column, graded: Column, all_in_bp: Column) -> Column:
-    return F.when(~valid, "UNKNOWN").when(~graded, "NOT GRADED").when(complete & (all_in_bp <= 8), "GOOD").otherwise("POOR")
+def verdict(ok: Column, complete: Column, all_in_bp: Column, limit_bp: Column) -> Column:
+    """The order against the user's own limit; without one there is no grade."""
+    return F.when(~ok, "UNKNOWN").when(~complete, "POOR").when(limit_bp.isNull(), "NOT GRADED").when(all_in_bp <= limit_bp, "GOOD").otherwise("POOR")
 
 
 def audit(levels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and whether the book is strictly sorted by distinct prices, uncrossed and of positive sizes."""
-    side = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, F.col("price"))))
-    rows = levels.groupBy(*keys).agg(side("bid").alias("bids"), side("ask").alias("asks"), F.min("qty").alias("least_qty"))
-    distinct = (F.size(F.array_distinct("bids")) == F.size("bids")) & (F.size(F.array_distinct("asks")) == F.size("asks"))
-    crossed = F.coalesce(F.array_max("bids") >= F.array_min("asks"), F.lit(False))
-    return rows.select(*keys, distinct.alias("strict"), (~crossed).alias("uncrossed"), (F.col("least_qty") > 0).alias("positive"))
+    """keys and whether the book is strict (by distinct prices), uncrossed and of positive sizes.
+
+    levels: keys, side, price, qty, of each book in no order. A price twice on a side breaks strictness.
+    """
+    on = lambda name: F.col("side") == name
+    per_price = levels.groupBy(*keys, "side", "price").agg(F.count("*").alias("n"), F.min("qty").alias("least"))
+    rows = per_price.groupBy(*keys).agg(
+        (F.max("n") == 1).alias("strict"),
+        (~F.coalesce(F.max(F.when(on("bid"), F.col("price"))) >= F.min(F.when(on("ask"), F.col("price"))), F.lit(False))).alias("uncrossed"),
+        F.coalesce(F.min("least") > 0, F.lit(False)).alias("positive"),
+        F.count(F.when(on("bid"), 1)).alias("bid_levels"),
+        F.count(F.when(on("ask"), 1)).alias("ask_levels"),
+    )
+    return rows.withColumn("ok", F.col("strict") & F.col("uncrossed") & F.col("positive"))
 
 
 def pruned(levels: DataFrame, keys: list[str], share: float = 0.02) -> DataFrame:
-    """Levels within `share` of the mid."""
+    """Bids not further than `share` below the mid, asks not further above; a one-sided book stays as it is."""
     mid = levels.groupBy(*keys).agg(((F.max(F.when(F.col("side") == "bid", F.col("price"))) + F.min(F.when(F.col("side") == "ask", F.col("price")))) / 2).alias("__mid"))
-    return levels.join(mid, keys).filter(F.abs(F.col("price") - F.col("__mid")) <= F.col("__mid") * share).drop("__mid")
+    far = F.when(F.col("side") == "bid", F.col("price") < F.col("__mid") * (1 - share)).otherwise(F.col("price") > F.col("__mid") * (1 + share))
+    return levels.join(mid, keys).filter(~F.coalesce(far, F.lit(False))).drop("__mid")
 
 
 # ---------------------------------------------------------------- the sequence machine
@@ -171,8 +289,8 @@ class Book:
     awaiting: a snapshot is in place and the first event that covers its id makes the book valid.
     """
 
-    bids: dict[float, float] = field(default_factory=dict)
-    asks: dict[float, float] = field(default_factory=dict)
+    bids: Ladder = field(default_factory=lambda: Ladder("bid"))
+    asks: Ladder = field(default_factory=lambda: Ladder("ask"))
     last_id: int | None = None
     valid: bool = False
     awaiting: bool = False
@@ -183,6 +301,9 @@ class Book:
     crossed: int = 0
     resyncs: int = 0
     unknown_removals: int = 0
+    regressions: int = 0
+    opening: bool = False
+    last_ms: int | None = None
     pending: list = field(default_factory=list)
 
     def invalidate(self, reason: str) -> None:
@@ -193,10 +314,7 @@ class Book:
 
     def _set(self, levels) -> None:
         for side, price, qty in levels:
-            book = self.bids if side == "bid" else self.asks
-            if qty > 0:
-                book[price] = qty
-            elif book.pop(price, None) is None:
+            if not (self.bids if side == "bid" else self.asks).set(price, qty):
                 self.unknown_removals += 1
 
     def _take(self, event) -> None:
@@ -210,7 +328,7 @@ class Book:
 
     def snapshot(self, last_id: int, levels) -> None:
         """Replaces the levels and replays what was buffered and is not older."""
-        self.bids, self.asks = {}, {}
+        self.bids, self.asks = Ladder("bid"), Ladder("ask")
         self._set([x for x in levels if x[2] > 0])
         later = [e for e in self.pending if e["last_id"] >= last_id]
         self.dropped += len(self.pending) - len(later)
@@ -248,13 +366,52 @@ class Book:
             del self.pending[:-BUFFER]
             return
         self._take(event)
-        if self.bids and self.asks and max(self.bids) >= min(self.asks):
+        self.uncrossed()
+
+    def uncrossed(self) -> bool:
+        """Whether the best bid is below the best ask; a crossed book is invalidated."""
+        if len(self.bids) and len(self.asks) and self.bids.best() >= self.asks.best():
             self.crossed += 1
             self.invalidate("crossed")
+            return False
+        return True
+
+    def vendor(self, ts: int, is_snapshot: bool, levels) -> None:
+        """An event of a feed without sequence ids: rows of a snapshot, then deltas.
+
+        The first delta after a snapshot makes the book valid; deltas before any are dropped.
+        Time going back is counted. Crossing is asked for by uncrossed(), where the book is read.
+        """
+        if is_snapshot:
+            if not self.opening:
+                self.bids, self.asks, self.opening = Ladder("bid"), Ladder("ask"), True
+            self._set(levels)
+            self.last_ms = ts
+            return
+        if self.opening:
+            self.opening, self.valid, self.reason = False, True, ""
+        if not self.valid:
+            self.dropped += 1
+            return
+        self.regressions += self.last_ms is not None and ts < self.last_ms
+        self._set(levels)
+        self.last_ms = ts
+        self.applied += 1
+
+    def prune(self, share: float = 0.02) -> int:
+        """Drops levels further than `share` from the mid; how many."""
+        bid, ask = self.bids.best(), self.asks.best()
+        if bid is None or ask is None:
+            return 0
+        mid = (bid + ask) / 2
+        far = [(self.bids, p) for p in self.bids.qty if p < mid * (1 - share)] + [(self.asks, p) for p in self.asks.qty if p > mid * (1 + share)]
+        for side, price in far:
+            side.set(price, 0)
+        return len(far)
 
     def row(self) -> dict:
         return {
-            "valid": self.valid, "reason": self.reason, "last_id": self.last_id, "bid": max(self.bids, default=None), "ask": min(self.asks, default=None), "bid_levels": len(self.bids), "ask_levels": len(self.asks),
+            "valid": self.valid, "reason": self.reason, "last_id": self.last_id, "bid": self.bids.best(), "ask": self.asks.best(), "bid_levels": len(self.bids), "ask_levels": len(self.asks),
             "applied": self.applied, "dropped": self.dropped, "gaps": self.gaps, "crossed": self.crossed, "resyncs": self.resyncs, "unknown_removals": self.unknown_removals,
         }
 
@@ -302,6 +459,57 @@ def replay(events: DataFrame) -> DataFrame:
     return events.repartition("symbol").sortWithinPartitions("symbol", "arrival").mapInPandas(run, schema)
 
 
+class Sampler:
+    """A book and the clock that reads it: a record for each `every_ms` of receipt time while the book is valid.
+
+    A book of which nothing came for stale_ms is invalidated at the next tick, and no record is
+    given until a snapshot and a covering event have made it valid again.
+    """
+
+    def __init__(self, book: Book, every_ms: int, stale_ms: int, last_ms: int | None = None) -> None:
+        self.book, self.every_ms, self.stale_ms, self.last_ms = book, every_ms, stale_ms, last_ms
+
+    def ticks(self, now: int) -> Iterator[tuple]:
+        """(at, *FEATURES) of the ticks after the last event and not after now."""
+        if self.last_ms is None:
+            return
+        at = (self.last_ms // self.every_ms + 1) * self.every_ms
+        while at <= now and self.book.valid:
+            if at - self.last_ms > self.stale_ms:
+                self.book.invalidate("stale")
+                return
+            if self.book.uncrossed():
+                for found in features(self.book.bids.levels(), self.book.asks.levels()):
+                    yield (at, *found)
+            at += self.every_ms
+
+    def feed(self, row: dict) -> Iterator[tuple]:
+        """Records due before the event (kind, recv_ms, ..), which is then taken."""
+        yield from self.ticks(row["recv_ms"] - 1)
+        fed(self.book, row["kind"], row)
+        self.last_ms = row["recv_ms"]
+
+
+def second_features(events: DataFrame, every_ms: int = 1000, stale_ms: int = 5000) -> DataFrame:
+    """symbol, at and FEATURES at each second while a symbol's book is valid and fresh.
+
+    events: as for replay(), with recv_ms, the time of receipt.
+    """
+    schema = f"symbol string, at long, {FEATURES}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, sampler = None, Sampler(Book(), every_ms, stale_ms)
+        for pdf in frames:
+            out = []
+            for row in pdf.to_dict("records"):
+                if row["symbol"] != symbol:
+                    symbol, sampler = row["symbol"], Sampler(Book(), every_ms, stale_ms)
+                out += [(symbol, *found) for found in sampler.feed(row)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return events.repartition("symbol").sortWithinPartitions("symbol", "arrival").mapInPandas(run, schema)
+
+
 def sequence_epochs(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Continuity of update ids: duplicates dropped, then runs between gaps, one row per run."""
     w = W.partitionBy(*keys).orderBy("last_id")

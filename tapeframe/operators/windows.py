@@ -142,17 +142,26 @@ def forward_excursions(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return df.withColumn("mae", F.when(enough, F.min("low").over(ahead) / F.col("close") - 1)).withColumn("mfe", F.when(enough, F.max("high").over(ahead) / F.col("close") - 1))
 
 
-def flow(trades: DataFrame, keys: list[str], widths_ms: list[int]) -> DataFrame:
-    """trades with buy_<w>, sell_<w>, n_<w> and afi_<w>: notional of each side in the last w ms, and its imbalance."""
+def flow(trades: DataFrame, keys: list[str], widths_ms: list[int], samples: DataFrame | None = None, block_ms: int = 3_600_000) -> DataFrame:
+    """trades, or samples (keys, t), with buy_<w>, sell_<w>, n_<w> and afi_<w>: notional of each side in the last w ms, and its imbalance.
+
+    Both ends of a window count. Trades are dealt by blocks of time, each with a halo of the
+    widest window before it, so that a busy key is many tasks.
+    """
     quote = F.col("px") * F.col("qty")
-    buy, sell = F.when(F.col("aggressive_buy"), quote).otherwise(0.0), F.when(~F.col("aggressive_buy"), quote).otherwise(0.0)
-    out = trades
+    sides = {"__buy": F.when(F.col("aggressive_buy"), quote).otherwise(0.0), "__sell": F.when(~F.col("aggressive_buy"), quote).otherwise(0.0), "__one": F.lit(1)}
+    rows = trades.withColumns(sides | {"__own": F.lit(samples is None)})
+    if samples is not None:
+        rows = rows.select(*keys, "t", *sides, "__own").unionByName(samples.withColumns({"__buy": F.lit(0.0), "__sell": F.lit(0.0), "__one": F.lit(0), "__own": F.lit(True)}), allowMissingColumns=True)
+    block_ms = max(block_ms, *widths_ms)
+    block = F.floor(F.col("t") / block_ms)
+    rows = rows.withColumn("__block", F.explode(F.array_compact(F.array(block, F.when(F.col("t") + max(widths_ms) >= (block + 1) * block_ms, block + 1)))))
     for ms in widths_ms:
-        w = W.partitionBy(*keys).orderBy("t").rangeBetween(-ms, 0)
-        out = out.withColumn(f"buy_{ms}", F.sum(buy).over(w)).withColumn(f"sell_{ms}", F.sum(sell).over(w)).withColumn(f"n_{ms}", F.count("*").over(w))
+        w = W.partitionBy(*keys, "__block").orderBy("t").rangeBetween(-ms, 0)
+        rows = rows.withColumn(f"buy_{ms}", F.sum("__buy").over(w)).withColumn(f"sell_{ms}", F.sum("__sell").over(w)).withColumn(f"n_{ms}", F.sum("__one").over(w))
         total = F.col(f"buy_{ms}") + F.col(f"sell_{ms}")
-        out = out.withColumn(f"afi_{ms}", F.when(total > 0, (F.col(f"buy_{ms}") - F.col(f"sell_{ms}")) / total).otherwise(0.0))
-    return out
+        rows = rows.withColumn(f"afi_{ms}", F.when(total > 0, (F.col(f"buy_{ms}") - F.col(f"sell_{ms}")) / total).otherwise(0.0))
+    return rows.filter(F.col("__own") & (F.col("__block") == block)).drop(*sides, "__own", "__block")
 
 
 def autocovariances(df: DataFrame, keys: list[str], value: str, lags: int) -> DataFrame:

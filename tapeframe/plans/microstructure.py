@@ -10,7 +10,7 @@ from tapeframe.operators import alignment, book as ops, windows
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
-EVERY = 43_200_000  # samples twice a day
+EVERY = 1000  # a record for each second with updates
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession) -> DataFrame:
-    rows = [("PART", side, float(n)) for side in ("BUY", "SELL") for n in (500, 10_000, 50_000, 1e9, 0, -5)]
+    rows = [("PART", side, float(n)) for side in ("BUY", "SELL") for n in (500, 10_000, 50_000, 1e9, 0, -5)] + [("NONE", "BUY", 500.0)]
     return spark.createDataFrame(rows, "symbol string, order_side string, notional double")
 
 
@@ -33,10 +33,11 @@ def book_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of several sizes, graded without a limit and against limits that a user set."""
     found = ops.with_fees(ops.walk(_levels(spark, sf_dir), ["symbol"], _orders(spark)))
-    keep = ["mid", "filled", "side_notional", "vwap", "worst", "slippage_bp", "half_spread_bp", "impact_bp", "consumed", "all_in_bp", "round_trip_bp", "cost_A", "cost_B", "cost_C", "cost_M"]
-    graded = ops.verdict(F.lit(True), F.col("complete"), F.col("notional") > 0, F.col("all_in_bp"))
-    return found.select("order_side", "notional", "complete", "levels_used", *[rounded(c, 4).alias(c) for c in keep], ops.cost_band(F.col("all_in_bp")).alias("band"), graded.alias("verdict"))
+    keep = ["mid", "best", "filled", "unfilled", "side_notional", "vwap", "worst", "slippage_bp", "half_spread_bp", "impact_bp", "consumed_pct", "all_in_bp", "all_in_usd", "round_trip_bp", "cost_A", "cost_B", "cost_C", "cost_M"]
+    graded = [ops.verdict(F.col("ok"), F.col("complete"), F.col("all_in_bp"), F.lit(limit).cast("double")).alias(name) for name, limit in (("verdict", None), ("verdict_8", 8), ("verdict_500", 500))]
+    return found.select("symbol", "order_side", "notional", "ok", "reason", "complete", "levels_used", *[rounded(c, 4).alias(c) for c in keep], ops.cost_band(F.col("all_in_bp")).alias("band"), *graded)
 
 
 def exec_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,41 +48,49 @@ def exec_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("symbol", *[F.col("exec")[f"{s}_{n}"]["vwap"].alias(f"vwap_{s}_{n}") for s in ("BUY", "SELL") for n in (10000, 50000)])
 
 
-def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = tables.depth_updates(spark, sf_dir)
-    at = updates.select("symbol", (F.floor(F.col("t") / EVERY) * EVERY + EVERY).cast("long").alias("at")).distinct()
-    return ops.book_at(updates, ["symbol"], at, EVERY)
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of each second with updates."""
+    return tables.depth_updates(spark, sf_dir).select("symbol", (F.floor(F.col("t") / EVERY) * EVERY + EVERY).cast("long").alias("at")).distinct()
+
+
+def _sampled(spark: SparkSession, sf_dir: str, measure, schema: str) -> DataFrame:
+    return ops.sampled(tables.depth_updates(spark, sf_dir), ["symbol"], _samples(spark, sf_dir), measure, schema, 86_400_000)
+
+
+def _sides(bids: list, asks: list) -> list[tuple]:
+    return [(side, len(x), min(x)[0], max(x)[0], sum(q for _, q in x)) for side, x in (("bid", bids), ("ask", asks)) if x]
+
+
+def _three_best(bids: list, asks: list) -> list[tuple]:
+    return [(side, n, price, qty) for side, x in (("bid", bids), ("ask", asks)) for n, (price, qty) in enumerate(x[:3], 1)]
 
 
 def book_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels in force twice a day: counts, best prices, sizes."""
-    return _sampled(spark, sf_dir).groupBy("symbol", "at", "side").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"), F.sum("qty").alias("qty"))
+    """Levels in force at each second: counts, lowest and highest price, size."""
+    return _sampled(spark, sf_dir, _sides, "side string, n long, low double, high double, qty double")
 
 
 def book_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best levels of each side of each sample."""
-    w = windows.W.partitionBy("symbol", "at", "side").orderBy(F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price")))
-    return _sampled(spark, sf_dir).withColumn("n", F.row_number().over(w)).filter("n <= 3")
+    """The three best levels of each side at each second."""
+    return _sampled(spark, sf_dir, _three_best, "side string, n int, price double, qty double")
 
 
 def liquidity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Liquidity and pressure words of the sampled books."""
-    found = ops.depth_features(_sampled(spark, sf_dir), ["symbol", "at"])
-    near = F.col("bid_within10bp") + F.col("ask_within10bp")
-    return found.select("at", rounded("spread_bp", 4).alias("spread_bp"), rounded("imbalance_top5", 4).alias("imbalance"), ops.liquidity(F.col("spread_bp"), near * 100).alias("state"), ops.pressure(F.col("imbalance_top5")).alias("pressure"))
+    """Liquidity and pressure words of the book at each second."""
+    found = _sampled(spark, sf_dir, ops.features, ops.FEATURES)
+    near = F.col("bid_within5bp") + F.col("ask_within5bp")
+    return found.select("at", rounded("spread_bp", 4).alias("spread_bp"), rounded("imbalance_top5", 4).alias("imbalance"), rounded(near, 4).alias("near"), ops.liquidity(F.col("spread_bp"), near).alias("state"), ops.pressure(F.col("imbalance_top5")).alias("pressure"))
 
 
 def flow_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of the sampled books with the flow of the hour before."""
-    found = ops.depth_features(_sampled(spark, sf_dir), ["symbol", "at"]).withColumn("k", F.lit(1))
-    tape = tables.tape(spark, sf_dir).withColumn("k", F.lit(1))
-    width = 6 * 3_600_000
-    quote = F.col("px") * F.col("qty")
-    hour = tape.withColumn("at", (F.floor(F.col("t") / EVERY) * EVERY + EVERY).cast("long")).filter(F.col("t") >= F.col("at") - width)
-    flow = hour.groupBy("at").agg(F.sum(F.when(F.col("aggressive_buy"), quote).otherwise(-quote)).alias("signed"), F.sum(quote).alias("gross"))
-    rows = found.join(flow, "at").withColumn("afi", F.when(F.col("gross") > 0, F.col("signed") / F.col("gross")).otherwise(0.0))
-    out = ops.interactions(rows, "signed", "afi")
-    return out.select("at", *[rounded(c, 4).alias(c) for c in ("signed", "afi", "pressure_to_capacity", "flow_over_opposite", "flow_imbalance", "flow_fragility")])
+    """Depth of the book at each second with the flow of the five seconds before."""
+    found = _sampled(spark, sf_dir, ops.features, ops.FEATURES)
+    tape = tables.tape(spark, sf_dir).withColumn("symbol", F.lit("BOOK"))
+    flow = windows.flow(tape, ["symbol"], list(ops.FLOW_MS), _samples(spark, sf_dir).withColumnRenamed("at", "t"))
+    rows = found.join(flow.withColumnRenamed("t", "at"), ["symbol", "at"])
+    out = ops.interactions(rows, "buy_5000", "sell_5000", "afi_5000")
+    shown = [f"{c}_{ms}" for ms in ops.FLOW_MS for c in ("buy", "sell", "afi")] + ["pressure_to_capacity", "flow_over_opposite", "flow_imbalance", "flow_fragility"]
+    return out.select("at", *[f"n_{ms}" for ms in ops.FLOW_MS], *[rounded(c, 4).alias(c) for c in shown])
 
 
 def batched_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,36 +185,46 @@ fx as (select *, ask - bid as spread, (ask - bid) / mid * 1e4 as spread_bp, (bid
 
 _LEV = "lev as (select 'PART' as symbol, * from levels)"
 _NUM = ["bid", "ask", "mid", "bid_qty", "ask_qty", *[f"{s}_{k}" for s in ("bid", "ask") for k in ("top1", "top5", "top10", "within1bp", "within2bp", "within5bp", "within10bp", "weighted")], "spread", "spread_bp", "microprice", "imbalance_top1", "imbalance_top5", "imbalance_top10", "imbalance_weighted", "bid_slope", "ask_slope"]
-_WALK = """ord as (select * from (values ('BUY'), ('SELL')) a(order_side), (values (500.0::double), (10000.0), (50000.0), (1e9), (0.0), (-5.0)) b(notional)),
-bst as (select max(price) filter (where side = 'bid') as bid, min(price) filter (where side = 'ask') as ask from levels),
+_WALK = """ord as (select 'PART' as symbol, * from (values ('BUY'), ('SELL')) a(order_side), (values (500.0::double), (10000.0), (50000.0), (1e9), (0.0), (-5.0)) b(notional) union all values ('NONE', 'BUY', 500.0::double)),
+bst as (select 'PART' as symbol, max(price) filter (where side = 'bid') as bid, min(price) filter (where side = 'ask') as ask from levels),
 wk as (select o.*, l.price, l.price * l.qty as v, coalesce(sum(l.price * l.qty) over (partition by order_side, notional order by case when side = 'ask' then price else -price end rows between unbounded preceding and 1 preceding), 0) as before
- from ord o join levels l on l.side = case when order_side = 'BUY' then 'ask' else 'bid' end),
-tk as (select *, case when greatest(0, least(v, notional - before)) > 1e-9 then greatest(0, least(v, notional - before)) else 0 end as take from wk),
-gr as (select order_side, notional, sum(take) as filled, sum(take / price) as base, count(*) filter (where take > 0) as levels_used, sum(v) as side_notional, case when order_side = 'BUY' then max(price) filter (where take > 0) else min(price) filter (where take > 0) end as worst from tk group by order_side, notional),
-ou as (select *, (bid + ask) / 2 as mid, notional > 0 and filled >= notional - 1e-6 as complete, case when order_side = 'BUY' then 1 else -1 end as sg from gr, bst),
-vw as (select *, case when complete then filled / base end as vwap from ou),
-sl as (select *, sg * (vwap - mid) / mid * 1e4 as slippage_bp from vw)"""
+ from ord o join levels l on o.symbol = 'PART' and l.side = case when order_side = 'BUY' then 'ask' else 'bid' end where notional > 0),
+tk as (select *, case when notional - before > 1e-9 then least(v, notional - before) else 0 end as take from wk),
+gr as (select symbol, order_side, notional, sum(take) as filled, sum(take / price) as base, count(*) filter (where take > 0) as levels_used, sum(v) as side_notional, case when order_side = 'BUY' then max(price) filter (where take > 0) else min(price) filter (where take > 0) end as worst from tk group by symbol, order_side, notional),
+ou as (select ord.*, bid, ask, filled, base, levels_used, side_notional, worst, case when bid is null or ask is null then 'book empty' when not notional > 0 then 'notional must be positive' end as reason, case when order_side = 'BUY' then 1 else -1 end as sg
+ from ord left join bst using (symbol) left join gr using (symbol, order_side, notional)),
+vw as (select *, reason is null as ok, coalesce(reason is null and notional - filled <= 1e-6, false) as complete, case when reason is null then (bid + ask) / 2 end as mid, case when reason is null then filled / base end as vwap from ou),
+sl as (select *, case when complete then sg * (vwap - mid) / mid * 1e4 end as slippage_bp, case when ok then (ask - bid) / 2 / mid * 1e4 end as half_bp from vw)"""
 _R4 = lambda x: q.r(x, 4)
-_Q = 'case when aggressive_buy then px * qty else -px * qty end'
 
 SQL = {
     "book_features": q.with_(q.LEVELS, _LEV, _features("lev", "symbol")) + "select symbol, bid_levels, ask_levels, " + ", ".join(f"{_R4(c)} as {c}" for c in _NUM) + f", {_R4('(microprice - mid) / mid * 1e4')} as displacement_bp from fx",
-    "book_audit": q.with_(q.LEVELS, _LEV) + "select 'PART' as symbol, count(*) = count(distinct (side, price)) as strict, max(price) filter (where side = 'bid') < min(price) filter (where side = 'ask') as uncrossed, min(qty) > 0 as positive, (select count(*) from lev, (select (max(price) filter (where side = 'bid') + min(price) filter (where side = 'ask')) / 2 as m from lev) where abs(price - m) <= m * 0.02) as n_near from lev",
+    "book_audit": q.with_(q.LEVELS, _LEV, "pp as (select symbol, side, price, count(*) as n, min(qty) as least from lev group by all)")
+    + """select 'PART' as symbol, max(n) = 1 as strict, max(price) filter (where side = 'bid') < min(price) filter (where side = 'ask') as uncrossed, min(least) > 0 as positive, count(*) filter (where side = 'bid') as bid_levels, count(*) filter (where side = 'ask') as ask_levels,
+ max(n) = 1 and max(price) filter (where side = 'bid') < min(price) filter (where side = 'ask') and min(least) > 0 as ok, (select count(*) from lev, (select (max(price) filter (where side = 'bid') + min(price) filter (where side = 'ask')) / 2 as m from lev) where case when side = 'bid' then price >= m * 0.98 else price <= m * 1.02 end) as n_near from pp""",
     "walk_book": q.with_(q.LEVELS, _WALK)
-    + f"""select order_side, notional, complete, levels_used, {_R4('mid')} as mid, {_R4('filled')} as filled, {_R4('side_notional')} as side_notional, {_R4('vwap')} as vwap, {_R4('case when complete then worst end')} as worst, {_R4('slippage_bp')} as slippage_bp,
- {_R4('case when complete then (ask - bid) / 2 / mid * 1e4 end')} as half_spread_bp, {_R4("sg * (vwap - case when order_side = 'BUY' then ask else bid end) / mid * 1e4")} as impact_bp, {_R4('filled / side_notional')} as consumed, {_R4('slippage_bp + 5')} as all_in_bp, {_R4('2 * (slippage_bp + 5)')} as round_trip_bp,
- {_R4('10 + 2 * slippage_bp')} as "cost_A", 14.0::double as "cost_B", 20.0::double as "cost_C", 4.0::double as "cost_M", case when slippage_bp is null then 'UNKNOWN' when slippage_bp + 5 <= 6 then 'LOW' when slippage_bp + 5 <= 12 then 'NORMAL' else 'HIGH' end as band,
- case when notional <= 0 then 'NOT GRADED' when complete and slippage_bp + 5 <= 8 then 'GOOD' else 'POOR' end as verdict from sl""",
+    + f"""select symbol, order_side, notional, ok, reason, complete, levels_used, {_R4('mid')} as mid, {_R4("case when ok then case when order_side = 'BUY' then ask else bid end end")} as best, {_R4('filled')} as filled, {_R4('case when ok then notional - filled end')} as unfilled, {_R4('side_notional')} as side_notional, {_R4('vwap')} as vwap, {_R4('case when ok then worst end')} as worst,
+ {_R4('slippage_bp')} as slippage_bp, {_R4('half_bp')} as half_spread_bp, {_R4('slippage_bp - half_bp')} as impact_bp, {_R4('case when ok then filled / side_notional * 100 end')} as consumed_pct, {_R4('slippage_bp + 5')} as all_in_bp, {_R4('(slippage_bp + 5) / 10000 * notional')} as all_in_usd, {_R4('2 * (slippage_bp + 5)')} as round_trip_bp,
+ {_R4('10 + 2 * slippage_bp')} as "cost_A", case when complete then 14.0::double end as "cost_B", case when complete then 20.0::double end as "cost_C", case when complete then 4.0::double end as "cost_M",
+ case when slippage_bp is null then 'UNKNOWN' when slippage_bp + 5 <= 6 then 'LOW' when slippage_bp + 5 <= 12 then 'NORMAL' else 'HIGH' end as band,
+ case when not ok then 'UNKNOWN' when not complete then 'POOR' else 'NOT GRADED' end as verdict, case when not ok then 'UNKNOWN' when not complete then 'POOR' when slippage_bp + 5 <= 8 then 'GOOD' else 'POOR' end as verdict_8,
+ case when not ok then 'UNKNOWN' when not complete then 'POOR' when slippage_bp + 5 <= 500 then 'GOOD' else 'POOR' end as verdict_500 from sl""",
     "exec_grid": q.with_(q.LEVELS, _WALK) + "select 'PART' as symbol, " + ", ".join(f"max({_R4('vwap')}) filter (where order_side = '{s}' and notional = {n}) as \"vwap_{s}_{n}\"" for s in ("BUY", "SELL") for n in (10000, 50000)) + " from sl",
     "book_asof": _UPD + 'select symbol, "at", side, count(*) as n, min(price) as low, max(price) as high, sum(qty) as qty from lv group by 1, 2, 3',
-    "book_top": _UPD + "select * from (select *, row_number() over (partition by \"at\", side order by case when side = 'bid' then -price else price end) as n from lv) where n <= 3",
+    "book_top": _UPD + "select symbol, \"at\", side, n::int as n, price, qty from (select *, row_number() over (partition by \"at\", side order by case when side = 'bid' then -price else price end) as n from lv) where n <= 3",
     "liquidity_state": q.with_(q.UPDATES, _AT, _features("lv", 'symbol, "at"'))
-    + f""", s as (select *, (bid_within10bp + ask_within10bp) * 100 as near from fx) select "at", {_R4('spread_bp')} as spread_bp, {_R4('imbalance_top5')} as imbalance, case when spread_bp <= 1 and near > 2000000 then 'DEEP' when spread_bp > 8 or near < 75000 then 'VERY THIN' when spread_bp > 3 or near < 250000 then 'THIN' else 'NORMAL' end as state,
- case when imbalance_top5 >= 0.15 then 'BUY' when imbalance_top5 <= -0.15 then 'SELL' else 'BALANCED' end as pressure from s""",
+    + f""", s as (select *, bid_within5bp + ask_within5bp as near from fx) select "at", {_R4('spread_bp')} as spread_bp, {_R4('imbalance_top5')} as imbalance, {_R4('near')} as near,
+ case when spread_bp <= 1 and near > 2000000 then 'DEEP' when spread_bp > 8 or near < 75000 then 'VERY THIN' when spread_bp > 3 or near < 250000 then 'THIN' else 'NORMAL' end as state,
+ case when imbalance_top5 > 0.15 then 'MORE RESTING BIDS' when imbalance_top5 < -0.15 then 'MORE RESTING ASKS' else 'BALANCED' end as pressure from s""",
     "flow_interactions": q.with_(q.TAPE, q.UPDATES, _AT, _features("lv", 'symbol, "at"'))
-    + f""", fl as (select a as "at", sum({_Q}) as signed, sum(px * qty) as gross from (select *, (t // {EVERY}) * {EVERY} + {EVERY} as a from tape) where t >= a - 21600000 group by 1),
-j as (select fx.*, signed, case when gross > 0 then signed / gross else 0 end as afi, case when bid_within2bp > 0 then bid_within2bp else bid_top5 end as nb, case when ask_within2bp > 0 then ask_within2bp else ask_top5 end as na from fx join fl using ("at"))
-select "at", {_R4('signed')} as signed, {_R4('afi')} as afi, {_R4('abs(signed) / greatest(nb + na, 1)')} as pressure_to_capacity, {_R4('signed / greatest(case when signed >= 0 then na else nb end, 1)')} as flow_over_opposite, {_R4('afi * imbalance_top5')} as flow_imbalance, {_R4('afi * spread_bp / greatest(nb + na, 1) * 1e6')} as flow_fragility from j""",
+    + ", fl as (select s.at_ as \"at\", "
+    + ", ".join(f"count(t) filter (where t >= s.at_ - {w}) as n_{w}, coalesce(sum(px * qty) filter (where aggressive_buy and t >= s.at_ - {w}), 0) as buy_{w}, coalesce(sum(px * qty) filter (where not aggressive_buy and t >= s.at_ - {w}), 0) as sell_{w}" for w in ops.FLOW_MS)
+    + " from samples s left join tape on t between s.at_ - 30000 and s.at_ group by 1), af as (select *, "
+    + ", ".join(f"case when buy_{w} + sell_{w} > 0 then (buy_{w} - sell_{w}) / (buy_{w} + sell_{w}) else 0 end as afi_{w}" for w in ops.FLOW_MS)
+    + f""" from fl), j as (select af.*, spread_bp, imbalance_top5, case when bid_within2bp > 0 then bid_within2bp else bid_top5 end as nb, case when ask_within2bp > 0 then ask_within2bp else ask_top5 end as na from fx join af using ("at"))
+select "at", {', '.join(f'n_{w}' for w in ops.FLOW_MS)}, {', '.join(f"{_R4(f'{c}_{w}')} as {c}_{w}" for w in ops.FLOW_MS for c in ('buy', 'sell', 'afi'))},
+ {_R4('case when na > 0 or nb > 0 then buy_5000 / greatest(1, na) - sell_5000 / greatest(1, nb) else 0 end')} as pressure_to_capacity, {_R4('case when buy_5000 >= sell_5000 then (buy_5000 - sell_5000) / greatest(1, na) else (buy_5000 - sell_5000) / greatest(1, nb) end')} as flow_over_opposite,
+ {_R4('afi_5000 * imbalance_top5')} as flow_imbalance, {_R4('afi_5000 * (spread_bp / greatest(1e-9, (nb + na) / 1e6))')} as flow_fragility from j""",
     "batched_updates": q.with_(q.UPDATES) + "select t // 3600000 as batch, side, price, max(seq) as seq, arg_max(qty, seq) as qty from updates group by 1, 2, 3",
     "sequence_epochs": "with s as (select event_id as last_id, event_id - 1 as prev_id, case when event_id % 53 = 0 then 1 else 0 end as d from events where event_id % 97 <> 0), g as (select *, coalesce(prev_id <> lag(last_id) over (order by last_id), false) as gap from s), e as (select *, sum(gap::int) over (order by last_id) as epoch from g) select 'BOOK' as symbol, epoch, min(last_id) as first_id, max(last_id) as last_id, count(*) as n, sum(d) as n_duplicates from e group by epoch",
     "prospective_boundary": q.with_(q.TAPE, q.B4H) + ", f as (select symbol, min(t) as boundary from b4h where t > 1704844800000 and trades >= 10 group by symbol) select b.symbol, b.t, boundary, case when coalesce(b.t >= boundary, false) then 'prospective' else 'warmup' end as phase from b4h b left join f using (symbol)",

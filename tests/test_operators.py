@@ -120,11 +120,11 @@ def fresh():
 
 def test_book_normal_duplicate_gap():
     b = fresh()
-    assert b.valid and b.bids == {99.0: 10.0, 98.0: 5.0}
+    assert b.valid and b.bids.qty == {99.0: 10.0, 98.0: 5.0}
     b.update(event(100, 101, 99))
     assert b.valid and b.dropped == 1
     b.update(event(105, 106, 104, ("bid", 97.0, 1.0)))
-    assert not b.valid and b.gaps == 1 and 97.0 not in b.bids and b.pending == [] and b.resyncs == 1
+    assert not b.valid and b.gaps == 1 and 97.0 not in b.bids.qty and b.pending == [] and b.resyncs == 1
     b.update(event(107, 107, 106))
     assert len(b.pending) == 1
 
@@ -134,7 +134,7 @@ def test_book_snapshot_race_and_unbracketed():
     for k in (99, 100, 101):
         b.update(event(k, k, k - 1, ("bid", float(k), 1.0)))
     b.snapshot(100, [("ask", 200.0, 1.0)])
-    assert b.valid and b.last_id == 101 and b.dropped == 1 and b.bids == {100.0: 1.0, 101.0: 1.0}
+    assert b.valid and b.last_id == 101 and b.dropped == 1 and b.bids.qty == {100.0: 1.0, 101.0: 1.0}
     b = book.Book()
     b.update(event(150, 151, 149))
     b.snapshot(100, [])
@@ -149,16 +149,159 @@ def test_book_crossed_unknown_removal_and_disconnect():
     assert not b.valid and b.crossed == 1
     b = fresh()
     b.invalidate("disconnect")
-    assert b.resyncs == 1 and b.last_id is None and b.bids
+    assert b.resyncs == 1 and b.last_id is None and len(b.bids)
+
+
+def test_ladder_is_a_sorted_map():
+    r, side, plain = random.Random(3), book.Ladder("bid"), {}
+    for _ in range(3000):
+        price, qty = float(r.randint(1, 60)), float(r.choice([0, 0, 1, 2]))
+        assert side.set(price, qty) == (price in plain or qty > 0)
+        plain.pop(price, None) if not qty else plain.__setitem__(price, qty)
+        assert side.best() == max(plain, default=None)
+    assert side.levels() == sorted(plain.items(), reverse=True)
+
+
+def test_vendor_feed_and_pruning():
+    b = book.Book()
+    b.vendor(1, False, [("bid", 90.0, 1.0)])
+    assert not b.valid and b.dropped == 1
+    b.vendor(2, True, [("bid", 99.0, 1.0)])
+    b.vendor(2, True, [("ask", 101.0, 1.0), ("ask", 150.0, 1.0), ("bid", 98.0, 1.0)])
+    assert not b.valid and len(b.bids) == 2
+    b.vendor(3, False, [("bid", 98.0, 0.0)])
+    assert b.valid and b.applied == 1 and len(b.bids) == 1
+    b.vendor(1, False, [("bid", 90.0, 5.0)])
+    assert b.valid and b.regressions == 1
+    assert b.prune() == 2 and b.bids.levels() == [(99.0, 1.0)] and b.asks.levels() == [(101.0, 1.0)]
+    b.vendor(4, False, [("bid", 102.0, 1.0)])
+    assert b.valid and not b.uncrossed() and not b.valid and b.crossed == 1
+    b.vendor(5, True, [("bid", 1.0, 1.0)])
+    assert b.bids.levels() == [(1.0, 1.0)] and not len(b.asks)
 
 
 def test_walk_partial_and_complete(spark):
-    levels = spark.createDataFrame([("X", s, float(p), 10.0) for s, p in (("bid", 99), ("bid", 98), ("bid", 97), ("ask", 101), ("ask", 102), ("ask", 103))], "symbol string, side string, price double, qty double")
-    orders = spark.createDataFrame([("X", "BUY", n) for n in (500.0, 1520.0, 1e9, 0.0, -5.0)], "symbol string, order_side string, notional double")
-    got = {r.notional: r for r in book.walk(levels, ["symbol"], orders).collect()}
-    assert got[500.0].vwap == 101.0 and got[500.0].levels_used == 1 and got[1520.0].levels_used == 2
-    assert math.isclose(got[1520.0].vwap, 1520 / (10 + 510 / 102))
-    assert got[1e9].complete is False and got[1e9].slippage_bp is None and got[0.0].complete is False and got[-5.0].levels_used == 0
+    levels = spark.createDataFrame([("X", s, float(p), 10.0) for s, p in (("bid", 99), ("bid", 98), ("bid", 97), ("ask", 101), ("ask", 102), ("ask", 103))] + [("Y", "bid", 5.0, 1.0)], "symbol string, side string, price double, qty double")
+    orders = spark.createDataFrame([("X", "BUY", n) for n in (500.0, 1520.0, 1e9, 0.0, -5.0)] + [("X", "SELL", 990.0), ("Y", "BUY", 1.0)], "symbol string, order_side string, notional double")
+    found = book.with_fees(book.walk(levels, ["symbol"], orders)).withColumn("v", book.verdict(F.col("ok"), F.col("complete"), F.col("all_in_bp"), F.lit(106.0))).withColumn("u", book.verdict(F.col("ok"), F.col("complete"), F.col("all_in_bp"), F.lit(None).cast("double")))
+    got = {(r.symbol, r.order_side, r.notional): r for r in found.collect()}
+    a, b, c = (got["X", "BUY", n] for n in (500.0, 1520.0, 1e9))
+    assert a.vwap == 101.0 and a.levels_used == 1 and b.levels_used == 2 and math.isclose(b.vwap, 1520 / (10 + 510 / 102))
+    assert math.isclose(a.slippage_bp, 100.0) and math.isclose(a.half_spread_bp, 100.0) and math.isclose(a.impact_bp, 0, abs_tol=1e-9) and math.isclose(a.all_in_usd, 105.0 / 1e4 * 500)
+    assert math.isclose(a.consumed_pct, 500 / 3060 * 100) and (a.v, a.u, b.v, b.u) == ("GOOD", "NOT GRADED", "POOR", "NOT GRADED")
+    assert c.ok and not c.complete and c.slippage_bp is None and c.cost_B is None and c.levels_used == 3 and c.worst == 103.0 and math.isclose(c.vwap, 3060 / 30) and math.isclose(c.consumed_pct, 100) and (c.v, c.u) == ("POOR", "POOR")
+    assert math.isclose(got["X", "SELL", 990.0].vwap, 99.0)
+    assert {(got[k].ok, got[k].reason, got[k].v) for k in (("X", "BUY", 0.0), ("X", "BUY", -5.0))} == {(False, "notional must be positive", "UNKNOWN")}
+    assert (got["Y", "BUY", 1.0].ok, got["Y", "BUY", 1.0].reason, got["Y", "BUY", 1.0].mid) == (False, "book empty", None)
+
+
+def test_audit_finds_what_is_wrong(spark):
+    rows = [("ok", "bid", 1.0, 1.0), ("ok", "ask", 2.0, 1.0), ("twice", "bid", 1.0, 1.0), ("twice", "bid", 1.0, 2.0), ("crossed", "bid", 3.0, 1.0), ("crossed", "ask", 3.0, 1.0), ("zero", "bid", 1.0, 0.0)]
+    found = {r.symbol: (r.strict, r.uncrossed, r.positive, r.ok) for r in book.audit(spark.createDataFrame(rows, "symbol string, side string, price double, qty double"), ["symbol"]).collect()}
+    assert found == {"ok": (True, True, True, True), "twice": (False, True, True, False), "crossed": (True, False, True, False), "zero": (True, True, False, False)}
+
+
+def test_features_equal_the_declarative_ones(spark, sf):
+    levels = tables.book_levels(spark, sf).withColumn("symbol", F.lit("PART"))
+    want = book.depth_features(levels, ["symbol"]).first().asDict()
+    side = lambda name, down: sorted(((r.price, r.qty) for r in levels.filter(F.col("side") == name).collect()), reverse=down)
+    (got,) = book.features(side("bid", True), side("ask", False))
+    names = [c.split()[0] for c in book.FEATURES.split(", ")]
+    assert all(math.isclose(x, want[n], rel_tol=1e-9, abs_tol=1e-9) for n, x in zip(names, got, strict=True)) and book.features([], [(1.0, 1.0)]) == []
+
+
+def timed(spark):
+    """Events of a book that is fed for three seconds, falls silent, and is synchronised again."""
+    level = lambda side, price, qty=1.0: {"side": side, "price": price, "qty": qty}
+    rows = [("A", 1, "snapshot", 10, 10, 9, [level("bid", 99.0), level("ask", 101.0)], 500), ("A", 2, "update", 10, 11, 9, [level("bid", 99.5)], 900), ("A", 3, "update", 12, 12, 11, [level("ask", 100.5)], 2500)]
+    rows += [("A", 4, "update", 13, 13, 12, [level("bid", 40.0)], 20_000), ("A", 5, "snapshot", 13, 13, 12, [level("bid", 50.0), level("ask", 60.0)], 20_100), ("A", 6, "update", 14, 14, 13, [], 20_200), ("A", 7, "update", 15, 15, 14, [], 21_500)]
+    return spark.createDataFrame(rows, streaming.TIMED).coalesce(1)
+
+
+def test_second_features_while_valid_and_fresh(spark, tmp_path):
+    got = [(r.at, r.bid, r.ask) for r in book.second_features(timed(spark), 1000, 3000).orderBy("at").collect()]
+    assert got == [(1000, 99.5, 101.0), (2000, 99.5, 101.0), (3000, 99.5, 100.5), (4000, 99.5, 100.5), (5000, 99.5, 100.5), (21_000, 50.0, 60.0)]
+    timed(spark).filter("arrival <= 3").write.parquet(f"{tmp_path}/in/a")
+    stream = lambda: spark.readStream.schema(streaming.TIMED).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    streaming.run_to_end(spark, streaming.second_features(stream(), 1000, 3000), f"{tmp_path}/s")
+    timed(spark).filter("arrival > 3").write.parquet(f"{tmp_path}/in/b")
+    streaming.run_to_end(spark, streaming.second_features(stream(), 1000, 3000), f"{tmp_path}/s")
+    assert [(r.at, r.bid, r.ask) for r in spark.read.parquet(f"{tmp_path}/s/out").orderBy("at").collect()] == got
+
+
+def test_flow_of_blocks_equals_loops(spark):
+    r = random.Random(4)
+    trades = [("a", t, float(r.randint(1, 9)), 1.0, r.random() < 0.5) for t in sorted(r.randrange(0, 20_000) for _ in range(300))]
+    df = spark.createDataFrame(trades, "k string, t long, px double, qty double, aggressive_buy boolean")
+    samples = spark.createDataFrame([("a", t) for t in range(0, 21_000, 500)], "k string, t long")
+    for block in (1000, 10**9):
+        for row in windows.flow(df, ["k"], [500, 3000], samples, block).collect():
+            for w in (500, 3000):
+                inside = [x for x in trades if row.t - w <= x[1] <= row.t]
+                buy, sell = (sum(x[2] for x in inside if x[4] == side) for side in (True, False))
+                assert (row[f"n_{w}"], row[f"buy_{w}"], row[f"sell_{w}"]) == (len(inside), buy, sell) and math.isclose(row[f"afi_{w}"], (buy - sell) / (buy + sell) if buy + sell else 0, abs_tol=1e-12)
+        assert windows.flow(df, ["k"], [500], block_ms=block).count() == len(trades)
+
+
+class FakeHandle:
+    """State and timers of one key, as the processor sees them."""
+
+    def __init__(self):
+        self.timers, self.value, self.levels = set(), None, {}
+
+    def getValueState(self, name, schema):
+        handle = self
+        return type("Value", (), {"exists": lambda s: handle.value is not None, "get": lambda s: handle.value, "update": lambda s, v: setattr(handle, "value", v)})()
+
+    def getMapState(self, name, keys, values):
+        levels = self.levels
+        return type("Map", (), {"iterator": lambda s: iter(list(levels.items())), "removeKey": lambda s, k: levels.pop(k), "updateValue": lambda s, k, v: levels.__setitem__(k, v)})()
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_stale_timer_follows_the_last_batch():
+    """A busy book is not invalidated by timers of earlier batches; a silent one is."""
+    import pandas as pd
+
+    level = lambda side, price, qty=1.0: {"side": side, "price": price, "qty": qty}
+    rows = [(1, "snapshot", 10, 10, 9, [level("bid", 99.0), level("bid", 98.0), level("ask", 101.0)]), (2, "update", 10, 11, 9, [level("bid", 98.0, 0.0)]), (3, "update", 12, 12, 11, [level("ask", 100.5)])]
+    frame = lambda k: iter([pd.DataFrame(rows[k : k + 1], columns=["arrival", "kind", "first_id", "last_id", "prev_id", "levels"])])
+    at = lambda now: type("Now", (), {"getCurrentProcessingTimeInMs": lambda s: now})()
+    due = lambda when: type("Due", (), {"getExpiryTimeInMs": lambda s: when})()
+    processor, handle = streaming.BookProcessor(100), FakeHandle()
+    processor.init(handle)
+    for k, now in enumerate((1000, 1050, 1140)):
+        (out,) = processor.handleInputRows(("A",), frame(k), at(now))
+        assert handle.timers == {now + 100}
+    assert out.valid[0] and handle.levels == {("bid", 99.0): (1.0,), ("ask", 101.0): (1.0,), ("ask", 100.5): (1.0,)}
+    assert list(processor.handleExpiredTimer(("A",), at(1150), due(1150))) == []
+    (out,) = processor.handleExpiredTimer(("A",), at(1241), due(1240))
+    assert (out.valid[0], out.reason[0], out.arrival[0]) == (False, "stale", -1) and len(handle.levels) == 3
+
+
+def test_streaming_bars_flow_and_alerts(spark, tmp_path):
+    """Late rows are left out, bars and flow come once the watermark has passed, an alert is written once."""
+    put = lambda name, rows: spark.createDataFrame([("A", s, k, p, q, b) for s, k, p, q, b in rows], "symbol string, s long, trade_id long, px double, qty double, aggressive_buy boolean").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    trades = lambda: spark.readStream.schema("symbol string, s long, trade_id long, px double, qty double, aggressive_buy boolean").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in").withColumn("ts", F.timestamp_seconds("s"))
+    for name, rows in (("a", [(10, 1, 5.0, 1.0, True), (50, 2, 7.0, 2.0, False), (55, 3, 4.0, 1.0, True)]), ("b", [(200, 4, 9.0, 1.0, True)]), ("c", [(20, 5, 99.0, 1.0, True), (400, 6, 9.0, 1.0, True)])):
+        put(name, rows)
+        streaming.run_to_end(spark, streaming.bars(trades(), "60 seconds", "10 seconds"), f"{tmp_path}/bars")
+        streaming.run_to_end(spark, streaming.flow(trades(), {"30s": "30 seconds", "5s": "5 seconds"}, "5 seconds", "10 seconds"), f"{tmp_path}/flow")
+    found = [(r.t.timestamp(), r.open, r.high, r.low, r.close, r.volume) for r in spark.read.parquet(f"{tmp_path}/bars/out").orderBy("t").collect()]
+    assert found == [(0, 5.0, 7.0, 4.0, 4.0, 4.0), (180, 9.0, 9.0, 9.0, 9.0, 1.0)]
+    flow = {(r.width, int(r["at"].timestamp())): (r.buy, r.sell, r.n) for r in spark.read.parquet(f"{tmp_path}/flow/out").collect()}
+    assert flow["30s", 60] == (4.0, 14.0, 2) and flow["5s", 60] == (4.0, 0.0, 1) and flow["30s", 30] == (5.0, 0.0, 1) and ("5s", 70) not in flow
+    for epoch, texts in ((0, ["x", "x", "y"]), (1, ["y", "z"]), (1, ["y", "z"]), (2, ["x"])):
+        streaming.alerts(spark.createDataFrame([(1, t) for t in texts], "t long, text string"), f"{tmp_path}/alerts", epoch)
+    assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/alerts").collect()) == ["x", "y", "z"]
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
@@ -178,14 +321,14 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 
 def test_stream_high_water_survives_restart(spark, tmp_path):
     def put(name, ids):
-        spark.createDataFrame([("t", i) for i in ids], "k string, id long").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
-
-    rows = lambda: spark.readStream.schema("k string, id long").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    put("a", [1, 2, 3, 3])
-    streaming.run_to_end(spark, streaming.advancing(rows(), "k", "id"), f"{tmp_path}/s")
-    put("b", [2, 3, 4, 5])
-    streaming.run_to_end(spark, streaming.advancing(rows(), "k", "id"), f"{tmp_path}/s")
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/s/out").collect()) == [1, 2, 3, 4, 5]
+        spark.createDataFrame([("t", i, k) for k, i in enumerate(ids)], "k string, id long, n long").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    rows = lambda: spark.readStream.schema("k string, id long, n long").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    put("a", [1, 2, 5, 3, 3, 4])
+    streaming.run_to_end(spark, streaming.advancing(rows(), "k", "id", "n"), f"{tmp_path}/s")
+    put("b", [2, 7, 6, 5, 8])
+    streaming.run_to_end(spark, streaming.advancing(rows(), "k", "id", "n"), f"{tmp_path}/s")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/s/out").collect()) == [1, 2, 5, 7, 8]
 
 
 # ---------------------------------------------------------------- plans, statistics, texts
