@@ -62,6 +62,8 @@ CLASSES = (
     ("startswith", "EXTREME", "extreme"),
     ("startswith", "UNUSUAL", "unusual"),
     ("startswith", "ELEVATED", "unusual"),
+    ("contains", "SPIKE", "unusual"),
+    ("contains", "SURGE", "unusual"),
     ("contains", "ABOVE", "up"),
     ("contains", "BELOW", "down"),
     ("startswith", "NORMAL", "normal"),

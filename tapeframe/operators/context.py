@@ -67,20 +67,83 @@ def priority_key(priority: Column, pct: Column) -> Column:
 
 
 # Attention priority of each measure.
-PRIORITY = {"oi6": 2, "oi1": 2, "funding": 3, "premium": 4, "liquidations": 5, "etf": 7, "participation": 8, "spot_rvol": 8, "perp_rvol": 8}
+PRIORITY = {"oi6": 2, "oi1": 2, "funding": 3, "premium": 4, "long_liq": 5, "short_liq": 5, "etf": 7, "participation": 8, "spot_rvol": 8, "perp_rvol": 8}
+
+# Fixed values: |z| at which a regime's ladder enters, leaves, enters and leaves its extreme level.
+LADDERS = {"oi6": (1.0, 0.6, 2.0, 1.25), "funding": (1.5, 1.0, 2.5, 1.75), "etf": (1.0, 0.6, 2.0, 1.25), "long_liq": (1.5, 1.0, 2.5, 1.75), "short_liq": (1.5, 1.0, 2.5, 1.75)}
+# Fixed values: |z| at which an impulse is unusual, and extreme.
+IMPULSES = {"oi1": (1.0, 2.0), "premium": (2.0, 2.75), "participation": (1.0, 2.0), "spot_rvol": (1.5, 2.7), "perp_rvol": (1.5, 2.7)}
+# Distance from the 200-day mean in ranges at which the trend state enters and leaves.
+TREND = (0.5, 0.2)
+# Names of the measures in lists of anomalies, in their order; * marks an impulse.
+NAMES = {"oi6": "OI 24H", "oi1": "OI 4H *", "funding": "FUNDING", "premium": "PREMIUM *", "participation": "PARTICIP *", "spot_rvol": "SPOT RVOL *", "perp_rvol": "PERP RVOL *", "long_liq": "LONG LIQ *", "short_liq": "SHORT LIQ *", "etf": "ETF"}
 
 
 def intensity(level: Column) -> Column:
     return F.when(level >= 2, "EXTREME").when(level == 1, "UNUSUAL").otherwise("NORMAL")
 
 
-def phrase(level: Column, sign: Column, up: str, down: str, flat: str) -> Column:
-    return F.when(level == 0, "NORMAL").otherwise(F.concat(intensity(level), F.when(sign > 0, f" {up}").when(sign < 0, f" {down}").otherwise(f" {flat}")))
+def _signed(sign: Column, up: str, down: str, flat: str) -> Column:
+    return F.when(sign > 0, up).when(sign < 0, down).otherwise(flat)
+
+
+def phrase(measure: Column, level: Column, sign: Column) -> Column:
+    """What a measure's intensity and direction are called."""
+    is_in = lambda *names: measure.isin(*names)
+    word = intensity(level)
+    extreme = F.when(level >= 2, "EXTREME ").otherwise("")
+    return (
+        F.when(is_in("participation"), F.when((level == 0) | (sign == 0), "NORMAL RELATIVE ACTIVITY").otherwise(F.concat(extreme, _signed(sign, "RELATIVE SPOT SURGE", "RELATIVE PERP SURGE", ""))))
+        .when(level == 0, "NORMAL")
+        .when(is_in("oi1", "oi6"), F.concat(word, _signed(sign, " EXPANSION", " REDUCTION", " FLAT")))
+        .when(is_in("funding"), F.concat(F.when(level >= 2, "EXTREME").otherwise("ELEVATED"), _signed(sign, " LONG FUNDING", " SHORT FUNDING", " FLAT FUNDING")))
+        .when(is_in("etf"), F.concat(word, _signed(sign, " INFLOW", " OUTFLOW", " FLAT")))
+        .when(is_in("premium"), F.concat(word, _signed(sign, " POSITIVE PREMIUM", " NEGATIVE PREMIUM", " FLAT PREMIUM")))
+        .when(is_in("spot_rvol", "perp_rvol"), F.when(sign == 0, "NORMAL").otherwise(F.concat(word, _signed(sign, " HIGH VOLUME", " LOW VOLUME", ""))))
+        .when(is_in("long_liq"), F.concat(extreme, F.lit("LONG LIQUIDATION SPIKE")))
+        .when(is_in("short_liq"), F.concat(extreme, F.lit("SHORT LIQUIDATION SPIKE")))
+    )
+
+
+def sentence(measure: Column, level: Column, sign: Column) -> Column:
+    """One sentence on an engaged measure: what has happened, not what follows."""
+    is_in = lambda *names: measure.isin(*names)
+    word = F.when(level >= 2, "Extreme").otherwise("Unusual")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return (
+        F.when(is_in("oi6", "oi1"), said(word, " open interest ", _signed(sign, "increase", "reduction", "move"), " over the last ", F.when(measure == "oi6", "24 hours").otherwise("4 hours"), "."))
+        .when(is_in("funding"), said("Funding is ", F.when(level >= 2, "extremely ").otherwise("unusually "), _signed(sign, "positive — longs are paying shorts.", "negative — shorts are paying longs.", "flat.")))
+        .when(is_in("premium"), said("Perpetual is trading at ", F.when(level >= 2, "an extreme ").otherwise("an unusual "), _signed(sign, "premium to spot.", "discount to spot.", "level against spot.")))
+        .when(is_in("participation"), said(F.when(sign > 0, "Spot").otherwise("Perpetual"), " activity spike relative to the other venue."))
+        .when(is_in("spot_rvol", "perp_rvol"), said(F.when(measure == "spot_rvol", "Spot").otherwise("Perpetual"), " volume is unusually ", F.when(sign > 0, "high").otherwise("low"), " for this time of day."))
+        .when(is_in("long_liq", "short_liq"), said("Large ", F.when(measure == "long_liq", "long").otherwise("short"), "-liquidation spike detected."))
+        .when(is_in("etf"), said(word, " ETF net ", _signed(sign, "inflow.", "outflow.", "flow.")))
+    )
+
+
+def positioning_word(known: Column, level: Column, sign: Column) -> Column:
+    """The positioning word of the open-interest ladder."""
+    return F.when(~known, "No data").when(level == 0, "Normal").otherwise(F.concat(F.when(level >= 2, "Extreme ").otherwise("Unusual "), _signed(sign, "build", "reduction", "flat")))
+
 
+def trend_phrase(state: Column) -> Column:
+    return F.when(state > 0, "ABOVE 200D").when(state < 0, "BELOW 200D").otherwise("NEAR 200D")
 
-def participation_phrase(level: Column, sign: Column) -> Column:
-    said = F.concat(F.when(level >= 2, "EXTREME ").otherwise(""), F.when(sign > 0, "RELATIVE SPOT SURGE").otherwise("RELATIVE PERP SURGE"))
-    return F.when((level == 0) | (sign == 0), "NORMAL RELATIVE ACTIVITY").otherwise(said)
+
+def event_priority(text: Column) -> Column:
+    """Which lines come first where not all fit: a reading order by what a line says."""
+    has, starts = text.contains, text.startswith
+    return (
+        F.when(has("STALE") | has("data available again") | has("updating"), 1).when(starts("OI "), 2).when(starts("Funding"), 3).when(starts("Premium"), 4)
+        .when(has("liquidation spike"), 5).when(starts("Slow trend"), 6).when(has("ETF"), 7).otherwise(8)
+    )
+
+
+def event_key(text: Column) -> Column:
+    """What a line is about: lines of one key are one going-on."""
+    p = event_priority(text)
+    oi = F.concat(F.lit("OI "), F.when(text.contains("reduction"), "down").when(text.contains("expansion"), "up").otherwise("flat"))
+    return F.when(p == 2, oi).when(p == 5, F.when(text.startswith("Long"), "LIQ long").otherwise("LIQ short")).when(p == 1, F.concat(F.lit("FEED "), text)).otherwise(p.cast("string"))
 
 
 def trend_score(state: Column, momentum: Column) -> Column:
@@ -104,10 +167,26 @@ def mechanics(price_change: Column, interest_change: Column) -> Column:
 
 def mechanics_sentence(price_change: Column, interest_change: Column) -> Column:
     p, o = direction(price_change), direction(interest_change)
-    said = F.concat(F.when(p > 0, "Price rose").otherwise("Price fell"), F.lit(" while open interest "), F.when(o > 0, "rose").otherwise("fell"), F.lit("."))
+    said = F.concat(
+        F.when(p > 0, "Price rose").otherwise("Price fell"), F.lit(" while open interest "), F.when(o > 0, "rose").otherwise("fell"), F.lit(". Positions were "),
+        F.when(o > 0, "added to").otherwise("reduced"), F.lit(" during the "), F.when(p > 0, "rise").otherwise("fall"), F.lit("."),
+    )
     return F.when((p == 0) | (o == 0), "").otherwise(said)
 
 
+def mechanics_note(funding: tuple[Column, Column, Column], premium: tuple[Column, Column, Column], perp_rvol: tuple[Column, Column, Column]) -> Column:
+    """What stood beside the mechanics: (value, level, direction) of funding, premium and perpetual volume."""
+
+    def part(name: str, value: Column, level: Column, sign: Column, word: Column) -> Column:
+        grade = F.when(level > 0, F.concat(F.lit(" ("), F.lower(word), F.lit(")"))).otherwise("")
+        return F.when(value.isNull(), f"{name} n/a").otherwise(F.concat(F.lit(f"{name} "), _signed(sign, "positive", "negative", "flat"), grade))
+
+    value, level, sign = perp_rvol
+    volume = F.when(value.isNull(), "perp RVOL n/a").otherwise(F.concat(F.lit("perp RVOL "), F.when((level > 0) & (sign > 0), "high").when((level > 0) & (sign < 0), "low").otherwise("normal")))
+    grade = F.when(funding[1] >= 2, "EXTREME").otherwise("ELEVATED")
+    return F.concat_ws(" · ", part("funding", *funding, grade), part("premium", *premium, intensity(premium[1])), volume)
+
+
 def packed(parts: list[tuple[Column, int]]) -> Column:
     """Digits in mixed radix: the first part is the lowest."""
     out, scale = F.lit(0).cast("long"), 1

@@ -9,13 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeframe.functions import text
-from tapeframe.functions.columns import rounded
-from tapeframe.operators import context as ops, state, windows
+from tapeframe.functions.columns import DAY, rounded
+from tapeframe.operators import context as ops, scans, state, windows
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
 SERIES = partial(windows.by, "k")
-MEASURES = ["oi1", "oi6", "premium", "participation", "spot_rvol", "perp_rvol", "funding", "etf", "liquidations"]
+MEASURES = list(ops.NAMES)
+#: Rows that a measure is compared with, and the fewest of them.
+NORM = (180, 45)
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
         rounded(ops.canonical_funding(scaled, unit)).alias("funding"),
         rounded(windows.sum_last_valid(F.when(c("oi_volume") % 2 == 0, c("perp_volume") - c("spot_volume")), 5, 90, SERIES())).alias("etf"),
         rounded(ops.liquidation_balance(c("perp_high") - c("perp_close"), c("perp_close") - c("perp_low"), F.lit(True))).alias("liquidations"),
+        rounded(c("perp_high") - c("perp_close"), 3).alias("long_liq"), rounded(c("perp_close") - c("perp_low"), 3).alias("short_liq"),
     )
 
 
@@ -45,7 +48,7 @@ def context_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _normed(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = ops.stacked(_measured(spark, sf_dir).withColumns({c: rounded(c) for c in ("spot_rvol", "perp_rvol")}), ["t"], MEASURES)
-    found = ops.normed(long, 40, 10)
+    found = ops.normed(long, *NORM)
     return found.select("t", "measure", "x", "n_valid", rounded("z", 4).alias("z"), rounded("pct", 4).alias("pct"))
 
 
@@ -53,48 +56,72 @@ def context_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normed(spark, sf_dir)
 
 
+def _by_measure(values: dict, k: int | None = None):
+    pairs = [F.lit(x) for m, v in values.items() for x in (m, v if k is None else v[k])]
+    return F.element_at(F.create_map(*pairs), F.col("measure"))
+
+
 def _levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Impulse levels, directions, extremeness and priority of each measure."""
-    rows = _normed(spark, sf_dir)
-    first = F.when(F.col("measure") == "premium", 2.0).otherwise(1.5)
-    level = F.when(F.abs("z") >= first + 0.75, 2).when(F.abs("z") >= first, 1).otherwise(0)
-    level = F.when((F.col("measure") == "liquidations") & (F.col("z") < 0), 0).otherwise(level)  # upper tail only
+    """Level (of a ladder or an impulse), direction, extremeness, priority and words of each measure."""
+    rows = state.ladder(_normed(spark, sf_dir), ["measure"], "z", *[_by_measure(ops.LADDERS, k) for k in range(4)], to="rung")
+    impulse = state.impulse(F.col("z"), _by_measure(ops.IMPULSES, 0), _by_measure(ops.IMPULSES, 1))
+    level = F.when(F.col("measure").isin(*ops.IMPULSES), impulse).otherwise(F.col("rung"))
+    upper = F.col("measure").isin("long_liq", "short_liq") & ~F.coalesce(F.col("z") > 0, F.lit(False))  # liquidations end at zero: only many are an event
     sign = F.when(F.col("measure").isin("participation", "spot_rvol", "perp_rvol"), ops.direction(F.col("z"))).otherwise(ops.direction(F.col("x")))
-    priority = F.element_at(F.create_map(*[F.lit(x) for p in ops.PRIORITY.items() for x in p]), F.col("measure"))
-    rows = rows.withColumn("level", level).withColumn("sign", sign).withColumn("ext", ops.extremeness(F.col("pct"), F.col("z"))).withColumn("key", ops.priority_key(priority, F.col("pct")))
-    said = F.when(F.col("measure") == "participation", ops.participation_phrase(F.col("level"), F.col("sign"))).when(F.col("measure").isin("oi1", "oi6"), ops.phrase(F.col("level"), F.col("sign"), "EXPANSION", "REDUCTION", "FLAT")).otherwise(ops.phrase(F.col("level"), F.col("sign"), "UP", "DOWN", "FLAT"))
-    return rows.withColumn("phrase", said)
+    rows = rows.withColumn("level", F.when(upper, 0).otherwise(level)).withColumn("sign", sign).withColumn("ext", ops.extremeness(F.col("pct"), F.col("z"))).withColumn("key", ops.priority_key(_by_measure(ops.PRIORITY), F.col("pct")))
+    words = (F.col("measure"), F.col("level"), F.col("sign"))
+    place = F.array_position(F.array(*map(F.lit, MEASURES)), F.col("measure"))
+    return rows.withColumn("phrase", ops.phrase(*words)).withColumn("sentence", ops.sentence(*words)).withColumn("place", place).withColumn("name", _by_measure(ops.NAMES)).drop("rung", "rung_before")
 
 
 def context_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levelled(spark, sf_dir).select("t", "measure", "level", "sign", "phrase", rounded("ext", 3).alias("ext"))
+    return _levelled(spark, sf_dir).select("t", "measure", "level", "sign", "phrase", "sentence", rounded("ext", 4).alias("ext"))
 
 
 def anomalies_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most extreme engaged measures of each day, five at most, and the day's count."""
     rows = _levelled(spark, sf_dir).filter("level > 0 and z is not null")
     w = W.partitionBy("t")
-    nth = F.row_number().over(w.orderBy(F.desc("ext"), "measure"))
-    return rows.withColumn("n", F.count("*").over(w)).withColumn("nth", nth).filter("nth <= 5").select("t", "nth", "n", "measure", "phrase", rounded("ext", 3).alias("ext"))
+    nth = F.row_number().over(w.orderBy(F.desc("ext"), "place"))
+    return rows.withColumn("n", F.count("*").over(w)).withColumn("nth", nth).filter("nth <= 5").select("t", "nth", "n", F.concat_ws(" ", "name", "phrase").alias("line"), rounded("ext", 4).alias("ext"))
+
+
+def trend_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each day's close from its 200-day mean in average true ranges, the state it holds, and the trend word."""
+    rows = tables.legs(spark, sf_dir).filter("leg = 'A'").withColumn("k", F.lit(1)).withColumn("tr", windows.true_range(SERIES()))
+    rows = scans.smoothed(rows.select("k", "t", "close", "tr"), ["k"], "t", "tr", 14, 1 / 14, "atr", block=200 * DAY)
+    mean, mom = windows.sma(F.col("close"), 200, SERIES()), ops.change(F.col("close"), 84, SERIES())
+    rows = rows.withColumn("dist", F.when(F.col("atr") > 0, rounded((F.col("close") - mean) / F.col("atr"), 4))).withColumn("mom", rounded(mom))
+    held = scans.automaton(rows.select("k", "t", "dist"), ["k"], "t", "dist", [-1, 0, 1], 0, state.schmitt_step(*ops.TREND), "state", block=200 * DAY)
+    rows = rows.select("t", "mom").join(held, "t")
+    score = ops.trend_score(F.col("state"), F.col("mom"))
+    return rows.select("t", "dist", "mom", "state", "state_before", ops.trend_phrase(F.col("state")).alias("phrase"), score.alias("score"), ops.trend_word(score, F.col("dist").isNotNull() & F.col("mom").isNotNull()).alias("word"))
 
 
 def watch_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line of the smallest priority key of each day; a trend change competes at 5900."""
-    rows = _levelled(spark, sf_dir).filter("level > 0 and z is not null").groupBy("t").agg(F.min(F.struct("key", "measure", "phrase")).alias("best"))
-    score = ops.direction(F.col("px6")) + ops.direction(F.col("premium"))
-    days = _measured(spark, sf_dir).withColumn("score", score)
-    changed = F.coalesce(F.col("score") != F.lag("score").over(SERIES()), F.lit(False))
-    days = days.withColumn("changed", changed).join(rows, "t", "left")
-    known = F.col("px6").isNotNull() & F.col("premium").isNotNull()
-    word = ops.trend_word(F.col("score"), known)
-    trend = F.col("changed") & (F.coalesce(F.col("best.key"), F.lit(99_000.0)) > 5900)
-    line = F.when(trend, F.concat(F.lit("Trend state changed to "), F.lower(word))).otherwise(F.concat_ws(" ", "best.measure", "best.phrase"))
-    return days.select("t", F.coalesce(line, F.lit("")).alias("line"), word.alias("trend"))
+    """The sentence of the smallest priority key of each day; a change of the trend state competes at 5900."""
+    best = _levelled(spark, sf_dir).filter("level > 0 and z is not null").groupBy("t").agg(F.min(F.struct("key", "place", "sentence")).alias("best"))
+    days = trend_states(spark, sf_dir).join(best, "t", "left")
+    trend = (F.col("state") != F.col("state_before")) & (F.coalesce(F.col("best.key"), F.lit(99_000.0)) > 5900)
+    line = F.when(trend, F.concat(F.lit("Slow trend moved to "), F.lower("phrase"), F.lit("."))).otherwise(F.col("best.sentence"))
+    return days.select("t", F.coalesce(line, F.lit("")).alias("line"), F.col("word").alias("trend"))
+
+
+def positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positioning word of each day's open interest, and the number beside it."""
+    rows = _levelled(spark, sf_dir).filter("measure = 'oi6'")
+    word = ops.positioning_word(F.col("x").isNotNull(), F.col("level"), F.col("sign"))
+    return rows.select("t", word.alias("word"), F.when(F.col("x").isNull(), "").otherwise(F.concat(F.lit("OI "), text.percent(F.col("x"), 4), F.lit(" / 24H"))).alias("number"))
 
 
 def mechanics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _measured(spark, sf_dir)
-    return rows.select("t", ops.mechanics(F.col("px6"), F.col("oi6")).alias("label"), ops.mechanics_sentence(F.col("px6"), F.col("oi6")).alias("sentence"))
+    """Price against open interest: label, sentence, and what stood beside it."""
+    rows = _measured(spark, sf_dir).select("t", "px6", "oi6")
+    beside = ("funding", "premium", "perp_rvol")
+    wide = _levelled(spark, sf_dir).filter(F.col("measure").isin(*beside)).groupBy("t").pivot("measure", list(beside)).agg(F.first(F.struct("x", "z", "level", "sign")))
+    triple = lambda m, value: (F.col(m)[value], F.col(m)["level"], F.col(m)["sign"])
+    note = ops.mechanics_note(triple("funding", "x"), triple("premium", "x"), triple("perp_rvol", "z"))
+    return rows.join(wide, "t").select("t", ops.mechanics(F.col("px6"), F.col("oi6")).alias("label"), ops.mechanics_sentence(F.col("px6"), F.col("oi6")).alias("sentence"), note.alias("note"))
 
 
 def volatility_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +137,7 @@ def measure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("measure").orderBy("t")
     rows = rows.withColumn("pl", F.coalesce(F.lag("level").over(w), F.lit(0))).withColumn("pd", F.coalesce(F.lag("sign").over(w), F.lit(0)))
     kind = state.change_kind(F.col("level"), F.col("sign"), F.col("pl"), F.col("pd"))
-    said = F.when(kind == 1, F.concat("measure", F.lit(" entered "), F.lower("phrase"))).when(kind == 2, F.concat("measure", F.lit(" returned to normal"))).when(kind == 3, F.concat("measure", F.lit(" changed to "), F.lower("phrase")))
+    said = F.when(kind == 1, F.concat("name", F.lit(" entered "), F.lower("phrase"))).when(kind == 2, F.concat("name", F.lit(" returned to normal"))).when(kind == 3, F.concat("name", F.lit(" changed to "), F.lower("phrase")))
     return rows.select("t", "measure", kind.alias("kind"), said.alias("said")).filter("kind > 0")
 
 
@@ -130,7 +157,7 @@ def gated_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of prices and changes."""
-    rows = tables.read(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    rows = tables.read(spark, sf_dir, "orders")
     x = (F.col("o_totalprice") - 150_000).alias("x")
     y = F.round(F.col("o_totalprice") / 1000) / 64
     return rows.select(
@@ -158,7 +185,7 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        context_measures, context_norms, context_levels, anomalies_ranked, watch_line, mechanics, volatility_words, measure_changes, state_packs, gated_observations, formatted_numbers, colour_classes, dashboard,
+        context_measures, context_norms, context_levels, anomalies_ranked, trend_states, watch_line, positioning, mechanics, volatility_words, measure_changes, state_packs, gated_observations, formatted_numbers, colour_classes, dashboard,
     )
 }
 
@@ -171,17 +198,44 @@ ek as (select a.i, b.x, row_number() over (partition by a.i order by b.i desc) a
 es as (select i, sum(x) as etf from ek where n <= 5 group by i having count(*) = 5),
 m as (select t, i, perp_close, spot_close, oi, spot_rvol, perp_rvol, {_r('case when lag(oi, 1) over w > 0 then oi / lag(oi, 1) over w - 1 end')} as oi1, {_r('case when lag(oi, 6) over w > 0 then oi / lag(oi, 6) over w - 1 end')} as oi6,
  {_r('case when lag(perp_close, 6) over w > 0 then perp_close / lag(perp_close, 6) over w - 1 end')} as px6, {_r('case when spot_close > 0 then perp_close / spot_close - 1 end')} as premium, {_r('case when spot_rvol > 0 and perp_rvol > 0 then ln(spot_rvol / perp_rvol) end')} as participation,
- {_r('perp_close / spot_close - 1')} as funding, {_r('etf')} as etf, {_r('case when ph - pl > 0 then ((ph - perp_close) - (perp_close - pl)) / (ph - pl) end')} as liquidations from w1 left join es using (i) window w as (order by t))"""
-_N = f"""lg as (select t, i, unnest([{', '.join(repr(x) for x in MEASURES)}]) as measure, unnest([oi1, oi6, premium, participation, {_r('spot_rvol')}, {_r('perp_rvol')}, funding, etf, liquidations]) as x from m),
-nz as (select a.t, a.measure, a.x, count(b.x) as n_valid, {_r('case when a.x is not null and count(b.x) >= 10 then case when stddev_pop(b.x) > 0 then (a.x - avg(b.x)) / stddev_pop(b.x) else 0 end end', 4)} as z,
- {_r('case when a.x is not null and count(b.x) >= 10 then count(*) filter (where b.i < a.i and b.x <= a.x) * 100.0::double / (count(b.x) - 1) end', 4)} as pct
- from lg a join lg b on a.measure = b.measure and b.i between a.i - 39 and a.i group by a.t, a.measure, a.x)"""
+ {_r('perp_close / spot_close - 1')} as funding, {_r('etf')} as etf, {_r('case when ph - pl > 0 then ((ph - perp_close) - (perp_close - pl)) / (ph - pl) end')} as liquidations, {_r('ph - perp_close', 3)} as long_liq, {_r('perp_close - pl', 3)} as short_liq from w1 left join es using (i) window w as (order by t))"""
+_N = f"""lg as (select t, i, unnest([{', '.join(repr(x) for x in MEASURES)}]) as measure, unnest([{', '.join(_r(x) if x.endswith('rvol') else x for x in MEASURES)}]) as x from m),
+nz as (select a.t, a.i, a.measure, a.x, count(b.x) as n_valid, {_r(f'case when a.x is not null and count(b.x) >= {NORM[1]} then case when stddev_pop(b.x) > 0 then (a.x - avg(b.x)) / stddev_pop(b.x) else 0 end end', 4)} as z,
+ {_r(f'case when a.x is not null and count(b.x) >= {NORM[1]} then count(*) filter (where b.i < a.i and b.x <= a.x) * 100.0::double / (count(b.x) - 1) end', 4)} as pct
+ from lg a join lg b on a.measure = b.measure and b.i between a.i - {NORM[0] - 1} and a.i group by a.t, a.i, a.measure, a.x)"""
 _PRIO = "case measure " + " ".join(f"when '{m}' then {p}" for m, p in ops.PRIORITY.items()) + " end"
-_L = f"""l0 as (select *, case when measure = 'liquidations' and z < 0 then 0 when abs(z) >= case when measure = 'premium' then 2.75 else 2.25 end then 2 when abs(z) >= case when measure = 'premium' then 2.0 else 1.5 end then 1 else 0 end as level,
- coalesce(sign(case when measure in ('participation', 'spot_rvol', 'perp_rvol') then z else x end), 0)::int as sign, case when pct is null then 50 + least(10 * abs(z), 49) else greatest(pct, 100 - pct) end as ext, {_PRIO} * 1000.0::double - case when pct is null then 50 else greatest(pct, 100 - pct) end as key from nz),
-ll as (select *, case when measure = 'participation' then case when level = 0 or sign = 0 then 'NORMAL RELATIVE ACTIVITY' else case when level >= 2 then 'EXTREME ' else '' end || case when sign > 0 then 'RELATIVE SPOT SURGE' else 'RELATIVE PERP SURGE' end end
- when level = 0 then 'NORMAL' else case when level >= 2 then 'EXTREME' else 'UNUSUAL' end || case when measure in ('oi1', 'oi6') then case when sign > 0 then ' EXPANSION' when sign < 0 then ' REDUCTION' else ' FLAT' end else case when sign > 0 then ' UP' when sign < 0 then ' DOWN' else ' FLAT' end end end as phrase from l0)"""
-_MS, _NS, _LS = q.with_(q.LEGS, _M), q.with_(q.LEGS, _M, _N), q.with_(q.LEGS, _M, _N, _L)
+_CASE = lambda values, k=None: "case measure " + " ".join(f"when '{m}' then {v if k is None else v[k]}" for m, v in values.items()) + " end"
+_UP = lambda up, down, flat: f"case when sign > 0 then '{up}' when sign < 0 then '{down}' else '{flat}' end"
+_WORD = "case when level >= 2 then 'EXTREME' else 'UNUSUAL' end"
+_RUNGS = ", ".join(f"{_CASE(ops.LADDERS, k)} as {n}" for k, n in enumerate(("e1", "x1", "e2", "x2")))
+_L = f"""lt as (select *, abs(z) as a, {_RUNGS} from nz where measure in ({', '.join(repr(m) for m in ops.LADDERS)})),
+ld as (select measure, i, case when a is null then 0 when a >= e2 then 2 when a >= e1 then 1 else 0 end as rung from lt where i = 1
+ union all select n.measure, n.i, case when n.a is null then 0 when l.rung = 0 then case when n.a >= e2 then 2 when n.a >= e1 then 1 else 0 end when n.a < x1 then 0 when l.rung = 2 and n.a < x2 then 1 when l.rung = 1 and n.a >= e2 then 2 else l.rung end
+ from ld l join lt n on n.measure = l.measure and n.i = l.i + 1),
+l0 as (select nz.*, case when nz.measure like '%_liq' and not coalesce(z > 0, false) then 0 when rung is not null then rung when abs(z) >= {_CASE({m: f'{v[1]}' for m, v in ops.IMPULSES.items()}).replace('case measure', 'case nz.measure')} then 2 when abs(z) >= {_CASE({m: f'{v[0]}' for m, v in ops.IMPULSES.items()}).replace('case measure', 'case nz.measure')} then 1 else 0 end as level,
+ coalesce(sign(case when nz.measure in ('participation', 'spot_rvol', 'perp_rvol') then z else x end), 0)::int as sign, case when pct is null then 50 + least(10 * abs(z), 49) else greatest(pct, 100 - pct) end as ext, {_PRIO.replace('case measure', 'case nz.measure')} * 1000.0::double - case when pct is null then 50 else greatest(pct, 100 - pct) end as key from nz left join ld on nz.measure = ld.measure and nz.i = ld.i),
+ll as (select *, list_position([{', '.join(repr(m) for m in MEASURES)}], measure) as place, {_CASE({m: repr(n) for m, n in ops.NAMES.items()})} as name,
+ case when measure = 'participation' then case when level = 0 or sign = 0 then 'NORMAL RELATIVE ACTIVITY' else case when level >= 2 then 'EXTREME ' else '' end || {_UP('RELATIVE SPOT SURGE', 'RELATIVE PERP SURGE', '')} end when level = 0 then 'NORMAL'
+ when measure in ('oi1', 'oi6') then {_WORD} || {_UP(' EXPANSION', ' REDUCTION', ' FLAT')} when measure = 'funding' then case when level >= 2 then 'EXTREME' else 'ELEVATED' end || {_UP(' LONG FUNDING', ' SHORT FUNDING', ' FLAT FUNDING')}
+ when measure = 'etf' then {_WORD} || {_UP(' INFLOW', ' OUTFLOW', ' FLAT')} when measure = 'premium' then {_WORD} || {_UP(' POSITIVE PREMIUM', ' NEGATIVE PREMIUM', ' FLAT PREMIUM')}
+ when measure like '%_rvol' then case when sign = 0 then 'NORMAL' else {_WORD} || {_UP(' HIGH VOLUME', ' LOW VOLUME', '')} end
+ else case when level >= 2 then 'EXTREME ' else '' end || case measure when 'long_liq' then 'LONG' else 'SHORT' end || ' LIQUIDATION SPIKE' end as phrase,
+ case when measure in ('oi1', 'oi6') then case when level >= 2 then 'Extreme' else 'Unusual' end || ' open interest ' || {_UP('increase', 'reduction', 'move')} || ' over the last ' || case measure when 'oi6' then '24' else '4' end || ' hours.'
+ when measure = 'funding' then 'Funding is ' || case when level >= 2 then 'extremely ' else 'unusually ' end || {_UP('positive — longs are paying shorts.', 'negative — shorts are paying longs.', 'flat.')}
+ when measure = 'premium' then 'Perpetual is trading at ' || case when level >= 2 then 'an extreme ' else 'an unusual ' end || {_UP('premium to spot.', 'discount to spot.', 'level against spot.')}
+ when measure = 'participation' then case when sign > 0 then 'Spot' else 'Perpetual' end || ' activity spike relative to the other venue.'
+ when measure like '%_rvol' then case measure when 'spot_rvol' then 'Spot' else 'Perpetual' end || ' volume is unusually ' || case when sign > 0 then 'high' else 'low' end || ' for this time of day.'
+ when measure like '%_liq' then 'Large ' || case measure when 'long_liq' then 'long' else 'short' end || '-liquidation spike detected.'
+ else case when level >= 2 then 'Extreme' else 'Unusual' end || ' ETF net ' || {_UP('inflow.', 'outflow.', 'flow.')} end as sentence from l0)"""
+_TREND = f"""ta as (select t, close, row_number() over w as i, case when lag(close) over w is null then high - low else greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) end as tr,
+ case when count(*) over f = 200 then avg(close) over f end as sma, {_r('case when lag(close, 84) over w > 0 then close / lag(close, 84) over w - 1 end')} as mom from legs where leg = 'A' window w as (order by t), f as (order by t rows between 199 preceding and current row)),
+tw as (select i, (select avg(tr) from ta where i <= 14) as atr from ta where i = 14 union all select ta.i, w.atr + (1.0::double / 14) * (ta.tr - w.atr) from tw w join ta on ta.i = w.i + 1),
+td as (select t, i, mom, {_r('case when atr > 0 then (close - sma) / atr end', 4)} as dist from ta left join tw using (i)),
+ts as (select i, case when dist >= 0.5 then 1 when dist <= -0.5 then -1 else 0 end as state, 0 as state_before from td where i = 1
+ union all select n.i, case when n.dist is null then 0 when s.state = 0 then case when n.dist >= 0.5 then 1 when n.dist <= -0.5 then -1 else 0 end when s.state * n.dist < 0.2 then 0 else s.state end, s.state from ts s join td n on n.i = s.i + 1),
+tn as (select t, dist, mom, state, state_before, case when state > 0 then 'ABOVE 200D' when state < 0 then 'BELOW 200D' else 'NEAR 200D' end as phrase, (sign(state) + coalesce(sign(mom), 0))::int as score from td join ts using (i)),
+tt as (select *, case when dist is null or mom is null then 'No data' when score >= 2 then 'Strong uptrend' when score = 1 then 'Uptrend' when score = 0 then 'Neutral' when score = -1 then 'Downtrend' else 'Strong downtrend' end as word from tn)"""
+_MS, _NS, _LS = q.with_(q.LEGS, _M), q.with_(q.LEGS, _M, _N), q.with_(q.LEGS, _M, _N, _L, recursive=True)
 
 
 def _trim(x: str, d: int) -> str:
@@ -195,34 +249,41 @@ def _sg(x: str, t: str) -> str:
 _KIND = "case when level > 0 and pl = 0 then 1 when level = 0 and pl > 0 then 2 when level > 0 and (level <> pl or sign <> pd) then 3 else 0 end"
 
 SQL = {
-    "context_measures": _MS + f"select t, {_r('perp_close', 7)} as perp_close, {_r('spot_close', 7)} as spot_close, oi, {_r('spot_rvol', 7)} as spot_rvol, {_r('perp_rvol', 7)} as perp_rvol, oi1, oi6, px6, premium, participation, funding, etf, liquidations from m",
-    "context_norms": _NS + "select * from nz",
-    "context_levels": _LS + f"select t, measure, level, sign, phrase, {_r('ext', 3)} as ext from ll",
-    "anomalies_ranked": _LS + f"select t, nth, n, measure, phrase, {_r('ext', 3)} as ext from (select *, count(*) over (partition by t) as n, row_number() over (partition by t order by ext desc, measure) as nth from ll where level > 0 and z is not null) where nth <= 5",
-    "watch_line": _LS
-    + """, b as (select t, key, measure, phrase from (select *, row_number() over (partition by t order by key, measure, phrase) as n from ll where level > 0 and z is not null) where n = 1),
-s as (select *, coalesce(sign(px6), 0)::int + coalesce(sign(premium), 0)::int as score from m), c as (select *, coalesce(score <> lag(score) over (order by t), false) as changed from s),
-d as (select c.t, changed, key, measure, phrase, case when px6 is null or premium is null then 'No data' when score >= 2 then 'Strong uptrend' when score = 1 then 'Uptrend' when score = 0 then 'Neutral' when score = -1 then 'Downtrend' else 'Strong downtrend' end as trend from c left join b on c.t = b.t)
-select t, case when changed and coalesce(key, 99000) > 5900 then 'Trend state changed to ' || lower(trend) else concat_ws(' ', measure, phrase) end as line, trend from d""",
-    "mechanics": _MS
-    + """, d as (select t, px6, oi6, coalesce(sign(px6), 0) as p, coalesce(sign(oi6), 0) as o from m) select t, case when px6 is null or oi6 is null then 'INSUFFICIENT DATA' when p = 0 or o = 0 then 'FLAT' else case when p > 0 then 'PRICE UP' else 'PRICE DOWN' end || ' + ' || case when o > 0 then 'POSITION BUILD' else 'POSITION REDUCTION' end end as label,
- case when p = 0 or o = 0 then '' else case when p > 0 then 'Price rose' else 'Price fell' end || ' while open interest ' || case when o > 0 then 'rose' else 'fell' end || '.' end as sentence from d""",
+    "context_measures": _MS + f"select t, {_r('perp_close', 7)} as perp_close, {_r('spot_close', 7)} as spot_close, oi, {_r('spot_rvol', 7)} as spot_rvol, {_r('perp_rvol', 7)} as perp_rvol, oi1, oi6, px6, premium, participation, funding, etf, liquidations, long_liq, short_liq from m",
+    "context_norms": _NS + "select t, measure, x, n_valid, z, pct from nz",
+    "context_levels": _LS + f"select t, measure, level, sign, phrase, sentence, {_r('ext', 4)} as ext from ll",
+    "anomalies_ranked": _LS + f"select t, nth, n, concat_ws(' ', name, phrase) as line, {_r('ext', 4)} as ext from (select *, count(*) over (partition by t) as n, row_number() over (partition by t order by ext desc, place) as nth from ll where level > 0 and z is not null) where nth <= 5",
+    "trend_states": q.with_(q.LEGS, _TREND, recursive=True) + "select * from tt",
+    "watch_line": q.with_(q.LEGS, _M, _N, _L, _TREND, recursive=True)
+    + """, b as (select t, key, sentence from (select *, row_number() over (partition by t order by key, place) as n from ll where level > 0 and z is not null) where n = 1)
+select tt.t, coalesce(case when state <> state_before and coalesce(key, 99000) > 5900 then 'Slow trend moved to ' || lower(phrase) || '.' else sentence end, '') as line, word as trend from tt left join b using (t)""",
+    "positioning": _LS
+    + f"""select t, case when x is null then 'No data' when level = 0 then 'Normal' else case when level >= 2 then 'Extreme ' else 'Unusual ' end || {_UP('build', 'reduction', 'flat')} end as word,
+ case when x is null then '' else 'OI ' || {_sg('x', _trim('x * 100', 4))} || '% / 24H' end as number from ll where measure = 'oi6'""",
+    "mechanics": _LS
+    + """, d as (select t, px6, oi6, coalesce(sign(px6), 0) as p, coalesce(sign(oi6), 0) as o from m),
+w as (select t, max(case measure when 'funding' then case when x is null then 'funding n/a' else 'funding ' || case when sign > 0 then 'positive' when sign < 0 then 'negative' else 'flat' end || case when level > 0 then case when level >= 2 then ' (extreme)' else ' (elevated)' end else '' end end end) as a,
+ max(case measure when 'premium' then case when x is null then 'premium n/a' else 'premium ' || case when sign > 0 then 'positive' when sign < 0 then 'negative' else 'flat' end || case when level > 0 then case when level >= 2 then ' (extreme)' else ' (unusual)' end else '' end end end) as b,
+ max(case measure when 'perp_rvol' then case when z is null then 'perp RVOL n/a' else 'perp RVOL ' || case when level > 0 and sign > 0 then 'high' when level > 0 and sign < 0 then 'low' else 'normal' end end end) as c from ll group by t)
+select t, case when px6 is null or oi6 is null then 'INSUFFICIENT DATA' when p = 0 or o = 0 then 'FLAT' else case when p > 0 then 'PRICE UP' else 'PRICE DOWN' end || ' + ' || case when o > 0 then 'POSITION BUILD' else 'POSITION REDUCTION' end end as label,
+ case when p = 0 or o = 0 then '' else case when p > 0 then 'Price rose' else 'Price fell' end || ' while open interest ' || case when o > 0 then 'rose' else 'fell' end || '. Positions were ' || case when o > 0 then 'added to' else 'reduced' end || ' during the ' || case when p > 0 then 'rise' else 'fall' end || '.' end as sentence,
+ a || ' · ' || b || ' · ' || c as note from d join w using (t)""",
     "volatility_words": _MS
     + f""", rt as (select t, i, case when row_number() over w = 1 then 0.0 else ln(perp_close / lag(perp_close) over w) end as ret from m window w as (order by t)), sd as (select t, i, {_r('case when count(ret) over f = 10 then stddev_pop(ret) over f end')} as sd from rt window f as (order by t rows between 9 preceding and current row)),
 p as (select a.t, a.sd, {_r('case when a.sd is not null and count(b.sd) = 60 then count(*) filter (where b.sd <= a.sd) * 100.0::double / 60 end', 4)} as pct from sd a left join sd b on b.i between a.i - 60 and a.i - 1 group by a.t, a.sd)
 select t, sd, pct, case when pct is null then 'No data' when pct > 80 then 'High' when pct > 55 then 'Elevated' when pct < 20 then 'Low' else 'Normal' end as word from p""",
     "measure_changes": _LS
     + f""", p as (select *, coalesce(lag(level) over w, 0) as pl, coalesce(lag(sign) over w, 0) as pd from ll window w as (partition by measure order by t)), k as (select *, {_KIND} as kind from p)
-select t, measure, kind, case kind when 1 then measure || ' entered ' || lower(phrase) when 2 then measure || ' returned to normal' else measure || ' changed to ' || lower(phrase) end as said from k where kind > 0""",
+select t, measure, kind, case kind when 1 then name || ' entered ' || lower(phrase) when 2 then name || ' returned to normal' else name || ' changed to ' || lower(phrase) end as said from k where kind > 0""",
     "state_packs": _LS + "select t, sum((level * 3 + sign + 1) * pow(9, list_position([" + ", ".join(repr(x) for x in MEASURES) + "], measure) - 1))::bigint as pack from ll group by t",
     "gated_observations": _MS
     + f""", s as (select t, i, case when oi is distinct from lag(oi) over (order by t) then oi end as seen from m), k as (select a.i, b.seen as x, row_number() over (partition by a.i order by b.i desc) as n from s a join s b on b.i between a.i - 29 and a.i and b.seen is not null), e as (select i, sum(x) / 7 as mean from k where n <= 7 group by i having count(*) = 7)
 select t, seen, {_r('case when mean > 0 then seen / mean - 1 end')} as deviation from s left join e using (i)""",
-    "formatted_numbers": f"""with o as (select o_orderkey, o_totalprice as p, o_totalprice - 150000 as x, round(o_totalprice / 1000) / 64 as y from orders where o_orderkey % 10 = 0)
+    "formatted_numbers": f"""with o as (select o_orderkey, o_totalprice as p, o_totalprice - 150000 as x, round(o_totalprice / 1000) / 64 as y from orders)
 select o_orderkey, {_trim('y', 2)} as two, {_sg('x', _trim('x', 2))} as signed, {_sg('y', _trim('y / 100 * 100', 4))} || '%' as percent,
  case when p * 37 >= 1e6 then {_trim('p * 37 / 1e6', 2)} || 'M' when p * 37 >= 1e3 then {_trim('p * 37 / 1e3', 2)} || 'K' else {_trim('p * 37', 2)} end as compact,
  format('{{:,}}', floor(round(p, 2))::bigint) || regexp_extract({_trim('p', 2)}, '(\\.\\d+)$', 1) as grouped, case when round(x) >= 0 then '+$' else '-$' end || format('{{:,}}', abs(round(x))::bigint) as dollars, {_sg('y', _trim('y', 2))} || 'R' as r,
  case when o_orderkey % 20 = 0 then {_trim('y', 1)} || 'p' else '—' end as rank from o""",
-    "colour_classes": _LS + "select case when phrase like 'EXTREME%' then 'extreme' when phrase like 'UNUSUAL%' then 'unusual' when phrase like 'NORMAL%' then 'normal' else 'plain' end as class, phrase || ' [σ]' as said, count(*) as n from ll group by 1, 2",
+    "colour_classes": _LS + "select case when phrase like 'EXTREME%' then 'extreme' when phrase like 'UNUSUAL%' or phrase like 'ELEVATED%' or phrase like '%SPIKE%' or phrase like '%SURGE%' then 'unusual' when phrase like 'NORMAL%' then 'normal' else 'plain' end as class, phrase || ' [σ]' as said, count(*) as n from ll group by 1, 2",
     "dashboard": _LS + f"select detail, row_number() over (partition by detail order by level desc, measure) as row, measure, phrase, {_sg('x', _trim('x', 4))} as value from ll, (values ('compact', 2), ('standard', 1), ('full', 0)) d(detail, least) where t = (select max(t) from ll) and level >= least",
 }

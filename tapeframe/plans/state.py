@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeframe.functions.columns import DAY, HOUR, bucket, rounded
-from tapeframe.operators import alignment, scans, sessions, state as ops, windows
+from tapeframe.operators import alignment, context, scans, sessions, state as ops, windows
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
@@ -113,17 +113,40 @@ def adapters_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of each 4h bar, in the fixed order of their sites."""
+    """Lines of each 4h bar, in the fixed order of their sites.
+
+    The bar's z stands for every measure of the sites: open interest and trend by their own
+    ladders, funding and ETF by the sign, impulses by their thresholds; feeds go down and come
+    back as busy bars are seen.
+    """
     rows = ops.ladder(_z(spark, sf_dir), ["symbol"], "z", 1.0, 0.6, 2.0, 1.25)
-    message = lambda site, when, text: F.when(when, F.struct(F.lit(site).alias("site"), F.lit(text).alias("text")))
-    level, before = F.col("level"), F.col("level_before")
+    fund = ops.ladder(_z(spark, sf_dir), ["symbol"], "z", 1.5, 1.0, 2.5, 1.75, to="fund").select("symbol", "t", "fund", "fund_before")
+    trend = schmitt_states(spark, sf_dir).select("symbol", "t", "state", "state_before")
+    feed = feed_status(spark, sf_dir).select("symbol", "t", "moved")
+    rows = rows.join(fund, ["symbol", "t"]).join(trend, ["symbol", "t"]).join(feed, ["symbol", "t"])
+    rows = rows.withColumn("dir", F.coalesce(F.signum("z"), F.lit(0.0)).cast("int")).withColumn("dir_before", F.coalesce(F.lag("dir").over(SYMBOL()), F.lit(0)))
+    rows = rows.withColumn("spike", ops.impulse(F.col("z"), 2.0, 2.75)).withColumn("spike_before", F.coalesce(F.lag("spike").over(SYMBOL()), F.lit(0)))
+    message = lambda site, when, text: F.when(when, F.struct(F.lit(site).alias("site"), text.alias("text")))
+    c, said = F.col, lambda measure, level, sign: F.lower(context.phrase(F.lit(measure), level, sign))
+    line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    oi, fd = ops.change_kind(c("level"), c("dir"), c("level_before"), c("dir_before")), ops.change_kind(c("fund"), c("dir"), c("fund_before"), c("dir_before"))
+    etf = said("etf", c("level"), c("dir"))
+    fired = (c("spike") != 0) & (c("spike_before") == 0)
     sites = F.array_compact(
         F.array(
-            message(1, (level > 0) & (before == 0), "entered"),
-            message(2, (level == 2) & (before < 2), "extreme"),
-            message(3, (level == 0) & (before > 0), "normalised"),
-            message(4, F.col("close") < 50, "close low"),
-            message(5, F.col("z").isNull(), "no data"),
+            message(1, (oi != 0) & (c("level") != 0), line("OI 24H ", said("oi6", c("level"), c("dir")))),
+            message(2, oi == 2, F.lit("OI 24H returned to normal")),
+            message(3, (fd != 0) & (c("fund") != 0), line("Funding ", said("funding", c("fund"), c("dir")))),
+            message(4, oi == 3, line("ETF 5D ", said("etf", c("level_before"), c("dir_before")), " → ", etf)),
+            message(5, (oi == 1) & (c("level") != 0), line("ETF 5D ", etf)),
+            message(6, c("state") != c("state_before"), line("Slow trend → ", F.lower(context.trend_phrase(c("state"))))),
+            message(7, fired, line("OI 4H ", said("oi1", c("spike"), c("dir")))),
+            message(8, fired, line("Premium ", said("premium", c("spike"), c("dir")))),
+            message(9, fired, line("Participation: ", said("participation", c("spike"), c("dir")))),
+            message(10, fired & (c("dir") > 0), F.lit("Long liquidation spike")),
+            message(11, fired & (c("dir") < 0), F.lit("Short liquidation spike")),
+            message(12, c("moved") == "down", F.lit("Reference feed STALE")),
+            message(13, c("moved") == "up", F.lit("Reference data available again")),
         )
     )
     return rows.select("symbol", "t", F.explode(sites).alias("e")).select("symbol", "t", "e.site", "e.text")
@@ -141,10 +164,15 @@ def events_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted lines merged by text: how many, oldest and newest time, rank by priority and newest."""
+    """Accepted lines merged by what they are about: the newest line, how many, oldest and newest time, priority, and the text shown."""
     rows = ops.deduplicated_events(_events(spark, sf_dir), ["symbol"], ["t", "site"], "text").filter("accepted")
-    merged = rows.groupBy("symbol", "text").agg(F.count("*").alias("n"), F.min("t").alias("oldest"), F.max("t").alias("newest"), F.min("site").alias("priority"))
-    return merged.withColumn("rank_key", F.col("priority") * 10_000_000_000_000 - F.col("newest"))
+    rows = rows.withColumn("key", context.event_key(F.col("text"))).withColumn("priority", context.event_priority(F.col("text")))
+    merged = rows.groupBy("symbol", "priority", "key").agg(F.count("*").alias("n"), F.min("t").alias("oldest"), F.max("t").alias("newest"), F.max_by("text", F.struct("t", "site")).alias("text"))
+    now = F.max("newest").over(W.partitionBy("symbol"))
+    hours = F.floor((now - F.col("oldest")) / HOUR + 0.5)
+    age = F.when(hours < 1, "now").when(hours < 48, F.format_string("%dh", hours)).otherwise(F.format_string("%dd", F.floor(hours / 24 + 0.5)))
+    shown = F.when(F.col("n") <= 1, F.col("text")).otherwise(F.concat("text", F.lit("  — repeated "), F.col("n").cast("string"), F.lit("x over "), age))
+    return merged.withColumn("shown", shown).withColumn("rank_key", F.col("priority") * 10_000_000_000_000 - F.col("newest"))
 
 
 def plan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,13 +216,38 @@ _LADDER = """lad as (select symbol, i, z, case when z is null then 0 when abs(z)
  union all select z.symbol, z.i, z.z, case when z.z is null or abs(z.z) < 0.6 then 0 when abs(z.z) >= 2.0 then 2 when l.level = 2 then case when abs(z.z) < 1.25 then 1 else 2 end
  when l.level = 1 then 1 when abs(z.z) >= 1.0 then 1 else 0 end, l.level from lad l join zz z on z.symbol = l.symbol and z.i = l.i + 1),
 lv as (select l.*, z.t, z.close from lad l join zz z using (symbol, i))"""
-_EV = """ev as (select symbol, t, unnest([case when level > 0 and level_before = 0 then {'site': 1, 'text': 'entered'} end, case when level = 2 and level_before < 2 then {'site': 2, 'text': 'extreme'} end,
- case when level = 0 and level_before > 0 then {'site': 3, 'text': 'normalised'} end, case when close < 50 then {'site': 4, 'text': 'close low'} end, case when z is null then {'site': 5, 'text': 'no data'} end]) as e from lv),
+_UP = lambda up, down, flat, sign="dir": f"case when {sign} > 0 then '{up}' when {sign} < 0 then '{down}' else '{flat}' end"
+_INT = lambda level: f"case when {level} >= 2 then 'extreme' else 'unusual' end"
+_ETF = lambda level, sign: f"case when {level} = 0 then 'normal' else {_INT(level)} || {_UP(' inflow', ' outflow', ' flat', sign)} end"
+_KINDS = lambda l, b: f"case when {l} > 0 and {b} = 0 then 1 when {l} = 0 and {b} > 0 then 2 when {l} > 0 and ({l} <> {b} or dir <> dir_before) then 3 else 0 end"
+_FUND = _LADDER.split("lv as")[0].replace("lad as", "fl as").replace("from lad l", "from fl l").replace("2.0", "2.5").replace("1.0 then", "1.5 then").replace("0.6", "1.0").replace("1.25", "1.75")
+_SCHMITT = """sm as (select symbol, i, z, case when z >= 0.5 then 1 when z <= -0.5 then -1 else 0 end as state, 0 as state_before from zz where i = 1
+ union all select z.symbol, z.i, z.z, case when z.z is null then 0 when s.state = 0 then case when z.z >= 0.5 then 1 when z.z <= -0.5 then -1 else 0 end when s.state * z.z < 0.2 then 0 else s.state end, s.state from sm s join zz z on z.symbol = s.symbol and z.i = s.i + 1)"""
+_FEED = """fd as (select symbol, t as seen from b4h where trades >= 11), fj as (select b.symbol, b.t, f.seen from b4h b asof left join fd f on b.symbol = f.symbol and b.t >= f.seen),
+fs as (select symbol, t, case when seen is null then 0 when (t - seen) // 14400000 <= 0 then 4 when (t - seen) // 14400000 <= 1 then 3 else 2 end as status from fj),
+fm as (select symbol, t, case when status = 2 and b <> 2 then 'down' when status >= 3 and b < 3 then 'up' end as moved from (select *, lag(status) over (partition by symbol order by t) as b from fs))"""
+_EV = f"""e0 as (select v.symbol, v.t, v.i, v.z, v.level, v.level_before, fl.level as fund, fl.level_before as fund_before, sm.state, sm.state_before, moved, coalesce(sign(v.z), 0)::int as dir, case when abs(v.z) >= 2.75 then 2 when abs(v.z) >= 2 then 1 else 0 end as spike
+ from lv v join fl using (symbol, i) join sm using (symbol, i) join fm on fm.symbol = v.symbol and fm.t = v.t),
+e1 as (select *, coalesce(lag(dir) over w, 0) as dir_before, spike <> 0 and coalesce(lag(spike) over w, 0) = 0 as fired from e0 window w as (partition by symbol order by t)),
+e2 as (select *, {_KINDS('level', 'level_before')} as oi, {_KINDS('fund', 'fund_before')} as fk from e1),
+ev as (select symbol, t, unnest([case when oi <> 0 and level <> 0 then {{'site': 1, 'text': 'OI 24H ' || {_INT('level')} || {_UP(' expansion', ' reduction', ' flat')}}} end, case when oi = 2 then {{'site': 2, 'text': 'OI 24H returned to normal'}} end,
+ case when fk <> 0 and fund <> 0 then {{'site': 3, 'text': 'Funding ' || case when fund >= 2 then 'extreme' else 'elevated' end || {_UP(' long funding', ' short funding', ' flat funding')}}} end,
+ case when oi = 3 then {{'site': 4, 'text': 'ETF 5D ' || {_ETF('level_before', 'dir_before')} || ' → ' || {_ETF('level', 'dir')}}} end, case when oi = 1 then {{'site': 5, 'text': 'ETF 5D ' || {_ETF('level', 'dir')}}} end,
+ case when state <> state_before then {{'site': 6, 'text': 'Slow trend → ' || {_UP('above 200d', 'below 200d', 'near 200d', 'state')}}} end, case when fired then {{'site': 7, 'text': 'OI 4H ' || {_INT('spike')} || {_UP(' expansion', ' reduction', ' flat')}}} end,
+ case when fired then {{'site': 8, 'text': 'Premium ' || {_INT('spike')} || {_UP(' positive premium', ' negative premium', ' flat premium')}}} end,
+ case when fired then {{'site': 9, 'text': 'Participation: ' || case when spike >= 2 then 'extreme ' else '' end || {_UP('relative spot surge', 'relative perp surge', '')}}} end,
+ case when fired and dir > 0 then {{'site': 10, 'text': 'Long liquidation spike'}} end, case when fired and dir < 0 then {{'site': 11, 'text': 'Short liquidation spike'}} end,
+ case when moved = 'down' then {{'site': 12, 'text': 'Reference feed STALE'}} end, case when moved = 'up' then {{'site': 13, 'text': 'Reference data available again'}} end]) as e from e2),
 evs as (select symbol, t, e.site as site, e.text as text from ev where e is not null),
 acc as (select *, text is distinct from lag(text) over (partition by symbol order by t, site) as accepted from evs)"""
+_GROUPS = """pr as (select *, case when contains(text, 'STALE') or contains(text, 'data available again') or contains(text, 'updating') then 1 when starts_with(text, 'OI ') then 2 when starts_with(text, 'Funding') then 3 when starts_with(text, 'Premium') then 4
+ when contains(text, 'liquidation spike') then 5 when starts_with(text, 'Slow trend') then 6 when contains(text, 'ETF') then 7 else 8 end as priority from acc where accepted),
+ky as (select *, case priority when 2 then 'OI ' || case when contains(text, 'reduction') then 'down' when contains(text, 'expansion') then 'up' else 'flat' end when 5 then case when starts_with(text, 'Long') then 'LIQ long' else 'LIQ short' end when 1 then 'FEED ' || text else priority::varchar end as key from pr),
+gr as (select symbol, priority, key, count(*) as n, min(t) as oldest, max(t) as newest, last(text order by t, site) as text from ky group by all),
+ag as (select *, floor((max(newest) over (partition by symbol) - oldest) / 3600000.0 + 0.5)::bigint as h from gr)"""
 _HELD = "h as (select symbol, t, row_number() over (partition by symbol order by t) as i, case when trades % 7 <> 0 then floor(close / 40)::bigint end as x from b4h)"
 _LADSQL = q.with_(q.TAPE, q.B4H, _Z, _LADDER, recursive=True)
-_EVSQL = q.with_(q.TAPE, q.B4H, _Z, _LADDER, _EV, recursive=True)
+_EVSQL = q.with_(q.TAPE, q.B4H, _Z, _LADDER, _FUND.rstrip().rstrip(","), _SCHMITT, _FEED, _EV, recursive=True)
 
 SQL = {
     "session_levels": q.with_(q.TAPE, q.B30, _LOCAL, _tracked("ny_am"))
@@ -240,7 +293,9 @@ s as (select symbol, t, wired, held, case when not wired then 1 when src is null
 select *, case status when 4 then 'ACTIVE' when 3 then 'UNCHANGED 1 BAR' when 2 then 'LIKELY STALE' when 1 then 'MISCONFIGURED' else 'UNAVAILABLE' end as word from s""",
     "events_log": _EVSQL + "select *, sum(accepted::int) over w as n_accepted, sum((not accepted)::int) over w as n_suppressed from acc window w as (partition by symbol order by t, site rows between unbounded preceding and current row)",
     "events_tail": _EVSQL + "select symbol, nth, t, site, text from (select *, row_number() over (partition by symbol order by t desc, site desc) as nth from acc where accepted) where nth <= 5",
-    "events_grouped": _EVSQL + "select symbol, text, count(*) as n, min(t) as oldest, max(t) as newest, min(site) as priority, min(site) * 10000000000000 - max(t) as rank_key from acc where accepted group by symbol, text",
+    "events_grouped": q.with_(q.TAPE, q.B4H, _Z, _LADDER, _FUND.rstrip().rstrip(","), _SCHMITT, _FEED, _EV, _GROUPS, recursive=True)
+    + """select symbol, priority, key, n, oldest, newest, text, case when n <= 1 then text else text || '  — repeated ' || n || 'x over ' || case when h < 1 then 'now' when h < 48 then h || 'h' else floor(h / 24.0 + 0.5)::bigint || 'd' end end as shown,
+ priority * 10000000000000 - newest as rank_key from ag""",
     "plan_alerts": q.with_(q.TAPE, q.B4H)
     + """, l as (select symbol, t, high, low, case when (t // 86400000) % 5 <> 0 then round(first(close) over (partition by symbol, t // 86400000 order by t)) end as level from b4h),
 p as (select *, coalesce(low <= level and level <= high, false) as touched, last_value(level ignore nulls) over (partition by symbol order by t rows between unbounded preceding and 1 preceding) as b from l),
