@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,3 +158,49 @@ def non_overlapping(df: DataFrame, keys: list[str], start: str, end: str) -> Dat
     step = lambda acc, x: F.when(acc["free"].isNull() | (x["s"] >= acc["free"]), F.struct(x["e"].cast("long").alias("free"), F.array_append(acc["taken"], x["i"]).alias("taken"))).otherwise(acc)
     accepted = walked.select(*keys, F.explode(F.aggregate("all", empty, step)["taken"]).alias("__i"))
     return rows.join(accepted, [*keys, "__i"]).drop("__i")
+
+
+TRADE = "signal_t long, entry_t long, exit_t long, entry double, exit double, initial_stop double, how string, r double, mae double, mfe double"
+
+
+def simulated(bars: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and TRADE: long trades, one position at a time, of bars (keys, t, open, high, low, close, signal, stop, trail).
+
+    A signal at a close enters at the next open, with that bar's `stop` as the initial one. A bar that
+    opens at or below the stop in force leaves at its open ("gap"), one whose low reaches it at the stop
+    ("stop"); the stop moves up only, to `trail` of each close, after the entry bar's close first. The last
+    bar closes what is open ("end"). Signals in a position are ignored. r is in initial risks from the
+    signal's close; mae and mfe are the worst and best of the bars held, as fractions of the entry.
+    """
+    from pyspark.sql import types as T
+
+    columns = [f for f in bars.select(*keys).schema.fields]
+    schema = T.StructType([*columns, *T._parse_datatype_string(TRADE).fields])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        waiting = position = None
+        rows = list(pdf.sort_values("t").itertuples())
+        for n, bar in enumerate(rows):
+            if waiting is not None:
+                position = {"signal": waiting, "entry": bar.open, "t": bar.t, "stop": waiting.stop, "mae": 0.0, "mfe": 0.0}
+                waiting = None
+            if position is not None:
+                how = "gap" if bar.open <= position["stop"] else "stop" if bar.low <= position["stop"] else None
+                left = {"gap": bar.open, "stop": position["stop"]}.get(how)
+                if how is None:
+                    position["mae"] = min(position["mae"], bar.low / position["entry"] - 1)
+                    position["mfe"] = max(position["mfe"], bar.high / position["entry"] - 1)
+                    if bar.trail == bar.trail and bar.trail is not None:
+                        position["stop"] = max(position["stop"], bar.trail)
+                    if n == len(rows) - 1:
+                        how, left = "end", bar.close
+                if how is not None:
+                    signal = position["signal"]
+                    out.append((*key, signal.t, position["t"], bar.t, position["entry"], left, signal.stop, how, (left - position["entry"]) / (signal.close - signal.stop), position["mae"], position["mfe"]))
+                    position = None
+            if position is None and bar.signal and bar.stop < bar.close:
+                waiting = bar
+        return pd.DataFrame(out, columns=schema.names)
+
+    return bars.groupBy(*keys).applyInPandas(run, schema)

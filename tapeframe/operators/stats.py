@@ -188,3 +188,33 @@ def curve_metrics(df: DataFrame, keys: list[str], order: str, ret: str) -> DataF
         F.when(gain(F.lit(True)) > 0, F.greatest(F.max("__r"), F.lit(0.0)) / gain(F.lit(True))).alias("largest_share"),
     )
     return out.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("expectancy") * F.col("n") / -F.col("max_drawdown"))).join(streaks, keys)
+
+
+def volatility_coverage(rows: DataFrame, keys: list[str], order: str, value: str, period_ms: int, least: int, periods: int, scale: float) -> DataFrame:
+    """keys, periods, p10, p50, p90 and spread of the volatility of log changes within periods of at least `least` rows.
+
+    Nearest-rank quantiles; null where there are fewer than `periods` of them.
+    """
+    span = W.partitionBy(*keys, "__p").orderBy(order)
+    found = rows.withColumn("__p", F.floor(F.col(order) / period_ms)).withColumn("__r", F.log(F.col(value) / F.lag(value).over(span)))
+    vols = found.groupBy(*keys, "__p").agg(F.count(value).alias("n"), (F.stddev_pop("__r") * scale).alias("vol")).filter(F.col("n") >= least)
+    ranked = vols.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy("vol")) - 1).withColumn("__n", F.count("*").over(W.partitionBy(*keys)))
+    at = lambda q: F.max(F.when((F.col("__n") >= periods) & (F.col("__k") == F.least(F.col("__n") - 1, F.floor(F.col("__n") * q))), F.col("vol")))
+    out = ranked.groupBy(*keys).agg(F.max("__n").alias("periods"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+    return out.withColumn("spread", F.when(F.col("p10") > 0, F.col("p90") / F.col("p10")))
+
+
+def slope(rows: DataFrame, keys: list[str], order: str, x: str, y: str, lags: int) -> DataFrame:
+    """keys, n, beta and HAC t of y on x with an intercept, of each group, by sums of products."""
+    whole, w = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(order)
+    dx, dy = F.col(x) - F.avg(x).over(whole), F.col(y) - F.avg(y).over(whole)
+    found = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", dx).withColumn("__y", dy)
+    found = found.withColumn("__b", F.sum(F.col("__x") * F.col("__y")).over(whole) / F.nullif(F.sum(F.col("__x") * F.col("__x")).over(whole), F.lit(0.0)))
+    found = found.withColumn("__g", F.col("__x") * (F.col("__y") - F.col("__b") * F.col("__x")))
+    for k in range(1, lags + 1):
+        found = found.withColumn(f"__g{k}", F.col("__g") * F.lag("__g", k).over(w))
+    long_run = F.sum(F.col("__g") * F.col("__g"))
+    for k in range(1, lags + 1):
+        long_run = long_run + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"__g{k}"), F.lit(0.0))
+    out = found.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__b").alias("beta"), (F.sqrt(F.greatest(long_run, F.lit(0.0))) / F.sum(F.col("__x") * F.col("__x"))).alias("__se"))
+    return out.withColumn("t", F.when(F.col("__se") > 0, F.col("beta") / F.col("__se")).otherwise(0.0)).drop("__se")
