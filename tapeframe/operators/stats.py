@@ -69,10 +69,30 @@ def constant(df: DataFrame, columns: list[str]) -> set[str]:
     return {c for c in columns if (row[f"s_{c}"] or 0.0) <= 1e-12 * max(1.0, row[f"m_{c}"] or 0.0)}
 
 
-def regression(df: DataFrame, y: str, xs: list[str], order: str, lags: int, block: int | None = None) -> list[dict]:
+#: Rows of a run of with_runs().
+RUN = 50_000
+
+
+def with_runs(df: DataFrame, order: str, block: int, halo: int) -> DataFrame:
+    """df with __i (place in the order), __run and __own: runs of RUN rows, each with the last `halo` rows before it.
+
+    Places come from counts of blocks of the order and places within them, so no window holds all rows.
+    """
+    rows = df.withColumn("__block", F.floor(F.col(order) / block))
+    counts = rows.groupBy("__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    rows = rows.join(counts.select("__block", before.alias("__before")), "__block")
+    rows = rows.withColumn("__i", F.col("__before") + F.row_number().over(W.partitionBy("__block").orderBy(order)) - 1)
+    run = F.floor(F.col("__i") / RUN)
+    rows = rows.withColumn("__run", F.explode(F.array_compact(F.array(run, F.when(F.col("__i") % RUN >= RUN - halo, run + 1)))))
+    return rows.withColumn("__own", F.col("__run") == run).drop("__block", "__before")
+
+
+def regression(df: DataFrame, y: str, xs: list[str], order: str, lags: int, block: int = 86_400_000) -> list[dict]:
     """Least squares of y on xs with an intercept and Newey-West errors: one row a coefficient.
 
-    Constant regressors are left out; without any left the result is empty.
+    Constant regressors are left out; without any left the result is empty. Rows are numbered
+    through blocks of `block` in the order's unit, and lagged within runs of RUN rows with a halo.
     """
     rows = df.select(order, y, *xs).na.drop()
     dropped = constant(rows, xs)
@@ -91,8 +111,8 @@ def regression(df: DataFrame, y: str, xs: list[str], order: str, lags: int, bloc
     scores = rows.withColumn("__u", residual).withColumn("g0", F.col("__u"))
     for i, x in enumerate(xs, 1):
         scores = scores.withColumn(f"g{i}", F.col("__u") * F.col(x))
-    w = W.orderBy(order) if block is None else W.partitionBy(F.floor(F.col(order) / block)).orderBy(order)
-    exprs, lagged = [], scores
+    w = W.partitionBy("__run").orderBy("__i")
+    exprs, lagged = [], with_runs(scores, order, block, lags)
     for lag in range(1, lags + 1):
         for i in range(k):
             lagged = lagged.withColumn(f"g{i}_{lag}", F.lag(f"g{i}", lag).over(w))
@@ -103,7 +123,7 @@ def regression(df: DataFrame, y: str, xs: list[str], order: str, lags: int, bloc
                 weight = 1 - lag / (lags + 1)
                 term = term + weight * F.coalesce(F.sum(F.col(f"g{i}") * F.col(f"g{j}_{lag}") + F.col(f"g{i}_{lag}") * F.col(f"g{j}")), F.lit(0.0))
             exprs.append(term.alias(f"m{i}_{j}"))
-    found = lagged.agg(*exprs, F.sum(F.col("__u") * F.col("__u")).alias("rss")).first()
+    found = lagged.filter("__own").agg(*exprs, F.sum(F.col("__u") * F.col("__u")).alias("rss")).first()
     meat = np.array([[found[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
     se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0))
     tss = sums[k, k] - sums[0, k] ** 2 / n

@@ -99,12 +99,12 @@ def forward_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_series_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of a symbol computed alone minus the one computed with all others, both ways: no rows differ."""
-    every = tables.bars(spark, sf_dir, "4h")
-    first = every.agg(F.min("symbol").alias("symbol"))
-    alone = tables.tape(spark, sf_dir).join(F.broadcast(first), "symbol")  # first is one row
-    own = ops.resample(alone, 4 * HOUR, ["symbol"], "t", "px", "qty", "trade_id")
-    among = every.join(F.broadcast(first), "symbol").select(*own.columns)
+    """Bars of each symbol computed alone minus those computed with all others, both ways: no rows differ."""
+    tape, own = tables.tape(spark, sf_dir), None
+    for symbol in sorted(r.symbol for r in tape.select("symbol").distinct().collect()):  # names of series
+        alone = ops.resample(tape.filter(F.col("symbol") == symbol), 4 * HOUR, ["symbol"], "t", "px", "qty", "trade_id")
+        own = alone if own is None else own.unionByName(alone)
+    among = tables.bars(spark, sf_dir, "4h").select(*own.columns)
     only = own.exceptAll(among).withColumn("side", F.lit("alone")).unionByName(among.exceptAll(own).withColumn("side", F.lit("among")))
     return only.groupBy("side").count().unionByName(own.agg(F.count("*").alias("count")).withColumn("side", F.lit("bars"))).select("side", F.col("count").alias("n"))
 
@@ -167,7 +167,7 @@ select l.trade_id, l.t, rt as matched_t, last_id, last_px from l asof left join
     + "select a.symbol, a.s, a.px, b.px as px_p60, c.px as px_p300, d.px as px_p900, e.px as px_m300 from secs a left join secs b on a.symbol = b.symbol and b.s = a.s + 60 left join secs c on a.symbol = c.symbol and c.s = a.s + 300 left join secs d on a.symbol = d.symbol and d.s = a.s + 900 left join secs e on a.symbol = e.symbol and e.s = a.s - 300",
     "forward_same_day": q.with_(q.TAPE, q.SECONDS)
     + "select a.symbol, a.s, a.px, b.px as px_p600, c.px as px_p3600 from secs a left join secs b on a.symbol = b.symbol and b.s = a.s + 600 and a.s // 86400 = b.s // 86400 left join secs c on a.symbol = c.symbol and c.s = a.s + 3600 and a.s // 86400 = c.s // 86400",
-    "cross_series_independence": q.with_(q.TAPE, q.B4H) + "select 'bars' as side, count(*) as n from b4h where symbol = (select min(symbol) from tape)",
+    "cross_series_independence": q.with_(q.TAPE, q.B4H) + "select 'bars' as side, count(*) as n from b4h",
     "differential_compare": q.with_(q.TAPE, q.B4H) + " union all ".join(f"select '{c}' as \"column\", count(*) as n_compared, 0::bigint as n_structural, 0.0::double as largest_relative from b4h" for c in OHLCV),
     "matched_control": f"select sum(n)::bigint as n_treated, count(*) as n_strata, {_R('sum(n * (mt - mc)) / sum(n)', 3)} as effect from (select avg(o_totalprice) filter (where o_custkey % 2 = 0) as mt, avg(o_totalprice) filter (where o_custkey % 2 <> 0) as mc, count(*) filter (where o_custkey % 2 = 0) as n from orders group by o_orderpriority, o_orderstatus, floor(o_totalprice / 100000)) where mt is not null and mc is not null",
 }

@@ -22,9 +22,9 @@ NORM = (180, 45)
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perp days with spot, open interest and the measures derived from them."""
-    legs = tables.legs(spark, sf_dir)
-    leg = lambda code, name: legs.filter(F.col("leg") == code).select("t", F.col("close").alias(f"{name}_close"), F.col("volume").alias(f"{name}_volume"), F.col("high").alias(f"{name}_high"), F.col("low").alias(f"{name}_low"))
-    rows = leg("A", "perp").join(leg("N", "spot"), "t", "left").join(leg("R", "oi"), "t", "left").withColumn("k", F.lit(1))
+    named = {"A": "perp", "N": "spot", "R": "oi"}
+    leg = [F.max(F.when(F.col("leg") == code, F.col(c))).alias(f"{name}_{c}") for code, name in named.items() for c in ("close", "volume", "high", "low")]
+    rows = tables.legs(spark, sf_dir).groupBy("t").agg(*leg).filter("perp_volume is not null").withColumn("k", F.lit(1))  # one scan for all legs
     currency = F.when(F.col("t") / 86_400_000 % 11 == 0, "USDT").otherwise("BTC")
     c = F.col
     rows = rows.withColumn("oi", ops.usable_interest(c("oi_volume"), currency))

@@ -52,14 +52,7 @@ def position_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("symbol", "t", "ends", rounded(F.col("out") / F.col("close") - 1).alias("ret"))
 
 
-def session_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plotted series at the last three bars: the mean of 100 bars and the levels."""
-    rows = tables.bars(spark, sf_dir, "4h").withColumn("mean", windows.sma(F.col("close"), 100, SYMBOL()))
-    last = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("t")))
-    return rows.withColumn("n", last).filter("n <= 3").select("symbol", "n", "t", rounded("mean").alias("sma"), "high", "low")
-
-
-QUERIES = {f.__name__: f for f in (feed_health, instrument_guards, staleness_watch, position_walk, session_series)}
+QUERIES = {f.__name__: f for f in (feed_health, instrument_guards, staleness_watch, position_walk)}
 
 _F = "f as (select symbol, t, trades % 5 as price, trades % 4 + 1 as spot, case when trades % 7 = 0 then 2 else 4 end as interest from b4h)"
 SQL = {
@@ -75,6 +68,4 @@ SQL = {
     + f""", s as (select symbol, t, lead(t, 6) over w as ends, close, lead(close, 6) over w as o, coalesce(close < lag(close) over w * 0.9, false) as signal from b4h where close > 0 window w as (partition by symbol order by t)), c as (select * from s where signal and ends is not null),
 p as (select symbol, min(t) as t from c group by symbol union all select p.symbol, (select min(d.t) from c d where d.symbol = p.symbol and d.t >= (select e.ends from c e where e.symbol = p.symbol and e.t = p.t)) from p
  where exists (select 1 from c d where d.symbol = p.symbol and d.t >= (select e.ends from c e where e.symbol = p.symbol and e.t = p.t))) select c.symbol, c.t, c.ends, {q.r('o / close - 1')} as ret from p join c using (symbol, t)""",
-    "session_series": q.with_(q.TAPE, q.B4H)
-    + f"select symbol, n, t, {q.r('sma')} as sma, high, low from (select *, row_number() over (partition by symbol order by t desc) as n, case when count(*) over f = 100 then avg(close) over f end as sma from b4h window f as (partition by symbol order by t rows between 99 preceding and current row)) where n <= 3",
 }

@@ -144,7 +144,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations of daily scores, configurations pairwise."""
-    names = sorted(r.config for r in _scores(spark, sf_dir).select("config").distinct().limit(64).collect())  # features times symbols of the study
+    names = sorted(r.config for r in _scores(spark, sf_dir).select("config").distinct().collect())  # features times symbols of the study
     wide = _scores(spark, sf_dir).groupBy("d").pivot("config", names).agg(F.first("v"))
     rho = stats.correlations(wide, names)
     return spark.createDataFrame([(a, b, round(float(rho[i, j]), 5)) for i, a in enumerate(names) for j, b in enumerate(names)], "a string, b string, rho double")
@@ -152,7 +152,7 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def effective_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effective number of trials of the configurations and the threshold it implies."""
-    names = sorted(r.config for r in _scores(spark, sf_dir).select("config").distinct().limit(64).collect())
+    names = sorted(r.config for r in _scores(spark, sf_dir).select("config").distinct().collect())
     wide = _scores(spark, sf_dir).groupBy("d").pivot("config", names).agg(F.first("v"))
     n = stats.effective_trials(stats.correlations(wide, names))
     return spark.createDataFrame([(len(names), round(n, 6), round(normal.bonferroni_threshold(121 + round(n)), 6))], "n_configs long, n_effective double, threshold double")

@@ -33,6 +33,16 @@ def session_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session", "symbol", "started", "ended", "high", "low", "n_bars", "high_i", "low_i")
 
 
+def session_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plotted series of every 30m bar: the mean of 200 closes, and of each session the running and the held levels."""
+    bars = tables.bars(spark, sf_dir, "30m")
+    out = bars.select("symbol", "t", rounded(windows.sma(F.col("close"), 200, SYMBOL())).alias("sma200"))
+    for s in sessions.SESSIONS:
+        found = sessions.track(bars, ["symbol"], s)
+        out = out.join(found.select("symbol", "t", *[F.col(c).alias(f"{s.name}_{c}") for c in ("run_high", "run_low", "held_high", "held_low")]), ["symbol", "t"])
+    return out
+
+
 def session_silent_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of each symbol on which a session had no bar."""
     rows = tables.bars(spark, sf_dir, "30m").withColumn("day", bucket("t", DAY))
@@ -194,7 +204,7 @@ def drawdown_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        session_levels, session_instances, session_silent_report, context_clock, unchanged_counter, since_value_counter, ladder_levels, schmitt_states, impulses_fired, change_kinds, feed_status,
+        session_levels, session_instances, session_series, session_silent_report, context_clock, unchanged_counter, since_value_counter, ladder_levels, schmitt_states, impulses_fired, change_kinds, feed_status,
         adapters_status, events_log, events_tail, events_grouped, plan_alerts, drawdown_events,
     )
 }
@@ -209,6 +219,11 @@ def _tracked(name: str) -> str:
 i_{name} as (select *, sum(edge::int) over (partition by symbol order by t) as inst from e_{name})"""
 
 
+def _held_levels(name: str) -> str:
+    return f"""r_{name} as (select *, case when inside then max(high) over p end as run_high, case when inside then min(low) over p end as run_low from i_{name} window p as (partition by symbol, inst, inside order by t rows between unbounded preceding and current row)),
+h_{name} as (select symbol, t, run_high, run_low, last_value(run_high ignore nulls) over w as held_high, last_value(run_low ignore nulls) over w as held_low from r_{name} window w as (partition by symbol order by t rows between unbounded preceding and current row))"""
+
+
 _Z = f"""zn as (select *, row_number() over (partition by symbol order by t) as i from b4h), zz as (select a.symbol, a.t, a.high, a.low, a.close, a.i,
  case when a.trades % 9 <> 0 and count(b.close) >= 10 then {q.r('case when stddev_pop(b.close) > 0 then (a.close - avg(b.close)) / stddev_pop(b.close) else 0 end', 4)} end as z
  from zn a join zn b on a.symbol = b.symbol and b.i between a.i - 39 and a.i group by a.symbol, a.t, a.high, a.low, a.close, a.i, a.trades)"""
@@ -256,6 +271,12 @@ SQL = {
 select symbol, t, inside, edge, run_high, run_high_i, run_low, run_low_i, last_value(run_high ignore nulls) over w as held_high, last_value(run_low ignore nulls) over w as held_low from r window w as (partition by symbol order by t rows between unbounded preceding and current row)""",
     "session_instances": q.with_(q.TAPE, q.B30, _LOCAL, *[_tracked(n) for n in _INSIDE])
     + " union all ".join(f"select '{n}' as session, symbol, min(t) as started, max(t) as ended, max(high) as high, min(low) as low, count(*) as n_bars, arg_max(i, high order by t) as high_i, arg_min(i, low order by t) as low_i from i_{n} where inside group by symbol, inst" for n in _INSIDE),
+    "session_series": q.with_(q.TAPE, q.B30, _LOCAL, *[_tracked(n) for n in _INSIDE], *[_held_levels(n) for n in _INSIDE])
+    + f"select l.symbol, l.t, {q.r('case when count(*) over f = 200 then avg(close) over f end')} as sma200, "
+    + ", ".join(f"h_{n}.{c} as {n}_{c}" for n in _INSIDE for c in ("run_high", "run_low", "held_high", "held_low"))
+    + " from loc l "
+    + " ".join(f"join h_{n} on h_{n}.symbol = l.symbol and h_{n}.t = l.t" for n in _INSIDE)
+    + " window f as (partition by l.symbol order by l.t rows between 199 preceding and current row)",
     "session_silent_report": q.with_(q.TAPE, q.B30, _LOCAL)
     + ", d as (select symbol, t // 86400000 as day, "
     + ", ".join(f"max(({c})::int) as {n}" for n, c in _INSIDE.items())

@@ -357,6 +357,62 @@ def test_regression_recovers_planted_effect(spark):
     assert stats.regression(df, "y", ["c"], "t", 4) == []
 
 
+@pytest.mark.parametrize("block", [7, 10**9])
+def test_regression_errors_equal_numpy(spark, monkeypatch, block):
+    """Newey-West errors against the matrix formula, whatever the blocks and runs."""
+    import numpy as np
+
+    monkeypatch.setattr(stats, "RUN", 50)
+    r = random.Random(8)
+    rows, e = [], 0.0
+    for k in range(400):
+        e = 0.6 * e + r.gauss(0, 1)
+        rows.append((k * 3, r.gauss(0, 1) + 0.5 * e, r.gauss(0, 2), 1.0 + e))
+    df = spark.createDataFrame(rows, "t long, a double, b double, y double").repartition(5)
+    x = np.array([[1.0, a, b] for _, a, b, _ in rows])
+    y = np.array([row[3] for row in rows])
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ x.T @ y
+    g = x * (y - x @ beta)[:, None]
+    meat = g.T @ g
+    for lag in range(1, 6):
+        cross = g[lag:].T @ g[:-lag]
+        meat = meat + (1 - lag / 6) * (cross + cross.T)
+    se = np.sqrt(np.diag(inverse @ meat @ inverse))
+    found = stats.regression(df, "y", ["a", "b"], "t", 5, block)
+    assert [f["term"] for f in found] == ["intercept", "a", "b"]
+    assert all(math.isclose(f["beta"], b, rel_tol=1e-8) and math.isclose(f["se"], s, rel_tol=1e-8) for f, b, s in zip(found, beta, se, strict=True))
+    (fit,) = stats.slope(df.withColumn("k", F.lit(1)), ["k"], "t", "a", "y", 5).collect()
+    (plain,) = [f for f in stats.regression(df, "y", ["a"], "t", 5, block) if f["term"] == "a"]
+    assert math.isclose(fit.beta, plain["beta"], rel_tol=1e-8) and math.isclose(fit.t, plain["t"], rel_tol=1e-8)
+
+
+def test_volatility_coverage_needs_sixty_seconds_of_24_hours(spark):
+    r = random.Random(1)
+    rows = [("a", h * 3_600_000 + k * 1000, 100 * math.exp(r.gauss(0, 1e-4 * (1 + h % 5)))) for h in range(30) for k in range(60 if h != 3 else 59)]
+    df = spark.createDataFrame(rows, "k string, t long, mid double")
+    (found,) = stats.volatility_coverage(df, ["k"], "t", "mid", 3_600_000, 60, 24, 60 * 1e4).collect()
+    vols = []
+    for h in range(30):
+        x = [math.log(m) for _, t, m in rows if t // 3_600_000 == h]
+        d = [b - a for a, b in zip(x, x[1:], strict=False)]
+        if len(x) >= 60:
+            vols.append(math.sqrt(sum((v - sum(d) / len(d)) ** 2 for v in d) / len(d)) * 60 * 1e4)
+    vols.sort()
+    assert found.periods == 29 and math.isclose(found.p10, vols[2]) and math.isclose(found.p90, vols[26]) and math.isclose(found.spread, vols[26] / vols[2])
+    (few,) = stats.volatility_coverage(df.filter("t < 23 * 3600000"), ["k"], "t", "mid", 3_600_000, 60, 24, 1.0).collect()
+    assert few.periods == 22 and few.spread is None
+
+
+def test_simulated_trades_by_hand(spark):
+    bar = lambda t, o, h, low, c, signal=False, stop=None, trail=None: ("a", t, float(o), float(h), float(low), float(c), signal, stop, trail)
+    rows = [bar(0, 10, 11, 9, 10, True, 8.0), bar(1, 10, 12, 9, 11, True, 9.0, 8.5), bar(2, 11, 14, 10, 13, False, None, 10.5), bar(3, 12, 13, 10, 12, False)]  # leaves at the trail; the signal inside is ignored
+    rows += [bar(4, 12, 12, 11, 12, True, 11.0), bar(5, 10, 12, 9, 11), bar(6, 11, 12, 10, 11, True, 10.0), bar(7, 11, 13, 10.5, 12)]  # opens below its stop; the last is open at the end
+    df = spark.createDataFrame(rows, "k string, t long, open double, high double, low double, close double, signal boolean, stop double, trail double")
+    got = [(r.signal_t, r.entry_t, r.exit_t, r.exit, r.how, r.r) for r in state.simulated(df, ["k"]).orderBy("entry_t").collect()]
+    assert got == [(0, 1, 3, 10.5, "stop", 0.25), (4, 5, 5, 10.0, "gap", 0.0), (6, 7, 7, 12.0, "end", 1.0)]
+
+
 def test_ols_hac_has_every_symbol(spark):
     import numpy as np
 
