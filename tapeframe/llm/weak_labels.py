@@ -30,6 +30,10 @@ from tapeframe.llm.quality_rules import MEASURES, measured
 #: Documents, about, that train the scorer; its table has 2 ** BITS weights for grams and BINS for each labeller's measure.
 SAMPLE, BITS, BINS, SCALE = 6000, 16, 16, 60.0
 
+#: Bad votes that a document of the bad class draws on average, at least: with fewer there is no bad class,
+#: as in a corpus whose bad documents are gone, where the estimation would split the good ones.
+LEAST_BAD = 0.5
+
 EXTRA = ("n_upper", "n_letters", "n_short", "n_ended")
 #: Each labeller's votes: (name, measure per measure, bad if at least, good if at most) or reversed.
 LABELLERS = (
@@ -94,7 +98,8 @@ def unpacked(patterns: np.ndarray) -> np.ndarray:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """Posterior of "good" for each pattern, the share of good, and vote probabilities [class, labeller, vote] where it votes.
 
-    Starts from the patterns' majorities, so that class 1 stays the one the labellers call good.
+    Starts from the patterns' majorities, so that class 1 stays the one the labellers call good. All are
+    good where the other class draws fewer than LEAST_BAD bad votes.
     """
     v = unpacked(patterns)
     said = np.stack([v == 0, v == 1], 2).astype(float)  # a labeller that says nothing is no evidence
@@ -111,6 +116,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         good = new
         if done:
             break
+    if table[0, :, 0].sum() < LEAST_BAD:
+        good = np.ones(len(good))
     share = float((good * counts).sum() / max(counts.sum(), 1))
     return good, share, table
 

@@ -589,6 +589,15 @@ def test_expectation_maximisation_recovers_accuracies():
     assert np.abs(table[1, :, 0] - 0.02).max() < 0.02 and np.abs(table[0, :, 0] - 0.7).max() < 0.08, "accuracies are estimated"
 
 
+def test_no_bad_class_among_good_documents():
+    """Stray bad votes alone make no class: all documents are good."""
+    r = np.random.default_rng(1)
+    votes = np.where(r.random((5000, len(weak_labels.LABELLERS))) < 0.004, 0, 1)
+    patterns, counts = np.unique(weak_labels.packed(votes), return_counts=True)
+    good, share, _ = weak_labels.expectation_maximisation(patterns, counts)
+    assert share == 1.0 and (good == 1).all()
+
+
 def naive_estimation(votes, rounds=200):
     """Expectation-maximisation document by document, with loops."""
     n, many = len(votes), len(votes[0])
