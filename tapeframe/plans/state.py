@@ -111,6 +111,15 @@ def feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "t", "matched_t", "status", ops.feed_word(F.col("status")).alias("word"), (F.col("status") >= 3).alias("usable"), "moved")
 
 
+def daily_feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Freshness of a daily feed, seen on some days of the perp leg: fresh for two days, usable for three."""
+    days = tables.legs(spark, sf_dir).filter("leg = 'A'").select(F.lit(1).alias("k"), "t", "volume")
+    feed = days.filter("volume % 6 = 0").select("k", F.col("t").alias("seen"))
+    rows = alignment.as_of(days.select("k", "t"), feed, ["k"], "t", "seen", [])
+    rows = rows.withColumn("status", ops.freshness(F.col("t"), F.col("matched_t"), DAY, 2, 3))
+    return ops.status_transitions(rows, ["k"], "status").select("t", "matched_t", "status", ops.feed_word(F.col("status"), ops.DAILY_WORDS).alias("word"), "moved")
+
+
 def adapters_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wiring and status of an adapter: wired if it ever left the close in 50 rows, held while unchanged."""
     rows = tables.bars(spark, sf_dir, "4h")
@@ -186,10 +195,10 @@ def events_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Touches of a level that changes daily and is missing on some days."""
+    """Touches of a level that changes daily and is missing on some days; the last bar of a symbol is not confirmed yet."""
     rows = tables.bars(spark, sf_dir, "4h").withColumn("day", bucket("t", DAY))
     level = F.when(F.col("day") / DAY % 5 != 0, F.round(F.first("close").over(W.partitionBy("symbol", "day").orderBy("t"))))
-    rows = rows.withColumn("level", level).withColumn("confirmed", F.lit(True))
+    rows = rows.withColumn("level", level).withColumn("confirmed", F.col("t") < F.max("t").over(W.partitionBy("symbol")))
     return ops.latched_alerts(rows, ["symbol"], "level").select("symbol", "t", "level", "touched", "fired")
 
 
@@ -204,7 +213,7 @@ def drawdown_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        session_levels, session_instances, session_series, session_silent_report, context_clock, unchanged_counter, since_value_counter, ladder_levels, schmitt_states, impulses_fired, change_kinds, feed_status,
+        session_levels, session_instances, session_series, session_silent_report, context_clock, unchanged_counter, since_value_counter, ladder_levels, schmitt_states, impulses_fired, change_kinds, feed_status, daily_feed_status,
         adapters_status, events_log, events_tail, events_grouped, plan_alerts, drawdown_events,
     )
 }
@@ -306,6 +315,10 @@ select symbol, t, level, dir, case when level > 0 and level_before = 0 then 1 wh
     + """, f as (select symbol, t as seen from b4h where trades >= 11), j as (select b.symbol, b.t, f.seen as matched_t from b4h b asof left join f on b.symbol = f.symbol and b.t >= f.seen),
 s as (select *, case when matched_t is null then 0 when (t - matched_t) // 14400000 <= 0 then 4 when (t - matched_t) // 14400000 <= 1 then 3 else 2 end as status from j), p as (select *, lag(status) over (partition by symbol order by t) as b from s)
 select symbol, t, matched_t, status, case status when 0 then 'UNAVAILABLE' when 2 then 'STALE' when 3 then '1 BAR OLD' when 4 then 'FRESH' end as word, status >= 3 as usable, case when status = 2 and b <> 2 then 'down' when status >= 3 and b < 3 then 'up' end as moved from p""",
+    "daily_feed_status": q.with_(q.LEGS)
+    + """, d as (select t, volume from legs where leg = 'A'), f as (select t as seen from d where volume % 6 = 0), j as (select d.t, f.seen as matched_t from d asof left join f on d.t >= f.seen),
+s as (select *, case when matched_t is null then 0 when (t - matched_t) // 86400000 <= 2 then 4 when (t - matched_t) // 86400000 <= 3 then 3 else 2 end as status from j), p as (select *, lag(status) over (order by t) as b from s)
+select t, matched_t, status, case status when 0 then 'UNAVAILABLE' when 2 then 'STALE' when 3 then '1D OLD' when 4 then 'FRESH' end as word, case when status = 2 and b <> 2 then 'down' when status >= 3 and b < 3 then 'up' end as moved from p""",
     "adapters_status": q.with_(q.TAPE, q.B4H, recursive=True)
     + """, a as (select symbol, t, close, row_number() over (partition by symbol order by t) as i, case when symbol = 'view' then close when trades % 5 <> 0 then floor(close / 60) * 60 end as src from b4h),
 f as (select symbol, t, i, src, 999::bigint as held from a where i = 1 union all select a.symbol, a.t, a.i, a.src, case when a.src is null or f.src is null then f.held when a.src <> f.src then 0 else f.held + 1 end from f join a on a.symbol = f.symbol and a.i = f.i + 1),
@@ -319,7 +332,7 @@ select *, case status when 4 then 'ACTIVE' when 3 then 'UNCHANGED 1 BAR' when 2
  priority * 10000000000000 - newest as rank_key from ag""",
     "plan_alerts": q.with_(q.TAPE, q.B4H)
     + """, l as (select symbol, t, high, low, case when (t // 86400000) % 5 <> 0 then round(first(close) over (partition by symbol, t // 86400000 order by t)) end as level from b4h),
-p as (select *, coalesce(low <= level and level <= high, false) as touched, last_value(level ignore nulls) over (partition by symbol order by t rows between unbounded preceding and 1 preceding) as b from l),
+p as (select *, coalesce(low <= level and level <= high and t < max(t) over (partition by symbol), false) as touched, last_value(level ignore nulls) over (partition by symbol order by t rows between unbounded preceding and 1 preceding) as b from l),
 r as (select *, sum((level is not null and level is distinct from b)::int) over (partition by symbol order by t) as run from p)
 select symbol, t, level, touched, touched and sum(touched::int) over (partition by symbol, run order by t) = 1 as fired from r""",
     "drawdown_events": q.with_(q.TAPE, q.B4H, recursive=True)

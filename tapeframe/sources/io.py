@@ -43,6 +43,13 @@ def write_ndjson(df: DataFrame, path: str, received: str = "recvMs", kind: str =
     dated.write.mode("append").partitionBy("date", kind).option("compression", "gzip").json(path)
 
 
+def stream_ndjson(df: DataFrame, path: str, checkpoint: str, received: str = "recvMs", kind: str = "kind") -> None:
+    """Appends all that a stream has to the partitions that write_ndjson makes; its checkpoint keeps a restart from writing rows again."""
+    dated = df.withColumn("date", F.to_date(F.timestamp_millis(received)).cast("string"))
+    sink = dated.writeStream.format("json").partitionBy("date", kind).option("compression", "gzip").option("path", path).option("checkpointLocation", checkpoint)
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def levels(column: str, side: str):
     """Price-quantity string pairs as structs; what is no number is null."""
     return F.transform(F.coalesce(F.col(column), F.array().cast(LEVELS.simpleString())), lambda x: F.struct(F.lit(side).alias("side"), x[0].try_cast("double").alias("price"), x[1].try_cast("double").alias("qty")))
@@ -93,6 +100,15 @@ def sealed(spark: SparkSession, path: str, today: str) -> DataFrame:
     return files.select("path", day.alias("day"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).filter((F.col("day") != "") & (F.col("day") < today))
 
 
+def write_seals(seals: DataFrame, path: str) -> None:
+    """Adds the seals of files that have none yet; an earlier seal is never replaced."""
+    spark = seals.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        seals = seals.join(spark.read.schema(seals.schema).parquet(path).select("path"), "path", "left_anti")
+    seals.write.mode("append").parquet(path)
+
+
 def tampered(seals: DataFrame, now: DataFrame) -> DataFrame:
     """Sealed files that are gone or differ."""
     there = now.select("path", F.col("sha256").alias("sha_now"))
