@@ -48,6 +48,13 @@ def live_context(chart: DataFrame, context: DataFrame, keys: list[str], payload:
     return chart.join(context.select(*keys, "t", *payload), [*keys, "t"], "left")
 
 
+def projected(chart: DataFrame, context: DataFrame, keys: list[str], chart_width: int, context_width: int, payload: list[str]) -> DataFrame:
+    """chart with the payload of a timeframe: the bar itself where the widths are equal, else the last one closed."""
+    if chart_width == context_width:
+        return live_context(chart, context, keys, payload).withColumn("visible_from", F.col("t"))
+    return completed_context(chart, context, keys, context_width, payload)
+
+
 def at_offset(rows: DataFrame, keys: list[str], second: str, offsets: list[int], value: str, same_day: bool = False) -> DataFrame:
     """rows with the value exactly `offset` seconds later (or earlier), null where there is no such row."""
     out = rows

@@ -69,6 +69,19 @@ def constant(df: DataFrame, columns: list[str]) -> set[str]:
     return {c for c in columns if (row[f"s_{c}"] or 0.0) <= 1e-12 * max(1.0, row[f"m_{c}"] or 0.0)}
 
 
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which all the columns are finite numbers."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf")))
+    return df
+
+
+def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, mean and population deviation of the values there are: the mean of none is 0, the deviation of fewer than two 0."""
+    found = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    return found.withColumn("mean", F.coalesce("mean", F.lit(0.0))).withColumn("sd", F.when(F.col("n") < 2, 0.0).otherwise(F.col("sd")))
+
+
 #: Rows of a run of with_runs().
 RUN = 50_000
 
@@ -94,7 +107,7 @@ def regression(df: DataFrame, y: str, xs: list[str], order: str, lags: int, bloc
     Constant regressors are left out; without any left the result is empty. Rows are numbered
     through blocks of `block` in the order's unit, and lagged within runs of RUN rows with a halo.
     """
-    rows = df.select(order, y, *xs).na.drop()
+    rows = finite(df.select(order, y, *xs), [y, *xs])
     dropped = constant(rows, xs)
     xs = [x for x in xs if x not in dropped]
     if not xs:

@@ -115,8 +115,16 @@ def differential_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.compared(a, b, ["symbol", "t"], OHLCV)
 
 
+def mtf_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4h bars with the close of the 4h and of the 1d timeframe, as a chart of 4h sees them."""
+    chart = tables.bars(spark, sf_dir, "4h").select("symbol", "t")
+    own = alignment.projected(chart, tables.bars(spark, sf_dir, "4h").select("symbol", "t", F.col("close").alias("own")), ["symbol"], 4 * HOUR, 4 * HOUR, ["own"])
+    day = alignment.projected(chart, tables.bars(spark, sf_dir, "1d").select("symbol", "t", F.col("close").alias("daily")), ["symbol"], 4 * HOUR, 24 * HOUR, ["daily"])
+    return own.select("symbol", "t", "own").join(day.select("symbol", "t", "daily"), ["symbol", "t"])
+
+
 def matched_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does an even customer pay more, within priority, status and price-quintile strata."""
+    """Does an even customer pay more, within strata of priority, status and price (steps of 100,000)."""
     orders = tables.read(spark, sf_dir, "orders")
     rows = orders.select("o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 2 == 0).alias("treated"), F.col("o_totalprice").alias("y"), F.floor(F.col("o_totalprice") / 100_000).alias("tier"))
     found = alignment.matched_control(rows, ["o_orderpriority", "o_orderstatus", "tier"], "treated", "y")
@@ -132,7 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bars_rolled_up, bar_gap_report, load_dedup, sub_bar_volume, align_spot_left, align_asof, integrity_report, asof_trades_strict, ctx_completed_projection,
-        ctx_live_projection, second_grid, forward_exact, forward_same_day, cross_series_independence, differential_compare, matched_control,
+        ctx_live_projection, second_grid, forward_exact, forward_same_day, mtf_projection, cross_series_independence, differential_compare, matched_control,
     )
 }
 
@@ -167,6 +175,7 @@ select l.trade_id, l.t, rt as matched_t, last_id, last_px from l asof left join
     + "select a.symbol, a.s, a.px, b.px as px_p60, c.px as px_p300, d.px as px_p900, e.px as px_m300 from secs a left join secs b on a.symbol = b.symbol and b.s = a.s + 60 left join secs c on a.symbol = c.symbol and c.s = a.s + 300 left join secs d on a.symbol = d.symbol and d.s = a.s + 900 left join secs e on a.symbol = e.symbol and e.s = a.s - 300",
     "forward_same_day": q.with_(q.TAPE, q.SECONDS)
     + "select a.symbol, a.s, a.px, b.px as px_p600, c.px as px_p3600 from secs a left join secs b on a.symbol = b.symbol and b.s = a.s + 600 and a.s // 86400 = b.s // 86400 left join secs c on a.symbol = c.symbol and c.s = a.s + 3600 and a.s // 86400 = c.s // 86400",
+    "mtf_projection": q.with_(q.TAPE, q.B4H, q.B1D) + ", d as (select symbol, t + 86400000 as f, close as daily from b1d) select a.symbol, a.t, a.close as own, d.daily from b4h a asof left join d on a.symbol = d.symbol and a.t >= d.f",
     "cross_series_independence": q.with_(q.TAPE, q.B4H) + "select 'bars' as side, count(*) as n from b4h",
     "differential_compare": q.with_(q.TAPE, q.B4H) + " union all ".join(f"select '{c}' as \"column\", count(*) as n_compared, 0::bigint as n_structural, 0.0::double as largest_relative from b4h" for c in OHLCV),
     "matched_control": f"select sum(n)::bigint as n_treated, count(*) as n_strata, {_R('sum(n * (mt - mc)) / sum(n)', 3)} as effect from (select avg(o_totalprice) filter (where o_custkey % 2 = 0) as mt, avg(o_totalprice) filter (where o_custkey % 2 <> 0) as mc, count(*) filter (where o_custkey % 2 = 0) as n from orders group by o_orderpriority, o_orderstatus, floor(o_totalprice / 100000)) where mt is not null and mc is not null",

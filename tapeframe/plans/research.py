@@ -61,6 +61,12 @@ def average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.average_ranks(tables.bars(spark, sf_dir, "4h"), ["symbol"], "trades", "rank").select("symbol", "t", "trades", "rank")
 
 
+def hourly_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of the closes above 50 of each symbol and hour of the day; 0 where there are none, or one."""
+    rows = tables.bars(spark, sf_dir, "1h").select("symbol", F.floor(F.col("t") % DAY / 3_600_000).alias("hour"), F.when(F.col("close") > 50, F.col("close")).alias("x"))
+    return stats.moments(rows, ["symbol", "hour"], "x").select("symbol", "hour", "n", rounded("mean").alias("mean"), rounded("sd").alias("sd"))
+
+
 def load_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days, weekdays, weekend days, hours of covered seconds, and whether all requirements are met."""
     days = tables.seconds(spark, sf_dir).groupBy("symbol", F.floor(F.col("s") / 86400).alias("d")).agg(F.count("*").alias("seconds"))
@@ -315,7 +321,7 @@ def trade_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        split_thirds, quantile_edges, decile_table, hac_mean_t, rank_ic, average_ranks, load_coverage, hourly_vol_spread, exec_shortfall, toxicity_drift, terciles, ols_fe, ols_hac, correlation_matrix,
+        split_thirds, quantile_edges, decile_table, hac_mean_t, rank_ic, average_ranks, hourly_moments, load_coverage, hourly_vol_spread, exec_shortfall, toxicity_drift, terciles, ols_fe, ols_hac, correlation_matrix,
         effective_trials, economic_gate, directional_gates, gates, drawdown_curve, return_moments, deflated_sharpe, seeded_bootstrap, shuffled_baseline, session_seasonality, smoothing_audit, tier_confusion, exposure_control,
         risk_budget, overnight_replication, trial_registry, trade_simulation,
     )
@@ -374,6 +380,8 @@ SQL = {
     "hac_mean_t": q.with_(q.TAPE, q.B4H, _RET, _hac("rt", "symbol", "t", "y", 12, "hm")) + f"select symbol, n, {_r('mean')} as mean, {_r('se')} as se, {_r('t', 4)} as t from hm",
     "rank_ic": _RS + f"select symbol, count(*) as n, {_r('coalesce(corr(rx, ry), 0)')} as ic from (select symbol, rank() over (partition by symbol order by x2) + (count(*) over (partition by symbol, x2) - 1) / 2.0 as rx, rank() over (partition by symbol order by y) + (count(*) over (partition by symbol, y) - 1) / 2.0 as ry from rt where x2 is not null and y is not null) group by symbol",
     "average_ranks": q.with_(q.TAPE, q.B4H) + "select symbol, t, trades, (rank() over (partition by symbol order by trades) + (count(*) over (partition by symbol, trades) - 1) / 2.0)::double as rank from b4h",
+    "hourly_moments": q.with_(q.TAPE, q.B1H)
+    + f"select symbol, (t % 86400000) // 3600000 as hour, count(x) as n, {_r('coalesce(avg(x), 0)')} as mean, {_r('case when count(x) < 2 then 0 else stddev_pop(x) end')} as sd from (select symbol, t, case when close > 50 then close end as x from b1h) group by 1, 2",
     "load_coverage": q.with_(q.TAPE, q.SECONDS, _COV) + f"select *, {_MET} as met from cv",
     "hourly_vol_spread": q.with_(q.TAPE, q.SECONDS, q.B30, _SPREAD) + "select span, symbol, periods, p10, p50, p90, spread, coalesce(spread >= 2, false) as met from vs",
     "exec_shortfall": q.with_(q.TAPE, q.B30, _LATE)

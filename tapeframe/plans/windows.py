@@ -155,10 +155,9 @@ def daily_prev_sma_mom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crossings of a 20-bar mean, and the opening range of each day with later breaks of it."""
-    rows = _four(spark, sf_dir)
-    mean = ops.sma(F.col("close"), 20, SYMBOL())
-    rows = rows.withColumn("sma", mean).withColumn("above", F.col("close") > F.col("sma"))
+    """Closes that come back above their exponential mean of 20 bars, and the opening range of each day with later breaks of it."""
+    mean = scans.smoothed(_four(spark, sf_dir).select("symbol", "t", "close"), ["symbol"], "t", "close", 20, 2 / 21, "ema", block=10 * DAY).select("symbol", "t", "ema")
+    rows = _four(spark, sf_dir).join(mean, ["symbol", "t"]).withColumn("above", F.col("close") > F.col("ema"))
     crossed = F.coalesce(F.col("above") & ~F.lag("above").over(SYMBOL()), F.lit(False))
     day = W.partitionBy("symbol", "day").orderBy("t").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumn("reclaim", crossed).withColumn("day", bucket("t", DAY)).withColumn("open_high", F.first("high").over(day))
@@ -253,8 +252,10 @@ select n.symbol, n.t, {_r('l.s')} as last5, {_r('sum(coalesce(x, 0)) over (parti
     "daily_prev_sma_mom": q.with_(q.DAILY)
     + f""", s as (select t, close, case when count(*) over f = 200 then avg(close) over f end as sma, case when lag(close, 84) over w > 0 then close / lag(close, 84) over w - 1 end as mom from daily window w as (order by t), f as (order by t rows between 199 preceding and current row))
 select t, lag(t) over w as from_t, {_r('close')} as close, {_r('lag(sma) over w')} as sma200, {_r('lag(mom) over w')} as mom85 from s window w as (order by t)""",
-    "range_reclaim": _4
-    + """, s as (select *, close > case when count(*) over f = 20 then avg(close) over f end as above, first(high) over d as open_high, first(t) over d as first_t from b4h
- window f as (partition by symbol order by t rows between 19 preceding and current row), d as (partition by symbol, t // 86400000 order by t rows between unbounded preceding and unbounded following))
+    "range_reclaim": q.with_(q.TAPE, q.B4H, recursive=True).rstrip()
+    + ",\n"
+    + ",\nem as (select n.symbol".join(_fold("b4h", "close", 20, "(2.0::double / 21)", "ema").rsplit("select n.symbol", 1)).replace(f"{_r('last_value(f.y ignore nulls) over (partition by n.symbol order by n.i rows between unbounded preceding and current row)')} as ema", "last_value(f.y ignore nulls) over (partition by n.symbol order by n.i rows between unbounded preceding and current row) as ema")
+    + """), s as (select b4h.*, close > ema as above, first(high) over d as open_high, first(b4h.t) over d as first_t from b4h join em on em.symbol = b4h.symbol and em.t = b4h.t
+ window d as (partition by b4h.symbol, b4h.t // 86400000 order by b4h.t rows between unbounded preceding and unbounded following))
 select symbol, t, coalesce(above and not lag(above) over (partition by symbol order by t), false) as reclaim, open_high, t > first_t and close > open_high as broke from s""",
 }

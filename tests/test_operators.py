@@ -387,6 +387,23 @@ def test_regression_errors_equal_numpy(spark, monkeypatch, block):
     assert math.isclose(fit.beta, plain["beta"], rel_tol=1e-8) and math.isclose(fit.t, plain["t"], rel_tol=1e-8)
 
 
+def test_regression_leaves_out_what_is_not_finite(spark):
+    rows = [(k, float(k % 7), 2.0 * (k % 7)) for k in range(60)] + [(60, float("inf"), 1.0), (61, 1.0, float("nan")), (62, None, 1.0), (63, 1.0, float("-inf"))]
+    (_, x) = stats.regression(spark.createDataFrame(rows, "t long, x double, y double"), "y", ["x"], "t", 2)
+    assert x["n"] == 60 and math.isclose(x["beta"], 2.0)
+
+
+def test_details_of_the_panel_change_no_value(spark):
+    """What a line says is the same at every detail, and a richer detail has every line of a poorer one."""
+    from tapeframe.plans import context
+
+    said = {}
+    for r in context.dashboard(spark, "/root/testdata/sf0.001").collect():
+        said.setdefault(r.detail, {})[r.measure] = (r.phrase, r.value)
+    full = said["full"]
+    assert all(full[m] == v for detail in said.values() for m, v in detail.items()) and set(said.get("compact", {})) <= set(said.get("standard", {})) <= set(full)
+
+
 def test_volatility_coverage_needs_sixty_seconds_of_24_hours(spark):
     r = random.Random(1)
     rows = [("a", h * 3_600_000 + k * 1000, 100 * math.exp(r.gauss(0, 1e-4 * (1 + h % 5)))) for h in range(30) for k in range(60 if h != 3 else 59)]
