@@ -510,10 +510,16 @@ def second_features(events: DataFrame, every_ms: int = 1000, stale_ms: int = 500
     return events.repartition("symbol").sortWithinPartitions("symbol", "arrival").mapInPandas(run, schema)
 
 
-def sequence_epochs(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Continuity of update ids: duplicates dropped, then runs between gaps, one row per run."""
-    w = W.partitionBy(*keys).orderBy("last_id")
-    distinct = updates.groupBy(*keys, "last_id").agg(F.min("prev_id").alias("prev_id"), F.count("*").alias("copies"))
-    marked = distinct.withColumn("gap", F.coalesce(F.col("prev_id") != F.lag("last_id").over(w), F.lit(False)))
-    marked = marked.withColumn("epoch", F.sum(F.col("gap").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+def sequence_epochs(updates: DataFrame, keys: list[str], block: int = 1_000_000) -> DataFrame:
+    """Continuity of update ids: duplicates dropped, then runs between gaps, one row per run.
+
+    Ids are cut into blocks; the last id and the number of gaps of those before are carried into each.
+    """
+    distinct = updates.groupBy(*keys, "last_id").agg(F.min("prev_id").alias("prev_id"), F.count("*").alias("copies")).withColumn("b", F.floor(F.col("last_id") / block))
+    over = W.partitionBy(*keys).orderBy("b")
+    ends = distinct.groupBy(*keys, "b").agg(F.max("last_id").alias("end")).select(*keys, "b", F.lag("end").over(over).alias("end_before"))
+    inside = W.partitionBy(*keys, "b").orderBy("last_id")
+    marked = distinct.join(ends, [*keys, "b"]).withColumn("gap", F.coalesce(F.col("prev_id") != F.coalesce(F.lag("last_id").over(inside), "end_before"), F.lit(False)).cast("long"))
+    gaps = marked.groupBy(*keys, "b").agg(F.sum("gap").alias("n")).select(*keys, "b", F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("gaps_before"))
+    marked = marked.join(gaps, [*keys, "b"]).withColumn("epoch", F.col("gaps_before") + F.sum("gap").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "epoch").agg(F.min("last_id").alias("first_id"), F.max("last_id").alias("last_id"), F.count("*").alias("n"), F.sum(F.col("copies") - 1).alias("n_duplicates"))

@@ -139,25 +139,31 @@ def feed_word(status: Column, words: dict[int, str] = FEED_WORDS) -> Column:
 def spaced_drawdowns(df: DataFrame, keys: list[str], depth: str, threshold: float, spacing: int) -> DataFrame:
     """Rows whose drawdown exceeds the threshold, each at least `spacing` rows after the last accepted one.
 
-    Acceptance depends on the last accepted row; candidates of a key (few by nature) are walked in order.
+    Acceptance depends on the last accepted row; candidates of a key (few by nature) are walked once, in order.
     """
-    w = _w(keys)
-    rows = df.withColumn("i", F.row_number().over(w)).filter(F.col(depth) <= -threshold)
-    walked = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("i")).alias("all"))
-    taken = F.aggregate(F.col("all"), F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (i - F.element_at(acc, -1) >= spacing), F.array_append(acc, i)).otherwise(acc))
-    accepted = walked.select(*keys, F.explode(taken).alias("i"))
-    return rows.join(accepted, [*keys, "i"])
+    rows = df.withColumn("i", F.row_number().over(_w(keys))).filter(F.col(depth) <= -threshold)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, taken, last = pdf.sort_values("i"), [], None
+        for i in pdf["i"]:
+            taken.append(last is None or i - last >= spacing)
+            last = i if taken[-1] else last
+        return pdf[taken]
+
+    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
 
 
 def non_overlapping(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Rows taken in order, each only if the last one taken has ended: one position at a time."""
-    w = W.partitionBy(*keys).orderBy(start, end)
-    rows = df.withColumn("__i", F.row_number().over(w))
-    walked = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col("__i").alias("i")))).alias("all"))
-    empty = F.struct(F.lit(None).cast("long").alias("free"), F.array().cast("array<int>").alias("taken"))
-    step = lambda acc, x: F.when(acc["free"].isNull() | (x["s"] >= acc["free"]), F.struct(x["e"].cast("long").alias("free"), F.array_append(acc["taken"], x["i"]).alias("taken"))).otherwise(acc)
-    accepted = walked.select(*keys, F.explode(F.aggregate("all", empty, step)["taken"]).alias("__i"))
-    return rows.join(accepted, [*keys, "__i"]).drop("__i")
+    """Rows taken in order of start, then end, each only if the last one taken has ended: one position at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, taken, free = pdf.sort_values([start, end]), [], None
+        for a, b in zip(pdf[start], pdf[end], strict=True):
+            taken.append(free is None or a >= free)
+            free = b if taken[-1] else free
+        return pdf[taken]
+
+    return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
 TRADE = "signal_t long, entry_t long, exit_t long, entry double, exit double, initial_stop double, how string, r double, mae double, mfe double"

@@ -104,7 +104,7 @@ def sequence_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of ids when every 97th update is lost and every 53rd comes twice."""
     rows = tables.depth_updates(spark, sf_dir).filter("seq % 97 <> 0")
     twice = rows.unionByName(rows.filter("seq % 53 = 0"))
-    return ops.sequence_epochs(twice, ["symbol"])
+    return ops.sequence_epochs(twice, ["symbol"], 1000)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,13 +73,20 @@ def of_version(df: DataFrame, phase: str, version: str) -> DataFrame:
 # ---------------------------------------------------------------- restart-safe ingest
 
 
-def advancing(df: DataFrame, keys: list[str], arrival: str, identifier: str, known: DataFrame | None = None) -> DataFrame:
-    """Rows whose id is above every id that arrived before, and above the stored high-water mark (keys, high)."""
-    before = F.max(identifier).over(W.partitionBy(*keys).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1))
-    rows = df.withColumn("__before", before)
+def advancing(df: DataFrame, keys: list[str], arrival: str, identifier: str, known: DataFrame | None = None, block: int = 3_600_000) -> DataFrame:
+    """Rows whose id is above every id that arrived before, and above the stored high-water mark (keys, high).
+
+    Arrivals are cut into blocks, whose largest ids are carried forward, so a busy key is many tasks.
+    """
+    rows = df.withColumn("__b", F.floor(F.col(arrival) / block))
+    tops = rows.groupBy(*keys, "__b").agg(F.max(identifier).alias("__top"))
+    w = W.rowsBetween(W.unboundedPreceding, -1)
+    tops = tops.select(*keys, "__b", F.max("__top").over(w.partitionBy(*keys).orderBy("__b")).alias("__carried"))
+    own = F.max(identifier).over(w.partitionBy(*keys, "__b").orderBy(arrival))
+    rows = rows.join(tops, [*keys, "__b"]).withColumn("__before", F.greatest(own, "__carried"))
     if known is not None:
         rows = rows.join(known.select(*keys, "high"), keys, "left").withColumn("__before", F.greatest("__before", "high")).drop("high")
-    return rows.filter(F.col("__before").isNull() | (F.col(identifier) > F.col("__before"))).drop("__before")
+    return rows.filter(F.col("__before").isNull() | (F.col(identifier) > F.col("__before"))).select(*df.columns)
 
 
 # ---------------------------------------------------------------- manifests and seals
