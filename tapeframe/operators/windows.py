@@ -5,9 +5,14 @@ Frames are rows unless said otherwise, and a missing value occupies its row.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeframe.functions.columns import DAY, col, yes
 
@@ -47,10 +52,46 @@ def true_range(w) -> Column:
     return F.when(c.isNull(), h - low).otherwise(F.greatest(h - low, F.abs(h - c), F.abs(low - c)))
 
 
-def percent_rank(value: Column, n: int, w) -> Column:
-    """Percent of the n previous values that are at most the current one; null before n of them."""
-    past = F.collect_list(value).over(frame(w, n, current=False))
-    return F.when((F.size(past) == n) & value.isNotNull(), F.size(F.filter(past, lambda v: v <= value)) * 100.0 / n)
+#: Rows of a key that one task ranks.
+RUN = 20_000
+
+
+def ranked(df: DataFrame, keys: list[str], value: str, n: int, present: str, at_most: str, current: str | None = None) -> DataFrame:
+    """df (keys, t, ..) with how many of the n previous rows have a value, and how many of those are at most `current` (default: the value).
+
+    A key's rows are cut into runs with a halo of n rows; each run keeps its window sorted, so a
+    row costs a logarithm of the window and no list of it is made.
+    """
+    size = max(RUN, n)
+    rows = df.withColumn("__i", F.row_number().over(by(*keys)) - 1)
+    run = F.floor(F.col("__i") / size)
+    rows = rows.withColumn("__run", F.explode(F.array_compact(F.array(run, F.when(F.col("__i") % size >= size - n, run + 1)))))
+    names = [*df.columns, "__i", "__run", present, at_most]
+    schema = T.StructType([*rows.schema.fields, T.StructField(present, T.LongType()), T.StructField(at_most, T.LongType())])
+
+    def counted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__i")
+        numbers = lambda name: table.column(name).cast(pa.float64()).to_numpy()
+        x, cur = numbers(value), numbers(current or value)
+        window: list[float] = []
+        there, below = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for i in range(len(x)):
+            if i and x[i - 1] == x[i - 1]:
+                insort(window, x[i - 1])
+            if i > n and x[i - 1 - n] == x[i - 1 - n]:
+                del window[bisect_left(window, x[i - 1 - n])]
+            there[i] = len(window)
+            below[i] = bisect_right(window, cur[i]) if cur[i] == cur[i] else 0
+        return pa.table([*table.columns, pa.array(there), pa.array(below)], names=names)
+
+    found = rows.groupBy(*keys, "__run").applyInArrow(counted, schema)
+    return found.filter(F.col("__run") == run).drop("__i", "__run")
+
+
+def percent_rank(df: DataFrame, keys: list[str], value: str, n: int, to: str) -> DataFrame:
+    """df with the percent of the n previous values that are at most the current one; null before n of them."""
+    found = ranked(df, keys, value, n, "__there", "__below")
+    return found.withColumn(to, F.when((F.col("__there") == n) & F.col(value).isNotNull(), F.col("__below") * 100.0 / n)).drop("__there", "__below")
 
 
 def valid_norm(df: DataFrame, keys: list[str], value: str, n: int = 180, least: int = 45, current: str | None = None) -> DataFrame:
@@ -62,13 +103,12 @@ def valid_norm(df: DataFrame, keys: list[str], value: str, n: int = 180, least:
     """
     w = by(*keys)
     x, cur = F.col(value), F.col(current or value)
-    others = F.collect_list(x).over(frame(w, n - 1, current=False))
-    stats = df.withColumn("n_valid", F.count(x).over(frame(w, n))).withColumn("__m", F.avg(x).over(frame(w, n))).withColumn("__s", F.stddev_pop(x).over(frame(w, n))).withColumn("__o", others)
+    stats = ranked(df, keys, value, n - 1, "__there", "__below", current).withColumn("n_valid", F.count(x).over(frame(w, n))).withColumn("__m", F.avg(x).over(frame(w, n))).withColumn("__s", F.stddev_pop(x).over(frame(w, n)))
     ok = (F.col("n_valid") >= least) & (F.col("n_valid") > 1) & cur.isNotNull()
     return (
         stats.withColumn("z", F.when(ok, F.when(F.col("__s") > 0, (cur - F.col("__m")) / F.col("__s")).otherwise(0.0)))
-        .withColumn("pct", F.when(ok, F.size(F.filter("__o", lambda v: v <= cur)) * 100.0 / (F.col("n_valid") - 1)))
-        .drop("__m", "__s", "__o")
+        .withColumn("pct", F.when(ok, F.col("__below") * 100.0 / (F.col("n_valid") - 1)))
+        .drop("__m", "__s", "__there", "__below")
     )
 
 

@@ -127,8 +127,8 @@ def mechanics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def volatility_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The volatility word of the percentile of 10-day deviation, and the average true range in percent."""
     rows = _measured(spark, sf_dir).withColumn("sd", rounded(windows.deviation(windows.log_return(F.col("perp_close"), SERIES()), 10, SERIES())))
-    pct = windows.percent_rank(F.col("sd"), 60, SERIES())
-    return rows.withColumn("pct", rounded(pct, 4)).select("t", "sd", "pct", ops.volatility_word(F.col("pct")).alias("word"))
+    rows = windows.percent_rank(rows.select("k", "t", "sd"), ["k"], "sd", 60, "pct")
+    return rows.withColumn("pct", rounded("pct", 4)).select("t", "sd", "pct", ops.volatility_word(F.col("pct")).alias("word"))
 
 
 def measure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

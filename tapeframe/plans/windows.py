@@ -37,7 +37,7 @@ def sma_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percent_rank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _four(spark, sf_dir).select("symbol", "t", rounded(ops.percent_rank(F.col("close"), 60, SYMBOL())).alias("pr"))
+    return ops.percent_rank(_four(spark, sf_dir).select("symbol", "t", "close"), ["symbol"], "close", 60, "pr").select("symbol", "t", rounded("pr").alias("pr"))
 
 
 def donchian_prev(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,18 @@ def test_constant_window_has_z_zero_and_unique_extremes(spark):
     assert rising[-1].pct == 100.0
 
 
+@pytest.mark.parametrize("run", [7, 10**6])
+def test_ranks_of_runs_equal_loops(spark, monkeypatch, run):
+    monkeypatch.setattr(windows, "RUN", run)
+    values, n = randoms(120, 6, missing=0.2), 9
+    values[10:14] = [0.5, 0.5, None, 0.5]
+    found = windows.ranked(series(spark, values).withColumn("extra", F.lit("kept")), ["k"], "z", n, "there", "below").orderBy("t").collect()
+    for i, r in enumerate(found):
+        past = [v for v in values[max(0, i - n) : i] if v is not None]
+        assert r.there == len(past) and (values[i] is None or r.below == sum(v <= values[i] for v in past)) and r.extra == "kept"
+    assert len(found) == len(values)
+
+
 def test_zero_and_null_trades_resample(spark):
     rows = spark.createDataFrame([("a", 0, 1, 0.0, 1.0), ("a", 1, 2, None, 1.0)], "symbol string, t long, trade_id long, px double, qty double")
     got = resample(rows, 60_000, ["symbol"], "t", "px", "qty", "trade_id").collect()
