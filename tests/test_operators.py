@@ -353,6 +353,28 @@ def test_plan_identities(spark):
     assert void.ok is False and void.qty is None and void.live_r is None
 
 
+def test_effective_trials_of_correlated_configurations():
+    import numpy as np
+
+    pair = lambda rho: np.array([[1, rho], [rho, 1]])  # noqa: E731  eigenvalues 1 + rho and 1 - rho
+    assert math.isclose(stats.effective_trials(pair(0.6)), 2.0) and math.isclose(stats.effective_trials(pair(0.2)), 2.0)
+    three = np.full((3, 3), 0.9) + 0.1 * np.eye(3)  # eigenvalues 2.8, 0.1, 0.1
+    assert math.isclose(stats.effective_trials(three), 2.0)
+    four = np.kron(np.eye(2), np.full((2, 2), 1.0))  # 2, 2, 0, 0: two clusters
+    assert math.isclose(stats.effective_trials(four), 2.0)
+
+
+def test_deflated_sharpe_by_simulation():
+    import numpy as np
+
+    best, p = stats.deflated_sharpe(0.1, 101, 0.0, 3.0, 1, 0.01)
+    assert best == 0.0 and math.isclose(p, normal.cdf(0.1 * 10 / math.sqrt(1.005)))
+    best, p = stats.deflated_sharpe(0.3, 401, 0.0, 3.0, 20, 0.01)
+    simulated = np.random.default_rng(3).normal(0, 0.1, (40_000, 20)).max(1).mean()
+    assert abs(best - simulated) < 0.005 and math.isclose(p, normal.cdf((0.3 - best) * 20 / math.sqrt(1 + 0.5 * 0.09)))
+    assert stats.deflated_sharpe(0.3, 401, -1.0, 6.0, 20, 0.01)[1] < p, "fat left tails lower it"
+
+
 def test_effective_trials_and_threshold():
     import numpy as np
 
