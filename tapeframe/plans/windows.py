@@ -154,6 +154,19 @@ def daily_prev_sma_mom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("t", "from_t", rounded("close").alias("close"), rounded("sma200").alias("sma200"), rounded("mom85").alias("mom85"))
 
 
+def oscillators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative strength by Wilder's means of 14 changes, and the distance of the 12- and 26-bar means with its 9-bar signal."""
+    change = F.col("close") - F.lag("close").over(SYMBOL())
+    rows = _four(spark, sf_dir).select("symbol", "t", "close", F.greatest(change, F.lit(0.0)).alias("gain"), F.greatest(-change, F.lit(0.0)).alias("loss"))
+    rows = rows.withColumn("gain", F.when(change.isNotNull(), F.col("gain"))).withColumn("loss", F.when(change.isNotNull(), F.col("loss")))
+    for value, n, alpha, to in (("gain", 14, 1 / 14, "up"), ("loss", 14, 1 / 14, "down"), ("close", 12, 2 / 13, "fast"), ("close", 26, 2 / 27, "slow")):
+        rows = scans.smoothed(rows, ["symbol"], "t", value, n, alpha, to, block=30 * DAY)
+    rows = rows.withColumn("macd", F.col("fast") - F.col("slow"))
+    rows = scans.smoothed(rows, ["symbol"], "t", "macd", 9, 0.2, "signal", block=30 * DAY)
+    rsi = F.when(F.col("up") + F.col("down") > 0, 100 * F.col("up") / (F.col("up") + F.col("down")))
+    return rows.select("symbol", "t", rounded(rsi, 4).alias("rsi"), rounded("macd", 4).alias("macd"), rounded("signal", 4).alias("signal"))
+
+
 def range_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closes that come back above their exponential mean of 20 bars, and the opening range of each day with later breaks of it."""
     mean = scans.smoothed(_four(spark, sf_dir).select("symbol", "t", "close"), ["symbol"], "t", "close", 20, 2 / 21, "ema", block=10 * DAY).select("symbol", "t", "ema")
@@ -169,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         true_range, rolling_vol, sma_momentum, percent_rank_window, donchian_prev, slot_rvol, slot_z, session_rvol_median, session_running_extremes, forward_mae_mfe, pivots_rsi, autocovariance,
-        rolling_median_clamp, daily_vwap, flow_windows, valid_norm, flow_sums, demeaned, wilder_atr, ema_close, ema_valid, daily_prev_sma_mom, range_reclaim,
+        rolling_median_clamp, daily_vwap, flow_windows, valid_norm, flow_sums, demeaned, wilder_atr, ema_close, ema_valid, daily_prev_sma_mom, range_reclaim, oscillators,
     )
 }
 
@@ -190,6 +203,12 @@ select n.symbol, n.t, {extra}{_r('last_value(f.y ignore nulls) over (partition b
 from numbered n left join valid v on n.symbol = v.symbol and n.i = v.i left join fold f on f.symbol = v.symbol and f.k = v.k"""
 
 
+def _plain_fold(source: str, value: str, n: int, alpha: str, name: str) -> str:
+    """_fold without rounding."""
+    said = "last_value(f.y ignore nulls) over (partition by n.symbol order by n.i rows between unbounded preceding and current row)"
+    return _fold(source, value, n, alpha, name).replace(_r(said), said)
+
+
 _FLOW = ", ".join(
     f"{_r(f'coalesce(sum(case when aggressive_buy then px * qty else 0 end) over w{i}, 0)', 4)} as buy_{ms}, {_r(f'coalesce(sum(case when not aggressive_buy then px * qty else 0 end) over w{i}, 0)', 4)} as sell_{ms}, "
     f"{_r(f'case when sum(px * qty) over w{i} > 0 then sum(case when aggressive_buy then px * qty else -px * qty end) over w{i} / sum(px * qty) over w{i} else 0 end', 4)} as afi_{ms}, count(*) over w{i} as n_{ms}"
@@ -252,9 +271,14 @@ select n.symbol, n.t, {_r('l.s')} as last5, {_r('sum(coalesce(x, 0)) over (parti
     "daily_prev_sma_mom": q.with_(q.DAILY)
     + f""", s as (select t, close, case when count(*) over f = 200 then avg(close) over f end as sma, case when lag(close, 84) over w > 0 then close / lag(close, 84) over w - 1 end as mom from daily window w as (order by t), f as (order by t rows between 199 preceding and current row))
 select t, lag(t) over w as from_t, {_r('close')} as close, {_r('lag(sma) over w')} as sma200, {_r('lag(mom) over w')} as mom85 from s window w as (order by t)""",
+    "oscillators": q.with_(q.TAPE, q.B4H)
+    + ", ch as (select *, close - lag(close) over (partition by symbol order by t) as d from b4h), gl as (select symbol, t, close, case when d is not null then greatest(d, 0) end as gain, case when d is not null then greatest(-d, 0) end as loss from ch), "
+    + ", ".join(f"o_{name} as (with recursive {_plain_fold('gl', value, n, alpha, name)})" for name, value, n, alpha in (("up", "gain", 14, "(1.0::double / 14)"), ("down", "loss", 14, "(1.0::double / 14)"), ("fast", "close", 12, "(2.0::double / 13)"), ("slow", "close", 26, "(2.0::double / 27)")))
+    + ", mc as (select symbol, t, up, down, fast - slow as macd from o_up join o_down using (symbol, t) join o_fast using (symbol, t) join o_slow using (symbol, t)), "
+    + f"o_signal as (with recursive {_plain_fold('mc', 'macd', 9, '0.2::double', 'signal')}) select symbol, t, {_r('case when up + down > 0 then 100 * up / (up + down) end', 4)} as rsi, {_r('macd', 4)} as macd, {_r('signal', 4)} as signal from mc join o_signal using (symbol, t)",
     "range_reclaim": q.with_(q.TAPE, q.B4H, recursive=True).rstrip()
     + ",\n"
-    + ",\nem as (select n.symbol".join(_fold("b4h", "close", 20, "(2.0::double / 21)", "ema").rsplit("select n.symbol", 1)).replace(f"{_r('last_value(f.y ignore nulls) over (partition by n.symbol order by n.i rows between unbounded preceding and current row)')} as ema", "last_value(f.y ignore nulls) over (partition by n.symbol order by n.i rows between unbounded preceding and current row) as ema")
+    + ",\nem as (select n.symbol".join(_plain_fold("b4h", "close", 20, "(2.0::double / 21)", "ema").rsplit("select n.symbol", 1))
     + """), s as (select b4h.*, close > ema as above, first(high) over d as open_high, first(b4h.t) over d as first_t from b4h join em on em.symbol = b4h.symbol and em.t = b4h.t
  window d as (partition by b4h.symbol, b4h.t // 86400000 order by b4h.t rows between unbounded preceding and unbounded following))
 select symbol, t, coalesce(above and not lag(above) over (partition by symbol order by t), false) as reclaim, open_high, t > first_t and close > open_high as broke from s""",
