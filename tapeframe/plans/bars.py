@@ -94,6 +94,13 @@ def forward_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.at_offset(tables.seconds(spark, sf_dir).select("symbol", "s", "px"), ["symbol"], "s", [60, 300, 900, -300], "px")
 
 
+def log_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log changes over exactly the next 5, 30 and 300 seconds, and over the last 30 as a control, where both prices are there."""
+    rows = alignment.at_offset(tables.seconds(spark, sf_dir).filter("px > 0").select("symbol", "s", "px"), ["symbol"], "s", [5, 30, 300, -30], "px")
+    ahead = [rounded(F.log(F.col(f"px_p{h}") / F.col("px"))).alias(f"target_{h}") for h in (5, 30, 300)]
+    return rows.select("symbol", "s", *ahead, rounded(F.log(F.col("px") / F.col("px_m30"))).alias("past_30"))
+
+
 def forward_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.at_offset(tables.seconds(spark, sf_dir).select("symbol", "s", "px"), ["symbol"], "s", [600, 3600], "px", same_day=True)
 
@@ -140,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bars_rolled_up, bar_gap_report, load_dedup, sub_bar_volume, align_spot_left, align_asof, integrity_report, asof_trades_strict, ctx_completed_projection,
-        ctx_live_projection, second_grid, forward_exact, forward_same_day, mtf_projection, cross_series_independence, differential_compare, matched_control,
+        ctx_live_projection, second_grid, forward_exact, log_targets, forward_same_day, mtf_projection, cross_series_independence, differential_compare, matched_control,
     )
 }
 
@@ -173,6 +180,8 @@ select l.trade_id, l.t, rt as matched_t, last_id, last_px from l asof left join
     "second_grid": q.with_(q.TAPE, q.SECONDS) + "select * from secs",
     "forward_exact": q.with_(q.TAPE, q.SECONDS)
     + "select a.symbol, a.s, a.px, b.px as px_p60, c.px as px_p300, d.px as px_p900, e.px as px_m300 from secs a left join secs b on a.symbol = b.symbol and b.s = a.s + 60 left join secs c on a.symbol = c.symbol and c.s = a.s + 300 left join secs d on a.symbol = d.symbol and d.s = a.s + 900 left join secs e on a.symbol = e.symbol and e.s = a.s - 300",
+    "log_targets": q.with_(q.TAPE, q.SECONDS)
+    + f", p as (select * from secs where px > 0) select a.symbol, a.s, {_R('ln(b.px / a.px)')} as target_5, {_R('ln(c.px / a.px)')} as target_30, {_R('ln(d.px / a.px)')} as target_300, {_R('ln(a.px / e.px)')} as past_30 from p a left join p b on a.symbol = b.symbol and b.s = a.s + 5 left join p c on a.symbol = c.symbol and c.s = a.s + 30 left join p d on a.symbol = d.symbol and d.s = a.s + 300 left join p e on a.symbol = e.symbol and e.s = a.s - 30",
     "forward_same_day": q.with_(q.TAPE, q.SECONDS)
     + "select a.symbol, a.s, a.px, b.px as px_p600, c.px as px_p3600 from secs a left join secs b on a.symbol = b.symbol and b.s = a.s + 600 and a.s // 86400 = b.s // 86400 left join secs c on a.symbol = c.symbol and c.s = a.s + 3600 and a.s // 86400 = c.s // 86400",
     "mtf_projection": q.with_(q.TAPE, q.B4H, q.B1D) + ", d as (select symbol, t + 86400000 as f, close as daily from b1d) select a.symbol, a.t, a.close as own, d.daily from b4h a asof left join d on a.symbol = d.symbol and a.t >= d.f",
