@@ -231,6 +231,49 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(shifted + (ends - starts).astype(np.uint64))
 
 
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """span_hash of all of data, slice by slice."""
+    total, factor, step = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.array([pow(_BASE, SLICE_BYTES, 1 << 64)], np.uint64)
+    for start in range(0, len(data), SLICE_BYTES):
+        part = data[start : start + SLICE_BYTES]
+        total = total + factor * (_BYTE_CODES[part] * _power(_BASE, len(part))).sum(dtype=np.uint64)
+        factor = factor * step
+    return mixed(total + np.uint64(len(data)))[0]
+
+
+def hashed_runs(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the runs of bytes that are true in `solid`, cut at offsets.
+
+    Goes through the bytes in segments of SLICE_BYTES that end between runs, so that what it
+    needs besides its results doesn't grow with the texts.
+    """
+    found, start, n = [], 0, len(data)
+    while start < n:
+        stop = min(start + SLICE_BYTES, n)
+        if stop < n:
+            gaps = np.flatnonzero(~solid[data[start:stop]])
+            text = int(offsets[np.searchsorted(offsets, stop, side="right") - 1])
+            end = max(start + int(gaps[-1]) + 1 if len(gaps) else 0, text)
+            if end <= start:  # one run, longer than a segment
+                text = int(offsets[np.searchsorted(offsets, start, side="right")])
+                while stop < text and solid[data[stop - 1]]:
+                    gaps = np.flatnonzero(~solid[data[stop : min(stop + SLICE_BYTES, text)]])
+                    stop = stop + int(gaps[0]) + 1 if len(gaps) else min(stop + SLICE_BYTES, text)
+                end = stop if solid[data[stop - 1]] else stop - 1
+                found.append((np.array([start]), np.array([end]), np.array([_long_hash(data[start:end])])))
+                start = end
+                continue
+            stop = end
+        part = data[start:stop]
+        inner = offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, stop, side="right")] - start
+        starts, ends = runs(solid[part], inner)
+        found.append((starts + start, ends + start, span_hash(prefix_hash(part), starts, ends)))
+        start = stop
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
 def runs(inside: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of true values, also cut at the offsets in breaks."""
     n = len(inside)

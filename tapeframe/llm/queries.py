@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import bpe, chat, fingerprints, language_id, lexical_search, licenses, line_dedup, mixing, near_dedup, oracles, quality_rules, toxicity, weak_labels
+from tapeframe.llm import bpe, chat, collocations, fingerprints, language_id, lexical_search, licenses, line_dedup, mixing, near_dedup, oracles, quality_rules, toxicity, weak_labels
 from tapeframe.llm.common import table
 
 
@@ -74,14 +74,19 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's strongest phrases."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten documents or more share."""
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_bpe, op3_language_id, op4_quality_classifier, op5_fingerprints, op6_mixing, op7_toxicity, op8_quality_rules, op9_chat, op10_near_dedup, op11_lexical_search, op13_line_dedup, licenses_base)}
+    return {f.__name__: f for f in (op1_licenses, op2_bpe, op3_language_id, op4_quality_classifier, op5_fingerprints, op6_mixing, op7_toxicity, op8_quality_rules, op9_chat, op10_near_dedup, op11_lexical_search, op12_collocations, op13_line_dedup, licenses_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL.format(documents="documents"), "op8_quality_rules": oracles.QUALITY_RULES, "op9_chat": oracles.CHAT, "licenses_base": oracles.LICENSES_BASE, "op11_lexical_search": lexical_search.SQL, "op13_line_dedup": line_dedup.SQL}
+    return {"op6_mixing": mixing.SQL.format(documents="documents"), "op8_quality_rules": oracles.QUALITY_RULES, "op9_chat": oracles.CHAT, "licenses_base": oracles.LICENSES_BASE, "op11_lexical_search": lexical_search.SQL, "op12_collocations": collocations.SQL, "op13_line_dedup": line_dedup.SQL}
