@@ -81,8 +81,8 @@ class LineRuns:
     def stored(self, counts: DataFrame) -> str:
         """counts (h, g, n) as a table bucketed and sorted by hash."""
         name = f"tapeframe_lines_{uuid.uuid4().hex}"
-        dealt = counts.select(*_HASH, "n").repartition(self.buckets, "h")
-        dealt.write.bucketBy(self.buckets, "h").sortBy(*_HASH).option("path", f"{self.folder}/{name}").saveAsTable(name)
+        dealt = counts.select(*_HASH, "n").repartition(self.buckets, *_HASH)
+        dealt.write.bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", f"{self.folder}/{name}").saveAsTable(name)
         self._tables.append(name)
         return name
 
@@ -99,16 +99,25 @@ class LineRuns:
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self.stored(self._merged([self.spark.table(n) for n in self.levels[level]])))
+            self.levels[level + 1].append(self._compacted(self.levels[level]))
             self.levels[level] = []
             level += 1
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy(*_HASH).agg(F.sum("n").alias("n"))
+    def _compacted(self, names: list[str]) -> str:
+        """One run of several, merged two at a time by their sort order."""
+
+        def merged(a: str, b: str) -> str:
+            left, right = (self.spark.table(name).select(*_HASH, F.col("n").alias(to)) for name, to in ((a, "x"), (b, "y")))
+            both = left.join(right.hint("merge"), _HASH, "full")
+            return self.stored(both.select(*_HASH, (F.coalesce("x", F.lit(0)) + F.coalesce("y", F.lit(0))).alias("n")))
+
+        return reduce(merged, names)
 
     def common(self) -> DataFrame:
-        """(h, g, n) of the hashes in `limit` documents or more; n is a lower bound of their documents."""
-        return self._merged(self._runs()).where(F.col("n") >= self.limit)
+        """(h, g, n) of the hashes in `limit` documents or more, after compaction of all runs; n is a lower bound of their documents."""
+        names = [name for level in self.levels for name in level]
+        self.levels = [[], [self._compacted(names)]]
+        return self.spark.table(self.levels[1][0]).where(F.col("n") >= self.limit)
 
     def close(self) -> None:
         for name in self._tables:
