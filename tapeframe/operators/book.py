@@ -41,7 +41,8 @@ def sampled(updates: DataFrame, keys: list[str], samples: DataFrame, measure: Ca
     updates: keys, t, seq, side, price, qty (0 removes); those at the sample time are in force.
     Time is cut into blocks, each with the levels carried into it; a block's books are rebuilt
     in one task from its own updates, so its memory is bounded by levels and updates of a block.
-    measure gets two lists of (price, qty), best first, and returns a list of tuples.
+    measure gets bid prices and sizes and ask prices and sizes, best first, as arrays, and
+    returns a list of tuples.
     """
     from pyspark.sql import types as T
 
@@ -57,17 +58,20 @@ def sampled(updates: DataFrame, keys: list[str], samples: DataFrame, measure: Ca
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kind", "t", "seq"])
-        first, events, times = (pdf[pdf["kind"] == k] for k in range(3))
-        ladders = Ladder("bid"), Ladder("ask")
-        for row in first.itertuples():
-            ladders[row.side == "ask"].set(row.price, row.qty)
-        out, changes = [], events.sort_values(["t", "seq"])[["t", "side", "price", "qty"]].itertuples(index=False)
-        change = next(changes, None)
-        for at in times["t"].sort_values():
-            while change is not None and change.t <= at:
-                ladders[change.side == "ask"].set(change.price, change.qty)
-                change = next(changes, None)
-            out += [(*key[:-1], int(at), *found) for found in measure(ladders[0].levels(), ladders[1].levels())]
+        events, times = pdf[pdf["kind"] < 2], pdf.loc[pdf["kind"] == 2, "t"].to_numpy(np.int64)
+        t = np.where(events["kind"] == 0, np.iinfo(np.int64).min, events["t"].to_numpy(np.int64))
+        price, qty, is_ask = events["price"].to_numpy(float), events["qty"].to_numpy(float), (events["side"] == "ask").to_numpy()
+        # each side's prices of the block, best first, and the size at each of them
+        ladder = [np.unique(-price[~is_ask]), np.unique(price[is_ask])]
+        place = np.where(is_ask, np.searchsorted(ladder[1], price), np.searchsorted(ladder[0], -price))
+        ladder[0], sizes = -ladder[0], [np.zeros(len(x)) for x in ladder]
+        out, start = [], 0
+        for at, stop in zip(times.tolist(), np.searchsorted(t, times, side="right").tolist(), strict=True):
+            for side, own in ((0, ~is_ask[start:stop]), (1, is_ask[start:stop])):
+                sizes[side][place[start:stop][own]] = qty[start:stop][own]  # of several for a price the last stays
+            start = stop
+            held = [np.flatnonzero(s > 0) for s in sizes]
+            out += [(*key[:-1], at, *found) for found in measure(ladder[0][held[0]], sizes[0][held[0]], ladder[1][held[1]], sizes[1][held[1]])]
         return pd.DataFrame(out, columns=names)
 
     return rows.groupBy(*keys, "block").applyInPandas(run, out_schema)
@@ -115,16 +119,20 @@ FEATURES = ", ".join(
 )
 
 
-def features(bids: list[tuple[float, float]], asks: list[tuple[float, float]]) -> list[tuple]:
-    """FEATURES of one book; nothing for a book with an empty side."""
-    if not bids or not asks:
+_NAMES = [c.split()[0] for c in FEATURES.split(", ")]
+
+
+def measured(bid_price: np.ndarray, bid_qty: np.ndarray, ask_price: np.ndarray, ask_qty: np.ndarray) -> list[tuple]:
+    """FEATURES of one book, best levels first; nothing for a book with an empty side."""
+    if not len(bid_price) or not len(ask_price):
         return []
-    (bid, bid_qty), (ask, ask_qty) = bids[0], asks[0]
+    bid, ask = float(bid_price[0]), float(ask_price[0])
     mid = (bid + ask) / 2
-    micro = (bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty)
-    out: dict[str, float] = {"bid": bid, "ask": ask, "mid": mid, "bid_qty": bid_qty, "ask_qty": ask_qty, "spread": ask - bid, "spread_bp": (ask - bid) / mid * 1e4, "microprice": micro, "displacement_bp": (micro - mid) / mid * 1e4}
-    for side, levels in (("bid", bids), ("ask", asks)):
-        price, qty = np.array(levels, float).T
+    near_bid = max(TOPS[-1], int(np.searchsorted(-bid_price, -mid * (1 - 0.0051))))  # what no measure reaches is left out
+    near_ask = max(TOPS[-1], int(np.searchsorted(ask_price, mid * (1 + 0.0051))))
+    micro = (bid * ask_qty[0] + ask * bid_qty[0]) / (bid_qty[0] + ask_qty[0])
+    out: dict[str, float] = {"bid": bid, "ask": ask, "mid": mid, "bid_qty": bid_qty[0], "ask_qty": ask_qty[0], "spread": ask - bid, "spread_bp": (ask - bid) / mid * 1e4, "microprice": micro, "displacement_bp": (micro - mid) / mid * 1e4}
+    for side, price, qty in (("bid", bid_price[:near_bid], bid_qty[:near_bid]), ("ask", ask_price[:near_ask], ask_qty[:near_ask])):
         value, away = price * qty, np.abs(price - mid) / mid * 1e4
         out |= {f"{side}_top{k}": value[:k].sum() for k in TOPS} | {f"{side}_within{k}bp": value[away <= k].sum() for k in BANDS}
         out[f"{side}_weighted"] = (value / (1 + away))[away <= 50].sum()
@@ -132,7 +140,13 @@ def features(bids: list[tuple[float, float]], asks: list[tuple[float, float]]) -
     for k in (*(f"top{k}" for k in TOPS), "weighted"):
         both = out[f"bid_{k}"] + out[f"ask_{k}"]
         out[f"imbalance_{k}"] = (out[f"bid_{k}"] - out[f"ask_{k}"]) / both if both > 0 else 0.0
-    return [tuple(float(out[c.split()[0]]) for c in FEATURES.split(", "))]
+    return [tuple(float(out[c]) for c in _NAMES)]
+
+
+def features(bids: list[tuple[float, float]], asks: list[tuple[float, float]]) -> list[tuple]:
+    """FEATURES of one book given as lists of (price, qty), best first."""
+    sides = [np.array(x, float).reshape(-1, 2).T for x in (bids, asks)]
+    return measured(*sides[0], *sides[1])
 
 
 def depth_features(levels: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +58,12 @@ def _sampled(spark: SparkSession, sf_dir: str, measure, schema: str) -> DataFram
     return ops.sampled(tables.depth_updates(spark, sf_dir), ["symbol"], _samples(spark, sf_dir), measure, schema, 86_400_000)
 
 
-def _sides(bids: list, asks: list) -> list[tuple]:
-    return [(side, len(x), min(x)[0], max(x)[0], sum(q for _, q in x)) for side, x in (("bid", bids), ("ask", asks)) if x]
+def _sides(*book: np.ndarray) -> list[tuple]:
+    return [(side, len(p), float(p.min()), float(p.max()), float(q.sum())) for side, p, q in (("bid", *book[:2]), ("ask", *book[2:])) if len(p)]
 
 
-def _three_best(bids: list, asks: list) -> list[tuple]:
-    return [(side, n, price, qty) for side, x in (("bid", bids), ("ask", asks)) for n, (price, qty) in enumerate(x[:3], 1)]
+def _three_best(*book: np.ndarray) -> list[tuple]:
+    return [(side, n, float(price), float(qty)) for side, p, q in (("bid", *book[:2]), ("ask", *book[2:])) for n, (price, qty) in enumerate(zip(p[:3], q[:3], strict=True), 1)]
 
 
 def book_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,14 +78,14 @@ def book_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def liquidity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Liquidity and pressure words of the book at each second."""
-    found = _sampled(spark, sf_dir, ops.features, ops.FEATURES)
+    found = _sampled(spark, sf_dir, ops.measured, ops.FEATURES)
     near = F.col("bid_within5bp") + F.col("ask_within5bp")
     return found.select("at", rounded("spread_bp", 4).alias("spread_bp"), rounded("imbalance_top5", 4).alias("imbalance"), rounded(near, 4).alias("near"), ops.liquidity(F.col("spread_bp"), near).alias("state"), ops.pressure(F.col("imbalance_top5")).alias("pressure"))
 
 
 def flow_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth of the book at each second with the flow of the five seconds before."""
-    found = _sampled(spark, sf_dir, ops.features, ops.FEATURES)
+    found = _sampled(spark, sf_dir, ops.measured, ops.FEATURES)
     tape = tables.tape(spark, sf_dir).withColumn("symbol", F.lit("BOOK"))
     flow = windows.flow(tape, ["symbol"], list(ops.FLOW_MS), _samples(spark, sf_dir).withColumnRenamed("at", "t"))
     rows = found.join(flow.withColumnRenamed("t", "at"), ["symbol", "at"])
