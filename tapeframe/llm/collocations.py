@@ -12,20 +12,24 @@ Popcounts are summed over all shards, a length at a time. A phrase is extended o
 it is common, and counted only if it is common without its first word too. Which phrases
 are common the tasks know from a sieve of fixed size (SIEVE_BITS), a Bloom filter of the
 hashes whose summed popcounts reach LEAST: it may let a rare phrase through, which costs
-time and no result, as the last walk counts the phrases themselves, by their words.
+time and no result. With its sum a phrase keeps one of the shards that hold it, and a last
+walk lets that shard alone tell its words, so a phrase's text is moved once.
 
 A null language is `und`; null texts have no words. Repeated rows count each for itself.
-An empty table gives an empty result. Words are told apart within a task by 64-bit hashes.
+An empty table gives an empty result. Phrases are told apart by 64-bit hashes with the
+language mixed in: a common phrase shares its sum with another with a chance of 5e-20 for
+each phrase there is.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +56,7 @@ _STEP = np.uint64(0x9FB21C651E98DF25)
 
 SHARDS = T.StructType(
     [
+        T.StructField("shard", T.LongType()),
         T.StructField("lang", T.StringType()),
         T.StructField("words", T.LongType()),
         T.StructField("own", T.IntegerType()),
@@ -85,14 +90,14 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.nd
 
 
 class _Sums:
-    """Sums of counts by hash, handed on when there are MERGED of them and at the end."""
+    """Sums of counts by hash with a shard that has it, handed on when there are MERGED of them and at the end."""
 
     def __init__(self):
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((keys, counts))
+    def add(self, keys: np.ndarray, counts: np.ndarray, shard: int = 0) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, counts, np.full(len(keys), shard)))
         self.size += len(keys)
         if self.size > MERGED:
             self._merge()
@@ -100,23 +105,26 @@ class _Sums:
                 yield from self.rest()
 
     def _merge(self) -> None:
-        keys, counts = (np.concatenate([h[k] for h in self.held]) for k in range(2))
-        keys, at = np.unique(keys, return_inverse=True)
-        self.held = [(keys, np.bincount(at, counts, len(keys)).astype(np.int64))]
+        keys, counts, shards = (np.concatenate([h[k] for h in self.held]) for k in range(3))
+        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        self.held = [(keys, np.bincount(at, counts, len(keys)).astype(np.int64), shards[first])]
         self.size = len(keys)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             self._merge()
-            keys, counts = self.held[0]
+            keys, counts, shards = self.held[0]
             for start in range(0, len(keys), 1 << 16):
                 part = slice(start, start + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part]), pa.array(shards[part])], names=["key", "n", "shard"])
         self.held, self.size = [], 0
 
 
+COUNTS = "key long, n long, shard long"
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, n): occurrences of every language's words, by hash, summed within the tasks."""
+    """(key, n, 0): occurrences of every language's words, by hash, summed within the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
@@ -126,7 +134,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from sums.add(_key(found, 1, _salt(lang)), n)
         yield from sums.rest()
 
-    return docs.mapInArrow(run, "key long, n long")
+    return docs.mapInArrow(run, COUNTS)
+
+
+def summed(counts: DataFrame, least: int) -> DataFrame:
+    """(key, n, shard) of the keys whose counts sum up to `least`."""
+    return counts.groupBy("key").agg(F.sum("n").alias("n"), F.min("shard").alias("shard")).where(F.col("n") >= least)
 
 
 class Sieve:
@@ -143,11 +156,10 @@ class Sieve:
         return out
 
 
-def sieve(counts: DataFrame, least: int) -> Sieve:
-    """The sieve of the keys whose counts sum up to `least`; its bits are made by the tasks, SIEVE_BITS / 64 rows at most come back."""
-    common = counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def sieve(keys: DataFrame) -> Sieve:
+    """The sieve of the column `key`; its bits are made by the tasks, SIEVE_BITS / 64 rows at most come back."""
     bits = F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(SIEVE_BITS - 1)) for s in (0, 32)])).alias("bit")
-    rows = common.select(bits).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    rows = keys.select(bits).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
     words = np.zeros(SIEVE_BITS // 64, np.uint64)
     words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return Sieve(words)
@@ -163,7 +175,7 @@ class _Stream:
         self.lang, self.sieve, self.salt = lang, least_sieve, _salt(lang)
         self.held = np.zeros(0, np.uint64)
         self.known: dict[int, bytes] = {}
-        self.words = 0
+        self.words, self.shard = 0, TaskContext.get().partitionId() << 32
 
     def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.words += len(hashes)
@@ -186,9 +198,9 @@ class _Stream:
         if len(found) and found[0]:  # code 0 is the gap
             found, codes = np.concatenate([[np.uint64(0)], found]), codes + 1
         names = pa.array([self.known[h].decode() for h in found.tolist() if h], pa.string())
-        cells = [pa.array([self.lang]), pa.array([self.words], pa.int64()), pa.array([own], pa.int32())]
+        cells = [pa.array([self.shard], pa.int64()), pa.array([self.lang]), pa.array([self.words], pa.int64()), pa.array([own], pa.int32())]
         cells += [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in (pa.array(codes.astype(np.int32)), names)]
-        self.words = 0
+        self.words, self.shard = 0, self.shard + 1
         return pa.RecordBatch.from_arrays(cells, names=SHARDS.names)
 
     def rest(self) -> pa.RecordBatch:
@@ -282,71 +294,72 @@ def grow(codes: np.ndarray, own: int, hashes: np.ndarray, longest: int, visit: V
             chain, whole, tail = chain[going], whole[going], tail[going]
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, int, np.ndarray, list[str]]]:
+def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, int, np.ndarray, list[str]]]:
     for batch in batches:
         for k in range(batch.num_rows):
             names = batch.column("vocabulary")[k].values
-            data, offsets = strings(names)
-            _, _, hashes = hashed_runs(data, offsets, _SOLID)
+            _, _, hashes = hashed_runs(*strings(names), _SOLID)
             codes = batch.column("codes")[k].values.to_numpy(zero_copy_only=False)
-            yield batch.column("lang")[k].as_py(), codes, batch.column("own")[k].as_py(), np.concatenate([[np.uint64(0)], hashes]), ["", *names.to_pylist()]
+            shard, lang, own = (batch.column(c)[k].as_py() for c in ("shard", "lang", "own"))
+            yield shard, lang, codes, own, np.concatenate([[np.uint64(0)], hashes]), ["", *names.to_pylist()]
 
 
 def phrase_counts(shard_rows: DataFrame, length: int, sieves: list[Sieve]) -> DataFrame:
-    """(key, n): popcounts of the phrases of `length` words whose shorter phrases pass the sieves (of 1, 2, .. length - 1 words)."""
+    """(key, n, shard): popcounts of the phrases of `length` words whose shorter phrases pass the sieves (of 1, 2, .. length - 1 words)."""
     shared = shard_rows.sparkSession.sparkContext.broadcast(sieves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = shared.value, _Sums()
-        for lang, codes, own, hashes, _ in _shard_rows(batches):
+        for shard, lang, codes, own, hashes, _ in _shard_rows(batches):
             salt, ready = _salt(lang), []
 
-            def visit(k, whole, tail, counts, chain, salt=salt, ready=ready):
+            def visit(k, whole, tail, counts, chain, shard=shard, salt=salt, ready=ready):
                 if k < length:
                     return known[k - 1].has(_key(whole, k, salt))
-                good = known[k - 2].has(_key(tail, k - 1, salt))
-                ready.extend(sums.add(_key(whole[good], k, salt), counts[good]))
+                good = known[k - 2].has(_key(tail, k - 1, salt)) if k > 1 else np.ones(len(whole), bool)
+                ready.extend(sums.add(_key(whole[good], k, salt), counts[good], shard))
                 return good
 
             grow(codes, own, hashes, length, visit)
             yield from ready
         yield from sums.rest()
 
-    return shard_rows.mapInArrow(run, "key long, n long")
+    return shard_rows.mapInArrow(run, COUNTS)
 
 
-def phrases(shard_rows: DataFrame, sieves: list[Sieve], longest: int) -> DataFrame:
-    """(lang, phrase, k, a): popcounts, summed over shards, of the phrases of 1 to `longest` words that pass the sieves."""
-    shared = shard_rows.sparkSession.sparkContext.broadcast(sieves)
+def _placed(keys: np.ndarray, shard: int) -> np.ndarray:
+    """One value for a key and a shard: the shard's task and number are spread over the bits that a sieve reads."""
+    return keys ^ np.uint64((shard ^ shard >> 32 ^ shard << 40) & 0xFFFFFFFFFFFFFFFF)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, totals = shared.value, defaultdict(Counter)
-        for lang, codes, own, hashes, names in _shard_rows(batches):
-            salt, total = _salt(lang), totals[lang]
-
-            def visit(k, whole, tail, counts, chain, salt=salt, total=total, names=names):
-                good = known[k - 1].has(_key(whole, k, salt)) if k < longest else known[k - 2].has(_key(tail, k - 1, salt))
-                for row, n in zip(chain[good].tolist(), counts[good].tolist(), strict=True):
-                    total[" ".join([names[w] for w in row])] += n
-                return good
 
-            grow(codes, own, hashes, longest, visit)
-            if sum(map(len, totals.values())) > MERGED:
-                yield from _rows(totals)
-        yield from _rows(totals)
+def phrases(shard_rows: DataFrame, common: DataFrame, sieves: list[Sieve]) -> DataFrame:
+    """(lang, phrase, k, a) of the phrases whose (key, n, shard) are in common: each shard tells the words of its own."""
+    longest = len(sieves)
+    # the pairs of key and shard go through a sieve of their own, whose chance hits the join on the key drops
+    place = F.col("shard").bitwiseXOR(F.shiftrightunsigned("shard", 32)).bitwiseXOR(F.shiftleft("shard", 40))
+    pairs = sieve(common.select(F.col("key").bitwiseXOR(place).alias("key")))
+    shared = shard_rows.sparkSession.sparkContext.broadcast((sieves, pairs))
 
-    rows = shard_rows.mapInArrow(run, "lang string, phrase string, n long")
-    summed = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
-    return summed.select("lang", "phrase", (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).alias("k"), "a")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own_pairs = shared.value
+        for shard, lang, codes, own, hashes, names in _shard_rows(batches):
+            salt, keys, said, lengths = _salt(lang), [], [], []
+
+            def visit(k, whole, tail, counts, chain, shard=shard, salt=salt, keys=keys, said=said, lengths=lengths, names=names):
+                key = _key(whole, k, salt)
+                going = known[k - 1].has(key)
+                mine = going & own_pairs.has(_placed(key, shard))
+                keys.append(key[mine])
+                said.extend([" ".join([names[w] for w in row]) for row in chain[mine].tolist()])
+                lengths.append(np.full(int(mine.sum()), k))
+                return going
 
+            grow(codes, own, hashes, longest, visit)
+            if said:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(said)), pa.array(said), pa.array(np.concatenate(lengths)), pa.array(np.concatenate(keys).view(np.int64))], names=["lang", "phrase", "k", "key"])
 
-def _rows(totals: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    for lang, total in totals.items():
-        names, counts = list(total), list(total.values())
-        for start in range(0, len(names), 1 << 15):
-            part = slice(start, start + (1 << 15))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names[part])), pa.array(names[part]), pa.array(counts[part], pa.int64())], names=["lang", "phrase", "n"])
-    totals.clear()
+    told = shard_rows.mapInArrow(run, "lang string, phrase string, k long, key long").distinct()
+    return told.join(common.select("key", F.col("n").alias("a")), "key").select("lang", "phrase", "k", "a")
 
 
 # ---------------------------------------------------------------- scores
@@ -388,11 +401,12 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     docs = docs.select(F.coalesce(quoted(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).alias("text"))
     with scratch_folder(spark) as folder, settings(spark, spark__sql__parquet__enableNestedColumnVectorizedReader=False):
         # that reader would hold thousands of rows at once, and a row is a shard
-        sieves = [sieve(word_counts(docs), least)]
-        rows = cut_lineage(shards(docs, sieves[0]), folder=folder)
-        for length in range(2, longest):
-            sieves.append(sieve(phrase_counts(rows, length, sieves), least))
-        common = cut_lineage(phrases(rows, sieves, longest).where(F.col("a") >= least), folder=folder)
+        rows = cut_lineage(shards(docs, sieve(summed(word_counts(docs), least))), folder=folder)
+        sieves, counted = [], []
+        for length in range(1, longest + 1):
+            counted.append(cut_lineage(summed(phrase_counts(rows, length, sieves), least), folder=folder))
+            sieves.append(sieve(counted[-1]))
+        common = cut_lineage(phrases(rows, reduce(DataFrame.unionByName, counted), sieves), folder=folder)
         sizes = cut_lineage(rows.groupBy("lang").agg(F.sum("words").alias("n")), folder=folder)
         return cut_lineage(report(common, sizes, top))
 
