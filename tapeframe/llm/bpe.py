@@ -5,6 +5,11 @@ library encodes the parts from a local rank file, and decoding joins the raw
 bytes of the ids. A boundary is safe before white space that follows something
 else: no match of the pattern runs over it and no match looks beyond it, so the
 ids are those of the whole text. Null texts are empty texts and have no ids.
+
+The library's matching gives up on some hundred thousand white characters in a row, so
+runs of LONG_BLANK or more are found without it where the pattern takes white space as
+`\\s+(?!\\S)|\\s+` last: all of the run but its last character is one match (at the end
+of the text: all of it), and the last begins the rest.
 """
 
 from __future__ import annotations
@@ -24,7 +29,14 @@ from tapeframe.llm.common import appended, fields, slices, strings, without
 #: Characters of a part, about; a run without a safe boundary stays whole.
 PART_CHARS = 1 << 16
 
+#: White characters in a row that are matched without the pattern.
+LONG_BLANK = 10_000
+
 _SAFE = re.compile(r"(?<=[^\s])(?=[ \n\t\r])")
+# Unicode's White_Space.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{LONG_BLANK},}}")
+_BLANK_LAST = r"|\s+(?!\S)|\s+"
 
 
 def rank_table(path: str) -> bytes:
@@ -53,19 +65,35 @@ class Coder:
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self._encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self._one_match = None
+        if pattern.endswith(_BLANK_LAST):
+            self._one_match = tiktoken.Encoding("one", pat_str="(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
         size = max(table.values(), default=-1) + 1
         tokens = [b""] * size
         for token, rank in table.items():
             tokens[rank] = token
         self.tokens = tokens
 
+    def _encoded(self, text: str) -> Iterator[list[int]]:
+        """The ids of the text, a part at a time."""
+        start = 0
+        if self._one_match and len(text) > LONG_BLANK:
+            for run in _BLANK.finditer(text):
+                for part in parts(text[start : run.start()]):
+                    yield self._encode(part)
+                start = run.end() if run.end() == len(text) else run.end() - 1
+                yield self._one_match(text[run.start() : start])
+        for part in parts(text[start:] if start else text):
+            yield self._encode(part)
+
+    def encoded(self, text: str) -> np.ndarray:
+        if len(text) <= LONG_BLANK:
+            return np.array(self._encode(text), np.int32)
+        found = [np.array(ids, np.int32) for ids in self._encoded(text)]
+        return found[0] if len(found) == 1 else np.concatenate(found)
+
     def encode(self, text: str) -> list[int]:
-        if len(text) <= PART_CHARS:
-            return self._encode(text)
-        out: list[int] = []
-        for part in parts(text):
-            out += self._encode(part)
-        return out
+        return self.encoded(text).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of the ids, not necessarily valid text; an unknown or negative id raises."""
@@ -92,7 +120,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared, pattern)
         for batch in slices(batches, text):
-            rows = [coder.encode(x or "") for x in batch.column(text).to_pylist()]
+            rows = [coder.encoded(x or "") for x in batch.column(text).to_pylist()]
             yield appended(batch, **{ids: _lists(rows)})
 
     return df.mapInArrow(run, fields(df.schema, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)))
@@ -120,20 +148,17 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text")
         coder = _coder(shared, pattern)
         tokens = coder.tokens
         for batch in slices(batches, text):
-            rows = [coder.encode(x or "") for x in batch.column(text).to_pylist()]
-            back = pa.array([b"".join([tokens[i] for i in row]) for row in rows], pa.binary())
+            rows = [coder.encoded(x or "") for x in batch.column(text).to_pylist()]
+            back = pa.array([b"".join([tokens[i] for i in row.tolist()]) for row in rows], pa.binary())
             yield appended(batch, ids=_lists(rows), decoded=back)
 
     return df.mapInArrow(run, fields(df.schema, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)))
 
 
-def _lists(rows: list[list[int]]) -> pa.ListArray:
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.empty(int(offsets[-1]), np.int32)
-    for k, row in enumerate(rows):
-        flat[offsets[k] : offsets[k + 1]] = row
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
 def digests(df: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 #: Bytes of text handled at once by the numpy kernels; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
+#: Runs of words that gram_hashes handles at once.
+GRAMS = 1 << 17
+
 #: Rows that may be broadcast or collected where a docstring says "small".
 SMALL_ROWS = 50_000
 
@@ -195,13 +198,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        size = max(n, SLICE_BYTES + 1, 0 if known is None else 2 * len(known))
-        known = np.full(size, base, np.uint64)
+    """1, base, base**2, ..: n of them, a segment's at most, so a worker keeps two tables of that size."""
+    if n > SLICE_BYTES + 1:
+        raise ValueError("texts are hashed in segments of SLICE_BYTES")
+    if base not in _powers:
+        known = np.full(SLICE_BYTES + 1, base, np.uint64)
         known[0] = 1
-        _powers[base] = known = np.multiply.accumulate(known)
-    return known[:n]
+        _powers[base] = np.multiply.accumulate(known)
+    return _powers[base][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -217,7 +221,7 @@ _BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Cumulative polynomial from which span_hash takes the hash of any span."""
+    """Cumulative polynomial of SLICE_BYTES at most, from which span_hash takes the hash of any span."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODES[data] * _power(_BASE, len(data)), out=out[1:])
     return out
@@ -288,6 +292,15 @@ def runs(inside: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+def tally(data: np.ndarray, offsets: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are true in `counted`, a segment of SLICE_BYTES at a time."""
+    total = np.zeros(len(offsets) - 1, np.int64)
+    for start in range(0, len(data), SLICE_BYTES):
+        found = np.flatnonzero(counted[data[start : start + SLICE_BYTES]])
+        total += np.diff(np.searchsorted(found, offsets - start))
+    return total
+
+
 def gram_hashes(words: np.ndarray, first: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `size` words in each text, and how many each text has.
 
@@ -295,15 +308,20 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, counts: np.ndarray, size:
     words. A text with fewer words than `size`, but one at least, has one run of all.
     """
     many = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
-    at = np.repeat(first, many) + spread(many)
-    last = np.repeat(first + counts, many)
-    total = np.zeros(len(at), np.uint64)
-    for k in range(size):
-        place = at + k
-        inside = place < last
-        word = words[np.minimum(place, max(len(words) - 1, 0))] if len(words) else total
-        total = total * np.uint64(0xD6E8FEB86659FD93) + np.where(inside, word, np.uint64(k + 1))
-    return mixed(total), many
+    ends = np.cumsum(many)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    for start in range(0, len(out), GRAMS):
+        gram = np.arange(start, min(start + GRAMS, len(out)))
+        text = np.searchsorted(ends, gram, side="right")
+        at = first[text] + gram - (ends - many)[text]
+        last = (first + counts)[text]
+        total = np.zeros(len(gram), np.uint64)
+        for k in range(size):
+            place = at + k
+            word = np.where(place < last, words[np.minimum(place, len(words) - 1)], np.uint64(k + 1))
+            total = total * np.uint64(0xD6E8FEB86659FD93) + word
+        out[start : start + len(gram)] = mixed(total)
+    return out, many
 
 
 def spread(counts: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeframe.llm.common import appended, cut_lineage, fields, gram_hashes, mixed, prefix_hash, quoted, runs, scratch_folder, settings, slices, small, span_hash, strings, text_or_empty
+from tapeframe.llm.common import appended, cut_lineage, fields, gram_hashes, hashed_runs, mixed, quoted, scratch_folder, settings, slices, small, strings, text_or_empty
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, ORDER = 24, 4
@@ -65,8 +65,8 @@ _FACTORS, _SHIFTS = _SEEDS[:SAMPLES] | np.uint64(1), _SEEDS[SAMPLES:]
 def worded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and each text's first word (n+1)."""
     data = _LOWER[data]
-    starts, ends = runs(_WORD[data], offsets)
-    return span_hash(prefix_hash(data), starts, ends), np.searchsorted(starts, offsets)
+    starts, _, hashes = hashed_runs(data, offsets, _WORD)
+    return hashes, np.searchsorted(starts, offsets)
 
 
 def shingled(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +100,7 @@ def samples(marks: np.ndarray) -> np.ndarray:
         step = max(1, (1 << 20) // len(marks))  # hash functions at once: a bound on the values held
         for k in range(0, SAMPLES, step):
             values = marks[None, :] * _FACTORS[k : k + step, None] + _SHIFTS[k : k + step, None]
-            least.append(np.argpartition(values, ORDER - 1, axis=1)[:, :ORDER])
+            least.append(np.argpartition(values, ORDER - 1, axis=1)[:, :ORDER].copy())  # a view would keep them all
         chosen = np.sort(np.concatenate(least), axis=1)
     out = np.arange(SAMPLES, dtype=np.uint64)
     for k in range(chosen.shape[1]):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tapeframe.llm.common import appended, cut_lineage, fields, prefix_hash, quoted, runs, slices, small, span_hash, strings, without
+from tapeframe.llm.common import appended, cut_lineage, fields, hashed_runs, quoted, slices, small, strings, tally, without
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_pipes")
 
@@ -53,6 +53,10 @@ LEAST_GROUP = 30
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SOLID = ~_SPACE
+_IN_LINE = np.ones(256, bool)
+_IN_LINE[0x0A] = False
+_FIRST_BYTE = _SOLID & ((np.arange(256) & 0xC0) != 0x80)  # of a character in a word
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -76,20 +80,16 @@ def counted(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def measured(data: np.ndarray, offsets: np.ndarray, window: int = 8) -> dict[str, np.ndarray]:
     """MEASURES of texts. Equal words, lines and windows are found by 64-bit hashes."""
     n = len(offsets) - 1
-    solid = ~_SPACE[data]
-    starts, ends = runs(solid, offsets)
-    prefix = prefix_hash(data)
+    starts, ends, hashes = hashed_runs(data, offsets, _SOLID)
     first = np.searchsorted(starts, offsets)
     words = np.diff(first).astype(np.int64)
-    letters = np.cumsum(np.concatenate([[0], solid & ((data & 0xC0) != 0x80)]))
-    line_starts, line_ends = runs(data != 0x0A, offsets)
+    line_starts, line_ends, line_hashes = hashed_runs(data, offsets, _IN_LINE)
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
-    line_starts, line_ends = line_starts[has_word], line_ends[has_word]
+    line_starts, line_hashes = line_starts[has_word], line_hashes[has_word]
     line_of = np.searchsorted(offsets, line_starts, side="right") - 1
     salt = (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
     lines = np.bincount(line_of, minlength=n).astype(np.int64)
-    distinct = np.unique(span_hash(prefix, line_starts, line_ends) ^ salt[line_of], return_index=True)[1]
-    hashes = span_hash(prefix, starts, ends)
+    distinct = np.unique(line_hashes ^ salt[line_of], return_index=True)[1]
     word_of = np.repeat(np.arange(n), words)
     covered = np.zeros(len(hashes) + 1, np.int64)
     if len(hashes) >= window:
@@ -104,8 +104,8 @@ def measured(data: np.ndarray, offsets: np.ndarray, window: int = 8) -> dict[str
     inside = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
     return {
         "n_words": words,
-        "word_chars": letters[offsets[1:]] - letters[offsets[:-1]],
-        "n_symbols": counted(np.flatnonzero(_SYMBOL[data]), offsets),
+        "word_chars": tally(data, offsets, _FIRST_BYTE),
+        "n_symbols": tally(data, offsets, _SYMBOL),
         "n_dup_lines": lines - np.bincount(line_of[distinct], minlength=n),
         "n_repeat_words": counted(inside, first),
         "n_lines": lines,

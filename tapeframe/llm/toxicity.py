@@ -15,9 +15,11 @@ rows are scored each for itself. A document whose labels conflict is toxic in le
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +98,10 @@ def hits(tree, text: str) -> list[int]:
         (exempt if k < 0 else found).append((end - size + 1, end + 1, k))
     if not exempt:
         return [k for _, _, k in found]
-    return [k for a, b, k in found if not any(x <= a and a + 1 < y for x, y, _ in exempt)]
+    exempt.sort()
+    starts = [x for x, _, _ in exempt]
+    reach = list(accumulate((y for _, y, _ in exempt), max))  # how far the phrases that begin up to here go
+    return [k for a, _, k in found if (at := bisect_right(starts, a)) == 0 or reach[at - 1] <= a + 1]
 
 
 def _features(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:

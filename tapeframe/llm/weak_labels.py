@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeframe.llm.common import appended, cut_lineage, fields, quoted, slices, strings, text_or_empty, without
+from tapeframe.llm.common import SLICE_BYTES, appended, cut_lineage, fields, quoted, slices, strings, tally, text_or_empty, without
 from tapeframe.llm.quality_rules import MEASURES, measured
 
 #: Documents, about, that train the scorer; its table has 2 ** BITS weights for grams and BINS for each labeller's measure.
@@ -49,21 +49,24 @@ LABELLERS = (
 )
 
 
+_UPPER = np.zeros(256, bool)
+_UPPER[0x41:0x5B] = True
+_LETTER = _UPPER.copy()
+_LETTER[0x61:0x7B] = True
+
+
 def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """MEASURES and EXTRA of texts."""
     from tapeframe.llm.common import runs
 
     found = measured(data, offsets)
-    upper = (data >= 0x41) & (data <= 0x5A)
-    letter = upper | ((data >= 0x61) & (data <= 0x7A))
-    at = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
     solid = (data > 0x20) | (data < 0x09)
     starts, ends = runs(solid, offsets)
     short = starts[ends - starts <= 4]
     line_ends = runs(data != 0x0A, offsets)[1]
     ended = line_ends[np.isin(data[line_ends - 1], np.frombuffer(b".!?;:\"')", np.uint8))]
     place = lambda x: np.diff(np.searchsorted(x, offsets))
-    return found | {"n_upper": at(upper), "n_letters": at(letter), "n_short": place(short), "n_ended": place(ended - 1)}
+    return found | {"n_upper": tally(data, offsets, _UPPER), "n_letters": tally(data, offsets, _LETTER), "n_short": place(short), "n_ended": place(ended - 1)}
 
 
 def votes(found: dict[str, np.ndarray]) -> np.ndarray:
@@ -132,10 +135,15 @@ for _byte in range(256):
 
 def grams(data: np.ndarray) -> np.ndarray:
     """The table index of the shape 4-gram at each byte, as if zeros followed the data."""
-    shape = np.concatenate([_SHAPE[data], np.zeros(3, np.uint8)]).astype(np.uint32)
-    n = len(data)
-    packed_grams = shape[:n] | shape[1 : n + 1] << np.uint32(8) | shape[2 : n + 2] << np.uint32(16) | shape[3 : n + 3] << np.uint32(24)
-    return (packed_grams * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+    out = np.empty(len(data), np.uint32)
+    for start in range(0, len(data), SLICE_BYTES):
+        n = min(SLICE_BYTES, len(data) - start)
+        shape = np.zeros(n + 3, np.uint32)
+        some = _SHAPE[data[start : start + n + 3]]
+        shape[: len(some)] = some
+        packed_grams = shape[:n] | shape[1 : n + 1] << np.uint32(8) | shape[2 : n + 2] << np.uint32(16) | shape[3 : n + 3] << np.uint32(24)
+        out[start : start + n] = (packed_grams * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+    return out
 
 
 @dataclass
@@ -145,10 +153,13 @@ class Scorer:
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A text's mean weight; its last three bytes, whose grams would run into the next, begin none."""
-        at = np.concatenate([[0.0], np.cumsum(self.weights[grams(data)], dtype=np.float64)])
-        ends = np.maximum(offsets[1:] - 3, offsets[:-1])
-        n = ends - offsets[:-1]
-        return self.bias + SCALE * (at[ends] - at[offsets[:-1]]) / np.maximum(n, 1) + self.weights[bins(measures(data, offsets))].sum(1)
+        starts, ends = offsets[:-1], np.maximum(offsets[1:] - 3, offsets[:-1])
+        total = np.zeros(len(starts))
+        for start in range(0, len(data), SLICE_BYTES):
+            n = min(SLICE_BYTES, len(data) - start)
+            at = np.concatenate([[0.0], np.cumsum(self.weights[grams(data[start : start + n + 3])[:n]], dtype=np.float64)])
+            total += at[np.clip(ends - start, 0, n)] - at[np.clip(starts - start, 0, n)]
+        return self.bias + SCALE * total / np.maximum(ends - starts, 1) + self.weights[bins(measures(data, offsets))].sum(1)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, rounds: int = 300) -> Scorer:
