@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.plans import bars, context, health, ingest, microstructure, planner, research, state, windows
+from tapeframe.plans import bars, context, health, ingest, microstructure, planner, research, state, study, windows
 
-AREAS = (bars, windows, state, context, planner, microstructure, research, ingest, health)
+AREAS = (bars, windows, state, context, planner, microstructure, research, study, ingest, health)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

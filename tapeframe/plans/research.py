@@ -89,24 +89,6 @@ def hourly_vol_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).withColumn("met", F.coalesce(F.col("spread") >= 2, F.lit(False)))
 
 
-def exec_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost of buying now against waiting 1800 and 3600 s: paired differences with HAC t, p95, materiality."""
-    rows = alignment.at_offset(tables.bars(spark, sf_dir, "30m").filter("close > 0").select("symbol", (F.col("t") / 1000).cast("long").alias("s"), "close"), ["symbol"], "s", [1800, 3600], "close")
-    pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("wait"), ((F.col(f"close_p{h}") / F.col("close") - 1) * 1e4).alias("d")) for h in (1800, 3600)]))
-    long = rows.select("symbol", "s", pairs.alias("p")).select("symbol", "s", "p.wait", rounded("p.d").alias("d")).filter("d is not null")
-    found = stats.hac_mean(long, ["symbol", "wait"], "s", "d", 5).join(stats.nearest_rank(long, ["symbol", "wait"], "d", 0.95, "p95"), ["symbol", "wait"])
-    verdict = F.when((F.abs("mean") >= 0.5) & (F.abs("t") > 2), F.when(F.col("mean") > 0, "act now").otherwise("wait")).otherwise("no difference")
-    return found.select("symbol", "wait", "n", rounded("mean", 4).alias("mean"), rounded("t", 4).alias("t"), rounded("p95", 4).alias("p95"), verdict.alias("verdict"))
-
-
-def toxicity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift of the price against a passive fill, by aggressor, at exact later bars."""
-    rows = tables.bars(spark, sf_dir, "30m").filter("close > 0").select("symbol", (F.col("t") / 1000).cast("long").alias("s"), "close", (F.col("trades") % 2 == 0).alias("bought"))
-    rows = alignment.at_offset(rows, ["symbol"], "s", [1800, 7200], "close")
-    sign = F.when(F.col("bought"), 1.0).otherwise(-1.0)
-    return rows.groupBy("symbol", "bought").agg(*[rounded(F.avg(sign * (F.col(f"close_p{h}") / F.col("close") - 1)), 4).alias(f"drift_{h}") for h in (1800, 7200)], *[F.count(f"close_p{h}").alias(f"n_{h}") for h in (1800, 7200)])
-
-
 def terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes by tercile of volume; fewer than 100 observations are insufficient."""
     rows = _returns(spark, sf_dir).filter("y is not null")
@@ -321,7 +303,7 @@ def trade_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        split_thirds, quantile_edges, decile_table, hac_mean_t, rank_ic, average_ranks, hourly_moments, load_coverage, hourly_vol_spread, exec_shortfall, toxicity_drift, terciles, ols_fe, ols_hac, correlation_matrix,
+        split_thirds, quantile_edges, decile_table, hac_mean_t, rank_ic, average_ranks, hourly_moments, load_coverage, hourly_vol_spread, terciles, ols_fe, ols_hac, correlation_matrix,
         effective_trials, economic_gate, directional_gates, gates, drawdown_curve, return_moments, deflated_sharpe, seeded_bootstrap, shuffled_baseline, session_seasonality, smoothing_audit, tier_confusion, exposure_control,
         risk_budget, overnight_replication, trial_registry, trade_simulation,
     )
@@ -384,13 +366,6 @@ SQL = {
     + f"select symbol, (t % 86400000) // 3600000 as hour, count(x) as n, {_r('coalesce(avg(x), 0)')} as mean, {_r('case when count(x) < 2 then 0 else stddev_pop(x) end')} as sd from (select symbol, t, case when close > 50 then close end as x from b1h) group by 1, 2",
     "load_coverage": q.with_(q.TAPE, q.SECONDS, _COV) + f"select *, {_MET} as met from cv",
     "hourly_vol_spread": q.with_(q.TAPE, q.SECONDS, q.B30, _SPREAD) + "select span, symbol, periods, p10, p50, p90, spread, coalesce(spread >= 2, false) as met from vs",
-    "exec_shortfall": q.with_(q.TAPE, q.B30, _LATE)
-    + ", d0 as (select a.symbol, a.s, h.wait, "
-    + f"{_r('(b.close / a.close - 1) * 1e4')} as d from bb a, (values (1800), (3600)) h(wait), bb b where b.symbol = a.symbol and b.s = a.s + h.wait), "
-    + _hac("d0", "symbol, wait", "s", "d", 5, "hm")
-    + f", k as (select *, row_number() over (partition by symbol, wait order by d) - 1 as rn, count(*) over (partition by symbol, wait) as n from d0), p as (select symbol, wait, max(d) filter (where rn = least(n - 1, floor(0.95 * n))) as p95 from k group by 1, 2) select symbol, wait, n, {_r('mean', 4)} as mean, {_r('t', 4)} as t, {_r('p95', 4)} as p95, case when abs(mean) >= 0.5 and abs(t) > 2 then case when mean > 0 then 'act now' else 'wait' end else 'no difference' end as verdict from hm join p using (symbol, wait)",
-    "toxicity_drift": q.with_(q.TAPE, q.B30, _LATE)
-    + f"select a.symbol, a.bought, {_r('avg(case when a.bought then 1 else -1 end * (b.close / a.close - 1))', 4)} as drift_1800, {_r('avg(case when a.bought then 1 else -1 end * (c.close / a.close - 1))', 4)} as drift_7200, count(b.close) as n_1800, count(c.close) as n_7200 from bb a left join bb b on a.symbol = b.symbol and b.s = a.s + 1800 left join bb c on a.symbol = c.symbol and c.s = a.s + 7200 group by 1, 2",
     "terciles": q.with_(q.TAPE, q.B4H, _RET, "ok as (select * from rt where y is not null)", _edges("ok", "volume", 3, "ed"))
     + f", g as (select symbol, (volume > e1)::int + (volume > e2)::int as tercile, count(*) as n, avg(y) as mean from ok join ed using (symbol) group by 1, 2) select symbol, tercile, n, case when sum(n) over (partition by symbol) >= 100 then {_r('mean')} end as mean, case when sum(n) over (partition by symbol) < 100 then 'insufficient' else 'ok' end as status from g",
     "ols_fe": _RS
