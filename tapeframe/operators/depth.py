@@ -73,15 +73,17 @@ def priced(found: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 def later(rows: DataFrame, found: DataFrame, keys: list[str], seconds: int, columns: dict[str, str], block_ms: int, stale_ms: int | None = None) -> DataFrame:
     """rows (keys, at, ..) with columns of the record in force exactly `seconds` later (or, below 0, earlier), by their new names.
 
-    A book stands until its next record; stale_ms: how old a record in force may be.
+    A book stands until its next record; what is after a key's last record is not known.
+    stale_ms: how old a record in force may be.
     """
-    shifted = rows.withColumn("__then", F.col("at") + 1000 * seconds)
+    ends = found.groupBy(*keys).agg(F.max("at").alias("__end"))
+    shifted = rows.withColumn("__then", F.col("at") + 1000 * seconds).join(ends, keys)
     payload = [F.col(c).alias(to) for c, to in columns.items()]
     out = alignment.as_of(shifted, found.select(*keys, F.col("at").alias("__rt"), *payload), keys, "__then", "__rt", list(columns.values()), block=block_ms)
+    known = F.col("__then") <= F.col("__end")
     if stale_ms is not None:
-        fresh = F.col("__then") - F.col("matched_t") <= stale_ms
-        out = out.withColumns({c: F.when(fresh, F.col(c)) for c in columns.values()})
-    return out.drop("__then", "matched_t")
+        known = known & (F.col("__then") - F.col("matched_t") <= stale_ms)
+    return out.withColumns({c: F.when(known, F.col(c)) for c in columns.values()}).drop("__then", "__end", "matched_t")
 
 
 def decisions(found: DataFrame, keys: list[str], step_s: int) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tapeframe.sources.shared import cut
 
 
 def picked(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
@@ -63,12 +67,6 @@ def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, int]:
     return out, int(out[0, 0])
 
 
-def constant(df: DataFrame, columns: list[str]) -> set[str]:
-    """Columns of no variation: deviation at most 1e-12 of the largest value (1 at least)."""
-    row = df.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in columns], *[F.max(F.abs(c)).alias(f"m_{c}") for c in columns]).first()
-    return {c for c in columns if (row[f"s_{c}"] or 0.0) <= 1e-12 * max(1.0, row[f"m_{c}"] or 0.0)}
-
-
 def finite(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows in which all the columns are finite numbers."""
     for c in columns:
@@ -82,66 +80,123 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return found.withColumn("mean", F.coalesce("mean", F.lit(0.0))).withColumn("sd", F.when(F.col("n") < 2, 0.0).otherwise(F.col("sd")))
 
 
-#: Rows of a run of with_runs().
+#: Rows of a run: what one task reads in order.
 RUN = 50_000
 
 
-def with_runs(df: DataFrame, order: str, block: int, halo: int) -> DataFrame:
-    """df with __i (place in the order), __run and __own: runs of RUN rows, each with the last `halo` rows before it.
+def numbered(df: DataFrame, keys: list[str], order: str, block: int) -> DataFrame:
+    """df with __i, its place in the order within its keys, and __n, the rows of its keys.
 
     Places come from counts of blocks of the order and places within them, so no window holds all rows.
     """
     rows = df.withColumn("__block", F.floor(F.col(order) / block))
-    counts = rows.groupBy("__block").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a block
-    rows = rows.join(counts.select("__block", before.alias("__before")), "__block")
-    rows = rows.withColumn("__i", F.col("__before") + F.row_number().over(W.partitionBy("__block").orderBy(order)) - 1)
-    run = F.floor(F.col("__i") / RUN)
-    rows = rows.withColumn("__run", F.explode(F.array_compact(F.array(run, F.when(F.col("__i") % RUN >= RUN - halo, run + 1)))))
-    return rows.withColumn("__own", F.col("__run") == run).drop("__block", "__before")
-
-
-def regression(df: DataFrame, y: str, xs: list[str], order: str, lags: int, block: int = 86_400_000) -> list[dict]:
-    """Least squares of y on xs with an intercept and Newey-West errors: one row a coefficient.
-
-    Constant regressors are left out; without any left the result is empty. Rows are numbered
-    through blocks of `block` in the order's unit, and lagged within runs of RUN rows with a halo.
+    counts = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__c"))
+    upto = W.partitionBy(*keys).orderBy("__block")  # a row a block
+    before = F.coalesce(F.sum("__c").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    places = counts.select(*keys, "__block", before, F.sum("__c").over(W.partitionBy(*keys)).alias("__n"))
+    rows = rows.join(places, [*keys, "__block"])
+    return rows.withColumn("__i", F.col("__before") + F.row_number().over(W.partitionBy(*keys, "__block").orderBy(order)) - 1).drop("__block", "__before")
+
+
+def in_runs(df: DataFrame, halo: int, run: int = RUN) -> DataFrame:
+    """df of numbered() with __run and __own: runs of `run` rows, each with the last `halo` rows before it."""
+    own = F.floor(F.col("__i") / run)
+    rows = df.withColumn("__run", F.explode(F.array_compact(F.array(own, F.when(F.col("__i") % run >= run - halo, own + 1)))))
+    return rows.withColumn("__own", F.col("__run") == own)
+
+
+def without_effects(df: DataFrame, keys: list[str], effect: str, columns: list[str]) -> DataFrame:
+    """df with the columns less their means within keys and effect, as fixed effects of it do."""
+    means = df.groupBy(*keys, effect).agg(*[F.avg(c).alias(f"__mean_{c}") for c in columns])
+    rows = df.join(means, [*keys, effect])
+    return rows.withColumns({c: F.col(c) - F.col(f"__mean_{c}") for c in columns}).drop(*[f"__mean_{c}" for c in columns])
+
+
+def _solved(frames, k: int):
+    """Adds to each group's sums: what is kept, the coefficients, and the inverse of the kept sums."""
+    for pdf in frames:
+        betas, inverses, kept = [], [], []
+        for row in pdf.itertuples():
+            sums, use = np.array(row.sums, float).reshape(k + 1, k + 1), np.array([True, *row.varies])
+            at = np.flatnonzero(use)
+            beta, inverse = np.zeros(k), np.zeros((k, k))
+            if sums[0, 0] > len(at) and len(at) > 1:
+                inverse[np.ix_(at, at)] = np.linalg.inv(sums[np.ix_(at, at)])
+                beta = inverse @ sums[:k, k]
+            betas.append(beta)
+            inverses.append(inverse.ravel())
+            kept.append(use)
+        yield pdf.assign(beta=betas, inverse=inverses, kept=kept)
+
+
+def _judged(frames, terms: list[str], lags: int, names: list[str]):
+    k = len(terms)
+    for pdf in frames:
+        out = []
+        for row in pdf.itertuples(index=False):
+            group = list(row[: len(names)])
+            beta, kept = np.array(row.beta, float), np.array(row.kept, bool)
+            if kept.sum() < 2 or not np.array(row.inverse).any():
+                continue
+            inverse, meat = np.array(row.inverse, float).reshape(k, k), np.array(row.meat, float).reshape(k, k) / (lags + 1)
+            se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0))
+            sums = np.array(row.sums, float).reshape(k + 1, k + 1)
+            n, tss = int(sums[0, 0]), sums[k, k] - sums[0, k] ** 2 / sums[0, 0]
+            dropped = ",".join(t for t, use in zip(terms, kept, strict=True) if not use)
+            for i in np.flatnonzero(kept):
+                out.append((*group, terms[i], n, float(beta[i]), float(se[i]), float(beta[i] / se[i]) if se[i] > 0 else 0.0, float(1 - row.rss / tss) if tss > 0 else 0.0, dropped))
+        yield pd.DataFrame(out, columns=[*names, "term", "n", "beta", "se", "t", "r2", "dropped"])
+
+
+def regressions(df: DataFrame, keys: list[str], order: str, y: str, xs: list[str], lags: int, block: int, least: int = 0, run: int = RUN) -> DataFrame:
+    """keys, term, n, beta, se, t, r2, dropped: least squares of y on xs with an intercept in each group, Newey-West errors.
+
+    Rows with a number missing or not finite are left out, regressors that don't vary in a
+    group are dropped there (their names, comma-joined, in `dropped`), and groups of fewer
+    than `least` rows have no result, nor have those without a regressor. Two aggregations
+    and three joins do all groups: sums of products, solved a row a group; then, with the
+    residuals, sums of products of moving sums of the scores. A Bartlett kernel of `lags` is
+    a moving sum of lags + 1 rows taken twice, so no lagged products are formed: zeros stand
+    behind each group for the sums that reach beyond its end. Moving sums are taken in runs
+    with a halo, so a group may have any number of rows.
     """
-    rows = finite(df.select(order, y, *xs), [y, *xs])
-    dropped = constant(rows, xs)
-    xs = [x for x in xs if x not in dropped]
-    if not xs:
-        return []
-    sums, n = gram(rows, [*xs, y])
-    if n <= len(xs) + 1:
-        return []
-    k = len(xs) + 1
-    inverse = np.linalg.inv(sums[:k, :k])
-    beta = inverse @ sums[:k, k]
-    residual = F.col(y) - F.lit(float(beta[0]))
-    for b, x in zip(beta[1:], xs, strict=True):
-        residual = residual - float(b) * F.col(x)
-    scores = rows.withColumn("__u", residual).withColumn("g0", F.col("__u"))
+    terms, k = ["intercept", *xs], len(xs) + 1
+    rows = finite(df.select(*keys, order, y, *xs), [y, *xs])
+    cells = [F.lit(1.0), *map(F.col, xs), F.col(y)]
+    varies = [F.stddev_pop(x) > 1e-12 * F.greatest(F.lit(1.0), F.max(F.abs(F.col(x)))) for x in xs]
+    sums = F.array(*[F.sum(a * b) for a in cells for b in cells])
+    grams = rows.groupBy(*keys).agg(F.count("*").alias("n"), sums.alias("sums"), F.array(*varies).alias("varies")).where(F.col("n") >= least)
+    schema = T.StructType([*grams.schema.fields, *T._parse_datatype_string("beta array<double>, inverse array<double>, kept array<boolean>").fields])
+    solved = cut(grams.mapInPandas(lambda frames: _solved(frames, k), schema))  # a row a group
+    placed = numbered(rows, keys, order, block).join(solved.select(*keys, "beta", "kept"), keys)
+    residual = F.col(y) - F.get("beta", 0)
     for i, x in enumerate(xs, 1):
-        scores = scores.withColumn(f"g{i}", F.col("__u") * F.col(x))
-    w = W.partitionBy("__run").orderBy("__i")
-    exprs, lagged = [], with_runs(scores, order, block, lags)
-    for lag in range(1, lags + 1):
-        for i in range(k):
-            lagged = lagged.withColumn(f"g{i}_{lag}", F.lag(f"g{i}", lag).over(w))
-    for i in range(k):
-        for j in range(k):
-            term = F.sum(F.col(f"g{i}") * F.col(f"g{j}"))
-            for lag in range(1, lags + 1):
-                weight = 1 - lag / (lags + 1)
-                term = term + weight * F.coalesce(F.sum(F.col(f"g{i}") * F.col(f"g{j}_{lag}") + F.col(f"g{i}_{lag}") * F.col(f"g{j}")), F.lit(0.0))
-            exprs.append(term.alias(f"m{i}_{j}"))
-    found = lagged.filter("__own").agg(*exprs, F.sum(F.col("__u") * F.col("__u")).alias("rss")).first()
-    meat = np.array([[found[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
-    se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0))
-    tss = sums[k, k] - sums[0, k] ** 2 / n
-    r2 = 1 - found["rss"] / tss if tss > 0 else 0.0
-    return [{"term": t, "n": n, "beta": float(b), "se": float(s), "t": float(b / s) if s > 0 else 0.0, "r2": float(r2)} for t, b, s in zip(["intercept", *xs], beta, se, strict=True)]
+        residual = residual - F.get("beta", i) * F.col(x)
+    scored = placed.withColumn("u", residual)
+    scores = [F.when(F.get("kept", i), F.col("u") * c).otherwise(0.0).alias(f"g{i}") for i, c in enumerate(cells[:k])]
+    scored = scored.select(*keys, "__i", F.col("u"), *scores)
+    tail = solved.select(*keys, F.explode(F.sequence(F.col("n"), F.col("n") + lags - 1)).alias("__i"), F.lit(0.0).alias("u"), *[F.lit(0.0).alias(f"g{i}") for i in range(k)]) if lags else None
+    together = in_runs(scored.unionByName(tail) if lags else scored, lags, run)
+    w = W.partitionBy(*keys, "__run").orderBy("__i").rowsBetween(-lags, 0)
+    moved = together.select(*keys, "__own", "u", *[F.sum(f"g{i}").over(w).alias(f"b{i}") for i in range(k)]).where("__own")
+    meat = F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}")) for i in range(k) for j in range(k)])
+    found = moved.groupBy(*keys).agg(meat.alias("meat"), F.sum(F.col("u") * F.col("u")).alias("rss"))
+    whole = found.join(solved, keys).select(*keys, "sums", "beta", "inverse", "kept", "meat", "rss")
+    out = T.StructType([*df.select(*keys).schema.fields, *T._parse_datatype_string("term string, n long, beta double, se double, t double, r2 double, dropped string").fields])
+    return whole.mapInPandas(lambda frames: _judged(frames, terms, lags, keys), out)
+
+
+def long_run_mean(df: DataFrame, keys: list[str], order: str, value: str, lags: int, block: int, run: int = RUN) -> DataFrame:
+    """keys, n, mean, se, t as hac_mean() has them, for many lags: a Bartlett kernel as moving sums taken twice, in runs with a halo."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, order, value)
+    sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")))
+    placed = numbered(rows, keys, order, block).join(sizes.select(*keys, "mean"), keys).select(*keys, "__i", (F.col(value) - F.col("mean")).alias("e"))
+    tail = sizes.select(*keys, F.explode(F.sequence(F.col("n"), F.col("n") + lags - 1)).alias("__i"), F.lit(0.0).alias("e"))
+    w = W.partitionBy(*keys, "__run").orderBy("__i").rowsBetween(-lags, 0)
+    moved = in_runs(placed.unionByName(tail), lags, run).withColumn("b", F.sum("e").over(w)).where("__own")
+    found = moved.groupBy(*keys).agg((F.sum(F.col("b") * F.col("b")) / (lags + 1)).alias("__s")).join(sizes, keys)
+    out = found.withColumn("se", F.sqrt(F.greatest("__s", F.lit(0.0))) / F.col("n"))
+    return out.select(*keys, "n", "mean", "se", F.when(F.col("n") >= 2, F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(0.0)).alias("t"))
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:
@@ -153,14 +208,24 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, to: str) -> DataFr
 def rank_ic(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n and the correlation of average ranks; 0 where a side does not vary."""
     rows = average_ranks(average_ranks(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, "__rx"), keys, y, "__ry")
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.nanvl(F.corr("__rx", "__ry"), F.lit(0.0)), F.lit(0.0)).alias("ic"))
+    spread = F.stddev_pop("__rx") * F.stddev_pop("__ry")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.when(spread > 0, F.covar_pop("__rx", "__ry") / spread).otherwise(0.0).alias("ic"))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Population correlation matrix; a column of no variation correlates with itself only."""
     sums, n = gram(df.na.fill(0.0, columns), columns)
     mean = sums[0, 1:] / max(n, 1)
-    cov = sums[1:, 1:] / max(n, 1) - np.outer(mean, mean)
+    return _scaled(sums[1:, 1:] / max(n, 1) - np.outer(mean, mean))
+
+
+def correlated(rows: np.ndarray) -> np.ndarray:
+    """correlations() of the columns of a matrix."""
+    centred = rows - rows.mean(axis=0)
+    return _scaled(centred.T @ centred / len(rows))
+
+
+def _scaled(cov: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     sd[sd < 1e-15] = 1.0
     out = cov / np.outer(sd, sd)
@@ -234,7 +299,8 @@ def volatility_coverage(rows: DataFrame, keys: list[str], order: str, value: str
     ranked = vols.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy("vol")) - 1).withColumn("__n", F.count("*").over(W.partitionBy(*keys)))
     at = lambda q: F.max(F.when((F.col("__n") >= periods) & (F.col("__k") == F.least(F.col("__n") - 1, F.floor(F.col("__n") * q))), F.col("vol")))
     out = ranked.groupBy(*keys).agg(F.max("__n").alias("periods"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
-    return out.withColumn("spread", F.when(F.col("p10") > 0, F.col("p90") / F.col("p10")))
+    # without any volatility in the tenth the spread is infinite
+    return out.withColumn("spread", F.when(F.col("p10") > 0, F.col("p90") / F.col("p10")).when(F.col("p10").isNotNull(), float("inf")))
 
 
 def slope(rows: DataFrame, keys: list[str], order: str, x: str, y: str, lags: int) -> DataFrame:

@@ -112,13 +112,9 @@ def ols_fe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ols_hac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Univariate and bivariate regressions of the next return with Newey-West errors, for each symbol."""
-    rows = _returns(spark, sf_dir).select("symbol", "t", "y", "x1", "x2").persist()
-    symbols = sorted(r.symbol for r in rows.select("symbol").filter("symbol is not null").distinct().collect())
-    models = [(s, name, xs) for s in symbols for name, xs in (("one", ["x1"]), ("two", ["x1", "x2"]))]
-    out = [{"symbol": s, "model": name} | r for s, name, xs in models for r in stats.regression(rows.filter(F.col("symbol") == s), "y", xs, "t", 6)]
-    rows.unpersist()
-    schema = "symbol string, model string, term string, n long, beta double, se double, t double, r2 double"
-    found = spark.createDataFrame([tuple(r[k] for k in ("symbol", "model", "term", "n", "beta", "se", "t", "r2")) for r in out], schema)
+    rows = _returns(spark, sf_dir).select("symbol", "t", "y", "x1", "x2").filter("x1 is not null and y is not null")
+    one = rows.withColumns({"model": F.lit("one"), "x2": F.lit(0.0)})  # a regressor that doesn't vary is dropped
+    found = stats.regressions(one.unionByName(rows.withColumn("model", F.lit("two"))), ["symbol", "model"], "t", "y", ["x1", "x2"], 6, DAY)
     return found.select("symbol", "model", "term", "n", *[rounded(c, 5).alias(c) for c in ("beta", "se", "t", "r2")])
 
 
@@ -336,7 +332,7 @@ _SPREAD = f"""vr as (select 'hour' as span, symbol, s // 3600 as p, ln(px / lag(
 vp as (select span, symbol, many, stddev_pop(r) * scale as vol from vr group by span, symbol, p, least, many, scale having count(*) >= least),
 vk as (select *, row_number() over (partition by span, symbol order by vol) - 1 as k, count(*) over (partition by span, symbol) as n from vp),
 vq as (select span, symbol, max(n) as periods, {', '.join(f"max(vol) filter (where n >= many and k = least(n - 1, floor(n * {x})::bigint)) as {c}" for c, x in (('p10', 0.1), ('p50', 0.5), ('p90', 0.9)))} from vk group by 1, 2),
-vs as (select span, symbol, periods, {_r('p10')} as p10, {_r('p50')} as p50, {_r('p90')} as p90, {_r('case when p10 > 0 then p90 / p10 end')} as spread from vq)"""
+vs as (select span, symbol, periods, {_r('p10')} as p10, {_r('p50')} as p50, {_r('p90')} as p90, {_r("case when p10 > 0 then p90 / p10 when p10 is not null then 'inf'::double end")} as spread from vq)"""
 _THR = normal.bonferroni_threshold(131)
 _GATES = f"""g0 as (select symbol, t, y, case when i <= floor(cn / 3) then 'dev' when i <= 2 * floor(cn / 3) then 'val' else 'test' end as split, unnest(['x1', 'x2']) as feature, unnest([x1, x2]) as x from (select *, count(*) over (partition by symbol) as cn from rt)),
 g1 as (select * from g0 where x is not null and y is not null), g2 as (select * from g1 union all by name select * replace ('valtest' as split) from g1 where split <> 'dev'),

@@ -385,18 +385,17 @@ def test_effective_trials_and_threshold():
 def test_regression_recovers_planted_effect(spark):
     r = random.Random(5)
     rows = [(k, x := r.gauss(0, 1), 0.5 + 2.0 * x + r.gauss(0, 0.1), 7.0) for k in range(600)]
-    df = spark.createDataFrame(rows, "t long, x double, y double, c double")
-    found = {f["term"]: f for f in stats.regression(df, "y", ["x", "c"], "t", 4)}
-    assert set(found) == {"intercept", "x"} and abs(found["x"]["beta"] - 2) < 0.02 and found["x"]["t"] > 50
-    assert stats.regression(df, "y", ["c"], "t", 4) == []
+    df = spark.createDataFrame(rows, "t long, x double, y double, c double").withColumn("g", F.lit(1))
+    found = {f.term: f for f in stats.regressions(df, ["g"], "t", "y", ["x", "c"], 4, 1000).collect()}
+    assert set(found) == {"intercept", "x"} and abs(found["x"].beta - 2) < 0.02 and found["x"].t > 50
+    assert stats.regressions(df, ["g"], "t", "y", ["c"], 4, 1000).collect() == []
 
 
 @pytest.mark.parametrize("block", [7, 10**9])
-def test_regression_errors_equal_numpy(spark, monkeypatch, block):
+def test_regression_errors_equal_numpy(spark, block):
     """Newey-West errors against the matrix formula, whatever the blocks and runs."""
     import numpy as np
 
-    monkeypatch.setattr(stats, "RUN", 50)
     r = random.Random(8)
     rows, e = [], 0.0
     for k in range(400):
@@ -413,17 +412,17 @@ def test_regression_errors_equal_numpy(spark, monkeypatch, block):
         cross = g[lag:].T @ g[:-lag]
         meat = meat + (1 - lag / 6) * (cross + cross.T)
     se = np.sqrt(np.diag(inverse @ meat @ inverse))
-    found = stats.regression(df, "y", ["a", "b"], "t", 5, block)
+    found = [f.asDict() for f in stats.regressions(df.withColumn("k", F.lit(1)), ["k"], "t", "y", ["a", "b"], 5, block, 0, 50).collect()]
     assert [f["term"] for f in found] == ["intercept", "a", "b"]
     assert all(math.isclose(f["beta"], b, rel_tol=1e-8) and math.isclose(f["se"], s, rel_tol=1e-8) for f, b, s in zip(found, beta, se, strict=True))
     (fit,) = stats.slope(df.withColumn("k", F.lit(1)), ["k"], "t", "a", "y", 5).collect()
-    (plain,) = [f for f in stats.regression(df, "y", ["a"], "t", 5, block) if f["term"] == "a"]
+    (plain,) = [f for f in stats.regressions(df.withColumn("k", F.lit(1)), ["k"], "t", "y", ["a"], 5, block).collect() if f["term"] == "a"]
     assert math.isclose(fit.beta, plain["beta"], rel_tol=1e-8) and math.isclose(fit.t, plain["t"], rel_tol=1e-8)
 
 
 def test_regression_leaves_out_what_is_not_finite(spark):
     rows = [(k, float(k % 7), 2.0 * (k % 7)) for k in range(60)] + [(60, float("inf"), 1.0), (61, 1.0, float("nan")), (62, None, 1.0), (63, 1.0, float("-inf"))]
-    (_, x) = stats.regression(spark.createDataFrame(rows, "t long, x double, y double"), "y", ["x"], "t", 2)
+    (x,) = stats.regressions(spark.createDataFrame(rows, "t long, x double, y double").withColumn("g", F.lit(1)), ["g"], "t", "y", ["x"], 2, 50).where("term = 'x'").collect()
     assert x["n"] == 60 and math.isclose(x["beta"], 2.0)
 
 
