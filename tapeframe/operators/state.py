@@ -122,8 +122,22 @@ def freshness(context_ms: Column, seen_ms: Column, width: int, four: int, three:
 
 
 def adapter_status(enabled: Column, value: Column, wired: Column, held: Column, stale_after: int) -> Column:
-    """0 off or nothing seen, 1 not wired, 2 stale, 3 held, 4 new."""
-    return F.when(~enabled, 0).when(~F.coalesce(wired, F.lit(False)), 1).when(value.isNull(), 0).when(held > stale_after, 2).when(held > 0, 3).otherwise(4)
+    """0 off or no reading, 1 not wired, 2 stale, 3 held, 4 new. A missing reading comes before the wiring."""
+    return F.when(~enabled | value.isNull(), 0).when(~F.coalesce(wired, F.lit(False)), 1).when(held > stale_after, 2).when(held > 0, 3).otherwise(4)
+
+
+def ever(condition: Column, rows: int, w) -> Column:
+    """Whether the condition held in one of the last `rows` rows; false while there are fewer."""
+    frame = w.rowsBetween(-(rows - 1), 0)
+    return (F.count(F.lit(1)).over(frame) == rows) & F.coalesce(F.max(condition).over(frame), F.lit(False))
+
+
+def gated_status(enabled: Column, wired: Column, age: Column, stale_after: int) -> Column:
+    """The status of a source that has a value only where something new came: 0 off, 1 not wired, then by the rows since the last value.
+
+    wired: it left the close, or was missing, which the close never is.
+    """
+    return F.when(~enabled, 0).when(~F.coalesce(wired, F.lit(False)), 1).when(age > stale_after, 2).when(age >= 1, 3).otherwise(4)
 
 
 # Words of the states of feeds, daily feeds and adapters.

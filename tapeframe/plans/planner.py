@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeframe.functions.columns import rounded
-from tapeframe.operators import planner as ops, state, windows
+from tapeframe.functions.columns import DAY, rounded
+from tapeframe.operators import planner as ops, scans, state, windows
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
@@ -35,9 +35,10 @@ NUMBERS = [
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every plan on every 4h bar: the grid is a bounded literal."""
+    """Every plan on every 4h bar, with Wilder's average true range; the last bar is not confirmed. The grid is a bounded literal."""
     w = windows.by("symbol")
-    rows = tables.bars(spark, sf_dir, "4h").withColumn("atr", rounded(windows.sma(windows.true_range(w), 14, w))).select("symbol", "t", "high", "low", "close", "atr")
+    rows = tables.bars(spark, sf_dir, "4h").withColumn("confirmed", F.lead("t").over(w).isNotNull()).withColumn("tr", windows.true_range(w)).select("symbol", "t", "high", "low", "close", "confirmed", "tr")
+    rows = scans.smoothed(rows, ["symbol"], "t", "tr", 14, 1 / 14, "atr", block=10 * DAY).withColumn("atr", rounded("atr", 9)).drop("tr")
     return ops.planned(rows.join(F.broadcast(ops.grid(spark, PLANS))))  # the grid has len(PLANS) rows
 
 
@@ -56,7 +57,7 @@ def plan_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _planned(spark, sf_dir).filter("ok")
     names = {"entry_px": ~F.col("active"), "stop_px": F.col("active"), "target_px": F.col("active") & F.col("target_ok"), "r1": F.col("active"), "r2": F.col("active"), "r3": F.col("active")}
     marks = F.explode(F.array_compact(F.array(*[F.when(when, F.struct(F.lit(n).alias("name"), F.col(n).alias("level"))) for n, when in names.items()])))
-    rows = found.select("symbol", "plan", "t", "high", "low", marks.alias("m")).select("symbol", "plan", "t", "high", "low", "m.*").withColumn("confirmed", F.lit(True))
+    rows = found.select("symbol", "plan", "t", "high", "low", "confirmed", marks.alias("m")).select("symbol", "plan", "t", "high", "low", "confirmed", "m.*")
     alerts = state.latched_alerts(rows, ["symbol", "plan", "name"], "level")
     return alerts.groupBy("symbol", "plan", "name").agg(F.sum(F.col("touched").cast("long")).alias("n_touched"), F.sum(F.col("fired").cast("long")).alias("n_fired"))
 
@@ -79,8 +80,10 @@ QUERIES = {f.__name__: f for f in (plan_grid, plan_zones, plan_touches, plan_bre
 _lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::double"
 _ROWS = ", ".join("(" + ", ".join([str(k), *(_lit(v) for v in (ops.DEFAULTS | p).values())]) + ")" for k, p in enumerate(PLANS))
 _P = f"""g as (select * from (values {_ROWS}) v(plan, {', '.join(ops.DEFAULTS)})),
-a as (select symbol, t, high, low, close, {q.r('case when count(tr) over f = 14 then avg(tr) over f end')} as atr from (select *, case when lag(close) over w is null then high - low else greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) end as tr from b4h window w as (partition by symbol order by t)) window f as (partition by symbol order by t rows between 13 preceding and current row)),
-p0 as (select g.*, a.symbol, a.t, a.high, a.low, a.close, a.atr, case when dir = 'Long' then 1.0::double else -1.0 end as sgn, not active and entry <= 0 as entry_live, case when active then case when fill > 0 then fill end when entry > 0 then entry else close end as entry_px from g, a),
+tn as (select *, t < max(t) over (partition by symbol) as conf, row_number() over w as i, case when lag(close) over w is null then high - low else greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) end as tr from b4h window w as (partition by symbol order by t)),
+wa as (select symbol, i, (select avg(tr) from tn x where x.symbol = tn.symbol and x.i <= 14) as y from tn where i = 14 union all select n.symbol, n.i, wa.y + (n.tr - wa.y) / 14 from wa join tn n on n.symbol = wa.symbol and n.i = wa.i + 1),
+a as (select symbol, t, high, low, close, conf, {q.r("y", 9)} as atr from tn left join wa using (symbol, i)),
+p0 as (select g.*, a.symbol, a.t, a.high, a.low, a.close, a.conf, a.atr, case when dir = 'Long' then 1.0::double else -1.0 end as sgn, not active and entry <= 0 as entry_live, case when active then case when fill > 0 then fill end when entry > 0 then entry else close end as entry_px from g, a),
 p1 as (select *, case when use_atr_stop then entry_px - sgn * atr_mult * atr when stop > 0 then stop end as stop_px, case when use_cost then entry_bp / 10000 else 0 end as er, case when use_cost then exit_bp / 10000 else 0 end as xr from p0),
 p2 as (select *, active and entry_px is null as need_fill, not (active and entry_px is null) and entry_px is not null and stop_px is null as need_stop, (not standard_chart and entry_live) or abs(point_value - 1) >= 1e-9 as fatal, coalesce(sgn * (entry_px - stop_px) > 0, false) as side_ok from p1),
 p3 as (select *, not fatal and side_ok as ok from p2), p4 as (select *, case when ok then abs(entry_px - stop_px) end as stop_dist, case when ok then entry_px * er + stop_px * xr end as cost_unit, case when fixed_cash then risk_cash else equity * risk_pct / 100 end as budget from p3),
@@ -95,14 +98,14 @@ _E = {
     "live_r": "sgn * (close - entry_px) / stop_dist", "live_gross": "qty * sgn * (close - entry_px)", "live_net": "qty * (sgn * (close - entry_px) - entry_px * er - close * xr)", "to_stop_r": "abs(close - stop_px) / stop_dist",
     "to_target_r": "case when target_ok then abs(target_px - close) / stop_dist end", "to_entry_r": "(close - entry_px) / stop_dist", "entry_ticked": "case when tick > 0 then floor(entry_px / tick + 0.5) * tick else entry_px end",
 }
-_PS = q.with_(q.TAPE, q.B4H, _P)
+_PS = q.with_(q.TAPE, q.B4H, _P, recursive=True)
 SQL = {
     "plan_grid": _PS + f"select symbol, plan, t, {', '.join(FLAGS)}, " + ", ".join(f"{q.r(_E[c], 4)} as {c}" for c in NUMBERS) + " from p7",
     "plan_zones": _PS + f"select symbol, plan, t, {q.r('greatest(entry_px, stop_px)', 4)} as risk_top, {q.r('least(entry_px, stop_px)', 4)} as risk_bottom, {q.r('greatest(entry_px, case when target_ok then target_px end)', 4)} as reward_top, {q.r('least(entry_px, case when target_ok then target_px end)', 4)} as reward_bottom, 16 as extent from p7 where ok",
     "plan_touches": _PS
-    + """, u as (select symbol, plan, t, high, low, unnest([case when not active then {'n': 'entry_px', 'l': entry_px} end, case when active then {'n': 'stop_px', 'l': stop_px} end, case when active and target_ok then {'n': 'target_px', 'l': target_px} end,
+    + """, u as (select symbol, plan, t, high, low, conf, unnest([case when not active then {'n': 'entry_px', 'l': entry_px} end, case when active then {'n': 'stop_px', 'l': stop_px} end, case when active and target_ok then {'n': 'target_px', 'l': target_px} end,
  case when active then {'n': 'r1', 'l': entry_px + sgn * stop_dist} end, case when active then {'n': 'r2', 'l': entry_px + 2 * sgn * stop_dist} end, case when active then {'n': 'r3', 'l': entry_px + 3 * sgn * stop_dist} end]) as m from p7 where ok),
-v as (select symbol, plan, t, m.n as name, m.l as level, low <= m.l and m.l <= high as touched, lag(m.l) over (partition by symbol, plan, m.n order by t) as b from u where m is not null), r as (select *, sum((level is distinct from b)::int) over (partition by symbol, plan, name order by t) as run from v),
+v as (select symbol, plan, t, m.n as name, m.l as level, low <= m.l and m.l <= high and conf as touched, lag(m.l) over (partition by symbol, plan, m.n order by t) as b from u where m is not null), r as (select *, sum((level is distinct from b)::int) over (partition by symbol, plan, name order by t) as run from v),
 f as (select *, touched and sum(touched::int) over (partition by symbol, plan, name, run order by t) = 1 as fired from r) select symbol, plan, name, sum(touched::int)::bigint as n_touched, sum(fired::int)::bigint as n_fired from f group by symbol, plan, name""",
     "plan_break_even_identity": _PS + "select symbol, plan, count(*) as n, 0.0::double as net, case when count(*) filter (where sgn * (close - stop_px) >= 0) > 0 then 1.0::double end as low, case when count(*) filter (where sgn * (close - stop_px) >= 0) > 0 then 1.0::double end as high from p7 where ok group by symbol, plan",
     "trailing_reference": q.with_(q.TAPE, q.B4H) + ", x as (select symbol, t, case when count(*) over f = 10 then min(low) over f end as trail_long, case when count(*) over f = 10 then max(high) over f end as trail_short from b4h window f as (partition by symbol order by t rows between 10 preceding and 1 preceding)) select *, max(trail_long) over (partition by symbol order by t) as lock_long from x",

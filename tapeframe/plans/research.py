@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.functions import normal
 from tapeframe.functions.columns import DAY, HOUR, rounded
-from tapeframe.operators import alignment, state, stats, windows
+from tapeframe.operators import alignment, scans, state, stats, windows
 from tapeframe.plans import sqltext as q
 from tapeframe.sources import tables
 
@@ -159,7 +159,8 @@ def directional_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = long.unionByName(long.filter("split <> 'dev'").withColumn("split", F.lit("valtest")))
     fits = stats.slope(every, ["symbol", "feature", "split"], "t", "x", "y", 3)
     wide = fits.groupBy("symbol", "feature").pivot("split", ["dev", "val", "test", "valtest"]).agg(F.first(rounded("beta")).alias("beta"), F.first(rounded("t", 4)).alias("t"))
-    ranked = long.filter("split <> 'dev'").withColumn("bucket", F.ntile(10).over(W.partitionBy("symbol", "feature").orderBy("x", "t")))
+    edges = stats.picked(long.filter("split = 'dev'"), ["symbol", "feature"], "x", 10)
+    ranked = long.filter("split <> 'dev'").join(edges, ["symbol", "feature"]).withColumn("bucket", stats.bucket_of(F.col("x"), [F.col(f"e{i}") for i in range(1, 10)]) + 1)
     deciles = ranked.groupBy("symbol", "feature", "bucket").agg(rounded(F.avg("y"), 9).alias("mean"))
     deciles = deciles.withColumn("rank", F.rank().over(W.partitionBy("symbol", "feature").orderBy("mean")) + (F.count("*").over(W.partitionBy("symbol", "feature", "mean")) - 1) / 2)
     shape = deciles.groupBy("symbol", "feature").agg(rounded(F.corr("bucket", "rank"), 4).alias("mono"), rounded(F.abs(F.max(F.when(F.col("bucket") == 10, F.col("mean"))) - F.max(F.when(F.col("bucket") == 1, F.col("mean")))) / 2 * 1e4, 2).alias("gross_bp"))
@@ -288,7 +289,8 @@ def trade_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of one position at a time: after a fall of a fifth, with a stop of 1.5 ranges below the signal's
     close and a trail at the lowest low of the ten bars before."""
     w = SYMBOL()
-    rows = tables.bars(spark, sf_dir, "4h").filter("close > 0 and open > 0").withColumn("atr", windows.sma(windows.true_range(w), 14, w))
+    rows = tables.bars(spark, sf_dir, "4h").filter("close > 0 and open > 0").withColumn("tr", windows.true_range(w))
+    rows = scans.smoothed(rows, ["symbol"], "t", "tr", 14, 1 / 14, "atr", block=10 * DAY)
     rows = rows.withColumn("signal", F.coalesce(F.col("close") < F.lag("close").over(w) * 0.8, F.lit(False)) & F.col("atr").isNotNull())
     lows = w.rowsBetween(-10, -1)
     rows = rows.withColumn("stop", rounded(F.col("close") - 1.5 * F.col("atr"))).withColumn("trail", F.when(F.count("low").over(lows) == 10, F.min("low").over(lows)))
@@ -341,7 +343,7 @@ g5 as (select *, dx * (dy - b * dx) as g from g4), g6 as (select *, g * lag(g, 1
 g7 as (select symbol, feature, split, max(b) as beta, sqrt(greatest(sum(g * g) + 1.5 * coalesce(sum(p1), 0) + coalesce(sum(p2), 0) + 0.5 * coalesce(sum(p3), 0), 0)) / sum(dx * dx) as se from g6 group by all),
 g8 as (select symbol, feature, split, {_r('beta')} as beta, {_r('case when se > 0 then beta / se else 0 end', 4)} as t from g7),
 g9 as (select symbol, feature, {', '.join(f"max(beta) filter (where split = '{k}') as {k}_beta, max(t) filter (where split = '{k}') as {k}_t" for k in ('dev', 'val', 'test', 'valtest'))} from g8 group by all),
-h1 as (select symbol, feature, bucket, {_r('avg(y)', 9)} as mean from (select *, ntile(10) over (partition by symbol, feature order by x, t) as bucket from g1 where split <> 'dev') group by all),
+h1 as (select symbol, feature, bucket, {_r('avg(y)', 9)} as mean from (select g1.*, 1 + {' + '.join(f"(x > xs[least(len(xs), {i} * len(xs) // 10 + 1)])::int" for i in range(1, 10))} as bucket from g1 join (select symbol, feature, list_sort(list(x)) as xs from g1 where split = 'dev' group by all) using (symbol, feature) where split <> 'dev') group by all),
 h2 as (select *, rank() over (partition by symbol, feature order by mean) + (count(*) over (partition by symbol, feature, mean) - 1) / 2.0 as rk from h1),
 h3 as (select symbol, feature, {_r('corr(bucket, rk)', 4)} as mono, {_r('abs(max(mean) filter (where bucket = 10) - max(mean) filter (where bucket = 1)) / 2 * 1e4', 2)} as gross_bp from h2 group by all),
 h4 as (select *, case when sign(valtest_beta) = 0 then 1 else sign(valtest_beta) end as sg from g9 join h3 using (symbol, feature)),
@@ -402,7 +404,8 @@ x as (select symbol, ln(morning / lag(close) over (partition by symbol order by
     "trade_simulation": q.with_(q.TAPE, q.B4H, recursive=True)
     + f""", b0 as (select *, row_number() over w as i, case when lag(close) over w is null then high - low else greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) end as tr, lag(close) over w as before, case when count(low) over l = 10 then min(low) over l end as trail
  from b4h where close > 0 and open > 0 window w as (partition by symbol order by t), l as (partition by symbol order by t rows between 10 preceding and 1 preceding)),
-b1 as (select *, case when count(tr) over f = 14 then avg(tr) over f end as atr, i = max(i) over (partition by symbol) as is_last from b0 window f as (partition by symbol order by t rows between 13 preceding and current row)),
+wa as (select symbol, i, (select avg(tr) from b0 x where x.symbol = b0.symbol and x.i <= 14) as atr from b0 where i = 14 union all select n.symbol, n.i, wa.atr + (n.tr - wa.atr) / 14 from wa join b0 n on n.symbol = wa.symbol and n.i = wa.i + 1),
+b1 as (select b0.*, wa.atr, i = max(i) over (partition by symbol) as is_last from b0 left join wa using (symbol, i)),
 b2 as (select *, {_r('close - 1.5 * atr')} as stop0, coalesce(close < before * 0.8, false) and atr is not null as signal from b1),
 st as (select symbol, i, false as held, signal and stop0 < close as waits, t as wt, close as wc, stop0 as ws, t as st, close as sc, stop0 as s0, 0.0::double as entry, 0::bigint as et, 0.0::double as stop, 0.0::double as mae, 0.0::double as mfe, null::varchar as how, 0.0::double as px from b2 where i = 1
  union all select symbol, i, held_now and how is null, not (held_now and how is null) and signal and stop0 < close, t, close, stop0, st, sc, s0, entry, et, case when how is null then greatest(stop, coalesce(trail, stop)) else stop end,

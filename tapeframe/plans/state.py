@@ -121,14 +121,24 @@ def daily_feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adapters_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wiring and status of an adapter: wired if it ever left the close in 50 rows, held while unchanged."""
-    rows = tables.bars(spark, sf_dir, "4h")
-    source = F.when(F.col("symbol") == "view", F.col("close")).otherwise(F.when(F.col("trades") % 5 != 0, F.floor(F.col("close") / 60) * 60))
-    rows = rows.withColumn("src", source)
-    gap = F.max(F.abs(F.col("src") - F.col("close"))).over(windows.frame(SYMBOL(), 50))
-    rows = ops.unchanged(rows.withColumn("wired", F.coalesce(gap > 0, F.lit(False))), ["symbol"], "src", "held")
+    """Wiring and status of an adapter that repeats its value, and of one that is missing but on new observations.
+
+    The first is wired if it left the close in the last 50 rows, held while unchanged; the second
+    also if it was missing in one of the last 200.
+    """
+    w = SYMBOL()
+    rows = tables.bars(spark, sf_dir, "1h")
+    view = F.col("symbol") == "view"
+    source = F.when(view, F.col("close")).otherwise(F.when(F.col("trades") % 5 != 0, F.floor(F.col("close") / 60) * 60))
+    gated = F.when(view, F.col("close")).otherwise(F.when(F.floor(F.col("close")) % 4 == 0, F.col("close") + 1))
+    rows = rows.withColumn("src", source).withColumn("gated", gated)
+    off = lambda c: F.coalesce(F.abs(F.col(c) - F.col("close")) > 0, F.lit(False))
+    rows = rows.withColumn("wired", ops.ever(off("src"), 50, w)).withColumn("gated_wired", ops.ever(off("gated"), 50, w) | ops.ever(F.col("gated").isNull(), 200, w))
+    rows = ops.since_value(ops.unchanged(rows, ["symbol"], "src", "held"), ["symbol"], "gated", "age")
     status = ops.adapter_status(F.lit(True), F.col("src"), F.col("wired"), F.col("held"), 6)
-    return rows.select("symbol", "t", "wired", "held", status.alias("status")).withColumn("word", ops.feed_word(F.col("status"), ops.ADAPTER_WORDS))
+    by_arrival = ops.gated_status(F.lit(True), F.col("gated_wired"), F.col("age"), 12)
+    out = rows.select("symbol", "t", "wired", "held", status.alias("status"), "gated_wired", "age", by_arrival.alias("gated_status"))
+    return out.withColumn("word", ops.feed_word(F.col("status"), ops.ADAPTER_WORDS)).withColumn("gated_word", ops.feed_word(F.col("gated_status"), ops.ADAPTER_WORDS))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,12 +329,13 @@ select symbol, t, matched_t, status, case status when 0 then 'UNAVAILABLE' when
     + """, d as (select t, volume from legs where leg = 'A'), f as (select t as seen from d where volume % 6 = 0), j as (select d.t, f.seen as matched_t from d asof left join f on d.t >= f.seen),
 s as (select *, case when matched_t is null then 0 when (t - matched_t) // 86400000 <= 2 then 4 when (t - matched_t) // 86400000 <= 3 then 3 else 2 end as status from j), p as (select *, lag(status) over (order by t) as b from s)
 select t, matched_t, status, case status when 0 then 'UNAVAILABLE' when 2 then 'STALE' when 3 then '1D OLD' when 4 then 'FRESH' end as word, case when status = 2 and b <> 2 then 'down' when status >= 3 and b < 3 then 'up' end as moved from p""",
-    "adapters_status": q.with_(q.TAPE, q.B4H, recursive=True)
-    + """, a as (select symbol, t, close, row_number() over (partition by symbol order by t) as i, case when symbol = 'view' then close when trades % 5 <> 0 then floor(close / 60) * 60 end as src from b4h),
+    "adapters_status": q.with_(q.TAPE, q.B1H, recursive=True)
+    + """, a as (select symbol, t, close, row_number() over (partition by symbol order by t) as i, case when symbol = 'view' then close when trades % 5 <> 0 then floor(close / 60) * 60 end as src, case when symbol = 'view' then close when floor(close) % 4 = 0 then close + 1 end as gated from b1h),
 f as (select symbol, t, i, src, 999::bigint as held from a where i = 1 union all select a.symbol, a.t, a.i, a.src, case when a.src is null or f.src is null then f.held when a.src <> f.src then 0 else f.held + 1 end from f join a on a.symbol = f.symbol and a.i = f.i + 1),
-g as (select f.*, coalesce(max(abs(a.src - a.close)) over (partition by a.symbol order by a.t rows between 49 preceding and current row) > 0, false) as wired from f join a using (symbol, i)),
-s as (select symbol, t, wired, held, case when not wired then 1 when src is null then 0 when held > 6 then 2 when held > 0 then 3 else 4 end as status from g)
-select *, case status when 4 then 'ACTIVE' when 3 then 'UNCHANGED 1 BAR' when 2 then 'LIKELY STALE' when 1 then 'MISCONFIGURED' else 'UNAVAILABLE' end as word from s""",
+g as (select f.*, count(*) over c = 50 and coalesce(max(abs(a.src - a.close)) over c, 0) > 0 as wired, count(*) over c = 50 and coalesce(max(abs(gated - close)) over c, 0) > 0 or count(*) over d = 200 and max((gated is null)::int) over d = 1 as gated_wired, coalesce(a.i - max(case when gated is not null then a.i end) over (partition by a.symbol order by a.t), 999 + a.i) as age
+ from f join a using (symbol, i) window c as (partition by a.symbol order by a.t rows between 49 preceding and current row), d as (partition by a.symbol order by a.t rows between 199 preceding and current row)),
+s as (select symbol, t, wired, held, case when src is null then 0 when not wired then 1 when held > 6 then 2 when held > 0 then 3 else 4 end as status, gated_wired, age, case when not gated_wired then 1 when age > 12 then 2 when age >= 1 then 3 else 4 end as gated_status from g)
+select *, case status when 4 then 'ACTIVE' when 3 then 'UNCHANGED 1 BAR' when 2 then 'LIKELY STALE' when 1 then 'MISCONFIGURED' else 'UNAVAILABLE' end as word, case gated_status when 4 then 'ACTIVE' when 3 then 'UNCHANGED 1 BAR' when 2 then 'LIKELY STALE' when 1 then 'MISCONFIGURED' else 'UNAVAILABLE' end as gated_word from s""",
     "events_log": _EVSQL + "select *, sum(accepted::int) over w as n_accepted, sum((not accepted)::int) over w as n_suppressed from acc window w as (partition by symbol order by t, site rows between unbounded preceding and current row)",
     "events_tail": _EVSQL + "select symbol, nth, t, site, text from (select *, row_number() over (partition by symbol order by t desc, site desc) as nth from acc where accepted) where nth <= 5",
     "events_grouped": q.with_(q.TAPE, q.B4H, _Z, _LADDER, _FUND.rstrip().rstrip(","), _SCHMITT, _FEED, _EV, _GROUPS, recursive=True)
