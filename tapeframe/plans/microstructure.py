@@ -139,15 +139,6 @@ def prospective_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("phase", F.when(F.coalesce(F.col("t") >= F.col("boundary"), F.lit(False)), "prospective").otherwise("warmup"))
 
 
-def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per symbol: how far bar volumes from trades and from sub-bars are apart, and how their changes correlate."""
-    a = tables.bars(spark, sf_dir, "4h").select("symbol", "t", F.col("volume").alias("x"), "close")
-    b = tables.bars(spark, sf_dir, "1h").groupBy("symbol", (F.floor(F.col("t") / 14_400_000) * 14_400_000).cast("long").alias("t")).agg(F.sum(F.col("volume") * 1.01).alias("y"), F.max_by("close", "t").alias("last"))
-    rel = F.abs(F.col("x") - F.col("y")) / F.col("x")
-    rows = a.join(b, ["symbol", "t"]).withColumn("rel", rel)
-    return rows.groupBy("symbol").agg(F.count("*").alias("n"), rounded(F.percentile("rel", F.lit(0.5))).alias("median"), rounded(F.percentile("rel", F.lit(0.99))).alias("p99"), rounded(F.max("rel")).alias("largest"), rounded(F.corr("x", "y"), 4).alias("corr"), F.sum((F.col("close") == F.col("last")).cast("long")).alias("n_same_close"))
-
-
 def taker_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggressor imbalance of hourly bars, reconciled with the bar's volume."""
     t = tables.tape(spark, sf_dir).withColumn("b", (F.floor(F.col("t") / 3_600_000) * 3_600_000).cast("long"))
@@ -166,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         book_features, book_audit, walk_book, exec_grid, book_asof, book_top, liquidity_state, flow_interactions, batched_updates, sequence_epochs, book_sequence_audit, book_validity, prospective_boundary,
-        reconciliation, taker_flow, collector_status,
+        taker_flow, collector_status,
     )
 }
 
@@ -229,9 +220,6 @@ select "at", {', '.join(f'n_{w}' for w in ops.FLOW_MS)}, {', '.join(f"{_R4(f'{c}
     "batched_updates": q.with_(q.UPDATES) + "select t // 3600000 as batch, side, price, max(seq) as seq, arg_max(qty, seq) as qty from updates group by 1, 2, 3",
     "sequence_epochs": "with s as (select event_id as last_id, event_id - 1 as prev_id, case when event_id % 53 = 0 then 1 else 0 end as d from events where event_id % 97 <> 0), g as (select *, coalesce(prev_id <> lag(last_id) over (order by last_id), false) as gap from s), e as (select *, sum(gap::int) over (order by last_id) as epoch from g) select 'BOOK' as symbol, epoch, min(last_id) as first_id, max(last_id) as last_id, count(*) as n, sum(d) as n_duplicates from e group by epoch",
     "prospective_boundary": q.with_(q.TAPE, q.B4H) + ", f as (select symbol, min(t) as boundary from b4h where t > 1704844800000 and trades >= 10 group by symbol) select b.symbol, b.t, boundary, case when coalesce(b.t >= boundary, false) then 'prospective' else 'warmup' end as phase from b4h b left join f using (symbol)",
-    "reconciliation": q.with_(q.TAPE, q.B4H, q.B1H)
-    + f""", s as (select symbol, (t // 14400000) * 14400000 as t, sum(volume * 1.01) as y, arg_max(close, t) as last from b1h group by 1, 2), j as (select a.symbol, volume as x, y, abs(volume - y) / volume as rel, close = last as same from b4h a join s using (symbol, t))
-select symbol, count(*) as n, {q.r('quantile_cont(rel, 0.5)')} as median, {q.r('quantile_cont(rel, 0.99)')} as p99, {q.r('max(rel)')} as largest, {_R4('corr(x, y)')} as corr, count(*) filter (where same) as n_same_close from j group by symbol""",
     "taker_flow": q.with_(q.TAPE, q.B1H) + f", f as (select symbol, (t // 3600000) * 3600000 as t, sum(case when aggressive_buy then qty else 0 end) as taker_buy from tape group by 1, 2) select symbol, t, taker_buy, {q.r('(2 * taker_buy - volume) / volume')} as afi, true as agrees from b1h join f using (symbol, t)",
     "collector_status": q.with_(q.TAPE) + "select count(*) as n_trades, min(t) as first_ms, max(t) as last_ms, max(trade_id) as last_id, count(distinct symbol) as n_symbols, count(*) filter (where px <= 0) as n_bad from tape",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.functions import normal
 from tapeframe.functions.columns import DAY, HOUR, rounded
-from tapeframe.operators import alignment, book, depth, stats
+from tapeframe.operators import alignment, book, depth, stats, vendor
 from tapeframe.plans import microstructure, sqltext as q
 from tapeframe.sources import shared, tables
 
@@ -63,6 +63,48 @@ def toxicity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "order_side", "wait", "n", rounded("mean", 4).alias("mean"), rounded("t", 4).alias("t"))
 
 
+COMPARED = ["mid", "spread_bp", "microprice", "imbalance_top5", "bid_within5bp", "ask_within5bp"]
+
+
+def _vendor_feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events and levels of a feed without ids: each hour but the first begins with a snapshot of the levels in force; every 211th delta is lost."""
+    updates = tables.depth_updates(spark, sf_dir).withColumn("t", F.floor(F.col("t") / SPEED))
+    blocks = updates.select("symbol", F.floor(F.col("t") / HOUR).alias("block"), "seq").groupBy("symbol", "block").agg(F.min("seq").alias("first"))
+    held = book.carried(updates, KEYS, blocks.select("symbol", "block"), HOUR).join(blocks, ["symbol", "block"])
+    snapshot = held.select("symbol", (2 * F.col("first")).alias("arrival"), (F.col("block") * HOUR).alias("ts"), F.lit(True).alias("is_snapshot"), "side", "price", "qty")
+    deltas = updates.where("seq % 211 <> 0").select("symbol", (2 * F.col("seq") + 1).alias("arrival"), F.col("t").alias("ts"), F.lit(False).alias("is_snapshot"), "side", "price", "qty")
+    rows = shared.cut(snapshot.unionByName(deltas))
+    return rows.select("symbol", "arrival", "ts", "is_snapshot").distinct(), rows.select("symbol", "arrival", "side", "price", "qty")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fast = F.floor(F.col("t") / SPEED)
+    return tables.depth_updates(spark, sf_dir).select("symbol", (F.floor(fast / 1000) * 1000 + 1000).alias("at")).distinct()
+
+
+def vendor_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the feed without ids had: snapshots, deltas applied and dropped, times that went back."""
+    events, _ = _vendor_feed(spark, sf_dir)
+    return vendor.counters(vendor.clocked(vendor.segments(events, KEYS, 100_000), KEYS), KEYS)
+
+
+def vendor_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book of the feed without ids at each second at which it is valid."""
+    found = vendor.seconds(*_vendor_feed(spark, sf_dir), KEYS, _samples(spark, sf_dir), 100_000, HOUR)
+    return found.select("symbol", "at", "segment", *[rounded(c, 4).alias(c) for c in COMPARED])
+
+
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book of the feed without ids against the book of all updates, second by second."""
+    events, levels = _vendor_feed(spark, sf_dir)
+    samples = _samples(spark, sf_dir)
+    a = vendor.seconds(events, levels, KEYS, samples, 100_000, HOUR)
+    updates = tables.depth_updates(spark, sf_dir).withColumn("t", F.floor(F.col("t") / SPEED))
+    b = book.sampled(updates, KEYS, samples, book.measured, book.FEATURES, HOUR)
+    found = vendor.reconciled(a, b, [*KEYS, "at"], COMPARED)
+    return found.select("column", "n", "n_equal", "only_a", "only_b", *[rounded(c, 6).alias(c) for c in ("median", "p99", "largest")], rounded("corr", 4).alias("corr"))
+
+
 #: Horizons in seconds (30 is the primary one), lags of the errors, fewest rows of a fit, trials before this study.
 HORIZONS, PRIMARY, LAGS, LEAST, EARLIER_TRIALS = (5, 30, 300), 30, 60, 500, 121
 FEATURES = ("D1_imbalance", "D2_displacement", "D3_flow", "D4_depth_change", "D5_pressure", "D6_fragility")
@@ -162,7 +204,7 @@ def study_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "feature", *[rounded(f"{k}_t", 3).alias(f"{k}_t") for k in ("dev", "val", "test", "valtest")], rounded("mono", 4).alias("mono"), rounded("gross_bp", 4).alias("gross_bp"), rounded("n_effective", 4).alias("n_effective"), rounded("threshold", 5).alias("threshold"), failed.alias("failed"), (failed == "").alias("passes"))
 
 
-QUERIES = {f.__name__: f for f in (directional_study, directional_deciles, study_gates, second_records, exec_shortfall, exec_hypotheses, toxicity_drift)}
+QUERIES = {f.__name__: f for f in (vendor_counters, vendor_seconds, reconciliation, directional_study, directional_deciles, study_gates, second_records, exec_shortfall, exec_hypotheses, toxicity_drift)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -245,7 +287,33 @@ fit as (select symbol, feature, horizon, split, count(*) as n, any_value(b) as b
 _EDGES = f"""eg as (select symbol, feature, list_sort(list(x)) as xs from tr where horizon = {PRIMARY} and split = 'dev' and x is not null group by 1, 2),
 bk as (select tr.symbol, tr.feature, "at", y, 1 + {" + ".join(f"(x > xs[least(len(xs), {i} * len(xs) // 10 + 1)])::int" for i in range(1, 10))} as bucket from tr join eg using (symbol, feature) where horizon = {PRIMARY} and split <> 'dev' and x is not null and y is not null)"""
 
+_H = 3_600_000
+_FEED = f"""fb as (select symbol, t // {_H} as block, min(seq) as first from updates group by 1, 2),
+ci as (select *, lead(t) over (partition by side, price order by seq) as until from updates),
+sn as (select fb.block, side, price, qty from fb join ci on ci.t < fb.block * {_H} and coalesce(until, 9e18) >= fb.block * {_H} and qty > 0),
+sb as (select distinct block from sn),
+de as (select seq, t, t // {_H} as block, side, price, qty from updates where seq % 211 <> 0)"""
+_VENDOR = f"""{_FEED},
+vu as (select block, -1 as seq, block * {_H} as t, side, price, qty from sn union all select block, seq, t, side, price, qty from de where block in (select block from sb)),
+vi as (select *, lead(t) over (partition by block, side, price order by seq) as until, lead(seq) over (partition by block, side, price order by seq) as after from vu),
+ev as (select block, t, seq, true as delta from de where block >= (select min(block) from sb) union all select block, block * {_H}, (select min(seq) from updates u where u.t // {_H} = sb.block) - 0.5, false from sb),
+es as (select *, bool_or(delta) over (partition by block order by seq) as valid from ev),
+el as (select t, max_by(block, seq) as block, max_by(valid, seq) as valid from es group by t),
+ss as (select s.symbol, s.at_, el.block from samples s asof join el on s.at_ >= el.t where el.valid),
+vl as (select ss.symbol, ss.at_ as "at", side, price, qty, block from ss join vi using (block) where vi.t <= ss.at_ and ss.at_ < coalesce(until, 9e18) and qty > 0),
+vm as (select symbol, "at", (max(price) filter (where side = 'bid') + min(price) filter (where side = 'ask')) / 2 as m from vl group by 1, 2),
+vn as (select symbol, "at", side, price, qty from vl join vm using (symbol, "at") where case when side = 'bid' then price >= m * 0.98 else price <= m * 1.02 end)"""
+_VFX = microstructure._features("vn", 'symbol, "at"').replace("best as", "vbest as").replace("best b", "vbest b").replace("rk as", "vrk as").replace("from rk", "from vrk").replace("ft as", "vft as").replace("from ft", "from vft").replace("fx as", "vfx as")
+_SEG = f"""sg as (select block, row_number() over (order by block) as segment from sb)"""
+_BOOKS = (_FAST(q.UPDATES), microstructure._AT)
+
 SQL = {
+    "vendor_counters": q.with_(*_BOOKS, _FEED) + "select 'BOOK' as symbol, (select count(*) from sb where block in (select block from de)) as snapshots, count(*) filter (where block >= (select min(block) from sb)) as applied, count(*) filter (where block < (select min(block) from sb)) as dropped, 0::bigint as regressions from de",
+    "vendor_seconds": q.with_(*_BOOKS, _VENDOR, _VFX, _SEG) + 'select vfx.symbol, "at", segment, ' + ", ".join(f"{_R4(c)} as {c}" for c in COMPARED) + ' from vfx join ss on ss.at_ = vfx."at" join sg using (block)',
+    "reconciliation": q.with_(*_BOOKS, microstructure._features("lv", 'symbol, "at"'), _VENDOR, _VFX)
+    + f""", jo as (select {", ".join(f"a.{c} as a_{c}, b.{c} as b_{c}" for c in COMPARED)}, a."at" as at_a, b."at" as at_b from vfx a full join fx b on a."at" = b."at"),
+lo as ({" union all ".join(f"select '{c}' as col, a_{c} as x, b_{c} as y from jo where at_a is not null and at_b is not null" for c in COMPARED)}), rl as (select *, case when x = y then 0 else round(abs(x - y) / greatest(abs(x), abs(y), 1e-12), 9) end as rel from lo)
+select col as "column", count(*) as n, count(*) filter (where rel = 0) as n_equal, (select count(*) from jo where at_b is null) as only_a, (select count(*) from jo where at_a is null) as only_b, {q.r('list_sort(list(rel))[least(count(*), floor(0.5 * count(*))::bigint + 1)]')} as median, {q.r('list_sort(list(rel))[least(count(*), floor(0.99 * count(*))::bigint + 1)]')} as p99, {q.r('max(rel)')} as largest, {_R4('corr(x, y)')} as corr from rl group by 1""",
     "directional_study": q.with_(*RECORDS, _OBS, _FIT) + f"select symbol, feature, horizon, split, n, {q.r('beta * 1e4', 3)} as beta_e4, {q.r('se * 1e4', 3)} as se_e4, {q.r('case when se > 0 then beta / se else 0 end', 3)} as t, {q.r('coalesce(r2, 0)', 5)} as r2, {q.r('ic', 5)} as ic, dropped from fit",
     "directional_deciles": q.with_(*RECORDS, _OBS, _EDGES, hac("hd", "bk", "symbol, feature, bucket", "y", LAGS)) + f"select symbol, feature, bucket, n, {_R4('mean * 1e4')} as mean_bp, {q.r('t', 3)} as t from hd",
     "second_records": q.with_(*RECORDS) + 'select symbol, "at", bid_levels::int as bid_levels, ask_levels::int as ask_levels, ' + ", ".join(f'{_R4(c)} as "{c}"' for c in (*_SHOWN, *(f"vwap_{s}_{n}" for s in depth.SIDES for n in SIZES))) + " from rec",
