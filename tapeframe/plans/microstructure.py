@@ -130,15 +130,6 @@ def book_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("symbol").agg(F.count("*").alias("n_events"), F.max("applied").alias("applied"), F.max("dropped").alias("dropped"), F.max("gaps").alias("gaps"), F.max("crossed").alias("crossed"))
 
 
-def prospective_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows after the first busy bar behind the freeze instant are prospective; the boundary is written once."""
-    rows = tables.bars(spark, sf_dir, "4h")
-    frozen = 1_704_844_800_000
-    first = rows.filter((F.col("t") > frozen) & (F.col("trades") >= 10)).groupBy("symbol").agg(F.min("t").alias("boundary"))
-    joined = rows.select("symbol", "t").join(first, "symbol", "left")
-    return joined.withColumn("phase", F.when(F.coalesce(F.col("t") >= F.col("boundary"), F.lit(False)), "prospective").otherwise("warmup"))
-
-
 def taker_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggressor imbalance of hourly bars, reconciled with the bar's volume."""
     t = tables.tape(spark, sf_dir).withColumn("b", (F.floor(F.col("t") / 3_600_000) * 3_600_000).cast("long"))
@@ -156,7 +147,7 @@ def collector_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        book_features, book_audit, walk_book, exec_grid, book_asof, book_top, liquidity_state, flow_interactions, batched_updates, sequence_epochs, book_sequence_audit, book_validity, prospective_boundary,
+        book_features, book_audit, walk_book, exec_grid, book_asof, book_top, liquidity_state, flow_interactions, batched_updates, sequence_epochs, book_sequence_audit, book_validity,
         taker_flow, collector_status,
     )
 }
@@ -219,7 +210,6 @@ select "at", {', '.join(f'n_{w}' for w in ops.FLOW_MS)}, {', '.join(f"{_R4(f'{c}
  {_R4('afi_5000 * imbalance_top5')} as flow_imbalance, {_R4('afi_5000 * (spread_bp / greatest(1e-9, (nb + na) / 1e6))')} as flow_fragility from j""",
     "batched_updates": q.with_(q.UPDATES) + "select t // 3600000 as batch, side, price, max(seq) as seq, arg_max(qty, seq) as qty from updates group by 1, 2, 3",
     "sequence_epochs": "with s as (select event_id as last_id, event_id - 1 as prev_id, case when event_id % 53 = 0 then 1 else 0 end as d from events where event_id % 97 <> 0), g as (select *, coalesce(prev_id <> lag(last_id) over (order by last_id), false) as gap from s), e as (select *, sum(gap::int) over (order by last_id) as epoch from g) select 'BOOK' as symbol, epoch, min(last_id) as first_id, max(last_id) as last_id, count(*) as n, sum(d) as n_duplicates from e group by epoch",
-    "prospective_boundary": q.with_(q.TAPE, q.B4H) + ", f as (select symbol, min(t) as boundary from b4h where t > 1704844800000 and trades >= 10 group by symbol) select b.symbol, b.t, boundary, case when coalesce(b.t >= boundary, false) then 'prospective' else 'warmup' end as phase from b4h b left join f using (symbol)",
     "taker_flow": q.with_(q.TAPE, q.B1H) + f", f as (select symbol, (t // 3600000) * 3600000 as t, sum(case when aggressive_buy then qty else 0 end) as taker_buy from tape group by 1, 2) select symbol, t, taker_buy, {q.r('(2 * taker_buy - volume) / volume')} as afi, true as agrees from b1h join f using (symbol, t)",
     "collector_status": q.with_(q.TAPE) + "select count(*) as n_trades, min(t) as first_ms, max(t) as last_ms, max(trade_id) as last_id, count(distinct symbol) as n_symbols, count(*) filter (where px <= 0) as n_bad from tape",
 }

@@ -9,7 +9,7 @@ from tapeframe.functions import normal
 from tapeframe.functions.columns import DAY, HOUR, rounded
 from tapeframe.operators import alignment, book, depth, stats, vendor
 from tapeframe.plans import microstructure, sqltext as q
-from tapeframe.sources import shared, tables
+from tapeframe.sources import boundary, shared, tables
 
 KEYS = ["symbol"]
 #: Sizes of the orders, waits in seconds, seconds between decisions.
@@ -63,6 +63,17 @@ def toxicity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "order_side", "wait", "n", rounded("mean", 4).alias("mean"), rounded("t", 4).alias("t"))
 
 
+#: The freeze, on the clock of the fast tape: three hours after 17,040,000,000.
+FROZEN_MS = 17_040_000_000 + 3 * HOUR
+
+
+def prospective_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of the feed without ids: prospective from the first one after the freeze at which its book is valid."""
+    valid = vendor.seconds(*_vendor_feed(spark, sf_dir), KEYS, _samples(spark, sf_dir), 100_000, HOUR).select("symbol", "at")
+    rows = _samples(spark, sf_dir).join(F.broadcast(boundary.first_after(valid, KEYS, FROZEN_MS)), "symbol", "left")  # a row a symbol
+    return rows.select("symbol", "at", "boundary", boundary.phase(F.col("at"), F.col("boundary")).alias("phase"))
+
+
 COMPARED = ["mid", "spread_bp", "microprice", "imbalance_top5", "bid_within5bp", "ask_within5bp"]
 
 
@@ -204,7 +215,7 @@ def study_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "feature", *[rounded(f"{k}_t", 3).alias(f"{k}_t") for k in ("dev", "val", "test", "valtest")], rounded("mono", 4).alias("mono"), rounded("gross_bp", 4).alias("gross_bp"), rounded("n_effective", 4).alias("n_effective"), rounded("threshold", 5).alias("threshold"), failed.alias("failed"), (failed == "").alias("passes"))
 
 
-QUERIES = {f.__name__: f for f in (vendor_counters, vendor_seconds, reconciliation, directional_study, directional_deciles, study_gates, second_records, exec_shortfall, exec_hypotheses, toxicity_drift)}
+QUERIES = {f.__name__: f for f in (prospective_boundary, vendor_counters, vendor_seconds, reconciliation, directional_study, directional_deciles, study_gates, second_records, exec_shortfall, exec_hypotheses, toxicity_drift)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -308,6 +319,7 @@ _SEG = f"""sg as (select block, row_number() over (order by block) as segment fr
 _BOOKS = (_FAST(q.UPDATES), microstructure._AT)
 
 SQL = {
+    "prospective_boundary": q.with_(*_BOOKS, _VENDOR) + f""", tw as (select "at" from vm where m is not null), bo as (select min("at") as boundary from tw where "at" > {FROZEN_MS}) select symbol, at_ as "at", boundary, case when coalesce(at_ >= boundary, false) then 'prospective' else 'warmup' end as phase from samples, bo""",
     "vendor_counters": q.with_(*_BOOKS, _FEED) + "select 'BOOK' as symbol, (select count(*) from sb where block in (select block from de)) as snapshots, count(*) filter (where block >= (select min(block) from sb)) as applied, count(*) filter (where block < (select min(block) from sb)) as dropped, 0::bigint as regressions from de",
     "vendor_seconds": q.with_(*_BOOKS, _VENDOR, _VFX, _SEG) + 'select vfx.symbol, "at", segment, ' + ", ".join(f"{_R4(c)} as {c}" for c in COMPARED) + ' from vfx join ss on ss.at_ = vfx."at" join sg using (block)',
     "reconciliation": q.with_(*_BOOKS, microstructure._features("lv", 'symbol, "at"'), _VENDOR, _VFX)
