@@ -304,8 +304,11 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, n
             yield shard, lang, codes, own, np.concatenate([[np.uint64(0)], hashes]), ["", *names.to_pylist()]
 
 
-def phrase_counts(shard_rows: DataFrame, length: int, sieves: list[Sieve]) -> DataFrame:
-    """(key, n, shard): popcounts of the phrases of `length` words whose shorter phrases pass the sieves (of 1, 2, .. length - 1 words)."""
+def phrase_counts(shard_rows: DataFrame, lengths: tuple[int, ...], sieves: list[Sieve]) -> DataFrame:
+    """(key, n, shard): popcounts of the phrases of so many words whose shorter phrases pass the sieves (of 1, 2, .. words).
+
+    Of words and of pairs all are counted: shards have common words only.
+    """
     shared = shard_rows.sparkSession.sparkContext.broadcast(sieves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,13 +317,13 @@ def phrase_counts(shard_rows: DataFrame, length: int, sieves: list[Sieve]) -> Da
             salt, ready = _salt(lang), []
 
             def visit(k, whole, tail, counts, chain, shard=shard, salt=salt, ready=ready):
-                if k < length:
+                if k not in lengths:
                     return known[k - 1].has(_key(whole, k, salt))
-                good = known[k - 2].has(_key(tail, k - 1, salt)) if k > 1 else np.ones(len(whole), bool)
+                good = known[k - 2].has(_key(tail, k - 1, salt)) if k > 2 else np.ones(len(whole), bool)
                 ready.extend(sums.add(_key(whole[good], k, salt), counts[good], shard))
                 return good
 
-            grow(codes, own, hashes, length, visit)
+            grow(codes, own, hashes, lengths[-1], visit)
             yield from ready
         yield from sums.rest()
 
@@ -403,9 +406,9 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
         # that reader would hold thousands of rows at once, and a row is a shard
         rows = cut_lineage(shards(docs, sieve(summed(word_counts(docs), least))), folder=folder)
         sieves, counted = [], []
-        for length in range(1, longest + 1):
-            counted.append(cut_lineage(summed(phrase_counts(rows, length, sieves), least), folder=folder))
-            sieves.append(sieve(counted[-1]))
+        for lengths in ((1, 2), *((k,) for k in range(3, longest + 1))):
+            counted.append(cut_lineage(summed(phrase_counts(rows, lengths, sieves), least), folder=folder))
+            sieves += [sieve(counted[-1])] * len(lengths)
         common = cut_lineage(phrases(rows, reduce(DataFrame.unionByName, counted), sieves), folder=folder)
         sizes = cut_lineage(rows.groupBy("lang").agg(F.sum("words").alias("n")), folder=folder)
         return cut_lineage(report(common, sizes, top))
