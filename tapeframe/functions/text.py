@@ -56,24 +56,27 @@ def r_units(x: Column, sign: bool = True) -> Column:
 
 # State words and the colour class each stands for, in the order they are tried.
 CLASSES = (
-    ("contains", "UNAVAILABLE", "muted"),
-    ("contains", "MISCONFIGURED", "bad"),
-    ("contains", "STALE", "bad"),
-    ("startswith", "EXTREME", "extreme"),
-    ("startswith", "UNUSUAL", "unusual"),
-    ("startswith", "ELEVATED", "unusual"),
-    ("contains", "SPIKE", "unusual"),
-    ("contains", "SURGE", "unusual"),
-    ("contains", "ABOVE", "up"),
-    ("contains", "BELOW", "down"),
-    ("startswith", "NORMAL", "normal"),
+    ("contains", ("UNAVAILABLE", "MISCONFIGURED"), "muted"),
+    ("equals", ("INSUFFICIENT DATA", "NO DATA", "NOT SET", "NONE ENABLED"), "muted"),
+    ("contains", ("STALE", "BLOCKED"), "bad"),
+    ("equals", ("DATA INCOMPARABLE", "ISSUE", "CHECK"), "bad"),
+    ("equals", ("NORMAL", "FRESH", "ACTIVE", "BALANCED", "FLAT", "NEAR 200D", "NORMAL RELATIVE ACTIVITY", "OK", "NEUTRAL"), "normal"),
+    ("equals", ("LONG",), "up"),
+    ("contains", ("UPTREND",), "up"),
+    ("equals", ("SHORT",), "down"),
+    ("contains", ("DOWNTREND",), "down"),
+    ("startswith", ("EXTREME",), "extreme"),
+    ("startswith", ("UNUSUAL", "ELEVATED"), "unusual"),
+    ("contains", ("SPIKE", "SURGE"), "unusual"),
+    ("equals", ("HIGH",), "unusual"),
 )
 
 
 def colour_class(text: Column) -> Column:
     """The class of a state text; the trailing marker is dropped and case ignored."""
     said = F.upper(F.trim(F.replace(text, F.lit("[σ]"), F.lit(""))))
-    out = F.lit(None).cast("string")
-    for how, word, name in reversed(CLASSES):
-        out = F.when(getattr(said, how)(word), name).otherwise(out)
-    return F.coalesce(out, F.lit("plain"))
+    out = F.lit("plain")
+    for how, words, name in reversed(CLASSES):
+        for word in words:
+            out = F.when(said == word if how == "equals" else getattr(said, how)(word), name).otherwise(out)
+    return out

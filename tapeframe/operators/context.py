@@ -154,6 +154,11 @@ def trend_word(score: Column, known: Column) -> Column:
     return F.when(~known, "No data").when(score >= 2, "Strong uptrend").when(score == 1, "Uptrend").when(score == 0, "Neutral").when(score == -1, "Downtrend").otherwise("Strong downtrend")
 
 
+def trend_sentence(word: Column) -> Column:
+    """What is said of a day whose trend state changed."""
+    return F.concat(F.lit("Trend state changed to "), F.lower(word), F.lit(" — price moved relative to the 200-day average."))
+
+
 def volatility_word(pct: Column) -> Column:
     return F.when(pct.isNull(), "No data").when(pct > 80, "High").when(pct > 55, "Elevated").when(pct < 20, "Low").otherwise("Normal")
 

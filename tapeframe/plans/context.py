@@ -103,7 +103,7 @@ def watch_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = _levelled(spark, sf_dir).filter("level > 0 and z is not null").groupBy("t").agg(F.min(F.struct("key", "place", "sentence")).alias("best"))
     days = trend_states(spark, sf_dir).join(best, "t", "left")
     trend = (F.col("state") != F.col("state_before")) & (F.coalesce(F.col("best.key"), F.lit(99_000.0)) > 5900)
-    line = F.when(trend, F.concat(F.lit("Slow trend moved to "), F.lower("phrase"), F.lit("."))).otherwise(F.col("best.sentence"))
+    line = F.when(trend & (F.col("word") != "No data"), ops.trend_sentence(F.col("word"))).otherwise(F.col("best.sentence"))
     return days.select("t", F.coalesce(line, F.lit("")).alias("line"), F.col("word").alias("trend"))
 
 
@@ -124,11 +124,18 @@ def mechanics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(wide, "t").select("t", ops.mechanics(F.col("px6"), F.col("oi6")).alias("label"), ops.mechanics_sentence(F.col("px6"), F.col("oi6")).alias("sentence"), note.alias("note"))
 
 
+def _volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t, close, the average true range, it in parts of the close, the 30-day deviation of returns, and its percentile among 365 days before."""
+    rows = tables.legs(spark, sf_dir).filter("leg = 'A'").withColumn("k", F.lit(1)).withColumn("tr", windows.true_range(SERIES()))
+    rows = scans.smoothed(rows.select("k", "t", "close", "tr"), ["k"], "t", "tr", 14, 1 / 14, "atr", block=200 * DAY).withColumn("atr", rounded("atr", 9))
+    rows = rows.withColumn("sd", rounded(windows.deviation(windows.log_return(F.col("close"), SERIES()), 30, SERIES())))
+    rows = windows.percent_rank(rows.select("k", "t", "close", "atr", "sd"), ["k"], "sd", 365, "pct")
+    return rows.select("t", "close", "atr", rounded(F.col("atr") / F.col("close")).alias("atr_pct"), "sd", rounded("pct", 4).alias("pct")).withColumn("word", ops.volatility_word(F.col("pct")))
+
+
 def volatility_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The volatility word of the percentile of 10-day deviation, and the average true range in percent."""
-    rows = _measured(spark, sf_dir).withColumn("sd", rounded(windows.deviation(windows.log_return(F.col("perp_close"), SERIES()), 10, SERIES())))
-    rows = windows.percent_rank(rows.select("k", "t", "sd"), ["k"], "sd", 60, "pct")
-    return rows.withColumn("pct", rounded("pct", 4)).select("t", "sd", "pct", ops.volatility_word(F.col("pct")).alias("word"))
+    """The volatility word of the percentile of the 30-day deviation in a year, and the average true range in parts of the price."""
+    return _volatility(spark, sf_dir).select("t", "atr_pct", "sd", "pct", "word")
 
 
 def measure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +242,9 @@ ts as (select i, case when dist >= 0.5 then 1 when dist <= -0.5 then -1 else 0 e
  union all select n.i, case when n.dist is null then 0 when s.state = 0 then case when n.dist >= 0.5 then 1 when n.dist <= -0.5 then -1 else 0 end when s.state * n.dist < 0.2 then 0 else s.state end, s.state from ts s join td n on n.i = s.i + 1),
 tn as (select t, dist, mom, state, state_before, case when state > 0 then 'ABOVE 200D' when state < 0 then 'BELOW 200D' else 'NEAR 200D' end as phrase, (sign(state) + coalesce(sign(mom), 0))::int as score from td join ts using (i)),
 tt as (select *, case when dist is null or mom is null then 'No data' when score >= 2 then 'Strong uptrend' when score = 1 then 'Uptrend' when score = 0 then 'Neutral' when score = -1 then 'Downtrend' else 'Strong downtrend' end as word from tn)"""
+_VOL = f"""rt as (select t, i, close, case when i = 1 then 0.0 else ln(close / lag(close) over (order by t)) end as ret from ta), sd as (select t, i, close, {_r('case when count(ret) over f = 30 then stddev_pop(ret) over f end')} as sd from rt window f as (order by t rows between 29 preceding and current row)),
+vp as (select a.t, a.i, a.close, a.sd, {_r('case when a.sd is not null and count(b.sd) = 365 then count(*) filter (where b.sd <= a.sd) * 100.0::double / 365 end', 4)} as pct from sd a left join sd b on b.i between a.i - 365 and a.i - 1 group by a.t, a.i, a.close, a.sd),
+vw as (select t, i, close, {_r('atr', 9)} as atr, {_r('(round(atr, 9) + 0.0) / close')} as atr_pct, sd, pct, case when pct is null then 'No data' when pct > 80 then 'High' when pct > 55 then 'Elevated' when pct < 20 then 'Low' else 'Normal' end as word from vp left join tw using (i))"""
 _MS, _NS, _LS = q.with_(q.LEGS, _M), q.with_(q.LEGS, _M, _N), q.with_(q.LEGS, _M, _N, _L, recursive=True)
 
 
@@ -256,7 +266,7 @@ SQL = {
     "trend_states": q.with_(q.LEGS, _TREND, recursive=True) + "select * from tt",
     "watch_line": q.with_(q.LEGS, _M, _N, _L, _TREND, recursive=True)
     + """, b as (select t, key, sentence from (select *, row_number() over (partition by t order by key, place) as n from ll where level > 0 and z is not null) where n = 1)
-select tt.t, coalesce(case when state <> state_before and coalesce(key, 99000) > 5900 then 'Slow trend moved to ' || lower(phrase) || '.' else sentence end, '') as line, word as trend from tt left join b using (t)""",
+select tt.t, coalesce(case when state <> state_before and coalesce(key, 99000) > 5900 and word <> 'No data' then 'Trend state changed to ' || lower(word) || ' — price moved relative to the 200-day average.' else sentence end, '') as line, word as trend from tt left join b using (t)""",
     "positioning": _LS
     + f"""select t, case when x is null then 'No data' when level = 0 then 'Normal' else case when level >= 2 then 'Extreme ' else 'Unusual ' end || {_UP('build', 'reduction', 'flat')} end as word,
  case when x is null then '' else 'OI ' || {_sg('x', _trim('x * 100', 4))} || '% / 24H' end as number from ll where measure = 'oi6'""",
@@ -268,10 +278,7 @@ w as (select t, max(case measure when 'funding' then case when x is null then 'f
 select t, case when px6 is null or oi6 is null then 'INSUFFICIENT DATA' when p = 0 or o = 0 then 'FLAT' else case when p > 0 then 'PRICE UP' else 'PRICE DOWN' end || ' + ' || case when o > 0 then 'POSITION BUILD' else 'POSITION REDUCTION' end end as label,
  case when p = 0 or o = 0 then '' else case when p > 0 then 'Price rose' else 'Price fell' end || ' while open interest ' || case when o > 0 then 'rose' else 'fell' end || '. Positions were ' || case when o > 0 then 'added to' else 'reduced' end || ' during the ' || case when p > 0 then 'rise' else 'fall' end || '.' end as sentence,
  a || ' · ' || b || ' · ' || c as note from d join w using (t)""",
-    "volatility_words": _MS
-    + f""", rt as (select t, i, case when row_number() over w = 1 then 0.0 else ln(perp_close / lag(perp_close) over w) end as ret from m window w as (order by t)), sd as (select t, i, {_r('case when count(ret) over f = 10 then stddev_pop(ret) over f end')} as sd from rt window f as (order by t rows between 9 preceding and current row)),
-p as (select a.t, a.sd, {_r('case when a.sd is not null and count(b.sd) = 60 then count(*) filter (where b.sd <= a.sd) * 100.0::double / 60 end', 4)} as pct from sd a left join sd b on b.i between a.i - 60 and a.i - 1 group by a.t, a.sd)
-select t, sd, pct, case when pct is null then 'No data' when pct > 80 then 'High' when pct > 55 then 'Elevated' when pct < 20 then 'Low' else 'Normal' end as word from p""",
+    "volatility_words": q.with_(q.LEGS, _TREND, _VOL, recursive=True) + "select t, atr_pct, sd, pct, word from vw",
     "measure_changes": _LS
     + f""", p as (select *, coalesce(lag(level) over w, 0) as pl, coalesce(lag(sign) over w, 0) as pd from ll window w as (partition by measure order by t)), k as (select *, {_KIND} as kind from p)
 select t, measure, kind, case kind when 1 then name || ' entered ' || lower(phrase) when 2 then name || ' returned to normal' else name || ' changed to ' || lower(phrase) end as said from k where kind > 0""",
