@@ -199,3 +199,21 @@ def packed(parts: list[tuple[Column, int]]) -> Column:
         out = out + part.cast("long") * scale
         scale *= radix
     return out
+
+
+# Shapes of an ETF feed and what the sum of each is called.
+ETF_SHAPES = {"gated": "ETF LAST 5 OBS", "repeated": "ETF 5 CAL-DAY", "increments": "ETF 30-BAR SUM"}
+
+
+def etf_flow(value: Column, shape: Column, w, per_day: int = 6, back: int = 90) -> tuple[Column, Column, Column]:
+    """Five days of flow, its label, and the sample that it may be compared with.
+
+    gated: a value only where something new came; the last five of `back` rows, and only a new one is a
+    sample, so that the clock of the comparison is that of the arrivals. repeated: a daily value that stands
+    all day; five rows a day apart. increments: the sum of all rows of five days, a missing one is none.
+    """
+    five = F.sum(F.coalesce(value, F.lit(0.0))).over(windows.frame(w, 5 * per_day))
+    pick = lambda a, b, c: F.when(shape == "gated", a).when(shape == "repeated", b).otherwise(c)
+    flow = pick(windows.sum_last_valid(value, 5, back, w), windows.strided_sum(value, per_day, 5, w), five)
+    label = pick(*map(F.lit, ETF_SHAPES.values()))
+    return flow, label, F.when((shape != "gated") | value.isNotNull(), flow)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.plans import bars, context, health, ingest, microstructure, panel, planner, research, state, study, windows
+from tapeframe.plans import arrivals, bars, context, health, ingest, microstructure, panel, planner, research, state, study, windows
 
-AREAS = (bars, windows, state, context, planner, panel, microstructure, research, study, ingest, health)
+AREAS = (bars, windows, state, context, planner, panel, arrivals, microstructure, research, study, ingest, health)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
