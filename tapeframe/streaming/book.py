@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tapeframe.functions.columns import DAY
 from tapeframe.operators.book import BOOK_ROW, FEATURES, Book, Sampler, fed
 
 EVENT = "symbol string, arrival long, kind string, first_id long, last_id long, prev_id long, levels array<struct<side:string,price:double,qty:double>>"
@@ -171,15 +172,17 @@ def bars(trades: DataFrame, width: str, delay: str) -> DataFrame:
 def alerts(batch: DataFrame, path: str, epoch: int) -> None:
     """foreachBatch sink that writes each (t, text) once, also across epochs and restarts.
 
-    A batch that is run again overwrites its own folder; what folders of earlier epochs hold is left out.
+    Alerts lie by day and epoch. A batch reads the days between its first and its last t only, so what it
+    reads doesn't grow with the age of the log; run again, it overwrites what it wrote.
     """
     spark = batch.sparkSession
-    new = batch.dropDuplicates(["t", "text"])
+    new = batch.dropDuplicates(["t", "text"]).withColumn("day", F.floor(F.col("t") / DAY).cast("long")).withColumn("epoch", F.lit(epoch).cast("long"))
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
-        old = spark.read.schema(new.schema.add("epoch", "long")).option("basePath", path).parquet(path)
-        new = new.join(old.filter(F.col("epoch") < epoch).select("t", "text"), ["t", "text"], "left_anti")
-    new.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        first, last = new.agg(F.min("day"), F.max("day")).first()
+        old = spark.read.schema(new.schema).option("basePath", path).parquet(path).filter((F.col("epoch") < epoch) & F.col("day").between(first, last))
+        new = new.join(old.select("t", "text"), ["t", "text"], "left_anti")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "epoch").parquet(path)
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, path: str) -> None:

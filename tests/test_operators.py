@@ -314,6 +314,11 @@ def test_streaming_bars_flow_and_alerts(spark, tmp_path):
     for epoch, texts in ((0, ["x", "x", "y"]), (1, ["y", "z"]), (1, ["y", "z"]), (2, ["x"])):
         streaming.alerts(spark.createDataFrame([(1, t) for t in texts], "t long, text string"), f"{tmp_path}/alerts", epoch)
     assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/alerts").collect()) == ["x", "y", "z"]
+    later = spark.createDataFrame([(1, "x"), (90_000_000, "x"), (90_000_000, "w"), (None, "v")], "t long, text string")
+    for _ in range(2):  # the second run repeats the epoch
+        streaming.alerts(later, f"{tmp_path}/alerts", 9)
+    streaming.alerts(later.filter("text = 'none'"), f"{tmp_path}/alerts", 10)
+    assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/alerts").collect()) == ["v", "w", "x", "x", "y", "z"]
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
