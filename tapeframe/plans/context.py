@@ -248,8 +248,13 @@ vw as (select t, i, close, {_r('atr', 9)} as atr, {_r('(round(atr, 9) + 0.0) / c
 _MS, _NS, _LS = q.with_(q.LEGS, _M), q.with_(q.LEGS, _M, _N), q.with_(q.LEGS, _M, _N, _L, recursive=True)
 
 
+def _half_up(x: str, d: int) -> str:
+    """x rounded as the query rounds: halves of its shortest decimal text go away from zero; DuckDB's round() scales the double, which puts 2.135 on either side."""
+    return f"coalesce(round(try_cast(({x})::double::varchar as decimal(38, 18)), {d})::double, {x})"
+
+
 def _trim(x: str, d: int) -> str:
-    return f"regexp_replace(regexp_replace(printf('%.{d}f', round({x}, {d})), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+    return f"regexp_replace(regexp_replace(printf('%.{d}f', {_half_up(x, d)}), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
 
 
 def _sg(x: str, t: str) -> str:
