@@ -2,8 +2,10 @@
 
 import duckdb
 import harness
+from pyspark.sql import functions as F
 
-from tapeframe.plans import registry
+from tapeframe.functions import text
+from tapeframe.plans import panel, registry
 
 
 def test_formatted_numbers_rounds_halves_as_its_sql_does(spark, tmp_path):
@@ -12,3 +14,10 @@ def test_formatted_numbers_rounds_halves_as_its_sql_does(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
     assert harness.mismatch(spark, con, registry.queries()["formatted_numbers"], registry.oracle_sql()["formatted_numbers"], str(tmp_path)) == ""
+
+
+def test_texts_of_a_panel_round_halves_as_its_sql_does(spark):
+    values = [(float(x),) for x in (-2135, 2135, 1025, 1035, 1_005_000, -4_345_000, 999, 0)]
+    got = [r[0] for r in spark.createDataFrame(values, "x double").select(text.compact(F.col("x"))).collect()]
+    want = [duckdb.execute(f"select {panel._big('x')} from (select {x}::double as x)").fetchone()[0] for (x,) in values]
+    assert got == want and got[:3] == ["-2.14K", "2.14K", "1.03K"]
