@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeframe.functions.columns import DAY, col, yes
+from tapeframe.operators.blocks import paced
 
 
 def by(*keys: str, order: str = "t"):
@@ -182,26 +183,67 @@ def forward_excursions(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return df.withColumn("mae", F.when(enough, F.min("low").over(ahead) / F.col("close") - 1)).withColumn("mfe", F.when(enough, F.max("high").over(ahead) / F.col("close") - 1))
 
 
+#: Rows of a key that one task of flow() reads, unless the widest window holds more.
+CROWD = 100_000
+
+
+def window_sums(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Sums of values[start:stop] of each pair, from sums of 1, 2, 4, .. neighbours: a logarithm of the window for each, and nothing is subtracted."""
+    start, stop, out = start.copy(), stop.copy(), np.zeros(len(start))
+    while len(at := np.flatnonzero(start < stop)):
+        odd = at[start[at] & 1 == 1]
+        out[odd] += values[start[odd]]
+        start[odd] += 1
+        odd = at[stop[at] & 1 == 1]
+        stop[odd] -= 1
+        out[odd] += values[stop[odd]]
+        start, stop = start >> 1, stop >> 1
+        values = np.append(values, 0.0) if len(values) % 2 else values
+        values = values[::2] + values[1::2]
+    return out
+
+
 def flow(trades: DataFrame, keys: list[str], widths_ms: list[int], samples: DataFrame | None = None, block_ms: int = 3_600_000) -> DataFrame:
     """trades, or samples (keys, t), with buy_<w>, sell_<w>, n_<w> and afi_<w>: notional of each side in the last w ms, and its imbalance.
 
     Both ends of a window count. Trades are dealt by blocks of time, each with a halo of the
-    widest window before it, so that a busy key is many tasks.
+    widest window before it, so that a busy key is many tasks; busy blocks are cut finer. A row
+    costs a logarithm of its window.
     """
     quote = F.col("px") * F.col("qty")
     sides = {"__buy": F.when(F.col("aggressive_buy"), quote).otherwise(0.0), "__sell": F.when(~F.col("aggressive_buy"), quote).otherwise(0.0), "__one": F.lit(1)}
     rows = trades.withColumns(sides | {"__own": F.lit(samples is None)})
     if samples is not None:
         rows = rows.select(*keys, "t", *sides, "__own").unionByName(samples.withColumns({"__buy": F.lit(0.0), "__sell": F.lit(0.0), "__one": F.lit(0), "__own": F.lit(True)}), allowMissingColumns=True)
-    block_ms = max(block_ms, *widths_ms)
+    widest = max(widths_ms)
+    block_ms = max(paced(rows, keys, "t", max(block_ms, 4 * widest), CROWD), widest)
     block = F.floor(F.col("t") / block_ms)
-    rows = rows.withColumn("__block", F.explode(F.array_compact(F.array(block, F.when(F.col("t") + max(widths_ms) >= (block + 1) * block_ms, block + 1)))))
+    shown = [c for c in rows.columns if c not in (*sides, "__own")]
+    fields = [f for ms in widths_ms for f in (T.StructField(f"buy_{ms}", T.DoubleType()), T.StructField(f"sell_{ms}", T.DoubleType()), T.StructField(f"n_{ms}", T.LongType()))]
+    schema = T.StructType([*rows.select(*shown).schema.fields, *fields])
+    rows = rows.withColumn("__block", F.explode(F.array_compact(F.array(block, F.when(F.col("t") + widest >= (block + 1) * block_ms, block + 1)))))
+    rows = rows.withColumn("__own", F.col("__own") & (F.col("__block") == block))
+
+    def summed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        t, own = table.column("t").to_numpy(), table.column("__own").to_numpy()
+        found, ends = [], np.searchsorted(t, t[own], side="right")
+        ones = np.append(0, np.cumsum(table.column("__one").to_numpy().astype(np.int64)))
+        for ms in widths_ms:
+            starts = np.searchsorted(t, t[own] - ms, side="left")
+            for side in ("__buy", "__sell"):
+                column = table.column(side)
+                there = np.append(0, np.cumsum(column.is_valid().to_numpy()))
+                sums = window_sums(column.fill_null(0.0).to_numpy(), starts, ends)
+                found.append(pa.array(sums, mask=there[ends] == there[starts]))  # null where all are missing
+            found.append(pa.array(ones[ends] - ones[starts]))
+        return pa.table([*table.select(shown).filter(table.column("__own")).columns, *found], names=schema.names)
+
+    out = rows.groupBy(*keys, "__block").applyInArrow(summed, schema)
     for ms in widths_ms:
-        w = W.partitionBy(*keys, "__block").orderBy("t").rangeBetween(-ms, 0)
-        rows = rows.withColumn(f"buy_{ms}", F.sum("__buy").over(w)).withColumn(f"sell_{ms}", F.sum("__sell").over(w)).withColumn(f"n_{ms}", F.sum("__one").over(w))
         total = F.col(f"buy_{ms}") + F.col(f"sell_{ms}")
-        rows = rows.withColumn(f"afi_{ms}", F.when(total > 0, (F.col(f"buy_{ms}") - F.col(f"sell_{ms}")) / total).otherwise(0.0))
-    return rows.filter(F.col("__own") & (F.col("__block") == block)).drop(*sides, "__own", "__block")
+        out = out.withColumn(f"afi_{ms}", F.when(total > 0, (F.col(f"buy_{ms}") - F.col(f"sell_{ms}")) / total).otherwise(0.0))
+    return out.select(*shown, *[f"{c}_{ms}" for ms in widths_ms for c in ("buy", "sell", "n", "afi")])
 
 
 def autocovariances(df: DataFrame, keys: list[str], value: str, lags: int) -> DataFrame:

@@ -1,10 +1,14 @@
 """Ties of rounded texts, and operators on crowded inputs: windows, books and streams that must not depend on how they are cut."""
 
+import random
+
 import duckdb
 import harness
+import pytest
 from pyspark.sql import functions as F
 
 from tapeframe.functions import text
+from tapeframe.operators import windows
 from tapeframe.plans import panel, registry
 
 
@@ -21,3 +25,19 @@ def test_texts_of_a_panel_round_halves_as_its_sql_does(spark):
     got = [r[0] for r in spark.createDataFrame(values, "x double").select(text.compact(F.col("x"))).collect()]
     want = [duckdb.execute(f"select {panel._big('x')} from (select {x}::double as x)").fetchone()[0] for (x,) in values]
     assert got == want and got[:3] == ["-2.14K", "2.14K", "1.03K"]
+
+
+def test_flow_has_no_frame_that_is_summed_anew_for_each_row(spark, monkeypatch):
+    monkeypatch.setattr(windows, "CROWD", 50)  # cuts busy blocks
+    r = random.Random(7)
+    trades = [("a", r.randrange(3000) if k % 3 else 1500, round(r.uniform(0, 50), 2), float(r.randrange(1, 5)), r.random() < 0.5) for k in range(600)]
+    found = windows.flow(spark.createDataFrame(trades, "k string, t long, px double, qty double, aggressive_buy boolean"), ["k"], [20, 200], block_ms=1000)
+    assert "RangeFrame" not in found._jdf.queryExecution().toString()
+    rows = found.collect()
+    assert len(rows) == len(trades)
+    for row in rows:
+        for ms in (20, 200):
+            near = [x for x in trades if row.t - ms <= x[1] <= row.t]
+            buy, sell = (sum(x[2] * x[3] for x in near if x[4] == side) for side in (True, False))
+            assert row[f"n_{ms}"] == len(near) and row[f"buy_{ms}"] == pytest.approx(buy) and row[f"sell_{ms}"] == pytest.approx(sell)
+            assert row[f"afi_{ms}"] == pytest.approx((buy - sell) / (buy + sell))
