@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeframe.operators.blocks import paced
+from tapeframe.sources.shared import cut
+
 #: Frozen constants: bands in bp, top levels, flow windows in ms.
 BANDS, TOPS, FLOW_MS = (1, 2, 5, 10), (1, 5, 10), (1000, 5000, 30000)
 #: Buffered events of a book that waits for its snapshot; the oldest go first.
@@ -21,13 +24,17 @@ BUFFER = 20_000
 # ---------------------------------------------------------------- books at a time
 
 
+#: Updates and samples of a key that one task rebuilds at once.
+CROWD = 50_000
+
+
 def carried(updates: DataFrame, keys: list[str], blocks: DataFrame, block_ms: int) -> DataFrame:
     """keys, block, side, price, qty: the levels in force when each of the blocks (keys, block) begins.
 
-    A level is carried from the block of its last update to the next block that updates it, so
-    the rows follow the levels in force, and no key's history is one task.
+    A level is carried from the block of its last update (by time, then by seq) to the next block
+    that updates it, so the rows follow the levels in force, and no key's history is one task.
     """
-    last = updates.groupBy(*keys, "side", "price", F.floor(F.col("t") / block_ms).alias("b")).agg(F.max_by("qty", "seq").alias("qty"))
+    last = updates.groupBy(*keys, "side", "price", F.floor(F.col("t") / block_ms).alias("b")).agg(F.max_by("qty", F.struct("t", "seq")).alias("qty"))
     w = W.partitionBy(*keys, "side", "price").orderBy("b")
     ends = blocks.groupBy(*keys).agg(F.max("block").alias("__end"))
     spans = last.withColumn("until", F.lead("b").over(w)).filter("qty > 0").join(ends, keys)
@@ -35,32 +42,45 @@ def carried(updates: DataFrame, keys: list[str], blocks: DataFrame, block_ms: in
     return spans.select(*keys, F.explode(F.sequence(F.col("b") + 1, F.col("until"))).alias("block"), "side", "price", "qty").join(blocks, [*keys, "block"])
 
 
-def sampled(updates: DataFrame, keys: list[str], samples: DataFrame, measure: Callable, schema: str, block_ms: int = 3_600_000) -> DataFrame:
+def settled(updates: DataFrame, keys: list[str], every_ms: int) -> DataFrame:
+    """keys, t, seq, side, price, qty: of a level's updates between two multiples of every_ms only the last, at the later one."""
+    at = (F.ceil(F.col("t") / every_ms) * every_ms).cast("long")
+    last = F.max_by(F.struct("seq", "qty"), F.struct("t", "seq"))
+    return updates.groupBy(*keys, at.alias("__at"), "side", "price").agg(last.alias("__r")).select(*keys, F.col("__at").alias("t"), "__r.seq", "side", "price", "__r.qty")
+
+
+def sampled(updates: DataFrame, keys: list[str], samples: DataFrame, measure: Callable, schema: str, block_ms: int = 3_600_000, every_ms: int = 1) -> DataFrame:
     """keys, at and `schema`: what measure(bids, asks) says of the book at each sample time (keys, at).
 
     updates: keys, t, seq, side, price, qty (0 removes); those at the sample time are in force.
-    Time is cut into blocks, each with the levels carried into it; a block's books are rebuilt
-    in one task from its own updates, so its memory is bounded by levels and updates of a block.
+    every_ms: what all sample times are multiples of. Updates that no sample tells apart are
+    dropped first. Time is cut into blocks, busy ones finer, each with the levels carried into
+    it; a block's books are rebuilt in one task from its own updates, so its memory is bounded
+    by levels and by about CROWD updates and samples.
     measure gets bid prices and sizes and ask prices and sizes, best first, as arrays, and
     returns a list of tuples.
     """
     from pyspark.sql import types as T
 
-    asked = samples.select(*keys, F.floor(F.col("at") / block_ms).alias("block"), F.col("at").alias("t"))
+    updates = cut(settled(updates, keys, every_ms))
+    asked = samples.select(*keys, F.col("at").alias("t"))
+    block_ms = max(paced(updates.select(*keys, "t").unionByName(asked), keys, "t", block_ms, CROWD), every_ms)
+    asked = asked.withColumn("block", F.floor(F.col("t") / block_ms))
     blocks = asked.select(*keys, "block").distinct()
-    blank = {"seq": F.lit(None).cast("long"), "side": F.lit(None).cast("string"), "price": F.lit(None).cast("double"), "qty": F.lit(None).cast("double")}
-    rows = updates.select(*keys, F.floor(F.col("t") / block_ms).alias("block"), "t", "seq", "side", "price", "qty", F.lit(1).alias("kind")).join(blocks, [*keys, "block"], "left_semi")
-    rows = rows.unionByName(carried(updates, keys, blocks, block_ms).withColumns({"t": F.col("block") * block_ms, "seq": F.lit(None).cast("long"), "kind": F.lit(0)}))
+    shown = [*keys, "block", "t", (F.col("side") == "ask").alias("is_ask"), "price", "qty"]
+    blank = {"is_ask": F.lit(None).cast("boolean"), "price": F.lit(None).cast("double"), "qty": F.lit(None).cast("double")}
+    rows = updates.withColumn("block", F.floor(F.col("t") / block_ms)).select(*shown, F.lit(1).alias("kind")).join(blocks, [*keys, "block"], "left_semi")
+    rows = rows.unionByName(carried(updates, keys, blocks, block_ms).withColumn("t", F.col("block") * block_ms).select(*shown, F.lit(0).alias("kind")))
     rows = rows.unionByName(asked.withColumns(blank | {"kind": F.lit(2)}))
     key_fields = [f for f in updates.select(*keys).schema.fields]
     out_schema = T.StructType([*key_fields, T.StructField("at", T.LongType()), *T._parse_datatype_string(schema).fields])
     names = out_schema.names
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "t", "seq"])
+        pdf = pdf.sort_values(["kind", "t"])
         events, times = pdf[pdf["kind"] < 2], pdf.loc[pdf["kind"] == 2, "t"].to_numpy(np.int64)
         t = np.where(events["kind"] == 0, np.iinfo(np.int64).min, events["t"].to_numpy(np.int64))
-        price, qty, is_ask = events["price"].to_numpy(float), events["qty"].to_numpy(float), (events["side"] == "ask").to_numpy()
+        price, qty, is_ask = events["price"].to_numpy(float), events["qty"].to_numpy(float), events["is_ask"].to_numpy(bool)
         # each side's prices of the block, best first, and the size at each of them
         ladder = [np.unique(-price[~is_ask]), np.unique(price[is_ask])]
         place = np.where(is_ask, np.searchsorted(ladder[1], price), np.searchsorted(ladder[0], -price))

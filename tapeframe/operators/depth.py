@@ -46,9 +46,9 @@ def recorded(most: float) -> Callable:
     return measure
 
 
-def records(updates: DataFrame, trades: DataFrame, keys: list[str], samples: DataFrame, most: float, block_ms: int) -> DataFrame:
+def records(updates: DataFrame, trades: DataFrame, keys: list[str], samples: DataFrame, most: float, block_ms: int, every_ms: int = 1) -> DataFrame:
     """keys, at, RECORD, flow of 1, 5 and 30 s and the interactions of the book at each sample (keys, at)."""
-    found = book.sampled(updates, keys, samples, recorded(most), RECORD, block_ms)
+    found = book.sampled(updates, keys, samples, recorded(most), RECORD, block_ms, every_ms)
     flow = windows.flow(trades, keys, list(book.FLOW_MS), samples.withColumnRenamed("at", "t")).withColumnRenamed("t", "at")
     return book.interactions(found.join(flow, [*keys, "at"]), "buy_5000", "sell_5000", "afi_5000")
 

@@ -71,10 +71,11 @@ def near(measure: Callable, share: float) -> Callable:
     return run
 
 
-def seconds(events: DataFrame, levels: DataFrame, keys: list[str], samples: DataFrame, block: int, block_ms: int, share: float = 0.02, measure: Callable = book.measured, schema: str = book.FEATURES) -> DataFrame:
+def seconds(events: DataFrame, levels: DataFrame, keys: list[str], samples: DataFrame, block: int, block_ms: int, share: float = 0.02, measure: Callable = book.measured, schema: str = book.FEATURES, every_ms: int = 1) -> DataFrame:
     """keys, at, segment and `schema` of the book at each sample (keys, at) at which it is valid and was not crossed since its snapshot.
 
     events: keys, arrival, ts, is_snapshot; levels: keys, arrival, side, price, qty.
+    every_ms: what all sample times are multiples of.
     """
     rows = cut(clocked(segments(events, keys, block), keys))
     state = rows.where("segment > 0").select(*keys, F.col("t").alias("__rt"), F.struct("arrival", "segment", "valid").alias("__state"))
@@ -83,7 +84,7 @@ def seconds(events: DataFrame, levels: DataFrame, keys: list[str], samples: Data
     asked = asked.select(*keys, F.col("__state.segment").alias("segment"), "at")
     own = [*keys, "segment"]
     updates = levels.join(rows.where("segment > 0").select(*keys, "arrival", "segment", "t"), [*keys, "arrival"]).withColumnRenamed("arrival", "seq")
-    found = cut(book.sampled(updates, own, asked, near(measure, share), f"{schema}, crossed boolean", block_ms))
+    found = cut(book.sampled(updates, own, asked, near(measure, share), f"{schema}, crossed boolean", block_ms, every_ms))
     ends = found.where("crossed").groupBy(*own).agg(F.min("at").alias("__end"))
     return found.join(ends, own, "left").where("__end is null or at < __end").drop("__end", "crossed")
 

@@ -55,7 +55,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sampled(spark: SparkSession, sf_dir: str, measure, schema: str) -> DataFrame:
-    return ops.sampled(tables.depth_updates(spark, sf_dir), ["symbol"], _samples(spark, sf_dir), measure, schema, 86_400_000)
+    return ops.sampled(tables.depth_updates(spark, sf_dir), ["symbol"], _samples(spark, sf_dir), measure, schema, 86_400_000, EVERY)
 
 
 def _sides(*book: np.ndarray) -> list[tuple]:

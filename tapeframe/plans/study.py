@@ -26,7 +26,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = tables.depth_updates(spark, sf_dir).withColumn("t", fast)
     trades = tables.tape(spark, sf_dir).withColumns({"symbol": F.lit("BOOK"), "t": fast})
     samples = updates.select("symbol", (F.floor(F.col("t") / 1000) * 1000 + 1000).alias("at")).distinct()
-    return shared.cut(depth.records(updates, trades, KEYS, samples, float(max(SIZES)), HOUR))
+    return shared.cut(depth.records(updates, trades, KEYS, samples, float(max(SIZES)), HOUR, 1000))
 
 
 _SHOWN = ("bid", "ask", "mid", "spread_bp", "microprice", "bid_within5bp", "ask_within5bp", "imbalance_top5", "buy_5000", "sell_5000", "afi_5000", "pressure_to_capacity", "flow_fragility")
@@ -69,7 +69,7 @@ FROZEN_MS = 17_040_000_000 + 3 * HOUR
 
 def prospective_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of the feed without ids: prospective from the first one after the freeze at which its book is valid."""
-    valid = vendor.seconds(*_vendor_feed(spark, sf_dir), KEYS, _samples(spark, sf_dir), 100_000, HOUR).select("symbol", "at")
+    valid = vendor.seconds(*_vendor_feed(spark, sf_dir), KEYS, _samples(spark, sf_dir), 100_000, HOUR, every_ms=1000).select("symbol", "at")
     rows = _samples(spark, sf_dir).join(F.broadcast(boundary.first_after(valid, KEYS, FROZEN_MS)), "symbol", "left")  # a row a symbol
     return rows.select("symbol", "at", "boundary", boundary.phase(F.col("at"), F.col("boundary")).alias("phase"))
 
@@ -101,7 +101,7 @@ def vendor_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vendor_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The book of the feed without ids at each second at which it is valid."""
-    found = vendor.seconds(*_vendor_feed(spark, sf_dir), KEYS, _samples(spark, sf_dir), 100_000, HOUR)
+    found = vendor.seconds(*_vendor_feed(spark, sf_dir), KEYS, _samples(spark, sf_dir), 100_000, HOUR, every_ms=1000)
     return found.select("symbol", "at", "segment", *[rounded(c, 4).alias(c) for c in COMPARED])
 
 
@@ -109,9 +109,9 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The book of the feed without ids against the book of all updates, second by second."""
     events, levels = _vendor_feed(spark, sf_dir)
     samples = _samples(spark, sf_dir)
-    a = vendor.seconds(events, levels, KEYS, samples, 100_000, HOUR)
+    a = vendor.seconds(events, levels, KEYS, samples, 100_000, HOUR, every_ms=1000)
     updates = tables.depth_updates(spark, sf_dir).withColumn("t", F.floor(F.col("t") / SPEED))
-    b = book.sampled(updates, KEYS, samples, book.measured, book.FEATURES, HOUR)
+    b = book.sampled(updates, KEYS, samples, book.measured, book.FEATURES, HOUR, 1000)
     found = vendor.reconciled(a, b, [*KEYS, "at"], COMPARED)
     return found.select("column", "n", "n_equal", "only_a", "only_b", *[rounded(c, 6).alias(c) for c in ("median", "p99", "largest")], rounded("corr", 4).alias("corr"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeframe.functions import text
-from tapeframe.operators import windows
+from tapeframe.operators import book, windows
 from tapeframe.plans import panel, registry
 
 
@@ -41,3 +41,23 @@ def test_flow_has_no_frame_that_is_summed_anew_for_each_row(spark, monkeypatch):
             buy, sell = (sum(x[2] * x[3] for x in near if x[4] == side) for side in (True, False))
             assert row[f"n_{ms}"] == len(near) and row[f"buy_{ms}"] == pytest.approx(buy) and row[f"sell_{ms}"] == pytest.approx(sell)
             assert row[f"afi_{ms}"] == pytest.approx((buy - sell) / (buy + sell))
+
+
+def test_books_of_a_crowded_instant_do_not_depend_on_the_cut(spark, monkeypatch):
+    r = random.Random(3)
+    updates = [("a", r.choice([5, 5, 700, r.randrange(2000)]), k, r.choice(["bid", "ask"]), float(r.randrange(10)), float(r.randrange(3))) for k in range(3000)]  # times go back
+    df = spark.createDataFrame(updates, "symbol string, t long, seq long, side string, price double, qty double")
+    samples = spark.createDataFrame([("a", at) for at in range(0, 2100, 100)], "symbol string, at long")
+    want = []
+    for at in range(0, 2100, 100):
+        held = {}
+        for _, t, _, side, price, qty in sorted(updates, key=lambda u: (u[1], u[2])):
+            if t <= at:
+                held[side, price] = qty
+        want += [(at, *(sum(held.get((side, p), 0) * (p + 1) for p in range(10)) for side in ("bid", "ask")))]
+    measure = lambda bp, bq, ap, aq: [(float(((bp + 1) * bq).sum()), float(((ap + 1) * aq).sum()))]
+    for crowd, every in ((40, 1), (40, 100), (50_000, 100)):
+        monkeypatch.setattr(book, "CROWD", crowd)
+        found = book.sampled(df, ["symbol"], samples, measure, "b double, a double", 1000, every).orderBy("at").collect()
+        assert [(x.at, x.b, x.a) for x in found] == want
+    assert book.settled(df, ["symbol"], 100).count() <= 20 * 21
