@@ -464,33 +464,74 @@ def fed(book: Book, kind: str, row) -> None:
         book.invalidate(kind)
 
 
-def replay(events: DataFrame) -> DataFrame:
+#: Events of a symbol that a chunk of replay() has about.
+CHUNK = 100_000
+#: Counters of a book: they only add up.
+COUNTERS = ("applied", "dropped", "gaps", "crossed", "resyncs", "unknown_removals")
+
+
+def chunked(events: DataFrame, rows: int = CHUNK) -> DataFrame:
+    """events with chunk, the arrival of the snapshot that the chunk begins with; null before the first such one.
+
+    A snapshot ends what came before it: only buffered events that are not older are replayed
+    on it. Where no update since the snapshot before reaches its id, the book after it follows
+    from what comes later alone. The first such snapshot in each block of arrivals begins a
+    chunk; where a block has none, the chunk goes on.
+    """
+    span = events.agg((F.max("arrival") - F.min("arrival") + 1).alias("span")).first().span or 1
+    block = paced(events, ["symbol"], "arrival", span, rows)
+    ids = events.select("symbol", "arrival", "kind", "last_id", F.floor(F.col("arrival") / block).alias("__block"))
+    is_snapshot = F.col("kind") == "snapshot"
+    inside = W.partitionBy("symbol", "__block").orderBy("arrival")
+    ids = ids.withColumn("__n", F.count(F.when(is_snapshot, 1)).over(inside.rowsBetween(W.unboundedPreceding, -1)))  # snapshots before the row, in its block
+    since = W.partitionBy("symbol", "__block", "__n").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
+    reached = F.max(F.when(F.col("kind") == "update", F.col("last_id"))).over(since)
+    clean = is_snapshot & (F.col("__n") > 0) & F.coalesce(reached < F.col("last_id"), reached.isNull())
+    blocks = ids.withColumn("__clean", clean).groupBy("symbol", "__block").agg(F.min(F.when(F.col("__clean"), F.col("arrival"))).alias("__cut"))
+    before = F.last("__cut", ignorenulls=True).over(W.partitionBy("symbol").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))  # a row a block
+    rows_of = events.withColumn("__block", F.floor(F.col("arrival") / block)).join(blocks.withColumn("__before", before), ["symbol", "__block"])
+    return rows_of.withColumn("chunk", F.when(F.col("arrival") >= F.col("__cut"), F.col("__cut")).otherwise(F.col("__before"))).drop("__block", "__cut", "__before")
+
+
+def replay(events: DataFrame, rows: int = CHUNK) -> DataFrame:
     """The book after each event: symbol, arrival, and BOOK_ROW.
 
     events: symbol, arrival (order), kind ("snapshot", "update", or a reason to invalidate),
-    first_id, last_id, prev_id, levels (array of side, price, qty). A symbol's events are one
-    ordered stream, read batch by batch; its book is the only state.
+    first_id, last_id, prev_id, levels (array of side, price, qty). Chunks of about `rows`
+    events are read batch by batch, each with its book as the only state, and the counters of
+    the chunks before are added. A symbol without a snapshot that ends a chunk is one stream.
     """
     from pyspark.sql import types as T
 
-    schema = T._parse_datatype_string("symbol string, arrival long, " + BOOK_ROW)
+    schema = T._parse_datatype_string("symbol string, chunk long, arrival long, waiting long, " + BOOK_ROW)
     names = schema.names
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, book = None, Book()
+        at, book = None, Book()
         for pdf in frames:
             out = []
             for row in pdf.to_dict("records"):
-                if row["symbol"] != symbol:
-                    symbol, book = row["symbol"], Book()
+                own = (row["symbol"], row["chunk"] if row["chunk"] == row["chunk"] else None)
+                if own != at:
+                    at, book = own, Book()
                 fed(book, row["kind"], row)
-                out.append({"symbol": symbol, "arrival": row["arrival"]} | book.row())
+                out.append({"symbol": at[0], "chunk": at[1], "arrival": row["arrival"], "waiting": len(book.pending)} | book.row())
             frame = pd.DataFrame(out, columns=names)
-            for c in ("last_id",):
+            for c in ("last_id", "chunk"):
                 frame[c] = frame[c].astype("Int64")
             yield frame
 
-    return events.repartition("symbol").sortWithinPartitions("symbol", "arrival").mapInPandas(run, schema)
+    own = ["symbol", "chunk"]
+    parts = -(-events.count() // rows) or 1  # a number that adaptive execution keeps: small rows are much work
+    found = cut(chunked(events, rows).repartition(parts, *own).sortWithinPartitions(*own, "arrival").mapInPandas(run, schema))
+    # what a chunk leaves in the buffer is older than the next one's snapshot, which drops it
+    ends = found.groupBy(*own).agg(*[F.max(c).alias(c) for c in COUNTERS], F.max_by("waiting", "arrival").alias("waiting"))
+    ends = ends.withColumn("dropped", F.col("dropped") + F.col("waiting"))
+    upto = W.partitionBy("symbol").orderBy(F.col("chunk").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)  # a row a chunk
+    sums = ends.select(F.col("symbol").alias("__symbol"), F.col("chunk").alias("__chunk"), *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"__{c}") for c in COUNTERS])
+    whole = found.join(F.broadcast(sums), (F.col("symbol") == F.col("__symbol")) & F.col("chunk").eqNullSafe(F.col("__chunk")))
+    shown = [c.split()[0] for c in BOOK_ROW.split(", ")]
+    return whole.select("symbol", "arrival", *[(F.col(c) + F.col(f"__{c}")).alias(c) if c in COUNTERS else F.col(c) for c in shown])
 
 
 class Sampler:

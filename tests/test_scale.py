@@ -61,3 +61,31 @@ def test_books_of_a_crowded_instant_do_not_depend_on_the_cut(spark, monkeypatch)
         found = book.sampled(df, ["symbol"], samples, measure, "b double, a double", 1000, every).orderBy("at").collect()
         assert [(x.at, x.b, x.a) for x in found] == want
     assert book.settled(df, ["symbol"], 100).count() <= 20 * 21
+
+
+def machine_story(seed: int):
+    """Losses, repetitions, late snapshots with buffered updates, disconnects, crossings."""
+    r = random.Random(seed)
+    rows, n = [], 0
+    for k in range(1, 900):
+        level = lambda: {"side": (side := r.choice(["bid", "ask"])), "price": float(r.randrange(40, 52) if side == "bid" else r.randrange(51, 60)), "qty": float(r.randrange(3))}
+        for _ in range(r.choice([0, 1, 1, 1, 1, 1, 1, 1, 1, 2])):
+            rows.append(("A", n := n + 1, "update", k, k, k - 1, [level()]))
+        if r.random() < 0.08:
+            back = r.choice([0, 0, 0, 1, 4])
+            rows.append(("A", n := n + 1, "snapshot", k - back, k - back, k - back - 1, [level(), level()]))
+        if r.random() < 0.02:
+            rows.append(("A", n := n + 1, "disconnect", 0, 0, 0, []))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_sequence_machine_in_chunks_equals_one_stream(spark, seed):
+    rows, state, want = machine_story(seed), book.Book(), []
+    for _, arrival, kind, first, last, prev, levels in rows:
+        book.fed(state, kind, {"first_id": first, "last_id": last, "prev_id": prev, "levels": levels})
+        want.append({"symbol": "A", "arrival": arrival} | state.row())
+    assert {"gaps", "crossed", "dropped", "resyncs"} <= {c for c, v in want[-1].items() if v}
+    events = spark.createDataFrame(rows, "symbol string, arrival long, kind string, first_id long, last_id long, prev_id long, levels array<struct<side:string,price:double,qty:double>>")
+    assert book.chunked(events, 60).select("chunk").distinct().count() > 5
+    assert [r.asDict() for r in book.replay(events, 60).orderBy("arrival").collect()] == want
