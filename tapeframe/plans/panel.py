@@ -146,9 +146,11 @@ _is = lambda s, words: "case " + s + " " + " ".join(f"when {k} then '{v}'" for k
 _feed, _day, _ad = (lambda s: _is(s, state.FEED_WORDS)), (lambda s: _is(s, state.DAILY_WORDS)), (lambda s: _is(s, state.ADAPTER_WORDS))
 _E = {k: f"({v})" for k, v in planner._E.items()}
 _M3 = "".join(f", max(case when measure = '{m}' then {s} end) as {m}_{n}" for m in MEASURES for n, s in (("x", "x"), ("z", "z"), ("p", "pct"), ("n", "n_valid"), ("l", "level"), ("s", "sign"), ("h", "phrase")))
+#: The sentence of the smallest key, of equal keys the first place, as watch_line has it; keys may lie closer than any multiple of them keeps from a place.
+_BEST = "(list(sentence order by key, place) filter (where level > 0 and z is not null))[1]"
 _ST = f"""kd as (select *, case when kind = 1 then name || ' entered ' || lower(phrase) when kind = 2 then name || ' returned to normal' when kind = 3 then name || ' changed to ' || lower(phrase) end as said
  from (select *, {context._KIND} as kind from (select *, coalesce(lag(level) over w, 0) as pl, coalesce(lag(sign) over w, 0) as pd from ll window w as (partition by measure order by t)))),
-pv as (select t{_M3}, arg_min(sentence, key * 100 + place) filter (where level > 0 and z is not null) as best_s, min(key) filter (where level > 0 and z is not null) as best_k, count(*) filter (where level > 0 and z is not null) as n_anomalies,
+pv as (select t{_M3}, {_BEST} as best_s, min(key) filter (where level > 0 and z is not null) as best_k, count(*) filter (where level > 0 and z is not null) as n_anomalies,
  list({{'name': name, 'p': pct, 'z': z}} order by ext desc, place) filter (where level > 0 and z is not null) as anomalies, coalesce(string_agg(said, chr(10) order by kind, place) filter (where kind > 0), '') as changes from kd group by t),
 ex as (select t + k * 86400000 as day, measure, place, t, said, case when starts_with(said, 'OI ') then 2 when starts_with(said, 'Funding') then 3 when starts_with(said, 'Premium') then 4 when starts_with(said, 'Slow trend') then 6 when contains(said, 'liquidation spike') then 5 when contains(said, 'ETF') then 7 else 8 end as prio
  from kd, range(7) r(k) where kind > 0),

@@ -27,6 +27,17 @@ def test_texts_of_a_panel_round_halves_as_its_sql_does(spark):
     assert got == want and got[:3] == ["-2.14K", "2.14K", "1.03K"]
 
 
+def test_the_sentence_of_a_panel_is_of_the_smallest_key_also_where_keys_lie_close(spark):
+    rows = [("d", 2000 - 100 * 145 / 146, 1, "24 hours", 1, 1.0), ("d", 2000 - 100 * 146 / 147, 2, "4 hours", 1, 1.0), ("e", 1900.5, 1, "first", 1, 1.0), ("e", 1900.5, 2, "second", 1, 1.0), ("e", 1.0, 3, "calm", 0, 1.0), ("f", 1.0, 3, "calm", 0, 1.0)]
+    names = ("t", "key", "place", "sentence", "level", "z")
+    df = spark.createDataFrame(rows, "t string, key double, place int, sentence string, level int, z double")
+    query = df.groupBy("t").agg(F.min(F.when(F.col("level") > 0, F.struct("key", "place", "sentence"))).alias("best")).select("t", "best.sentence").collect()
+    values = ", ".join(f"('{t}', {k!r}, {p}, '{s}', {level}, {z})" for t, k, p, s, level, z in rows)
+    want = duckdb.execute(f"select t, {panel._BEST} from (values {values}) v({', '.join(names)}) group by t").fetchall()
+    assert dict(want) == {r.t: r.sentence for r in query} == {"d": "4 hours", "e": "first", "f": None}
+    assert panel._BEST in panel.SQL["panel_rows"]
+
+
 def test_flow_has_no_frame_that_is_summed_anew_for_each_row(spark, monkeypatch):
     monkeypatch.setattr(windows, "CROWD", 50)  # cuts busy blocks
     r = random.Random(7)
