@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -148,6 +149,33 @@ def _judged(frames, terms: list[str], lags: int, names: list[str]):
         yield pd.DataFrame(out, columns=[*names, "term", "n", "beta", "se", "t", "r2", "dropped"])
 
 
+def moving_sums(values: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each value and the n - 1 before it, fewer at the start, from sums of 1, 2, 4, .. neighbours; nothing is subtracted."""
+    out, taken, width, sums = np.zeros(len(values)), 0, 1, np.asarray(values, float)
+    while taken < n:
+        if n & width:
+            out[taken:] += sums[: max(len(values) - taken, 0)]
+            taken += width
+        wider = sums.copy()
+        wider[width:] += sums[: max(len(values) - width, 0)]
+        sums, width = wider, 2 * width
+    return out
+
+
+def _moved(runs: DataFrame, keys: list[str], columns: list[str], n: int) -> DataFrame:
+    """keys, meat (sums of products of the columns' moving sums of n rows) and square (of the first column's squares) of rows of in_runs(): a row for each run, and those added."""
+    schema = T.StructType([*runs.select(*keys).schema.fields, T.StructField("meat", T.ArrayType(T.DoubleType())), T.StructField("square", T.DoubleType())])
+
+    def summed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__i")
+        own, first = table.column("__own").to_numpy(), table.column(columns[0]).to_numpy()
+        moved = np.stack([moving_sums(table.column(c).to_numpy(), n)[own] for c in columns])
+        return pa.table([*table.select(keys).slice(0, 1).columns, pa.array([(moved @ moved.T).ravel().tolist()]), pa.array([float(first[own] @ first[own])])], names=schema.names)
+
+    parts = runs.select(*keys, "__run", "__i", "__own", *columns).groupBy(*keys, "__run").applyInArrow(summed, schema)
+    return parts.groupBy(*keys).agg(F.array(*[F.sum(F.get("meat", i)) for i in range(len(columns) ** 2)]).alias("meat"), F.sum("square").alias("square"))
+
+
 def regressions(df: DataFrame, keys: list[str], order: str, y: str, xs: list[str], lags: int, block: int, least: int = 0, run: int = RUN) -> DataFrame:
     """keys, term, n, beta, se, t, r2, dropped: least squares of y on xs with an intercept in each group, Newey-West errors.
 
@@ -158,7 +186,7 @@ def regressions(df: DataFrame, keys: list[str], order: str, y: str, xs: list[str
     residuals, sums of products of moving sums of the scores. A Bartlett kernel of `lags` is
     a moving sum of lags + 1 rows taken twice, so no lagged products are formed: zeros stand
     behind each group for the sums that reach beyond its end. Moving sums are taken in runs
-    with a halo, so a group may have any number of rows.
+    with a halo, so a group may have any number of rows, and a row costs a logarithm of the lags.
     """
     terms, k = ["intercept", *xs], len(xs) + 1
     rows = finite(df.select(*keys, order, y, *xs), [y, *xs])
@@ -174,13 +202,9 @@ def regressions(df: DataFrame, keys: list[str], order: str, y: str, xs: list[str
         residual = residual - F.get("beta", i) * F.col(x)
     scored = placed.withColumn("u", residual)
     scores = [F.when(F.get("kept", i), F.col("u") * c).otherwise(0.0).alias(f"g{i}") for i, c in enumerate(cells[:k])]
-    scored = scored.select(*keys, "__i", F.col("u"), *scores)
-    tail = solved.select(*keys, F.explode(F.sequence(F.col("n"), F.col("n") + lags - 1)).alias("__i"), F.lit(0.0).alias("u"), *[F.lit(0.0).alias(f"g{i}") for i in range(k)]) if lags else None
-    together = in_runs(scored.unionByName(tail) if lags else scored, lags, run)
-    w = W.partitionBy(*keys, "__run").orderBy("__i").rowsBetween(-lags, 0)
-    moved = together.select(*keys, "__own", "u", *[F.sum(f"g{i}").over(w).alias(f"b{i}") for i in range(k)]).where("__own")
-    meat = F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}")) for i in range(k) for j in range(k)])
-    found = moved.groupBy(*keys).agg(meat.alias("meat"), F.sum(F.col("u") * F.col("u")).alias("rss"))
+    tail = solved.select(*keys, F.explode(F.sequence(F.col("n"), F.col("n") + lags - 1)).alias("__i"), *[F.lit(0.0).alias(f"g{i}") for i in range(k)]) if lags else None
+    scored = scored.select(*keys, "__i", *scores)
+    found = _moved(in_runs(scored.unionByName(tail) if lags else scored, lags, run), keys, [f"g{i}" for i in range(k)], lags + 1).withColumnRenamed("square", "rss")  # the intercept's scores are the residuals
     whole = found.join(solved, keys).select(*keys, "sums", "beta", "inverse", "kept", "meat", "rss")
     out = T.StructType([*df.select(*keys).schema.fields, *T._parse_datatype_string("term string, n long, beta double, se double, t double, r2 double, dropped string").fields])
     return whole.mapInPandas(lambda frames: _judged(frames, terms, lags, keys), out)
@@ -192,17 +216,16 @@ def long_run_mean(df: DataFrame, keys: list[str], order: str, value: str, lags:
     sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")))
     placed = numbered(rows, keys, order, block).join(sizes.select(*keys, "mean"), keys).select(*keys, "__i", (F.col(value) - F.col("mean")).alias("e"))
     tail = sizes.select(*keys, F.explode(F.sequence(F.col("n"), F.col("n") + lags - 1)).alias("__i"), F.lit(0.0).alias("e"))
-    w = W.partitionBy(*keys, "__run").orderBy("__i").rowsBetween(-lags, 0)
-    moved = in_runs(placed.unionByName(tail), lags, run).withColumn("b", F.sum("e").over(w)).where("__own")
-    found = moved.groupBy(*keys).agg((F.sum(F.col("b") * F.col("b")) / (lags + 1)).alias("__s")).join(sizes, keys)
+    moved = _moved(in_runs(placed.unionByName(tail), lags, run), keys, ["e"], lags + 1)
+    found = moved.select(*keys, (F.get("meat", 0) / (lags + 1)).alias("__s")).join(sizes, keys)
     out = found.withColumn("se", F.sqrt(F.greatest("__s", F.lit(0.0))) / F.col("n"))
     return out.select(*keys, "n", "mean", "se", F.when(F.col("n") >= 2, F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(0.0)).alias("t"))
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:
-    """df with ranks from 1, ties sharing their mean."""
-    ties = W.partitionBy(*keys, value)
-    return df.withColumn(to, F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count("*").over(ties) - 1) / 2.0)
+    """df with ranks from 1, ties sharing their mean: that of the first and the last rank of a value, of one sort."""
+    w = W.partitionBy(*keys).orderBy(value)
+    return df.withColumn(to, (F.rank().over(w) + F.count("*").over(w)) / 2.0)
 
 
 def rank_ic(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -151,3 +151,21 @@ def test_volatility_spread_without_volatility_is_infinite(spark):
     rows = [("s", h * 3_600_000 + k * 1000, 100.0 if h < 15 else 100.0 + (k % 2)) for h in range(30) for k in range(60)]
     found = stats.volatility_coverage(spark.createDataFrame(rows, "symbol string, t long, px double"), ["symbol"], "t", "px", 3_600_000, 60, 24, 1.0).first()
     assert found.p10 == 0 and found.spread == float("inf")
+
+
+def test_long_kernels_have_no_frame_that_is_summed_anew_for_each_row(spark):
+    r = random.Random(6)
+    values = [r.gauss(0, 1) for _ in range(150)]
+    for n in (1, 2, 5, 61, 64, 200):
+        want = [sum(values[max(0, i - n + 1) : i + 1]) for i in range(150)]
+        assert np.allclose(stats.moving_sums(np.array(values), n), want, rtol=1e-12, atol=1e-12)
+    df = spark.createDataFrame([("g", k, v, r.gauss(0, 1)) for k, v in enumerate(values)], "g string, t long, y double, x double")
+    for found in (stats.regressions(df, ["g"], "t", "y", ["x"], 60, 40, 0, 70), stats.long_run_mean(df, ["g"], "t", "y", 60, 40, 70)):
+        assert "-60" not in found._jdf.queryExecution().toString() and found.count()
+
+
+def test_average_ranks_sort_each_side_once(spark):
+    df = spark.createDataFrame([("g", x) for x in (3.0, 1.0, 3.0, 2.0, 3.0, 1.0)] + [("h", 5.0)], "g string, x double")
+    found = stats.average_ranks(df, ["g"], "x", "r")
+    assert sorted((q.g, q.x, q.r) for q in found.collect()) == [("g", 1.0, 1.5)] * 2 + [("g", 2.0, 3.0)] + [("g", 3.0, 5.0)] * 3 + [("h", 5.0, 1.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
