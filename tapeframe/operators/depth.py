@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeframe.operators import alignment, book, stats, windows
+from tapeframe.sources.shared import cut
 
 #: Taker fee in bp, the saving that matters, seconds of the error's kernel.
 TAKER_BP, MATERIAL_BP, KERNEL_S = 5.0, 0.5, 60
@@ -46,9 +47,13 @@ def recorded(most: float) -> Callable:
     return measure
 
 
-def records(updates: DataFrame, trades: DataFrame, keys: list[str], samples: DataFrame, most: float, block_ms: int, every_ms: int = 1) -> DataFrame:
-    """keys, at, RECORD, flow of 1, 5 and 30 s and the interactions of the book at each sample (keys, at)."""
-    found = book.sampled(updates, keys, samples, recorded(most), RECORD, block_ms, every_ms)
+def records(updates: DataFrame, trades: DataFrame, keys: list[str], samples: DataFrame, most: float | None, block_ms: int, every_ms: int = 1) -> DataFrame:
+    """keys, at, RECORD, flow of 1, 5 and 30 s and the interactions of the book at each sample (keys, at).
+
+    Without `most` there are no curves and no numbers of levels, only book.FEATURES.
+    """
+    measure, schema = (book.measured, book.FEATURES) if most is None else (recorded(most), RECORD)
+    found = book.sampled(updates, keys, samples, measure, schema, block_ms, every_ms)
     flow = windows.flow(trades, keys, list(book.FLOW_MS), samples.withColumnRenamed("at", "t")).withColumnRenamed("t", "at")
     return book.interactions(found.join(flow, [*keys, "at"]), "buy_5000", "sell_5000", "afi_5000")
 
@@ -70,20 +75,23 @@ def priced(found: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     return found.withColumns({f"vwap_{s}_{n}": vwap(s, n) for s in SIDES for n in sizes})
 
 
-def later(rows: DataFrame, found: DataFrame, keys: list[str], seconds: int, columns: dict[str, str], block_ms: int, stale_ms: int | None = None) -> DataFrame:
-    """rows (keys, at, ..) with columns of the record in force exactly `seconds` later (or, below 0, earlier), by their new names.
+def later(rows: DataFrame, found: DataFrame, keys: list[str], columns: dict[str, tuple[str, int]], block_ms: int, stale_ms: int | None = None) -> DataFrame:
+    """rows (keys, at, ..) with, by their new names, columns of the record in force exactly so many ms later (below 0: earlier).
 
     A book stands until its next record; what is after a key's last record is not known.
-    stale_ms: how old a record in force may be.
+    stale_ms: how old a record in force may be. All times are asked for in one as-of join of
+    narrow rows; joins of one time each on top of each other would be planned, and in part
+    run, twice as often with every further time.
     """
-    ends = found.groupBy(*keys).agg(F.max("at").alias("__end"))
-    shifted = rows.withColumn("__then", F.col("at") + 1000 * seconds).join(ends, keys)
-    payload = [F.col(c).alias(to) for c, to in columns.items()]
-    out = alignment.as_of(shifted, found.select(*keys, F.col("at").alias("__rt"), *payload), keys, "__then", "__rt", list(columns.values()), block=block_ms)
+    payload, times = sorted({c for c, _ in columns.values()}), sorted({ms for _, ms in columns.values()})
+    asks = rows.select(*keys, "at", F.explode(F.array(*[F.lit(ms).cast("long") for ms in times])).alias("__ms")).withColumn("__then", F.col("at") + F.col("__ms"))
+    held = alignment.as_of(asks, found.select(*keys, F.col("at").alias("__rt"), *payload), keys, "__then", "__rt", payload, block=block_ms)
     known = F.col("__then") <= F.col("__end")
     if stale_ms is not None:
         known = known & (F.col("__then") - F.col("matched_t") <= stale_ms)
-    return out.withColumns({c: F.when(known, F.col(c)) for c in columns.values()}).drop("__then", "__end", "matched_t")
+    held = held.join(found.groupBy(*keys).agg(F.max("at").alias("__end")), keys).where(known)
+    picks = [F.max(F.when(F.col("__ms") == ms, F.col(c))).alias(name) for name, (c, ms) in columns.items()]
+    return rows.join(held.groupBy(*keys, "at").agg(*picks), [*keys, "at"], "left")
 
 
 def decisions(found: DataFrame, keys: list[str], step_s: int) -> DataFrame:
@@ -101,9 +109,7 @@ def costs(found: DataFrame, keys: list[str], sizes: tuple[int, ...], waits: tupl
     """
     names = [f"vwap_{s}_{n}" for s in SIDES for n in sizes]
     rows = priced(found, sizes).select(*keys, "at", "mid", *names, *[c for c in carry or [] if c != "mid"])
-    out = decisions(rows, keys, step_s)
-    for w in waits:
-        out = later(out, rows, keys, w, {c: f"{c}_{w}" for c in names}, block_ms, stale_ms)
+    out = later(cut(decisions(rows, keys, step_s)), rows, keys, {f"{c}_{w}": (c, 1000 * w) for w in waits for c in names}, block_ms, stale_ms)
     cells = []
     for s in SIDES:
         cost = lambda c, s=s: (1.0 if s == "BUY" else -1.0) * (F.col(c) - F.col("mid")) / F.col("mid") * 1e4 + TAKER_BP
@@ -177,9 +183,7 @@ def drift(found: DataFrame, keys: list[str], waits: tuple[int, ...], step_s: int
     A measurement of prices only: no fill is assumed.
     """
     rows = found.select(*keys, "at", "bid", "ask", "mid")
-    out = decisions(rows, keys, step_s)
-    for w in waits:
-        out = later(out, rows, keys, w, {"mid": f"mid_{w}"}, block_ms, stale_ms)
+    out = later(cut(decisions(rows, keys, step_s)), rows, keys, {f"mid_{w}": ("mid", 1000 * w) for w in waits}, block_ms, stale_ms)
     cells = [F.struct(F.lit(s).alias("order_side"), F.lit(w).alias("wait"), c.alias("d")) for w in waits for s, c in (("BUY", (F.col(f"mid_{w}") - F.col("bid")) / F.col("bid") * 1e4), ("SELL", (F.col("ask") - F.col(f"mid_{w}")) / F.col("ask") * 1e4))]
     long = out.select(*keys, "at", F.explode(F.array(*cells)).alias("c")).select(*keys, "at", "c.*")
     return stats.hac_mean(long, [*keys, "order_side", "wait"], "at", "d", 2)

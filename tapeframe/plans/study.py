@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.functions import normal
 from tapeframe.functions.columns import DAY, HOUR, rounded
-from tapeframe.operators import alignment, book, depth, stats, vendor
+from tapeframe.operators import book, depth, stats, vendor
 from tapeframe.plans import microstructure, sqltext as q
 from tapeframe.sources import boundary, shared, tables
 
@@ -20,13 +20,13 @@ SIZES, WAITS, STEP_S = (10_000, 50_000), (5, 30), 30
 SPEED = 100
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The book at the end of each second with updates, with its curves, flow and interactions."""
+def _records(spark: SparkSession, sf_dir: str, most: float | None = float(max(SIZES))) -> DataFrame:
+    """The book at the end of each second with updates, with its curves (up to `most`; without it none), flow and interactions."""
     fast = F.floor(F.col("t") / SPEED)
     updates = tables.depth_updates(spark, sf_dir).withColumn("t", fast)
     trades = tables.tape(spark, sf_dir).withColumns({"symbol": F.lit("BOOK"), "t": fast})
     samples = updates.select("symbol", (F.floor(F.col("t") / 1000) * 1000 + 1000).alias("at")).distinct()
-    return shared.cut(depth.records(updates, trades, KEYS, samples, float(max(SIZES)), HOUR, 1000))
+    return shared.cut(depth.records(updates, trades, KEYS, samples, most, HOUR, 1000))
 
 
 _SHOWN = ("bid", "ask", "mid", "spread_bp", "microprice", "bid_within5bp", "ask_within5bp", "imbalance_top5", "buy_5000", "sell_5000", "afi_5000", "pressure_to_capacity", "flow_fragility")
@@ -124,25 +124,30 @@ CONTROLS = ["past", "spread_bp", "ln_depth"]
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record's six features, log changes of the mid after 5, 30 and 300 s and over the 30 s before, controls, hour, place and split."""
-    found = _records(spark, sf_dir)
+    found = _records(spark, sf_dir, None)
     near = F.greatest(F.lit(1.0), F.col("bid_within5bp") + F.col("ask_within5bp"))
     rows = found.select("symbol", "at", "mid", "spread_bp", "imbalance_top5", "displacement_bp", "afi_5000", "pressure_to_capacity", "flow_fragility", near.alias("near"))
-    out = alignment.as_of(rows, rows.select("symbol", F.col("at").alias("__rt"), F.col("near").alias("near_before")), KEYS, "at", "__rt", ["near_before"], strict=True, block=DAY).drop("matched_t")
-    for h, name in ((*((h, f"mid_{h}") for h in HORIZONS), (-PRIMARY, "mid_before"))):
-        out = depth.later(out, rows, KEYS, h, {"mid": name}, DAY)
+    asked = {f"mid_{h}": ("mid", 1000 * h) for h in HORIZONS} | {"mid_before": ("mid", -1000 * PRIMARY), "near_before": ("near", -1)}  # the record before is in force 1 ms before
+    out = depth.later(rows, rows.select("symbol", "at", "mid", "near"), KEYS, asked, HOUR)
     features = [F.col("imbalance_top5"), F.col("displacement_bp"), F.col("afi_5000"), F.log(F.col("near") / F.coalesce("near_before", "near")), F.col("pressure_to_capacity"), F.col("flow_fragility")]
     changes = [F.round(F.log(F.col(f"mid_{h}") / F.col("mid")), 12).alias(f"y_{h}") for h in HORIZONS]
     past = F.round(F.log(F.col("mid") / F.col("mid_before")), 12).alias("past")
     named = [F.round(c, 9).alias(n) for c, n in zip(features, FEATURES, strict=True)]
-    numbers = stats.numbered(out.select("symbol", "at", *named, *changes, past, F.round("spread_bp", 9).alias("spread_bp"), F.round(F.log("near"), 9).alias("ln_depth"), (F.col("at") % DAY / HOUR).cast("int").alias("hour")), KEYS, "at", DAY)
+    out = out.select("symbol", "at", *named, *changes, past, F.round("spread_bp", 9).alias("spread_bp"), F.round(F.log("near"), 9).alias("ln_depth"), (F.col("at") % DAY / HOUR).cast("int").alias("hour"))
+    split = F.when(F.col("at") < F.col("__val"), "dev").when(F.col("at") < F.col("__test"), "val").otherwise("test")
+    return shared.cut(out.join(F.broadcast(_thirds(rows)), "symbol").withColumn("split", split).drop("__val", "__test"))
+
+
+def _thirds(rows: DataFrame) -> DataFrame:
+    """symbol, __val, __test: the times of the records at which the second and the last third of them begin; a row a symbol."""
     third = F.floor(F.col("__n") / 3)
-    split = F.when(F.col("__i") < third, "dev").when(F.col("__i") < 2 * third, "val").otherwise("test")
-    return shared.cut(numbers.withColumn("split", split).drop("__i", "__n"))
+    begins = lambda k: F.min(F.when(F.col("__i") >= k * third, F.col("at")))
+    return stats.numbered(rows.select("symbol", "at"), KEYS, "at", HOUR).groupBy("symbol").agg(begins(1).alias("__val"), begins(2).alias("__test"))
 
 
-def _trials(rows: DataFrame) -> DataFrame:
+def _trials(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """A row for each observation, feature and horizon: x and y."""
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.col(f).alias("x"), F.col(f"y_{h}").alias("y")) for f in FEATURES for h in HORIZONS])
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.col(f).alias("x"), F.col(f"y_{h}").alias("y")) for f in FEATURES for h in horizons])
     return rows.select("symbol", "at", "hour", "split", *CONTROLS, F.explode(cells).alias("c")).select("symbol", "at", "hour", "split", *CONTROLS, "c.*")
 
 
@@ -167,7 +172,7 @@ def directional_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _deciles(rows: DataFrame) -> DataFrame:
     """symbol, feature, bucket, n, mean, t of the change after 30 s in the deciles that the first third's edges make of the others."""
-    long = _trials(rows).where(f"horizon = {PRIMARY} and x is not null")
+    long = _trials(rows, (PRIMARY,)).where("x is not null")
     edges = stats.picked(long.where("split = 'dev'"), ["symbol", "feature"], "x", 10)
     rest = long.where("split <> 'dev' and y is not null").join(F.broadcast(edges), ["symbol", "feature"])  # a row a feature
     rest = rest.withColumn("bucket", stats.bucket_of(F.col("x"), [F.col(f"e{i}") for i in range(1, 10)]) + 1)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeframe.operators import book, depth, stats
+from tapeframe.plans import study
 
 
 def naive_walk(levels, notional):
@@ -169,3 +170,36 @@ def test_average_ranks_sort_each_side_once(spark):
     found = stats.average_ranks(df, ["g"], "x", "r")
     assert sorted((q.g, q.x, q.r) for q in found.collect()) == [("g", 1.0, 1.5)] * 2 + [("g", 2.0, 3.0)] + [("g", 3.0, 5.0)] * 3 + [("h", 5.0, 1.0)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_later_answers_all_times_in_one_join_in_time(spark):
+    r = random.Random(9)
+    at = {"S": sorted(r.sample(range(0, 900), 300)), "T": [5, 700]}
+    rows = [(s, 1000 * t, float(k), -float(k)) for s, times in at.items() for k, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "symbol string, at long, a double, b double").repartition(4)
+    asked = {"a_5": ("a", 5000), "a_300": ("a", 300_000), "a_before": ("a", -30_000), "b_last": ("b", -1), "b_30": ("b", 30_000)}
+    found = depth.later(df, df, ["symbol"], asked, 60_000)
+    got = {(x.symbol, x.at): x for x in found.collect()}
+    assert len(got) == found.count() == len(rows)
+    for symbol, t, _, _ in rows:
+        own = [x for x in rows if x[0] == symbol]
+        for name, (c, ms) in asked.items():
+            held = [x for x in own if x[1] <= t + ms]
+            want = held[-1][2 if c == "a" else 3] if held and t + ms <= own[-1][1] else None
+            assert got[symbol, t][name] == want, (symbol, t, name)
+    stale = {x.at: x.a_30 for x in depth.later(df, df, ["symbol"], {"a_30": ("a", 30_000)}, 60_000, 2000).where("symbol = 'S'").collect()}
+    assert all((v is not None) == (1000 * at["S"][-1] >= t + 30_000 and any(0 <= t + 30_000 - 1000 * x <= 2000 for x in at["S"])) for t, v in stale.items())
+    windows = lambda times: depth.later(df, df, ["symbol"], {f"a_{h}": ("a", h) for h in times}, 60_000)._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows([5, 30, 300, -30, -1]) == windows([5]), "one time more is no join more"
+
+
+def test_the_study_reads_no_curves_and_is_cut_at_thirds_of_its_records(spark, sf):
+    records = study._records(spark, sf, None)
+    assert not [c for c in records.columns if c.endswith(("_prices", "_values", "_bases"))]
+    whole = study._records(spark, sf).select(*records.columns)
+    assert records.exceptAll(whole).count() == 0 == whole.exceptAll(records).count()
+    rows = study._observations(spark, sf).select("symbol", "at", "split").orderBy("at").collect()
+    third = len(rows) // 3
+    assert len(rows) == whole.count() and [x.split for x in rows] == ["dev"] * third + ["val"] * third + ["test"] * (len(rows) - 2 * third)
+    few = spark.createDataFrame([("a", 1000), ("b", 1000), ("b", 2000), ("b", 3000)], "symbol string, at long")
+    assert sorted(tuple(x) for x in study._thirds(few).collect()) == [("a", 1000, 1000), ("b", 2000, 3000)]
